@@ -1,13 +1,22 @@
 """Distributed running sums, ranks and exact order statistics.
 
 A window with ORDER BY but no PARTITION BY moves the whole table into one
-task.  Instead the rows are range-partitioned on ``(group, order)`` keys,
-summed locally inside each range partition, and shifted by the totals of
-the earlier partitions.  Only rows of groups that cross a partition
-boundary need a shift, so the offset table has at most one row per
-partition boundary: that is the proven size bound under its broadcast.
-A group holding a third of all rows simply spans many range partitions,
-so there is no hot task.
+task.  Instead every row gets a *bucket*: a deterministic, monotone
+function of its ``(group, order)`` key (a binary search over quantile
+bounds taken from a hash-selected sample).  Running sums are computed
+inside each bucket and shifted by the totals of the earlier buckets.
+
+Why not ``repartitionByRange`` + ``spark_partition_id()``: its bounds are
+sampled from shuffle output whose row order is not deterministic, so two
+branches of one plan (or a recomputation after an executor loss) can see
+different bounds.  A bucket computed from the row's own values is the same
+everywhere, every time.
+
+Size bounds: the sample is ``~64 x buckets`` keys (collected once); the
+offset table has one row per bucket boundary a group crosses, i.e. at most
+``buckets`` rows, so its broadcast is bounded by the bucket count and does
+not grow with the data.  A group holding a third of all rows spans a third
+of the buckets, so there is no hot task.
 """
 
 from __future__ import annotations
@@ -16,50 +25,129 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_PID = "_nw_pid"
+_B = "_nw_bucket"
+SAMPLE_PER_BUCKET = 64
+QUANTILE_REL_ERR = 0.0005
 
 
 def _as_cols(cols: Iterable) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _num_buckets(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _search(k: Column, lits: list[Column]) -> Column:
+    """Index of the bucket of ``k``: number of bounds ``<= k`` (binary search,
+    log2(buckets) comparisons per row)."""
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(k >= lits[mid - 1], build(mid, hi)).otherwise(build(lo, mid - 1))
+    return build(0, len(lits))
+
+
+def hash_bucket(hex_key: Column, n: int) -> Column:
+    """Monotone bucket of a hex digest (md5 / sha) by its leading 7 digits:
+    uniform, needs no sampling job."""
+    return F.floor(F.conv(F.substring(hex_key, 1, 7), 16, 10).cast("double") * n / float(16 ** 7)).cast("int")
+
+
+def quantile_bucket(df: DataFrame, value: Column, n: int) -> Column:
+    """Monotone bucket of a numeric expression from ``n - 1`` approximate
+    quantile bounds (one Greenwald-Khanna sketch job, bounded memory)."""
+    if n <= 1:
+        return F.lit(0)
+    probs = [i / n for i in range(1, n)]
+    bounds = df.select(value.cast("double").alias("_q")).approxQuantile("_q", probs, QUANTILE_REL_ERR)
+    uniq = []
+    for x in bounds:
+        if not uniq or x != uniq[-1]:
+            uniq.append(x)
+    return _search(value.cast("double"), [F.lit(float(x)) for x in uniq])
+
+
+def sampled_bucket(df: DataFrame, key: Column, n: int) -> Column:
+    """Monotone bucket of any orderable struct key from a hash-selected
+    sample of about ``64 x n`` keys (a count job and a sample job)."""
+    if n <= 1:
+        return F.lit(0)
+    keyed = df.select(key.alias("_k"))
+    total = keyed.count()
+    if total == 0:
+        return F.lit(0)
+    want, modulus = n * SAMPLE_PER_BUCKET, 1 << 30
+    cut = modulus if want >= total else max(1, int(modulus * want / total))
+    sample = keyed.where(F.pmod(F.xxhash64("_k"), F.lit(modulus)) < cut).orderBy("_k").collect()
+    if not sample:
+        return F.lit(0)
+    bounds = []
+    for i in range(1, n):
+        bnd = sample[min(len(sample) - 1, (i * len(sample)) // n)][0]
+        if not bounds or bnd != bounds[-1]:
+            bounds.append(bnd)
+    stype = keyed.schema["_k"].dataType
+    lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bd, stype.fields)]) for bd in bounds]
+    return _search(key, lits)
+
+
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def auto_bucket(df: DataFrame, order_cols: list[Column], n: int) -> Column:
+    if len(order_cols) == 1:
+        dt = df.select(order_cols[0].alias("_o")).schema["_o"].dataType
+        if isinstance(dt, _NUMERIC):
+            return quantile_bucket(df, order_cols[0], n)
+    return sampled_bucket(df, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_cols)]), n)
+
+
 def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], group_by: Sequence[str] = (),
-                out_prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` in ``order_by`` order, restarting per ``group_by``.
+                out_prefix: str = "cum_", num_partitions: int | None = None, descending: bool = False,
+                bucket: Column | None = None) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in ``order_by`` order (all
+    ascending, or all descending), restarting per ``group_by``.
 
     ``order_by`` should be unique within a group (pre-aggregate ties first, or
-    add the row key) so that the running sum is deterministic.
+    end it with the row key) so that the running sum is deterministic.
+    ``bucket`` may be given when a monotone bucket is known (e.g.
+    :func:`hash_bucket`); otherwise it is derived from the data.
     """
     group_by = list(group_by)
     order_cols = _as_cols(order_by)
-    n = _num_partitions(df, num_partitions)
-    parted = df.repartitionByRange(n, *[F.col(g) for g in group_by], *order_cols) \
-               .withColumn(_PID, F.spark_partition_id())
-
-    w_local = Window.partitionBy(_PID, *group_by).orderBy(*order_cols) \
+    n = _num_buckets(df, num_partitions)
+    if bucket is None:
+        bucket = auto_bucket(df, order_cols, n)
+        if descending:
+            bucket = F.lit(n) - bucket
+    b = df.withColumn(_B, bucket)
+
+    ordered = [c.desc() if descending else c.asc() for c in order_cols]
+    w_local = Window.partitionBy(_B, *group_by).orderBy(*ordered) \
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = parted.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
-
-    totals = parted.groupBy(_PID, *group_by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    w_prev = Window.partitionBy(*group_by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    if not group_by:
-        # one "group": the totals table has one row per partition, so this
-        # window runs on at most ``n`` rows.
-        w_prev = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
+
+    totals = b.groupBy(_B, *group_by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    if group_by:
+        w_prev = Window.partitionBy(*group_by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    else:
+        # one row per bucket: this window sees at most ``n`` rows
+        w_prev = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _PID, *group_by, F.count(F.lit(1)).over(w_prev).alias("_prev_parts"),
+        _B, *group_by, F.count(F.lit(1)).over(w_prev).alias("_prev"),
         *[F.sum(f"_tot_{c}").over(w_prev).alias(f"_off_{c}") for c in sum_cols],
-    ).where(F.col("_prev_parts") > 0).drop("_prev_parts")
+    ).where(F.col("_prev") > 0).drop("_prev")
 
-    joined = local.join(F.broadcast(offsets), [_PID, *group_by], "left")
+    # offsets: at most (buckets x groups) rows -- AQE broadcasts it when its
+    # measured size is under the broadcast threshold, else shuffles it.
+    joined = local.join(offsets, [_B, *group_by], "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_loc_{c}") + F.coalesce(F.col(f"_off_{c}"), F.lit(0))).alias(f"{out_prefix}{c}")
@@ -68,14 +156,14 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
 
 
 def rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence, rank_col: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, bucket: Column | None = None) -> DataFrame:
     """1-based ``row_number`` per group without a per-group single task.
 
     ``order_by`` must be unique within a group (end it with the row key).
     """
     tmp = "_nw_one"
     out = prefix_sums(df.withColumn(tmp, F.lit(1).cast("long")), order_by, [tmp], group_by,
-                      out_prefix="_cum", num_partitions=num_partitions)
+                      out_prefix="_cum", num_partitions=num_partitions, bucket=bucket)
     return out.withColumnRenamed(f"_cum{tmp}", rank_col).drop(tmp)
 
 
@@ -118,10 +206,11 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], group_b
                              (F.col("_pos") - F.floor("_pos")).alias("_frac"))
 
     def pick(rank_col: str, name: str) -> DataFrame:
-        cond = [cum[g] == targets[g] for g in group_by] + [
-            (cum["_lo_rank"] <= targets[rank_col]), (targets[rank_col] < cum["_hi_rank"])]
-        return cum.join(F.broadcast(targets), cond).select(
-            *[targets[g] for g in group_by], targets["p"], cum["_v"].alias(name))
+        t = targets.select(*[F.col(g).alias(f"_t_{g}") for g in group_by], "p", F.col(rank_col).alias("_r"))
+        cond = [F.col(g) == F.col(f"_t_{g}") for g in group_by] + [
+            (F.col("_lo_rank") <= F.col("_r")), (F.col("_r") < F.col("_hi_rank"))]
+        return cum.join(F.broadcast(t), cond).select(
+            *[F.col(f"_t_{g}").alias(g) for g in group_by], "p", F.col("_v").alias(name))
 
     lo, hi = pick("_r0", "_v0"), pick("_r1", "_v1")
     out = targets.join(lo, [*group_by, "p"]).join(hi, [*group_by, "p"])

@@ -3,7 +3,7 @@
 Sequential RNG draws cannot be replayed in parallel, so every random
 choice here is a rank by ``md5(concat(seed, '|', row_id))`` -- identical on
 every executor, on re-execution after an executor loss, and in DuckDB.
-"k smallest hashes per stratum" uses the range-partitioned rank of
+"k smallest hashes per stratum" uses the bucketed rank of
 :mod:`netwarden.operators.prefix`, so a stratum holding a third of the
 table is spread over many tasks instead of one.
 """
@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.operators.prefix import rank_within
+from netwarden.operators.prefix import hash_bucket, rank_within
 
 
 def hash_key(seed, row_id: str = "row_id") -> Column:
@@ -32,7 +32,9 @@ def seeded_shuffle(df: DataFrame, seed: int = 42, row_id: str = "row_id", out: s
 def hash_rank(df: DataFrame, strata: Sequence[str], seed: int = 42, row_id: str = "row_id",
               rank_col: str = "hrank") -> DataFrame:
     """1-based rank of each row inside its stratum by seeded hash (ties by row_id)."""
-    return rank_within(df, list(strata), [hash_key(seed, row_id), F.col(row_id)], rank_col)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = hash_key(seed, row_id)
+    return rank_within(df, list(strata), [h, F.col(row_id)], rank_col, bucket=hash_bucket(h, n))
 
 
 def class_counts_table(df: DataFrame, strata: Sequence[str]) -> DataFrame:

@@ -113,17 +113,44 @@ _view("events_scored", ["fl_hits"], """
     CASE WHEN rule_severity = 'high' THEN 'rule-only' WHEN rule_id IS NOT NULL AND ml_pred = 1 THEN 'both'
          WHEN rule_id IS NOT NULL THEN 'rule-only' WHEN ml_pred = 1 THEN 'ml-only' ELSE 'none' END AS final_source,
     CASE WHEN rule_severity = 'high' THEN 'benign' WHEN ml_pred = 1 THEN 'attack' ELSE 'benign' END AS ml_verdict,
-    recon_error AS dede_error, y AS gt_label, Attack AS gt_attack
+    recon_error AS dede_error, p_model, y AS gt_label, Attack AS gt_attack
   FROM fl_hits""")
 
 _view("vectors", [], """
   SELECT row_id, features, y, family,
          CASE WHEN row_number() OVER (PARTITION BY y ORDER BY md5(concat('42|', CAST(row_id AS VARCHAR))), row_id)
                    <= floor(0.2 * count(*) OVER (PARTITION BY y)) THEN 'test' ELSE 'train' END AS split
-  FROM (SELECT vec_id AS row_id, list_transform(embedding, e -> CAST(e AS DOUBLE)) AS features,
+  FROM (SELECT vec_id AS row_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS features,
                CASE WHEN label >= 7 THEN 1 ELSE 0 END AS y, label AS family FROM embeddings) v""")
 
 
+_view("scored_long", ["scored"], """
+  SELECT row_id, y, 'p' AS model, p AS score FROM scored
+  UNION ALL SELECT row_id, y, 'p2' AS model, p2 AS score FROM scored""")
+
+# evaluation grid: train scenario x defence, every row of scored in every cell
+_view("eval_long", ["scored"], """
+  SELECT row_id, y, err, t.train_scenario, d.defence,
+    CASE WHEN d.defence = 'gate' AND err > 0.009 THEN 1
+         WHEN t.train_scenario = 'clean' THEN CASE WHEN p >= 0.5 THEN 1 ELSE 0 END
+         ELSE CASE WHEN p2 >= 0.5 THEN 1 ELSE 0 END END AS pred,
+    CASE WHEN d.defence = 'gate' AND err > 0.009 THEN 1 ELSE 0 END AS stage1
+  FROM scored, (VALUES ('clean'), ('poison_50')) t(train_scenario), (VALUES ('none'), ('gate')) d(defence)""")
+
+_view("eval_matrix", ["eval_long"], """
+  SELECT train_scenario, defence,
+    round(CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE y = pred) / count(*) END, 6) AS accuracy,
+    round(CASE WHEN count(*) FILTER (WHERE pred = 1) = 0 THEN 0.0
+          ELSE count(*) FILTER (WHERE y = 1 AND pred = 1) / count(*) FILTER (WHERE pred = 1) END, 6) AS precision,
+    round(CASE WHEN count(*) FILTER (WHERE y = 1) = 0 THEN 0.0
+          ELSE count(*) FILTER (WHERE y = 1 AND pred = 1) / count(*) FILTER (WHERE y = 1) END, 6) AS recall,
+    round(CASE WHEN 2 * count(*) FILTER (WHERE y = 1 AND pred = 1) + count(*) FILTER (WHERE y <> pred) = 0 THEN 0.0
+          ELSE 2 * count(*) FILTER (WHERE y = 1 AND pred = 1) /
+               (2 * count(*) FILTER (WHERE y = 1 AND pred = 1) + count(*) FILTER (WHERE y <> pred)) END, 6) AS f1_score,
+    round(count(*) FILTER (WHERE stage1 = 1) * 100.0 / count(*), 6) AS stage1_pct
+  FROM eval_long GROUP BY 1, 2""")
+
+
 def _order(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 
@@ -143,4 +170,9 @@ def sql(body: str, *views: str, extra: list[tuple[str, str]] | None = None) -> s
     """``WITH <views...>, <extra...> <body>``."""
     parts = [f"{n} AS ({_VIEWS[n][1]}\n)" for n in _order(views)]
     parts += [f"{n} AS ({t})" for n, t in (extra or [])]
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    if not parts:
+        return body
+    b = body.lstrip()
+    if b[:4].upper() == "WITH":
+        return "WITH " + ",\n".join(parts) + ",\n" + b[4:].lstrip()
+    return "WITH " + ",\n".join(parts) + "\n" + body

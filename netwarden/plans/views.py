@@ -106,14 +106,14 @@ def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "flow_id", F.col("flow_id").alias("seq"), "ts", "src_ip", "dst_ip", "src_port", "dst_port",
         "PROTOCOL", "rule_name", "rule_severity", "rule_score", "rule_reason", "p_attack", "stage",
         "verdict", "family", "family_conf", "final_source", "ml_verdict",
-        F.col("recon_error").alias("dede_error"),
+        F.col("recon_error").alias("dede_error"), "p_model",
         F.col("y").alias("gt_label"), F.col("Attack").alias("gt_attack"),
     )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vectors``: (row_id, features array<double>, y, family, split)."""
-    from netwarden.operators.sampling import hash_key, rank_within
+    from netwarden.operators.sampling import hash_rank
 
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     v = emb.select(
@@ -122,7 +122,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("label") >= 7, 1).otherwise(0).alias("y"),
         F.col("label").alias("family"),
     )
-    ranked = rank_within(v, ["y"], [hash_key(42, "row_id"), F.col("row_id")], rank_col="_r")
+    ranked = hash_rank(v, ["y"], 42, "row_id", "_r")
     counts = v.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
     out = ranked.join(F.broadcast(counts), "y")
     return out.select(

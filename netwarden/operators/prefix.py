@@ -168,9 +168,9 @@ def rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence, rank
 
 
 def global_position(df: DataFrame, order_by: Sequence, pos_col: str = "pos",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, bucket: Column | None = None) -> DataFrame:
     """0-based global position in ``order_by`` order (unique keys)."""
-    return rank_within(df, [], order_by, "_nw_rank", num_partitions) \
+    return rank_within(df, [], order_by, "_nw_rank", num_partitions, bucket) \
         .withColumn(pos_col, F.col("_nw_rank") - 1).drop("_nw_rank")
 
 

@@ -1 +1,279 @@
-"""Registered queries."""
+"""Registered queries: detectors, gates, routes, votes, k-NN and model fits
+(K01-K25, E05-E08, J10, F43)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from netwarden.functions.scalars import attach_scalars
+from netwarden.operators import knn as KNN
+from netwarden.operators import models as MD
+from netwarden.operators import routing as RT
+from netwarden.operators.metrics import calibrate_threshold
+from netwarden.plans import views
+from netwarden.plans.oracle import sql
+from netwarden.plans.q_metrics import scored_long
+from netwarden.plans.registry import register
+
+R = 6
+LOW, HIGH = views.FIXTURE_ROUTE_LOW, views.FIXTURE_ROUTE_HIGH
+K_NEIGHBORS = 5
+
+
+@register("flag_anomalies", sql("""
+SELECT row_id, CAST(err > (SELECT quantile_cont(err, 0.95) FROM scored WHERE y = 0) AS INT) AS is_anomaly
+FROM scored""", "scored"))
+def flag_anomalies(spark, sf_dir):
+    """K14 + F19: err above the P95 of clean errors."""
+    s = views.scored(spark, sf_dir)
+    thr = calibrate_threshold(s, "err", [0.95], F.col("y") == 0).select(F.col("value").alias("_thr"))
+    j = attach_scalars(s, thr)
+    return RT.flag_anomalies(j, "err", F.col("_thr")).select("row_id", "is_anomaly")
+
+
+@register("two_stage_gate", sql(f"""
+SELECT row_id, CAST(err > {HIGH} AS INT) AS stage1, CASE WHEN err > {HIGH} THEN 1 ELSE yhat END AS pred FROM scored""",
+                                "scored"))
+def two_stage_gate(spark, sf_dir):
+    """Detector first (err > thr), else the model."""
+    return RT.two_stage_gate(views.scored(spark, sf_dir), "err", HIGH, "yhat").select("row_id", "stage1", "pred")
+
+
+@register("three_way_route", sql(f"""
+SELECT row_id, CASE WHEN err >= {HIGH} THEN 'block' WHEN err >= {LOW} THEN 'tuned' ELSE 'standard' END AS route,
+  CASE WHEN err >= {HIGH} THEN 'dede_blocked' WHEN err >= {LOW} THEN 'ganopt_stacking' ELSE 'standard_stacking' END
+    AS ml_stage,
+  CASE WHEN err >= {HIGH} THEN 1 WHEN err >= {LOW} THEN CASE WHEN p2 >= 0.5 THEN 1 ELSE 0 END ELSE yhat END AS ml_pred
+FROM scored""", "scored"))
+def three_way_route(spark, sf_dir):
+    """Block / tuned stack / standard stack (>= at both thresholds)."""
+    s = views.scored(spark, sf_dir)
+    r = RT.three_way_route(s, "err", LOW, HIGH, tuned_pred=(F.col("p2") >= 0.5).cast("int"), standard_pred="yhat")
+    return r.select("row_id", "route", "ml_stage", "ml_pred")
+
+
+@register("gate_probability", sql(f"""
+SELECT row_id, round(CASE WHEN err > {HIGH} THEN least(greatest(err / (SELECT max(err) FROM scored), 0.8), 1.0)
+       ELSE p END, 6) AS p_final FROM scored""", "scored"))
+def gate_probability(spark, sf_dir):
+    """Blocked rows score clip(err / max_err, 0.8, 1)."""
+    g = RT.gate_probability(views.scored(spark, sf_dir), "err", HIGH, "p")
+    return g.select("row_id", F.round("p_final", R).alias("p_final"))
+
+
+@register("route_probability", sql(f"""
+SELECT row_id, round(CASE WHEN err >= {HIGH} THEN least(greatest(err / (SELECT max(err) FROM scored), 0.8), 1.0)
+       WHEN err >= {LOW} THEN p2 ELSE p END, 6) AS p_final FROM scored""", "scored"))
+def route_probability(spark, sf_dir):
+    """Three routes, blocked rows clipped error score."""
+    g = RT.route_probability(views.scored(spark, sf_dir), "err", LOW, HIGH, p_tuned="p2", p_standard="p")
+    return g.select("row_id", F.round("p_final", R).alias("p_final"))
+
+
+@register("decision_output", sql(f"""
+SELECT row_id, pred, CASE WHEN pred = 1 THEN 'malicious' ELSE 'benign' END AS label, ml_stage, err,
+       round(CASE WHEN ml_stage = 'dede_blocked' THEN 1.0 WHEN pred = 1 THEN p ELSE 1 - p END, 6) AS confidence
+FROM (SELECT row_id, err, p, CASE WHEN err >= {HIGH} THEN 'dede_blocked' WHEN err >= {LOW} THEN 'ganopt_stacking'
+             ELSE 'standard_stacking' END AS ml_stage,
+             CASE WHEN err >= {HIGH} THEN 1 ELSE yhat END AS pred FROM scored) s""", "scored"))
+def decision_output(spark, sf_dir):
+    """Prediction, label, stage, error, confidence."""
+    s = RT.three_way_route(views.scored(spark, sf_dir), "err", LOW, HIGH, model_pred="yhat")
+    d = RT.decision_output(s.withColumnRenamed("ml_pred", "pred"), "pred", "ml_stage", "err", "p")
+    return d.select("row_id", "pred", "label", "ml_stage", "err", F.round("confidence", R).alias("confidence"))
+
+
+@register("rule_or_model_score", sql("""
+SELECT flow_id, CASE WHEN stage = 'rule' THEN 1.0 ELSE p_model END AS score FROM events_scored""", "events_scored"))
+def rule_or_model_score(spark, sf_dir):
+    """p = 1 for rule-stage rows, else the model probability."""
+    return RT.rule_or_model_score(views.events_scored(spark, sf_dir), "stage", "p_model").select("flow_id", "score")
+
+
+@register("votes", sql("""
+WITH f1 AS (SELECT model, CASE WHEN 2 * count(*) FILTER (WHERE y = 1 AND score >= 0.5)
+                 + count(*) FILTER (WHERE y <> CAST(score >= 0.5 AS INT)) = 0 THEN 0.0
+                 ELSE 2 * count(*) FILTER (WHERE y = 1 AND score >= 0.5) /
+                      (2 * count(*) FILTER (WHERE y = 1 AND score >= 0.5)
+                       + count(*) FILTER (WHERE y <> CAST(score >= 0.5 AS INT))) END AS w
+            FROM scored_long GROUP BY model)
+SELECT row_id, round(avg(score), 6) AS soft,
+       CAST(2 * sum(CAST(score >= 0.5 AS INT)) >= count(*) AS INT) AS hard,
+       round(CASE WHEN sum(w) = 0 THEN 0.0 ELSE sum(w * score) / sum(w) END, 6) AS weighted
+FROM scored_long JOIN f1 USING (model) GROUP BY row_id""", "scored_long"))
+def votes(spark, sf_dir):
+    """Soft, hard and F1-weighted votes of two base scores per row."""
+    from netwarden.operators.metrics import binary_metrics
+    long = scored_long(spark, sf_dir)
+    f1 = binary_metrics(long.withColumn("yhat", (F.col("score") >= 0.5).cast("int")), "y", "yhat", ["model"]) \
+        .select("model", F.col("f1").alias("w"))
+    j = long.join(F.broadcast(f1), "model")  # one row per model
+    g = j.groupBy("row_id").agg(
+        F.avg("score").alias("soft"), F.sum((F.col("score") >= 0.5).cast("int")).alias("_yes"),
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("w") * F.col("score")).alias("_wp"), F.sum("w").alias("_w"))
+    return g.select("row_id", F.round("soft", R).alias("soft"),
+                    (F.col("_yes") * 2 >= F.col("_n")).cast("int").alias("hard"),
+                    F.round(F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(F.col("_wp") / F.col("_w")), R)
+                    .alias("weighted"))
+
+
+KNN_SQL = f"""
+WITH q AS (SELECT row_id, features FROM vectors WHERE split = 'test'),
+t AS (SELECT row_id, y, features FROM vectors WHERE split = 'train'),
+d AS (SELECT q.row_id AS query_id, t.row_id AS train_id, t.y, list_distance(q.features, t.features) AS dist FROM q, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, train_id) AS neighbor_rank FROM d)"""
+
+
+@register("knn_join", sql(KNN_SQL + f"""
+SELECT query_id, CAST(neighbor_rank AS INT) AS neighbor_rank, train_id, round(dist, 6) AS dist FROM r
+WHERE neighbor_rank <= {K_NEIGHBORS}""", "vectors"))
+def knn_join(spark, sf_dir):
+    """Exact 5 nearest training rows of every test row (blocked cogroup)."""
+    v = views.vectors(spark, sf_dir)
+    nb = KNN.knn_join(v.where(F.col("split") == "test"), v.where(F.col("split") == "train"), K_NEIGHBORS)
+    return nb.select("query_id", "neighbor_rank", "train_id", F.round("dist", R).alias("dist"))
+
+
+@register("knn_score", sql(KNN_SQL + f"""
+SELECT query_id, round(p, 6) AS p_knn, CAST(p >= 0.5 AS INT) AS pred_knn FROM (
+  SELECT query_id, CASE WHEN min(dist) = 0 THEN avg(CASE WHEN dist = 0 THEN CAST(y AS DOUBLE) END)
+         ELSE sum(y / dist) / sum(1.0 / dist) END AS p
+  FROM r WHERE neighbor_rank <= {K_NEIGHBORS} GROUP BY query_id) s""", "vectors"))
+def knn_score(spark, sf_dir):
+    """Distance-weighted k-NN probability."""
+    v = views.vectors(spark, sf_dir)
+    nb = KNN.knn_join(v.where(F.col("split") == "test"), v.where(F.col("split") == "train"), K_NEIGHBORS)
+    s = KNN.knn_score(nb)
+    return s.select("query_id", F.round("p_knn", R).alias("p_knn"), "pred_knn")
+
+
+@register("column_concat", sql("""
+SELECT row_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, unnest(c) AS value
+FROM (SELECT row_id, list_concat(list_slice(features, 1, 4), list_slice(features, 61, 64)) AS c FROM vectors) s""",
+                               "vectors"))
+def column_concat(spark, sf_dir):
+    """Two encoders' outputs for the same row concatenated on the row
+    (here the first and last four positions stand for the two views)."""
+    v = views.vectors(spark, sf_dir)
+    c = F.concat(F.slice("features", 1, 4), F.slice("features", 61, 4))
+    return v.select("row_id", F.posexplode(c).alias("pos", "value"))
+
+
+@register("check_alignment", sql("""
+SELECT count(*) AS n, count(*) FILTER (WHERE a.row_id IS NULL OR b.row_id IS NULL OR a.y <> b.y) AS mismatches
+FROM (SELECT row_id, y FROM vectors) a FULL OUTER JOIN
+     (SELECT row_id, CASE WHEN family >= 7 THEN 1 ELSE 0 END AS y FROM vectors) b ON a.row_id = b.row_id""",
+                                 "vectors"))
+def check_alignment(spark, sf_dir):
+    """Labels of two feature spaces agree row by row (full outer join)."""
+    v = views.vectors(spark, sf_dir)
+    a = v.select("row_id", "y")
+    b = v.select(F.col("row_id").alias("rid"), (F.col("family") >= 7).cast("int").alias("y2"))
+    j = a.join(b, a["row_id"] == b["rid"], "full_outer")
+    return j.agg(F.count(F.lit(1)).alias("n"),
+                 F.count(F.when(F.col("row_id").isNull() | F.col("rid").isNull() | (F.col("y") != F.col("y2")), 1))
+                 .alias("mismatches"))
+
+
+@register("trajectory_points", sql("""
+WITH a AS (SELECT row_id, features FROM vectors WHERE split = 'test' AND y = 1),
+pairs AS (SELECT a.row_id, a.features AS fa, b.features AS fb FROM a JOIN
+          (SELECT row_id, features FROM vectors) b ON b.row_id = (SELECT min(row_id) FROM vectors WHERE y = 0)),
+st AS (SELECT row_id, fa, fb, unnest(range(0, 50)) AS step FROM pairs)
+SELECT row_id, CAST(step AS INT) AS step, round(list_sum(fa) * (1 - step / 49.0) + list_sum(fb) * (step / 49.0), 4)
+       AS path_sum FROM st""", "vectors"))
+def trajectory_points(spark, sf_dir):
+    """50 interpolation points between every malicious test row and a
+    fixed benign anchor ((1-t) a + t b, t in linspace(0, 1, 50)); reported as
+    the sum over features of each point."""
+    v = views.vectors(spark, sf_dir)
+    anchor_id = v.where(F.col("y") == 0).agg(F.min("row_id").alias("_aid"))
+    anchor = v.join(F.broadcast(anchor_id), v["row_id"] == anchor_id["_aid"]).select(F.col("features").alias("fb"))
+    a = v.where((F.col("split") == "test") & (F.col("y") == 1)).select("row_id", F.col("features").alias("fa"))
+    j = attach_scalars(a, anchor)  # the anchor is one row
+    st = j.select("row_id", "fa", "fb", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("step"))
+    t = F.col("step") / F.lit(49.0)
+    pt = F.zip_with("fa", "fb", lambda x, y: x * (1 - t) + y * t)
+    return st.select("row_id", "step", F.round(F.aggregate(pt, F.lit(0.0), lambda acc, x: acc + x), 4)
+                     .alias("path_sum"))
+
+
+# --- model fits (rows-only checks; fits are tested against invariants) ------------
+
+def _vec(spark, sf_dir):
+    return MD.with_vector(views.vectors(spark, sf_dir))
+
+
+@register("pca_project")
+def pca_project(spark, sf_dir):
+    """2-component centred PCA projection of every row (sign-fixed)."""
+    v = views.vectors(spark, sf_dir)
+    b = MD.fit_pca(v.where(F.col("split") == "train"), 2)
+    p = v.select("row_id", MD.pca_project(F.col("features"), b).alias("z"))
+    return p.select("row_id", F.col("z")[0].alias("pc1"), F.col("z")[1].alias("pc2"))
+
+
+@register("reconstruction_error")
+def reconstruction_error(spark, sf_dir):
+    """PCA(k=8) reconstruction error of every row, basis fitted on
+    benign training rows."""
+    v = views.vectors(spark, sf_dir)
+    b = MD.fit_pca(v.where((F.col("split") == "train") & (F.col("y") == 0)), 8)
+    return v.select("row_id", "y", MD.reconstruction_error(F.col("features"), b).alias("err"))
+
+
+@register("dual_view_encode")
+def dual_view_encode(spark, sf_dir):
+    """Per-class bases (k=4 each) applied to every row, concatenated."""
+    v = views.vectors(spark, sf_dir)
+    enc, _, _ = MD.dual_view_encode(v, 4, fit_on=F.col("split") == "train")
+    return v.select("row_id", enc.alias("latent")).select("row_id", F.posexplode("latent").alias("pos", "value"))
+
+
+@register("adaptive_threshold")
+def adaptive_threshold(spark, sf_dir):
+    """two-component Gaussian mixture threshold, then flag rows."""
+    s = views.scored(spark, sf_dir)
+    thr = MD.adaptive_threshold(s, "err")
+    return s.select("row_id", (F.col("err") > thr).cast("int").alias("is_anomaly"))
+
+
+@register("random_forest_predict")
+def random_forest_predict(spark, sf_dir):
+    """Random forest (100 trees, depth 20) fitted on train, test predictions."""
+    v = _vec(spark, sf_dir)
+    rf = MD.base_estimators()["rf"].fit(v.where(F.col("split") == "train"))
+    out = rf.transform(v.where(F.col("split") == "test"))
+    return out.select("row_id", "y", MD.positive_score(out, "p_rf"), F.col("prediction").cast("int").alias("pred"))
+
+
+@register("stacking_predict")
+def stacking_predict(spark, sf_dir):
+    """K10 + K07 + K09: SVM / RF / LR bases on a holdout split, balanced
+    logistic meta learner; test-set probabilities."""
+    v = _vec(spark, sf_dir)
+    est = {k: e for k, e in MD.base_estimators().items() if e is not None}
+    model = MD.fit_stacking(v.where(F.col("split") == "train"), est)
+    return model.transform(v.where(F.col("split") == "test")).select("row_id", "y", "p_stack", "pred")
+
+
+@register("calibrated_svm")
+def calibrated_svm(spark, sf_dir):
+    """K01 + K02: linear SVM with 3-fold out-of-fold Platt calibration."""
+    v = _vec(spark, sf_dir)
+    return MD.calibrated_svm_scores(v.where(F.col("split") == "train"), v.where(F.col("split") == "test"))
+
+
+@register("family_classifier")
+def family_classifier(spark, sf_dir):
+    """K08 + K19: multinomial family model on attack rows, applied only to
+    test rows the binary score puts above tau_high."""
+    from pyspark.ml.classification import LogisticRegression
+    v = _vec(spark, sf_dir)
+    fam = LogisticRegression(featuresCol="fv", labelCol="family", maxIter=50).fit(
+        v.where((F.col("split") == "train") & (F.col("y") == 1)).withColumn("family", F.col("family").cast("double")))
+    bin_model = MD.base_estimators()["lr"].fit(v.where(F.col("split") == "train"))
+    scored = bin_model.transform(v.where(F.col("split") == "test"))
+    scored = scored.select("row_id", "fv", MD.positive_score(scored, "p"))
+    out = MD.family_cascade(scored, fam, 0.95)
+    return out.select("row_id", "p", "family_idx", "family_conf")

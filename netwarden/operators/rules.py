@@ -120,8 +120,33 @@ def default_rules() -> list[Rule]:
     ]
 
 
+INPUT_COLS = ["proto", "pkts", "bytes", "dur_ms", "rratio", "thr", "icmp_type", "icmp4_type", "src_port", "dst_port",
+              "dns_id", "dns_qtype", "dns_ttl", "is_dns"]
+
+
+def with_rule_inputs(df: DataFrame) -> DataFrame:
+    """Stage 1: the derived rule inputs as columns ``_ri_<name>``.  Keeping
+    them as attributes (not re-inlined expressions) keeps the generated code
+    of the rule predicate small."""
+    g = rule_inputs(df)
+    return df.select("*", *[g[c].alias(f"_ri_{c}") for c in INPUT_COLS])
+
+
+def _input_refs() -> dict:
+    return {c: F.col(f"_ri_{c}") for c in INPUT_COLS}
+
+
+def rule_id_expr(rules: list[Rule] | None = None) -> Column:
+    """Stage 2: 1-based index of the first matching rule, null when none."""
+    rules = default_rules() if rules is None else rules
+    g = _input_refs()
+    return F.coalesce(*[F.when(F.coalesce(r.predicate(g), F.lit(False)), F.lit(i))
+                        for i, r in enumerate(rules, start=1)])
+
+
 def rule_expr(df: DataFrame, rules: list[Rule] | None = None, with_index: bool = False) -> Column:
-    """One nullable struct ``<rule, severity, score, reason[, rule_id]>``."""
+    """One nullable struct ``<rule, severity, score, reason[, rule_id]>``
+    (for a single-row API; the table path is :func:`match_rules`)."""
     rules = default_rules() if rules is None else rules
     g = rule_inputs(df)
     hits = []
@@ -135,14 +160,27 @@ def rule_expr(df: DataFrame, rules: list[Rule] | None = None, with_index: bool =
 
 
 def match_rules(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds ``rule_name, rule_severity, rule_score, rule_reason, rule_id``
-    (all null when no rule fires)."""
-    r = rule_expr(df, rules, with_index=True)
-    return df.withColumn(RULE_STRUCT, r).select(
-        "*", F.col(f"{RULE_STRUCT}.rule").alias("rule_name"), F.col(f"{RULE_STRUCT}.severity").alias("rule_severity"),
-        F.col(f"{RULE_STRUCT}.score").alias("rule_score"), F.col(f"{RULE_STRUCT}.reason").alias("rule_reason"),
-        F.col(f"{RULE_STRUCT}.rule_id").alias("rule_id"),
-    ).drop(RULE_STRUCT)
+    """Adds ``rule_id, rule_name, rule_severity, rule_score, rule_reason``
+    (all null when no rule fires).  Name, severity and score are lookups in
+    literal arrays by ``rule_id``; the reason text is only computed when a
+    query selects it (column pruning drops it otherwise)."""
+    rules = default_rules() if rules is None else rules
+    staged = with_rule_inputs(df).withColumn("rule_id", rule_id_expr(rules))
+    rid = F.col("rule_id")
+    names = F.array(*[F.lit(r.name) for r in rules])
+    sevs = F.array(*[F.lit(r.severity) for r in rules])
+    scores = F.array(*[F.lit(float(r.score)) for r in rules])
+    g = _input_refs()
+    reason = None
+    for i, r in enumerate(rules, start=1):
+        reason = F.when(rid == i, r.reason(g)) if reason is None else reason.when(rid == i, r.reason(g))
+    out = staged.select(
+        *df.columns, "rule_id",
+        F.when(rid.isNotNull(), F.get(names, rid - 1)).alias("rule_name"),
+        F.when(rid.isNotNull(), F.get(sevs, rid - 1)).alias("rule_severity"),
+        F.when(rid.isNotNull(), F.get(scores, rid - 1)).alias("rule_score"),
+        reason.alias("rule_reason"))
+    return out
 
 
 def fuse_verdict(df: DataFrame, model_pred: str | None = "ml_pred", model_stage: str = "ml_stage") -> DataFrame:

@@ -9,6 +9,7 @@ from netwarden.operators.prefix import exact_percentiles
 from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.registry import register
+from netwarden.plans.store import event_store
 from netwarden.plans.q_search import BLOB_SQL
 
 FLOW_COLS_PRESENT = ["IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", "FLOW_DURATION_MILLISECONDS",
@@ -259,4 +260,4 @@ def probability_band(spark, sf_dir):
 def search_blob(spark, sf_dir):
     """Lower-cased search text of an event."""
     from netwarden.operators.search import blob
-    return views.events_scored(spark, sf_dir).select("flow_id", blob().alias("blob"))
+    return event_store(spark, sf_dir).select("flow_id", blob().alias("blob"))

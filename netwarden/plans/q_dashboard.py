@@ -8,6 +8,7 @@ from netwarden.operators import dashboard as D
 from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.registry import register
+from netwarden.plans.store import event_store
 
 
 @register("alerts_per_minute", sql("""
@@ -17,7 +18,8 @@ SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute,
        count(*) FILTER (WHERE verdict = 'attack') AS attack
 FROM events_scored WHERE ts IS NOT NULL GROUP BY 1 ORDER BY minute DESC LIMIT 60""", "events_scored"))
 def alerts_per_minute(spark, sf_dir):
-    """Flagship (F05): flows -> rules -> fusion -> per-minute verdict counts."""
+    """Flagship (F05): flows -> rules -> fusion -> per-minute verdict counts,
+    scored end to end from the raw events (not from the store)."""
     return D.alerts_per_minute(views.events_scored(spark, sf_dir))
 
 
@@ -33,7 +35,7 @@ SELECT coalesce(verdict, 'unknown') AS verdict, count(*) AS n,
 FROM events_scored GROUP BY 1""", "events_scored"))
 def verdict_stats(spark, sf_dir):
     """counts per verdict, ts of the last arrived event, queue length."""
-    return D.verdict_stats(views.events_scored(spark, sf_dir))
+    return D.verdict_stats(event_store(spark, sf_dir))
 
 
 @register("stage_breakdown", sql("""
@@ -47,7 +49,7 @@ SELECT stage, count(*), count(*) FILTER (WHERE rule_severity = 'high'), count(*)
 FROM events_scored WHERE stage IN ('binary', 'family') GROUP BY stage""", "events_scored"))
 def stage_breakdown(spark, sf_dir):
     """fixed stage rows, zero-filled, plus non-zero optional stages."""
-    return D.stage_breakdown(views.events_scored(spark, sf_dir))
+    return D.stage_breakdown(event_store(spark, sf_dir))
 
 
 @register("verdict_distribution", sql("""
@@ -55,7 +57,7 @@ SELECT verdict, count(*) AS n FROM events_scored WHERE verdict IN ('benign','sus
                                       "events_scored"))
 def verdict_distribution(spark, sf_dir):
     """non-zero verdict counts."""
-    return D.verdict_distribution(views.events_scored(spark, sf_dir))
+    return D.verdict_distribution(event_store(spark, sf_dir))
 
 
 @register("count_top_k", sql("""
@@ -63,7 +65,7 @@ SELECT gt_attack AS key, count(*) AS n FROM events_scored WHERE verdict <> 'beni
 GROUP BY 1 ORDER BY n DESC, key LIMIT 5""", "events_scored"))
 def count_top_k(spark, sf_dir):
     """generic filter / key / count / top-k (ties by key)."""
-    ev = views.events_scored(spark, sf_dir)
+    ev = event_store(spark, sf_dir)
     return D.count_top_k(ev, F.col("gt_attack"), 5, F.col("verdict") != "benign")
 
 
@@ -72,7 +74,7 @@ SELECT family, count(*) AS n FROM events_scored WHERE verdict = 'attack' AND fam
 GROUP BY 1 ORDER BY n DESC, family LIMIT 8""", "events_scored"))
 def top_families(spark, sf_dir):
     """attack verdicts by family, top 8."""
-    return D.top_families(views.events_scored(spark, sf_dir))
+    return D.top_families(event_store(spark, sf_dir))
 
 
 @register("protocol_distribution", sql("""
@@ -82,7 +84,7 @@ FROM events_scored WHERE verdict IN ('attack', 'suspicious') GROUP BY 1 ORDER BY
                                        "events_scored"))
 def protocol_distribution(spark, sf_dir):
     """attack + suspicious by protocol, top 10."""
-    return D.protocol_distribution(views.events_scored(spark, sf_dir))
+    return D.protocol_distribution(event_store(spark, sf_dir))
 
 
 @register("top_targets", sql("""
@@ -92,7 +94,7 @@ FROM events_scored WHERE verdict IN ('attack', 'suspicious') GROUP BY 1 ORDER BY
                              "events_scored"))
 def top_targets(spark, sf_dir):
     """attack + suspicious by dst_ip:port, top 8."""
-    return D.top_targets(views.events_scored(spark, sf_dir))
+    return D.top_targets(event_store(spark, sf_dir))
 
 
 @register("top_sources", sql("""
@@ -100,7 +102,7 @@ SELECT src_ip, count(*) AS n FROM events_scored WHERE verdict IN ('attack', 'sus
 GROUP BY 1 ORDER BY n DESC, src_ip LIMIT 8""", "events_scored"))
 def top_sources(spark, sf_dir):
     """attack + suspicious by src_ip, top 8."""
-    return D.top_sources(views.events_scored(spark, sf_dir))
+    return D.top_sources(event_store(spark, sf_dir))
 
 
 @register("alert_summary", sql(f"""
@@ -112,7 +114,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'attack') AS attack,
 FROM events_scored""", "events_scored"))
 def alert_summary(spark, sf_dir):
     """totals by verdict and by source."""
-    return D.alert_summary(views.events_scored(spark, sf_dir))
+    return D.alert_summary(event_store(spark, sf_dir))
 
 
 @register("stat_cards", sql("""
@@ -122,7 +124,7 @@ SELECT count(*) FILTER (WHERE verdict IN ('benign','suspicious','attack')) AS to
 FROM events_scored""", "events_scored"))
 def stat_cards(spark, sf_dir):
     """totals over the three verdicts."""
-    return D.stat_cards(views.events_scored(spark, sf_dir))
+    return D.stat_cards(event_store(spark, sf_dir))
 
 
 @register("recent_alerts", sql("""
@@ -130,7 +132,7 @@ SELECT flow_id, ts, verdict, stage FROM events_scored
 ORDER BY coalesce(epoch_us(ts), 0) DESC, flow_id LIMIT 15""", "events_scored"))
 def recent_alerts(spark, sf_dir):
     """Newest 15 by ts (null ts as 0)."""
-    return D.recent_alerts(views.events_scored(spark, sf_dir)).select("flow_id", "ts", "verdict", "stage")
+    return D.recent_alerts(event_store(spark, sf_dir)).select("flow_id", "ts", "verdict", "stage")
 
 
 @register("decision_text", sql("""
@@ -149,7 +151,7 @@ FROM events_scored""", "events_scored"))
 def decision_text(spark, sf_dir):
     """Alert-table text columns (p is 0/1 here, so the
     %.4f text is exact in both engines)."""
-    ev = views.events_scored(spark, sf_dir)
+    ev = event_store(spark, sf_dir)
     return ev.select(
         "flow_id",
         D.decision_text(F.col("stage"), F.col("rule_name"), F.col("rule_severity"), F.col("p_attack"),

@@ -14,6 +14,7 @@ from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.q_clean import family_sql
 from netwarden.plans.registry import register
+from netwarden.plans.store import event_store
 
 R = 6
 GATE_THR = views.FIXTURE_ROUTE_HIGH
@@ -169,7 +170,7 @@ FROM (SELECT t.tau,
 def threshold_sweep(spark, sf_dir):
     """F29 + K25: score once (rule stage counts as p = 1), sweep 8 taus in one pass."""
     from netwarden.operators.routing import rule_or_model_score
-    ev = rule_or_model_score(views.events_scored(spark, sf_dir), "stage", "p_model", "s")
+    ev = rule_or_model_score(event_store(spark, sf_dir), "stage", "p_model", "s")
     return _r(M.threshold_sweep(ev, "s", "gt_label", TAUS), "tpr", "fpr")
 
 

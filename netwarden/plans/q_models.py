@@ -14,6 +14,7 @@ from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.q_metrics import scored_long
 from netwarden.plans.registry import register
+from netwarden.plans.store import event_store
 
 R = 6
 LOW, HIGH = views.FIXTURE_ROUTE_LOW, views.FIXTURE_ROUTE_HIGH
@@ -87,7 +88,7 @@ def decision_output(spark, sf_dir):
 SELECT flow_id, CASE WHEN stage = 'rule' THEN 1.0 ELSE p_model END AS score FROM events_scored""", "events_scored"))
 def rule_or_model_score(spark, sf_dir):
     """p = 1 for rule-stage rows, else the model probability."""
-    return RT.rule_or_model_score(views.events_scored(spark, sf_dir), "stage", "p_model").select("flow_id", "score")
+    return RT.rule_or_model_score(event_store(spark, sf_dir), "stage", "p_model").select("flow_id", "score")
 
 
 @register("votes", sql("""

@@ -134,8 +134,10 @@ def stat_cards(ev: DataFrame) -> DataFrame:
 
 
 def newest_n(ev: DataFrame, n: int, seq: str = "seq") -> DataFrame:
-    """Newest first, stop at ``n`` (after all filters)."""
-    return ev.orderBy(F.col(seq).desc()).limit(n)
+    """Newest first, stop at ``n`` (after all filters); a heap for
+    small n, a distributed rank for large n (see ``sampling.first_n``)."""
+    from netwarden.operators.sampling import first_n
+    return first_n(ev, n, [seq], descending=True)
 
 
 def retain_latest(ev: DataFrame, n: int, seq: str = "seq") -> DataFrame:

@@ -86,11 +86,32 @@ def proportional_targets(counts: DataFrame, n_benign: int, n_malicious: int, lab
     return j.select(label, k.alias("k"))
 
 
+TOPK_HEAP_LIMIT = 10000
+
+
+def first_n(df: DataFrame, n: int, order_by: Sequence, descending: bool = False) -> DataFrame:
+    """The first ``n`` rows in ``order_by`` order (unique keys).
+
+    Small ``n``: ``orderBy().limit()`` -> ``TakeOrderedAndProject`` (a heap of
+    n rows per partition).  Large ``n``: that heap would bring
+    ``partitions x n`` rows into one task, so the rows are ranked with the
+    bucketed global position instead and filtered, fully distributed."""
+    from netwarden.operators.prefix import global_position
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    if n <= TOPK_HEAP_LIMIT:
+        return df.orderBy(*[c.desc() if descending else c.asc() for c in cols]).limit(n)
+    if descending:
+        neg = [(-c).alias(f"_neg{i}") for i, c in enumerate(cols)]
+        x = df.select("*", *neg)
+        pos = global_position(x, [F.col(f"_neg{i}") for i in range(len(cols))], "_pos")
+        return pos.where(F.col("_pos") < n).drop("_pos", *[f"_neg{i}" for i in range(len(cols))])
+    return global_position(df, cols, "_pos").where(F.col("_pos") < n).drop("_pos")
+
+
 def head_then_sample(df: DataFrame, n: int, order_key: str, factor: int = 5, min_head: int = 500000,
                      seed: int = 42, row_id: str = "row_id") -> DataFrame:
     """Take the first ``max(factor*n, min_head)`` rows by ``order_key``
     (a keyed prefix, not file order), then ``n`` of them by seeded hash.
-    The limits are the feature here (a sampling operator); both are
-    ``TakeOrderedAndProject`` top-k plans, no full sort."""
-    head = df.orderBy(F.col(order_key), F.col(row_id)).limit(max(factor * n, min_head))
+    The limits are the feature here (a sampling operator)."""
+    head = first_n(df, max(factor * n, min_head), [order_key, row_id])
     return head.orderBy(hash_key(seed, row_id), F.col(row_id)).limit(n)

@@ -52,3 +52,14 @@ def test_head_then_sample_is_seeded(spark):
     a = SM.head_then_sample(fl, 100, "ts", seed=1, row_id="flow_id").toPandas()
     b = SM.head_then_sample(fl, 100, "ts", seed=1, row_id="flow_id").toPandas()
     assert sorted(a["flow_id"]) == sorted(b["flow_id"]) and len(a) == 100
+
+
+def test_first_n_distributed_path_equals_heap(spark, monkeypatch):
+    fl = views.flows(spark, SF_MID).select("flow_id", "ts")
+    heap = [r[0] for r in SM.first_n(fl, 300, ["ts", "flow_id"]).collect()]
+    monkeypatch.setattr(SM, "TOPK_HEAP_LIMIT", 10)
+    dist = [r[0] for r in SM.first_n(fl, 300, ["ts", "flow_id"]).collect()]
+    assert sorted(heap) == sorted(dist) and len(dist) == 300
+    newest = sorted(r[0] for r in SM.first_n(fl, 250, ["flow_id"], descending=True).collect())
+    allids = sorted(r[0] for r in fl.select("flow_id").collect())
+    assert newest == allids[-250:]

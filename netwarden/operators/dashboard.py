@@ -165,3 +165,36 @@ def alert_key(ev: DataFrame) -> Column:
              F.col("src_port").cast("string"), F.col("dst_port").cast("string"), F.col("stage"), F.col("verdict")]
     ident = F.col("id") if "id" in ev.columns else F.lit(None).cast("string")
     return F.coalesce(ident, F.concat_ws("-", *parts))
+
+
+# Alias lists of the alert page (first present wins).
+ALERT_META_ALIASES = {
+    "src_ip": ["src_ip", "IPV4_SRC_ADDR"], "dst_ip": ["dst_ip", "IPV4_DST_ADDR"],
+    "src_port": ["src_port", "L4_SRC_PORT"], "dst_port": ["dst_port", "L4_DST_PORT"],
+    "proto": ["proto", "PROTOCOL"], "l7_proto": ["l7_proto", "L7_PROTO"],
+}
+ALERT_STATS_ALIASES = {
+    "in_bytes": ["in_bytes", "IN_BYTES"], "out_bytes": ["out_bytes", "OUT_BYTES"],
+    "in_pkts": ["in_pkts", "IN_PKTS"], "out_pkts": ["out_pkts", "OUT_PKTS"],
+    "duration_ms": ["duration_ms", "FLOW_DURATION_MILLISECONDS", "FLOW_DURATION"],
+}
+
+
+def normalise_alert(df: DataFrame, keep=()) -> DataFrame:
+    """Flat alert rows -> ``meta`` / ``stats`` structs from alias columns
+    (resolved on the driver against the schema, exact names), defaults
+    ``verdict = unknown`` and ``stage = binary``."""
+    def first(aliases):
+        present = [F.col(a) for a in aliases if a in df.columns]
+        return F.coalesce(*present) if present else F.lit(None)
+
+    def opt(c):
+        return F.col(c) if c in df.columns else F.lit(None)
+
+    meta = F.struct(*[first(v).alias(k) for k, v in ALERT_META_ALIASES.items()])
+    stats = F.struct(*[first(v).cast("double").alias(k) for k, v in ALERT_STATS_ALIASES.items()])
+    return df.select(
+        *keep, opt("ts").alias("ts"), F.coalesce(opt("verdict"), F.lit("unknown")).alias("verdict"),
+        F.coalesce(opt("stage"), F.lit("binary")).alias("stage"), opt("p_attack").alias("p_attack"),
+        opt("family").alias("family"), opt("gt_attack").alias("gt_attack"), meta.alias("meta"),
+        stats.alias("stats"))

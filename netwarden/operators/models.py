@@ -241,3 +241,28 @@ def votes(long_scores: DataFrame, weights: dict | None = None, row_id: str = "ro
         F.sum(w * F.col(p)).alias("_wp"), F.sum(w).alias("_w"))
     return g.select(row_id, "soft", (F.col("_yes") * 2 >= F.col("_n")).cast("int").alias("hard"),
                     F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(F.col("_wp") / F.col("_w")).alias("weighted"))
+
+
+def external_scores(df: DataFrame, means: Sequence[float], stds: Sequence[float], features: str = "features",
+                    row_id: str = "row_id") -> DataFrame:
+    """Score with an outside Python model inside ``mapInPandas`` (Arrow
+    batches, vectorised numpy).  The stand-in model is a logistic function of
+    the mean standardised feature; any callable ``X -> p`` fits the slot."""
+    import numpy as np
+    import pandas as pd
+
+    mu = np.asarray(means, dtype=float)
+    sd = np.where(np.asarray(stds, dtype=float) == 0, 1.0, np.asarray(stds, dtype=float))
+
+    def predict(batches):
+        for pdf in batches:
+            if pdf.empty:
+                yield pd.DataFrame({row_id: pd.Series([], dtype="int64"), "p_ext": pd.Series([], dtype="float64")})
+                continue
+            X = np.stack(pdf[features].to_numpy())
+            z = ((X - mu) / sd).mean(axis=1)
+            out = pdf[[row_id]].copy()
+            out["p_ext"] = 1.0 / (1.0 + np.exp(-z))
+            yield out
+
+    return df.select(row_id, features).mapInPandas(predict, f"{row_id} long, p_ext double")

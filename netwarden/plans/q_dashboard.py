@@ -159,3 +159,17 @@ def decision_text(spark, sf_dir):
         D.format_endpoint(F.col("src_ip"), F.col("src_port")).alias("source"),
         D.alert_source(F.col("rule_name"), F.col("p_attack")).alias("alert_source"),
         D.alert_key(ev).alias("alert_key"))
+
+
+@register("normalise_alert", sql("""
+SELECT flow_id, 'unknown' AS verdict, 'binary' AS stage, src_ip, dst_ip, src_port, dst_port, PROTOCOL AS proto,
+       IN_BYTES AS in_bytes, OUT_BYTES AS out_bytes, IN_PKTS AS in_pkts, OUT_PKTS AS out_pkts,
+       FLOW_DURATION_MILLISECONDS AS duration_ms
+FROM flows""", "flows"))
+def normalise_alert(spark, sf_dir):
+    """Raw flat rows (no verdict / stage yet) normalised to the alert
+    shape with defaults; meta and stats flattened for the comparison."""
+    n = D.normalise_alert(views.flows(spark, sf_dir), keep=["flow_id"])
+    return n.select("flow_id", "verdict", "stage", "meta.src_ip", "meta.dst_ip", "meta.src_port", "meta.dst_port",
+                    "meta.proto", "stats.in_bytes", "stats.out_bytes", "stats.in_pkts", "stats.out_pkts",
+                    "stats.duration_ms")

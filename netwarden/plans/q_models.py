@@ -278,3 +278,87 @@ def family_classifier(spark, sf_dir):
     scored = scored.select("row_id", "fv", MD.positive_score(scored, "p"))
     out = MD.family_cascade(scored, fam, 0.95)
     return out.select("row_id", "p", "family_idx", "family_conf")
+
+
+@register("top_scored", sql("SELECT row_id, p FROM scored ORDER BY p DESC, row_id LIMIT 10", "scored"))
+def top_scored(spark, sf_dir):
+    """The 10 highest-scored rows."""
+    from netwarden.operators.ordering import top_scored as ts
+    return ts(views.scored(spark, sf_dir), 10).select("row_id", "p")
+
+
+@register("nearest_to_boundary", sql("SELECT row_id, p FROM scored ORDER BY abs(p - 0.52), row_id LIMIT 10",
+                                     "scored"))
+def nearest_to_boundary(spark, sf_dir):
+    """The 10 rows closest to p = 0.52."""
+    from netwarden.operators.ordering import nearest_to_boundary as nb
+    return nb(views.scored(spark, sf_dir), 10).select("row_id", "p")
+
+
+@register("first_crossing", sql("""
+WITH tr AS (SELECT row_id, CAST(step AS INT) AS step, (1.0 - step / 49.0) * p + (step / 49.0) * p2 AS value
+            FROM (SELECT row_id, p, p2, unnest(range(0, 50)) AS step FROM scored WHERE y = 1) s),
+c AS (SELECT row_id, coalesce(min(step) FILTER (WHERE value < 0.5), max(step)) AS cut FROM tr GROUP BY row_id)
+SELECT tr.row_id, tr.step, round(tr.value, 6) AS value FROM tr JOIN c USING (row_id) WHERE tr.step <= c.cut""",
+                                "scored"))
+def first_crossing(spark, sf_dir):
+    """E06 + G07: every malicious row walks from its score p to the second
+    model's score p2 in 50 steps; each trail is cut at its first step below 0.5."""
+    from netwarden.operators.ordering import first_crossing as fc, linear_trails
+    s = views.scored(spark, sf_dir).where(F.col("y") == 1).select("row_id", "p", "p2")
+    tr = linear_trails(s, F.col("p"), F.col("p2")).select("row_id", "step", "value")
+    return fc(tr).select("row_id", "step", F.round("value", R).alias("value"))
+
+
+@register("naive_bayes_predict")
+def naive_bayes_predict(spark, sf_dir):
+    """Gaussian naive Bayes fitted on train, test probabilities."""
+    from pyspark.ml.classification import NaiveBayes
+    v = _vec(spark, sf_dir)
+    m = NaiveBayes(featuresCol="fv", labelCol="y", modelType="gaussian").fit(v.where(F.col("split") == "train"))
+    out = m.transform(v.where(F.col("split") == "test"))
+    return out.select("row_id", "y", MD.positive_score(out, "p_nb"), F.col("prediction").cast("int").alias("pred"))
+
+
+@register("mlp_predict")
+def mlp_predict(spark, sf_dir):
+    """Multilayer perceptron (64-32 hidden) on balanced training rows
+    (the majority class is down-sampled by seeded hash rank, no weightCol)."""
+    from netwarden.operators.sampling import hash_rank
+    v = _vec(spark, sf_dir)
+    tr = v.where(F.col("split") == "train")
+    counts = {r["y"]: r["count"] for r in tr.groupBy("y").count().collect()}  # two numbers
+    m = min(counts.values())
+    bal = hash_rank(tr, ["y"], 42).where(F.col("hrank") <= m).drop("hrank")
+    model = MD.mlp(64).fit(bal)
+    out = model.transform(v.where(F.col("split") == "test"))
+    return out.select("row_id", "y", MD.positive_score(out, "p_mlp"), F.col("prediction").cast("int").alias("pred"))
+
+
+@register("model_selection")
+def model_selection(spark, sf_dir):
+    """Best regularisation of a logistic model by average precision
+    on a validation split (TrainValidationSplit), test probabilities."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+    v = _vec(spark, sf_dir)
+    lr = LogisticRegression(featuresCol="fv", labelCol="y", maxIter=50)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
+    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, trainRatio=0.8, seed=42,
+                               evaluator=BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR"))
+    best = tvs.fit(v.where(F.col("split") == "train")).bestModel
+    out = best.transform(v.where(F.col("split") == "test"))
+    return out.select("row_id", "y", MD.positive_score(out, "p_lr"),
+                      F.lit(float(best.getRegParam())).alias("reg_param"))
+
+
+@register("external_model_score")
+def external_model_score(spark, sf_dir):
+    """An outside (numpy) model joins the scored-table contract through
+    ``mapInPandas`` -- Arrow batches in, one probability per row out."""
+    from netwarden.operators.features import fit_stats
+    from netwarden.operators.models import external_scores
+    v = views.vectors(spark, sf_dir)
+    st = fit_stats(v.where(F.col("split") == "train"))
+    return external_scores(v.where(F.col("split") == "test"), st.means, st.stds)

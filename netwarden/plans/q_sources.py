@@ -224,3 +224,23 @@ def train_then_test(spark, sf_dir):
     v = views.vectors(spark, sf_dir).select("row_id", "split")
     o = F.when(F.col("split") == "train", 0).otherwise(1)
     return global_position(v.withColumn("_o", o), [F.col("_o"), F.col("row_id")], "pos").select("row_id", "split", "pos")
+
+
+CSV_COLS = ["flow_id", "IN_PKTS", "OUT_BYTES", "FLOW_DURATION_MILLISECONDS", "PROTOCOL", "Label", "Attack"]
+
+
+@register("scan_csv", sql(f"SELECT {', '.join(CSV_COLS)} FROM flows", "flows"))
+def scan_csv_q(spark, sf_dir):
+    """Tolerant CSV scan with an explicit schema (a CSV copy of the flow
+    table kept under the checkpoint folder)."""
+    from pyspark.sql import types as T
+    from netwarden.plans.store import materialized
+    from netwarden.sources.tables import scan_csv
+    path = materialized(spark, sf_dir, "flows_csv", ["events"],
+                        lambda s, d: views.flows(s, d).select(*CSV_COLS), fmt="csv")
+    schema = T.StructType([T.StructField("flow_id", T.LongType()), T.StructField("IN_PKTS", T.DoubleType()),
+                           T.StructField("OUT_BYTES", T.DoubleType()),
+                           T.StructField("FLOW_DURATION_MILLISECONDS", T.DoubleType()),
+                           T.StructField("PROTOCOL", T.IntegerType()), T.StructField("Label", T.StringType()),
+                           T.StructField("Attack", T.StringType())])
+    return scan_csv(spark, path, schema).select(*CSV_COLS)

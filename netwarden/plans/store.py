@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netwarden.session import checkpoint_dir
 
-_CODE_FILES = ["plans/views.py", "operators/rules.py", "operators/routing.py", "sources/tables.py"]
+_CODE_FILES = ["plans/views.py", "plans/store.py", "operators/rules.py", "operators/routing.py",
+               "sources/tables.py"]
 
 
 def _digest(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]) -> str:
@@ -44,8 +45,10 @@ def _digest(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]) ->
     return h.hexdigest()[:16]
 
 
-def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str], build) -> DataFrame:
-    """Return ``build(spark, sf_dir)`` as a stored Parquet table (built once)."""
+def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str], build,
+                 fmt: str = "parquet") -> DataFrame | str:
+    """Return ``build(spark, sf_dir)`` as a stored Parquet table (built once);
+    with ``fmt="csv"`` the folder path of a stored CSV copy (with headers)."""
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/netwarden-store/{table}-{_digest(spark, sf_dir, table, inputs)}"
     jvm = spark.sparkContext._jvm
@@ -54,12 +57,17 @@ def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]
     fs = final.getFileSystem(conf)
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        build(spark, sf_dir).write.mode("overwrite").parquet(tmp)
+        w = build(spark, sf_dir).write.mode("overwrite")
+        if fmt == "csv":
+            w.option("header", "true").option("ignoreLeadingWhiteSpace", "false") \
+             .option("ignoreTrailingWhiteSpace", "false").csv(tmp)
+        else:
+            w.parquet(tmp)
         if not fs.exists(final):
             fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final)
         else:
             fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
-    return spark.read.parquet(path)
+    return path if fmt == "csv" else spark.read.parquet(path)
 
 
 def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:

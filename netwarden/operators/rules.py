@@ -34,13 +34,25 @@ def _present(df: DataFrame, name: str) -> str | None:
     return name if name in df.columns else None
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+_FLOATING = ("float", "double")
+
+
+def _dtype(df: DataFrame, name: str) -> str:
+    return dict(df.dtypes)[name]
+
+
 def num(df: DataFrame, name: str, default: float = 0.0) -> Column:
     """Rule-side float read: missing, null or unparsable -> ``default``.
     NaN is turned into null so that, as in the reference, every comparison
-    with it is false (Spark orders NaN above every number)."""
+    with it is false (Spark orders NaN above every number).  Typed numeric
+    columns skip the string parse (smaller generated code)."""
     if _present(df, name) is None:
         return F.lit(float(default))
-    v = F.expr(f"try_cast(`{name}` as double)")
+    t = _dtype(df, name)
+    if t in _INTEGRAL:
+        return F.coalesce(F.col(name).cast("double"), F.lit(float(default)))
+    v = F.col(name).cast("double") if t in _FLOATING else F.expr(f"try_cast(`{name}` as double)")
     return F.coalesce(F.when(~F.isnan(v), v), F.when(v.isNull(), F.lit(float(default))))
 
 
@@ -48,8 +60,11 @@ def integer(df: DataFrame, name: str, default: int) -> Column:
     """Rule-side int read: ``int(float(v))`` (truncates), else ``default``."""
     if _present(df, name) is None:
         return F.lit(int(default))
-    v = F.expr(f"try_cast(try_cast(`{name}` as double) as int)")
-    return F.coalesce(v, F.lit(int(default)))
+    t = _dtype(df, name)
+    if t in ("tinyint", "smallint", "int"):
+        return F.coalesce(F.col(name).cast("int"), F.lit(int(default)))
+    src = F.col(name) if t in _FLOATING or t == "bigint" else F.expr(f"try_cast(`{name}` as double)")
+    return F.coalesce(src.try_cast("int"), F.lit(int(default)))
 
 
 def rule_inputs(df: DataFrame) -> dict:

@@ -186,7 +186,7 @@ def empirical_cdf(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> Da
     """``(value, cdf)`` per distinct value, cdf = rows <= value / n."""
     vc = df.where(F.col(value).isNotNull()).groupBy(*group_by, value).agg(F.count(F.lit(1)).alias("c"))
     cum = prefix_sums(vc, [F.col(value)], ["c"], group_by)
-    tot = vc.groupBy(*group_by).agg(F.sum("c").alias("_n"))
+    tot = cum.groupBy(*group_by).agg(F.max("cum_c").alias("_n"))
     j = cum.join(F.broadcast(tot), list(group_by)) if group_by else _attach(cum, tot)
     return j.select(*group_by, value, (F.col("cum_c") / F.col("_n")).alias("cdf"))
 

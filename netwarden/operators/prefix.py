@@ -111,7 +111,7 @@ def auto_bucket(df: DataFrame, order_cols: list[Column], n: int) -> Column:
 
 def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], group_by: Sequence[str] = (),
                 out_prefix: str = "cum_", num_partitions: int | None = None, descending: bool = False,
-                bucket: Column | None = None) -> DataFrame:
+                bucket: Column | None = None, materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_by`` order (all
     ascending, or all descending), restarting per ``group_by``.
 
@@ -119,8 +119,15 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
     end it with the row key) so that the running sum is deterministic.
     ``bucket`` may be given when a monotone bucket is known (e.g.
     :func:`hash_bucket`); otherwise it is derived from the data.
+
+    The input is read by up to three branches (bucket bounds, bucket-local
+    sums, bucket totals).  With ``materialize`` it is checkpointed once into
+    ``spark.checkpoint.dir`` (a reliable checkpoint, which also cuts the
+    lineage), so the upstream scan / parse / aggregation runs exactly once.
     """
     group_by = list(group_by)
+    if materialize:
+        df = df.checkpoint(eager=True)
     order_cols = _as_cols(order_by)
     n = _num_buckets(df, num_partitions)
     if bucket is None:
@@ -199,7 +206,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], group_b
     cum = prefix_sums(vc, [F.col(value)], ["_c"], group_by, num_partitions=num_partitions) \
         .select(*group_by, F.col(value).cast("double").alias("_v"),
                 (F.col("cum__c") - F.col("_c")).alias("_lo_rank"), F.col("cum__c").alias("_hi_rank"))
-    sizes = vc.groupBy(*group_by).agg(F.sum("_c").alias("_n"))
+    sizes = cum.groupBy(*group_by).agg(F.max("_hi_rank").alias("_n"))
     targets = sizes.select(*group_by, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")) \
         .select(*group_by, "p", ((F.col("_n") - 1) * F.col("p")).alias("_pos"))
     targets = targets.select(*group_by, "p", F.floor("_pos").alias("_r0"), F.ceil("_pos").alias("_r1"),

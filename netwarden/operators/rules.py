@@ -30,16 +30,22 @@ class Rule:
     reason: Callable[[dict], Column]
 
 
-def _present(df: DataFrame, name: str) -> str | None:
-    return name if name in df.columns else None
+def _types(df) -> dict:
+    """Column -> type map; accepts a DataFrame or an already built map so a
+    rule compile reads the schema once."""
+    return df if isinstance(df, dict) else dict(df.dtypes)
+
+
+def _present(df, name: str) -> str | None:
+    return name if name in _types(df) else None
 
 
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 _FLOATING = ("float", "double")
 
 
-def _dtype(df: DataFrame, name: str) -> str:
-    return dict(df.dtypes)[name]
+def _dtype(df, name: str) -> str:
+    return _types(df)[name]
 
 
 def num(df: DataFrame, name: str, default: float = 0.0) -> Column:
@@ -69,6 +75,7 @@ def integer(df: DataFrame, name: str, default: int) -> Column:
 
 def rule_inputs(df: DataFrame) -> dict:
     """Derived inputs shared by all rules."""
+    df = _types(df)
     g = {}
     g["proto"] = integer(df, "PROTOCOL", -1)
     g["pkts"] = num(df, "IN_PKTS") + num(df, "OUT_PKTS")
@@ -180,6 +187,7 @@ def match_rules(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     literal arrays by ``rule_id``; the reason text is only computed when a
     query selects it (column pruning drops it otherwise)."""
     rules = default_rules() if rules is None else rules
+    cols = df.columns
     staged = with_rule_inputs(df).withColumn("rule_id", rule_id_expr(rules))
     rid = F.col("rule_id")
     names = F.array(*[F.lit(r.name) for r in rules])
@@ -190,7 +198,7 @@ def match_rules(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     for i, r in enumerate(rules, start=1):
         reason = F.when(rid == i, r.reason(g)) if reason is None else reason.when(rid == i, r.reason(g))
     out = staged.select(
-        *df.columns, "rule_id",
+        *cols, "rule_id",
         F.when(rid.isNotNull(), F.get(names, rid - 1)).alias("rule_name"),
         F.when(rid.isNotNull(), F.get(sevs, rid - 1)).alias("rule_severity"),
         F.when(rid.isNotNull(), F.get(scores, rid - 1)).alias("rule_score"),

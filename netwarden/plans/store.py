@@ -70,7 +70,13 @@ def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]
     return path if fmt == "csv" else spark.read.parquet(path)
 
 
+_STORES: dict = {}
+
+
 def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events_scored`` as a stored table."""
+    """``events_scored`` as a stored table (looked up once per session)."""
     from netwarden.plans import views
-    return materialized(spark, sf_dir, "events_scored", ["events"], views.events_scored)
+    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _STORES:
+        _STORES[key] = materialized(spark, sf_dir, "events_scored", ["events"], views.events_scored)
+    return _STORES[key]

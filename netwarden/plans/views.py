@@ -30,6 +30,25 @@ FIXTURE_ROUTE_LOW = 0.002
 FIXTURE_ROUTE_HIGH = 0.009
 
 
+_MEMO: dict = {}
+
+
+def memoized(name: str):
+    """Reuse a view's DataFrame (its plan, not its data) within one session:
+    every action still reads the files, but the plan is built once."""
+    def deco(fn):
+        def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+            import os
+            key = (name, id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+            if key not in _MEMO:
+                _MEMO[key] = fn(spark, sf_dir)
+            return _MEMO[key]
+        wrapper.__doc__ = fn.__doc__
+        wrapper.__wrapped__ = fn
+        return wrapper
+    return deco
+
+
 def _case(key: Column, values: list, default=None) -> Column:
     expr = None
     for i, v in enumerate(values):
@@ -37,6 +56,7 @@ def _case(key: Column, values: list, default=None) -> Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
+@memoized("flows")
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     k = F.get_json_object("props", "$.k").cast("int")
@@ -81,6 +101,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memoized("scored")
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored-table contract ``(row_id, y, p, yhat, err, p2)``."""
     fl = flows(spark, sf_dir)
@@ -93,6 +114,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memoized("events_scored")
 def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flows + rules + fusion (C01-C11); ``seq`` is the arrival order."""
     from netwarden.operators.rules import fuse_verdict, match_rules
@@ -111,6 +133,7 @@ def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memoized("vectors")
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vectors``: (row_id, features array<double>, y, family, split)."""
     from netwarden.operators.sampling import hash_rank

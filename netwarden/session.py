@@ -22,6 +22,8 @@ BASE_CONF = {
     # with this limit Spark falls back per subtree instead (measured: the
     # fused scoring stage runs ~3x faster).
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # checkpoint files of cut lineages are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 RUNTIME_CONF = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")

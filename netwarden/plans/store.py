@@ -46,7 +46,7 @@ def _digest(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]) ->
 
 
 def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str], build,
-                 fmt: str = "parquet") -> DataFrame | str:
+                 fmt: str = "parquet", cluster_by: str | None = None) -> DataFrame | str:
     """Return ``build(spark, sf_dir)`` as a stored Parquet table (built once);
     with ``fmt="csv"`` the folder path of a stored CSV copy (with headers)."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -57,7 +57,14 @@ def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]
     fs = final.getFileSystem(conf)
     if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        w = build(spark, sf_dir).write.mode("overwrite")
+        data = build(spark, sf_dir)
+        if cluster_by:
+            # disjoint key ranges per file and sorted row groups: Parquet
+            # min/max statistics then skip files and row groups for range
+            # filters on the key (e.g. a search time window)
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            data = data.repartitionByRange(n, cluster_by).sortWithinPartitions(cluster_by)
+        w = data.write.mode("overwrite")
         if fmt == "csv":
             w.option("header", "true").option("ignoreLeadingWhiteSpace", "false") \
              .option("ignoreTrailingWhiteSpace", "false").csv(tmp)
@@ -78,5 +85,6 @@ def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netwarden.plans import views
     key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _STORES:
-        _STORES[key] = materialized(spark, sf_dir, "events_scored", ["events"], views.events_scored)
+        _STORES[key] = materialized(spark, sf_dir, "events_scored", ["events"], views.events_scored,
+                                    cluster_by="ts")
     return _STORES[key]

@@ -24,10 +24,15 @@ def _cnt(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
+def epoch_seconds(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+
+
 def alerts_per_minute(ev: DataFrame, ts: str = "ts", verdict: str = "verdict", last_n: int = 60) -> DataFrame:
     """per-minute counts of benign / suspicious / attack, the newest
-    ``last_n`` non-empty minutes (rows without ``ts`` are dropped)."""
-    minute = F.date_trunc("minute", F.col(ts)).cast("timestamp_ntz")
+    ``last_n`` non-empty minutes (rows without ``ts`` are dropped); the
+    bucket is ``floor(ts / 60) * 60`` in epoch seconds, as in the reference."""
+    minute = (F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(60000000.0)) * 60).cast("long")
     agg = ev.where(F.col(ts).isNotNull()).groupBy(minute.alias("minute")).agg(
         *[_cnt(F.col(verdict) == v).alias(v) for v in VERDICTS])
     return agg.orderBy(F.col("minute").desc()).limit(last_n)
@@ -39,7 +44,7 @@ def verdict_stats(ev: DataFrame, verdict: str = "verdict", seq: str = "seq", ts:
     the interesting-event queue length (capped)."""
     counts = ev.groupBy(F.coalesce(F.col(verdict), F.lit("unknown")).alias("verdict")).agg(
         F.count(F.lit(1)).alias("n"))
-    tot = ev.agg(F.max_by(F.col(ts), F.col(seq)).alias("last_ts"),
+    tot = ev.agg(epoch_seconds(F.max_by(F.col(ts), F.col(seq))).alias("last_ts"),
                  F.least(_cnt(F.col(verdict).isin("suspicious", "attack") | (F.col(stage) == "rule")),
                          F.lit(EVENT_QUEUE_CAP)).cast("long").alias("queue_len"))
     from netwarden.functions.scalars import attach_scalars

@@ -103,13 +103,13 @@ _view("fl_hits", ["fl_rules"], """
 _view("events_scored", ["fl_hits"], """
   SELECT flow_id, flow_id AS seq, ts, src_ip, dst_ip, src_port, dst_port, PROTOCOL,
     rule_name, rule_severity, rule_score,
-    CASE WHEN rule_severity = 'high' OR ml_pred = 1 THEN 1.0 ELSE 0.0 END AS p_attack,
+    CAST(CASE WHEN rule_severity = 'high' OR ml_pred = 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS p_attack,
     CASE WHEN rule_severity = 'high' THEN 'rule' WHEN rule_id IS NOT NULL AND ml_pred = 1 THEN ml_stage
          WHEN rule_id IS NOT NULL THEN 'rule' ELSE ml_stage END AS stage,
     CASE WHEN rule_severity = 'high' THEN 'attack' WHEN rule_id IS NOT NULL AND ml_pred = 1 THEN 'attack'
          WHEN rule_id IS NOT NULL THEN 'suspicious' WHEN ml_pred = 1 THEN 'attack' ELSE 'benign' END AS verdict,
     CASE WHEN rule_severity = 'high' THEN 'rule_blocked' WHEN ml_pred = 1 THEN 'malicious' END AS family,
-    CASE WHEN rule_severity = 'high' OR ml_pred = 1 THEN 1.0 ELSE 0.0 END AS family_conf,
+    CAST(CASE WHEN rule_severity = 'high' OR ml_pred = 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS family_conf,
     CASE WHEN rule_severity = 'high' THEN 'rule-only' WHEN rule_id IS NOT NULL AND ml_pred = 1 THEN 'both'
          WHEN rule_id IS NOT NULL THEN 'rule-only' WHEN ml_pred = 1 THEN 'ml-only' ELSE 'none' END AS final_source,
     CASE WHEN rule_severity = 'high' THEN 'benign' WHEN ml_pred = 1 THEN 'attack' ELSE 'benign' END AS ml_verdict,

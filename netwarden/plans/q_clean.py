@@ -59,11 +59,11 @@ def _flows(spark, sf_dir):
 
 
 @register("lower_columns", sql("""
-SELECT flow_id AS flow_id, ts AS ts, IN_PKTS AS in_pkts, OUT_PKTS AS out_pkts, Label AS label, Attack AS attack
+SELECT flow_id AS flow_id, k AS k, IN_PKTS AS in_pkts, OUT_PKTS AS out_pkts, Label AS label, Attack AS attack
 FROM flows""", "flows"))
 def lower_columns(spark, sf_dir):
     """Lower-case column names."""
-    return C.lower_columns(_flows(spark, sf_dir).select("flow_id", "ts", "IN_PKTS", "OUT_PKTS", "Label", "Attack"))
+    return C.lower_columns(_flows(spark, sf_dir).select("flow_id", "K", "IN_PKTS", "OUT_PKTS", "Label", "Attack"))
 
 
 @register("canonical_names", sql("""
@@ -78,7 +78,8 @@ def canonical_names(spark, sf_dir):
 def _align_sql():
     cols = []
     for f in C.NETFLOW_FEATURES:
-        cols.append(f"coalesce(TRY_CAST({f} AS DOUBLE), 0.0) AS {f}" if f in FLOW_COLS_PRESENT else f"0.0 AS {f}")
+        cols.append(f"coalesce(TRY_CAST({f} AS DOUBLE), CAST(0.0 AS DOUBLE)) AS {f}" if f in FLOW_COLS_PRESENT
+                    else f"CAST(0.0 AS DOUBLE) AS {f}")
     n_missing = len([f for f in C.NETFLOW_FEATURES if f not in FLOW_COLS_PRESENT])
     return sql(f"SELECT flow_id, {', '.join(cols)}, CAST({n_missing} AS INT) AS n_missing FROM flows", "flows")
 
@@ -189,13 +190,15 @@ def median_impute(spark, sf_dir):
 
 
 @register("drop_identifier_features", sql("""
-SELECT ts, y, x, k, IN_PKTS, OUT_PKTS, IN_BYTES, OUT_BYTES, FLOW_DURATION_MILLISECONDS, RETRANSMITTED_IN_PKTS,
+SELECT epoch_us(ts) / 1e6 AS ts, y, x, k, IN_PKTS, OUT_PKTS, IN_BYTES, OUT_BYTES, FLOW_DURATION_MILLISECONDS, RETRANSMITTED_IN_PKTS,
   RETRANSMITTED_OUT_PKTS, ICMP_TYPE, ICMP_IPV4_TYPE, DNS_QUERY_ID, DNS_QUERY_TYPE, DNS_TTL_ANSWER, p_model,
   recon_error, SRC_TO_DST_AVG_THROUGHPUT, DST_TO_SRC_AVG_THROUGHPUT
 FROM flows""", "flows"))
 def drop_identifier_features(spark, sf_dir):
-    """Drop ids, addresses, ports, protocol, attack and label by normalised name."""
-    return C.drop_identifier_features(_flows(spark, sf_dir))
+    """Drop ids, addresses, ports, protocol, attack and label by normalised name
+    (time reported as epoch seconds)."""
+    out = C.drop_identifier_features(_flows(spark, sf_dir))
+    return out.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 
 @register("proto_name", sql(f"""

@@ -12,7 +12,7 @@ from netwarden.plans.store import event_store
 
 
 @register("alerts_per_minute", sql("""
-SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute,
+SELECT CAST(floor(epoch_us(ts) / 60000000.0) * 60 AS BIGINT) AS minute,
        count(*) FILTER (WHERE verdict = 'benign') AS benign,
        count(*) FILTER (WHERE verdict = 'suspicious') AS suspicious,
        count(*) FILTER (WHERE verdict = 'attack') AS attack
@@ -29,7 +29,7 @@ AS = "CASE WHEN rule_name IS NOT NULL AND rule_name <> '' AND p_attack IS NOT NU
 
 @register("verdict_stats", sql("""
 SELECT coalesce(verdict, 'unknown') AS verdict, count(*) AS n,
-       (SELECT arg_max(ts, seq) FROM events_scored) AS last_ts,
+       (SELECT epoch_us(arg_max(ts, seq)) / 1e6 FROM events_scored) AS last_ts,
        (SELECT CAST(least(count(*) FILTER (WHERE verdict IN ('suspicious','attack') OR stage = 'rule'), 5000) AS BIGINT)
         FROM events_scored) AS queue_len
 FROM events_scored GROUP BY 1""", "events_scored"))
@@ -128,11 +128,12 @@ def stat_cards(spark, sf_dir):
 
 
 @register("recent_alerts", sql("""
-SELECT flow_id, ts, verdict, stage FROM events_scored
+SELECT flow_id, epoch_us(ts) / 1e6 AS ts, verdict, stage FROM events_scored
 ORDER BY coalesce(epoch_us(ts), 0) DESC, flow_id LIMIT 15""", "events_scored"))
 def recent_alerts(spark, sf_dir):
-    """Newest 15 by ts (null ts as 0)."""
-    return D.recent_alerts(event_store(spark, sf_dir)).select("flow_id", "ts", "verdict", "stage")
+    """Newest 15 by ts (null ts as 0); ts as epoch seconds."""
+    r = D.recent_alerts(event_store(spark, sf_dir))
+    return r.select("flow_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "verdict", "stage")
 
 
 @register("decision_text", sql("""

@@ -97,7 +97,8 @@ def signed_scale(spark, sf_dir):
 
 @register("mask_features", vsql(f"""
 m AS (SELECT row_id, pos, v, CASE WHEN substr(md5(concat('42|', CAST(row_id AS VARCHAR), '|', CAST(pos AS VARCHAR))), 1, 8)
-                                  < '{format(int(0.5 * 16 ** 8), "08x")}' THEN 1.0 ELSE 0.0 END AS kept FROM e)
+                                  < '{format(int(0.5 * 16 ** 8), "08x")}' THEN CAST(1.0 AS DOUBLE)
+                               ELSE CAST(0.0 AS DOUBLE) END AS kept FROM e)
 SELECT row_id, pos, v * kept AS value, kept FROM m"""))
 def mask_features(spark, sf_dir):
     """Seeded random half of each row's features hidden, mask returned."""

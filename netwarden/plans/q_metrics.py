@@ -25,6 +25,16 @@ def _r(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), R) for c in cols})
 
 
+TIE = 1e-12
+
+
+def _rt(df: DataFrame, *cols: str) -> DataFrame:
+    """Round averages of decimal-grid values: the exact mean can sit on a
+    6th-decimal tie and the engines' last bits differ, so both nudge by 1e-12
+    before rounding (SQL twin: ``round(x + 1e-12, 6)``)."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(TIE), R) for c in cols})
+
+
 def scored_long(spark, sf_dir) -> DataFrame:
     s = views.scored(spark, sf_dir)
     m = F.explode(F.array(F.struct(F.lit("p").alias("model"), F.col("p").alias("score")),
@@ -156,7 +166,7 @@ def tpr_fpr(spark, sf_dir):
     return _r(M.tpr_fpr(M.binary_counts(views.scored(spark, sf_dir)), guard="eps").select("tpr", "fpr"), "tpr", "fpr")
 
 
-_TAU_VALUES = ", ".join(f"({t!r})" for t in TAUS)
+_TAU_VALUES = ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in TAUS)
 
 
 @register("threshold_sweep", sql(f"""
@@ -197,25 +207,25 @@ def classification_report(spark, sf_dir):
 
 
 @register("error_stats", sql("""
-SELECT y, round(avg(err), 6) AS mean, round(stddev_pop(err), 6) AS std, min(err) AS min, max(err) AS max,
+SELECT y, round(avg(err) + 1e-12, 6) AS mean, round(stddev_pop(err), 6) AS std, min(err) AS min, max(err) AS max,
        count(err) AS n, round(quantile_cont(err, 0.25), 6) AS q25, round(quantile_cont(err, 0.5), 6) AS median,
        round(quantile_cont(err, 0.75), 6) AS q75
 FROM scored GROUP BY y""", "scored"))
 def error_stats(spark, sf_dir):
     """mean, population std, median, min, max, q25, q75 per class."""
-    return _r(M.error_stats(views.scored(spark, sf_dir), "err", ["y"]), "mean", "std", "q25", "median", "q75")
+    return _rt(_r(M.error_stats(views.scored(spark, sf_dir), "err", ["y"]), "std", "q25", "median", "q75"), "mean")
 
 
 @register("error_shift", sql("""
-SELECT round(mean_base, 6) AS mean_base, round(mean_other, 6) AS mean_other,
-       round(mean_other - mean_base, 6) AS abs_increase,
+SELECT round(mean_base + 1e-12, 6) AS mean_base, round(mean_other + 1e-12, 6) AS mean_other,
+       round(mean_other - mean_base + 1e-12, 6) AS abs_increase,
        round(CASE WHEN mean_base = 0 THEN 0.0 ELSE (mean_other - mean_base) / mean_base END, 6) AS rel_increase
 FROM (SELECT avg(err) FILTER (WHERE y = 0) AS mean_base, avg(err) FILTER (WHERE y = 1) AS mean_other FROM scored) m""",
                              "scored"))
 def error_shift(spark, sf_dir):
     """F16: increase of mean error from clean (y=0) to attack (y=1) rows."""
-    return _r(M.error_shift(views.scored(spark, sf_dir), "err", "y", 0, 1),
-              "mean_base", "mean_other", "abs_increase", "rel_increase")
+    return _rt(_r(M.error_shift(views.scored(spark, sf_dir), "err", "y", 0, 1), "rel_increase"),
+               "mean_base", "mean_other", "abs_increase")
 
 
 @register("error_histogram", sql("""
@@ -243,9 +253,9 @@ def error_cdf(spark, sf_dir):
 
 @register("calibrate_threshold", sql("""
 SELECT p, round(v, 6) AS value FROM (
-  SELECT 0.75 AS p, quantile_cont(err, 0.75) AS v FROM scored WHERE y = 0
-  UNION ALL SELECT 0.95, quantile_cont(err, 0.95) FROM scored WHERE y = 0
-  UNION ALL SELECT 0.99, quantile_cont(err, 0.99) FROM scored WHERE y = 0) t""", "scored"))
+  SELECT CAST(0.75 AS DOUBLE) AS p, quantile_cont(err, 0.75) AS v FROM scored WHERE y = 0
+  UNION ALL SELECT CAST(0.95 AS DOUBLE), quantile_cont(err, 0.95) FROM scored WHERE y = 0
+  UNION ALL SELECT CAST(0.99 AS DOUBLE), quantile_cont(err, 0.99) FROM scored WHERE y = 0) t""", "scored"))
 def calibrate_threshold(spark, sf_dir):
     """P75 / P95 / P99 of clean errors (exact, distributed)."""
     s = views.scored(spark, sf_dir)
@@ -254,15 +264,15 @@ def calibrate_threshold(spark, sf_dir):
 
 @register("band_counts", sql("""
 SELECT count(*) FILTER (WHERE p < 0.2) AS low, count(*) FILTER (WHERE p >= 0.2 AND p <= 0.95) AS mid,
-       count(*) FILTER (WHERE p > 0.95) AS high, min(p) AS p_min, round(avg(p), 6) AS p_mean, max(p) AS p_max
+       count(*) FILTER (WHERE p > 0.95) AS high, min(p) AS p_min, round(avg(p) + 1e-12, 6) AS p_mean, max(p) AS p_max
 FROM scored""", "scored"))
 def band_counts(spark, sf_dir):
     """rows per probability band; min, mean, max p."""
     s = views.scored(spark, sf_dir)
     b = probability_band("p")
-    return _r(s.agg(F.count(F.when(b == "low", 1)).alias("low"), F.count(F.when(b == "mid", 1)).alias("mid"),
-                    F.count(F.when(b == "high", 1)).alias("high"), F.min("p").alias("p_min"),
-                    F.avg("p").alias("p_mean"), F.max("p").alias("p_max")), "p_mean")
+    return _rt(s.agg(F.count(F.when(b == "low", 1)).alias("low"), F.count(F.when(b == "mid", 1)).alias("mid"),
+                     F.count(F.when(b == "high", 1)).alias("high"), F.min("p").alias("p_min"),
+                     F.avg("p").alias("p_mean"), F.max("p").alias("p_max")), "p_mean")
 
 
 @register("top_predicted_families", sql(f"""
@@ -336,12 +346,13 @@ def class_weights(spark, sf_dir):
 
 
 @register("meta_feature_stats", sql("""
-SELECT model, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM scored_long GROUP BY model""",
+SELECT model, round(avg(score) + 1e-12, 6) AS mean, round(stddev_pop(score), 6) AS std FROM scored_long
+GROUP BY model""",
                                     "scored_long"))
 def meta_feature_stats(spark, sf_dir):
     """mean and std of every base model's score (unpivoted)."""
-    return _r(scored_long(spark, sf_dir).groupBy("model").agg(F.avg("score").alias("mean"),
-                                                              F.stddev_pop("score").alias("std")), "mean", "std")
+    g = scored_long(spark, sf_dir).groupBy("model").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return _rt(_r(g, "std"), "mean")
 
 
 @register("evaluation_matrix", sql("SELECT * FROM eval_matrix", "eval_matrix"))
@@ -419,25 +430,26 @@ def rank_models(spark, sf_dir):
 
 
 @register("checkpoint_profile", sql(f"""
-SELECT {family_sql('Attack')} AS grp, round(avg(p), 6) AS mean_p, round(stddev_pop(p), 6) AS std_p,
-       round(avg(err), 6) AS mean_err, round(count(*) FILTER (WHERE p < 0.5) * 1.0 / count(*), 6) AS share_below
+SELECT {family_sql('Attack')} AS grp, round(avg(p) + 1e-12, 6) AS mean_p, round(stddev_pop(p), 6) AS std_p,
+       round(avg(err) + 1e-12, 6) AS mean_err,
+       round(count(*) FILTER (WHERE p < 0.5) * 1.0 / count(*) + 1e-12, 6) AS share_below
 FROM scored GROUP BY 1""", "scored"))
 def checkpoint_profile(spark, sf_dir):
     """per group mean / std of score, mean error, share below the
     decision threshold (grouped by attack family here)."""
     s = views.scored(spark, sf_dir)
-    return _r(s.groupBy(attack_family("Attack").alias("grp")).agg(
+    g = s.groupBy(attack_family("Attack").alias("grp")).agg(
         F.avg("p").alias("mean_p"), F.stddev_pop("p").alias("std_p"), F.avg("err").alias("mean_err"),
-        (F.count(F.when(F.col("p") < 0.5, 1)) / F.count(F.lit(1))).alias("share_below")),
-        "mean_p", "std_p", "mean_err", "share_below")
+        (F.count(F.when(F.col("p") < 0.5, 1)) / F.count(F.lit(1))).alias("share_below"))
+    return _rt(_r(g, "std_p"), "mean_p", "mean_err", "share_below")
 
 
 @register("mean_error_ensemble", sql("""
-SELECT row_id, round(avg(e), 6) AS mean_err FROM (
+SELECT row_id, round(avg(e) + 1e-12, 6) AS mean_err FROM (
   SELECT row_id, err AS e FROM scored UNION ALL SELECT row_id, abs(p - yhat) AS e FROM scored) d GROUP BY row_id""",
                                      "scored"))
 def mean_error_ensemble(spark, sf_dir):
     """average error over several detectors (long table, avg by row)."""
     s = views.scored(spark, sf_dir)
     d = s.select("row_id", F.explode(F.array(F.col("err"), F.abs(F.col("p") - F.col("yhat")))).alias("e"))
-    return _r(d.groupBy("row_id").agg(F.avg("e").alias("mean_err")), "mean_err")
+    return _rt(d.groupBy("row_id").agg(F.avg("e").alias("mean_err")), "mean_err")

@@ -40,7 +40,7 @@ def fuse(spark, sf_dir):
 
 @register("fuse_rules_only", sql("""
 SELECT flow_id,
-  CASE WHEN rule_severity = 'high' THEN 1.0 ELSE 0.0 END AS p_attack,
+  CAST(CASE WHEN rule_severity = 'high' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS p_attack,
   CASE WHEN rule_id IS NOT NULL THEN 'rule' ELSE 'none' END AS stage,
   CASE WHEN rule_severity = 'high' THEN 'attack' WHEN rule_id IS NOT NULL THEN 'suspicious' ELSE 'benign' END AS verdict,
   CASE WHEN rule_id IS NOT NULL THEN 'rule-only' ELSE 'none' END AS final_source

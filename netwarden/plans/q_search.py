@@ -11,8 +11,18 @@ from netwarden.plans.oracle import sql
 from netwarden.plans.registry import register
 from netwarden.plans.store import event_store
 
-OUT = ["flow_id", "ts", "verdict", "stage", "src_ip", "dst_ip", "src_port", "dst_port", "PROTOCOL", "rule_name"]
-OUT_SQL = ", ".join(OUT)
+OUT_NAMES = ["flow_id", "ts", "verdict", "stage", "src_ip", "dst_ip", "src_port", "dst_port", "PROTOCOL", "rule_name"]
+# time leaves the engine as epoch seconds (the reference's representation);
+# it also keeps pandas dtypes identical across engines
+
+
+def out_cols():
+    """Output columns (built lazily: importing this module needs no Spark)."""
+    return [F.col(c) if c != "ts" else (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")
+            for c in OUT_NAMES]
+
+
+OUT_SQL = ", ".join(c if c != "ts" else "epoch_us(ts) / 1e6 AS ts" for c in OUT_NAMES)
 
 PROTO_SQL = ("CASE PROTOCOL WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 1 THEN 'icmp' "
              "ELSE coalesce(CAST(PROTOCOL AS VARCHAR), '') END")
@@ -59,7 +69,7 @@ CASES = [
 
 def _make(q):
     def build(spark, sf_dir):
-        return S.filter_events(event_store(spark, sf_dir), q=q).select(*OUT)
+        return S.filter_events(event_store(spark, sf_dir), q=q).select(*out_cols())
     build.__doc__ = f"D07: flows matching search {q!r}."
     return build
 
@@ -74,7 +84,7 @@ SELECT {OUT_SQL} FROM events_scored WHERE verdict IN ('suspicious', 'attack') OR
 def interesting_events(spark, sf_dir):
     """The side stream of suspicious / attack / rule-stage events."""
     ev = event_store(spark, sf_dir)
-    return ev.where(S.interesting()).select(*OUT)
+    return ev.where(S.interesting()).select(*out_cols())
 
 
 @register("filter_time", sql(f"""
@@ -83,20 +93,20 @@ WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-05 12:0
 def filter_time(spark, sf_dir):
     """Both bounds inclusive."""
     ev = event_store(spark, sf_dir)
-    return S.filter_events(ev, since="2024-01-03 00:00:00", until="2024-01-05 12:00:00").select(*OUT)
+    return S.filter_events(ev, since="2024-01-03 00:00:00", until="2024-01-05 12:00:00").select(*out_cols())
 
 
 @register("filter_verdict", sql(f"SELECT {OUT_SQL} FROM events_scored WHERE verdict = 'suspicious'",
                                 "events_scored"))
 def filter_verdict(spark, sf_dir):
     """Equality on one of the three verdicts."""
-    return S.filter_events(event_store(spark, sf_dir), verdict="suspicious").select(*OUT)
+    return S.filter_events(event_store(spark, sf_dir), verdict="suspicious").select(*out_cols())
 
 
 @register("filter_verdict_ignored", sql(f"SELECT {OUT_SQL} FROM events_scored", "events_scored"))
 def filter_verdict_ignored(spark, sf_dir):
     """An unknown verdict value is ignored (no filter)."""
-    return S.filter_events(event_store(spark, sf_dir), verdict="unknown").select(*OUT)
+    return S.filter_events(event_store(spark, sf_dir), verdict="unknown").select(*out_cols())
 
 
 @register("filter_ip_contains", sql(f"""
@@ -104,7 +114,7 @@ SELECT {OUT_SQL} FROM events_scored WHERE contains(src_ip, '10.0.3') AND contain
                                     "events_scored"))
 def filter_ip_contains(spark, sf_dir):
     """Substring on src and dst ip."""
-    return S.filter_events(event_store(spark, sf_dir), src_ip=" 10.0.3 ", dst_ip=".0.5").select(*OUT)
+    return S.filter_events(event_store(spark, sf_dir), src_ip=" 10.0.3 ", dst_ip=".0.5").select(*out_cols())
 
 
 @register("relative_range", sql(f"""
@@ -112,14 +122,14 @@ SELECT {OUT_SQL} FROM events_scored WHERE ts >= TIMESTAMP '2024-01-10 12:00:00'
                                 "events_scored"))
 def relative_range(spark, sf_dir):
     """The 24h range relative to a fixed reference time."""
-    return S.relative_range(event_store(spark, sf_dir), "24h", "2024-01-10 12:00:00").select(*OUT)
+    return S.relative_range(event_store(spark, sf_dir), "24h", "2024-01-10 12:00:00").select(*out_cols())
 
 
 @register("filter_source_tab", sql(f"""
 SELECT {OUT_SQL} FROM events_scored WHERE rule_name IS NOT NULL AND p_attack IS NOT NULL""", "events_scored"))
 def filter_source_tab(spark, sf_dir):
     """The 'both' tab (rule and model present)."""
-    return S.filter_source_tab(event_store(spark, sf_dir), "both").select(*OUT)
+    return S.filter_source_tab(event_store(spark, sf_dir), "both").select(*out_cols())
 
 
 @register("newest_events", sql(f"""
@@ -129,11 +139,11 @@ ORDER BY seq DESC LIMIT 200""", "events_scored"))
 def newest_events(spark, sf_dir):
     """The event API -- interesting events matching a search, newest 200."""
     ev = event_store(spark, sf_dir)
-    return newest_n(S.filter_events(ev.where(S.interesting()), q="udp"), 200).select(*OUT)
+    return newest_n(S.filter_events(ev.where(S.interesting()), q="udp"), 200).select(*out_cols())
 
 
 @register("retain_latest", sql(f"SELECT {OUT_SQL} FROM events_scored ORDER BY seq DESC LIMIT 5000",
                                "events_scored"))
 def retain_latest(spark, sf_dir):
     """Bounded retention of the newest 5,000 rows."""
-    return newest_n(event_store(spark, sf_dir), 5000).select(*OUT)
+    return newest_n(event_store(spark, sf_dir), 5000).select(*out_cols())

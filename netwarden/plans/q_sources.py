@@ -21,11 +21,14 @@ PAYLOAD_FEATURES = ["IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", "FLOW_DURATI
 PAYLOAD_ITEMS = 200
 
 
-@register("scan_parquet", sql("SELECT event_id, ts, event_type, value FROM events WHERE value > 10.0"))
+@register("scan_parquet", sql(
+    "SELECT event_id, epoch_us(ts) AS ts_us, event_type, value FROM events WHERE value > 10.0"))
 def scan_parquet(spark, sf_dir):
-    """Parquet scan with projection and a pushed-down filter."""
+    """Parquet scan with projection and a pushed-down filter (time as
+    epoch microseconds)."""
     return read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value") \
-        .where(F.col("value") > 10.0)
+        .where(F.col("value") > 10.0) \
+        .select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_type", "value")
 
 
 @register("scan_projected", sql(f"SELECT {', '.join(FLOW_COLS_PRESENT)}, Label, Attack FROM flows", "flows"))
@@ -65,14 +68,14 @@ FROM flows)"""
 
 
 def _capture_flow_sql():
-    z = lambda c: f"coalesce(CAST({c} AS DOUBLE), 0.0)"
+    z = lambda c: f"coalesce(CAST({c} AS DOUBLE), CAST(0.0 AS DOUBLE))"
     dur = z("bidirectional_duration_ms")
     durs = f"greatest(0.000001, {dur} / 1000.0)"
     m = {"PROTOCOL": f"CAST({z('protocol')} AS INT)", "IN_PKTS": z("src2dst_packets"),
          "OUT_PKTS": z("dst2src_packets"), "IN_BYTES": z("src2dst_bytes"), "OUT_BYTES": z("dst2src_bytes"),
          "FLOW_DURATION_MILLISECONDS": dur, "SRC_TO_DST_AVG_THROUGHPUT": f"{z('src2dst_bytes')} / {durs}",
          "DST_TO_SRC_AVG_THROUGHPUT": f"{z('dst2src_bytes')} / {durs}"}
-    cols = ", ".join(f"{m.get(f, '0.0')} AS {f}" for f in NETFLOW_FEATURES)
+    cols = ", ".join(f"{m.get(f, 'CAST(0.0 AS DOUBLE)')} AS {f}" for f in NETFLOW_FEATURES)
     ts = "coalesce(bidirectional_last_seen_ms / 1000.0, bidirectional_first_seen_ms / 1000.0, NULL)"
     return sql("WITH " + CAPTURE_SQL + f"\nSELECT flow_id, {cols}, {ts} AS ts FROM cap", "flows")
 

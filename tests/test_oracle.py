@@ -19,6 +19,8 @@ def test_query_matches_oracle(spark, duck, name):
     exp = con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert len(got) == len(exp)
+    if len(got):
+        assert {c: str(got[c].dtype) for c in got.columns} == {c: str(exp[c].dtype) for c in got.columns}
     assert digest(got) == digest(exp) or frames_match(got, exp)
 
 
@@ -32,3 +34,15 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) >= 0
     assert df.columns == ["minute", "benign", "suspicious", "attack"]
+
+
+def test_oracle_sql_needs_no_spark():
+    """The driver may read oracle_sql() in a DuckDB-only process."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "o = E.oracle_sql(); q = E.queries(); assert len(o) > 100 and set(o) <= set(q); print(len(o))" % root)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]

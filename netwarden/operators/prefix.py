@@ -60,18 +60,37 @@ def hash_bucket(hex_key: Column, n: int) -> Column:
     return F.floor(F.conv(F.substring(hex_key, 1, 7), 16, 10).cast("double") * n / float(16 ** 7)).cast("int")
 
 
+MAX_LITERAL_BOUNDS = 256
+MAX_SAMPLED_BOUNDS = 1024
+
+
 def quantile_bucket(df: DataFrame, value: Column, n: int) -> Column:
-    """Monotone bucket of a numeric expression from ``n - 1`` approximate
-    quantile bounds (one Greenwald-Khanna sketch job, bounded memory)."""
+    """Monotone bucket in ``[0, n)`` of a numeric expression.
+
+    At most 256 approximate quantile edges (one Greenwald-Khanna sketch job,
+    bounded memory) give coarse buckets found by a binary search; each coarse
+    interval is cut into ``ceil(n / 256)`` equal-width sub-buckets, so the
+    bucket count follows the cluster's shuffle width (tens of thousands at
+    100 TB) while the expression stays small."""
     if n <= 1:
         return F.lit(0)
-    probs = [i / n for i in range(1, n)]
-    bounds = df.select(value.cast("double").alias("_q")).approxQuantile("_q", probs, QUANTILE_REL_ERR)
-    uniq = []
-    for x in bounds:
-        if not uniq or x != uniq[-1]:
-            uniq.append(x)
-    return _search(value.cast("double"), [F.lit(float(x)) for x in uniq])
+    m = min(n, MAX_LITERAL_BOUNDS)
+    probs = [i / m for i in range(0, m + 1)]
+    edges = df.select(value.cast("double").alias("_q")).approxQuantile("_q", probs, QUANTILE_REL_ERR)
+    if not edges:
+        return F.lit(0)
+    v = value.cast("double")
+    inner = edges[1:-1]
+    coarse = _search(v, [F.lit(float(x)) for x in inner])  # index into [edges[i], edges[i+1])
+    k = -(-n // m)
+    if k == 1:
+        return coarse
+    lo = F.get(F.array(*[F.lit(float(x)) for x in edges[:-1]]), coarse)
+    hi = F.get(F.array(*[F.lit(float(x)) for x in edges[1:]]), coarse)
+    width = hi - lo
+    fine = F.when(width > 0, F.least(F.greatest(F.floor((v - lo) / width * k), F.lit(0)), F.lit(k - 1))) \
+            .otherwise(F.lit(0))
+    return (coarse * F.lit(k) + fine).cast("int")
 
 
 def sampled_bucket(df: DataFrame, key: Column, n: int) -> Column:
@@ -83,6 +102,7 @@ def sampled_bucket(df: DataFrame, key: Column, n: int) -> Column:
     total = keyed.count()
     if total == 0:
         return F.lit(0)
+    n = min(n, MAX_SAMPLED_BOUNDS)
     want, modulus = n * SAMPLE_PER_BUCKET, 1 << 30
     cut = modulus if want >= total else max(1, int(modulus * want / total))
     sample = keyed.where(F.pmod(F.xxhash64("_k"), F.lit(modulus)) < cut).orderBy("_k").collect()

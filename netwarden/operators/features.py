@@ -146,3 +146,40 @@ def preprocess_apply(df: DataFrame, st: VectorStats, positions: Sequence[int], f
     raw = select_positions(minmax_transform(F.col(features), st), positions)
     return df.withColumn(out, F.when(n == st.d, raw).when(n == len(positions), F.col(features)).otherwise(
         F.raise_error(F.concat(F.lit("feature width not accepted: "), n.cast("string")))))
+
+
+def export_float32(col: Column) -> Column:
+    """Cast feature values to float only on export (computation stays double)."""
+    return F.transform(col, lambda x: x.cast("float"))
+
+
+def save_params(spark, params: dict, path: str) -> None:
+    """Small fitted parameters (scaler statistics, vocabularies, column
+    lists, thresholds, ensemble config) as ONE row of Parquet; numbers and
+    strings are columns, lists and dicts are stored as JSON text."""
+    import json
+    row = {k: (json.dumps(v) if not isinstance(v, (int, float, str)) else v) for k, v in params.items()}
+    cols = sorted(row)
+    spark.createDataFrame([tuple(row[c] for c in cols)], cols).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_params(spark, path: str) -> dict:
+    import json
+    r = spark.read.parquet(path).first().asDict()
+    out = {}
+    for k, v in r.items():
+        if isinstance(v, str) and v[:1] in "[{":
+            try:
+                v = json.loads(v)
+            except ValueError:
+                pass
+        out[k] = v
+    return out
+
+
+def feature_error_rank(df: DataFrame, recon: Column, k: int = 10, features: str = "features") -> DataFrame:
+    """mean squared error per feature position between rows and their
+    reconstruction, the k worst positions (ties by position)."""
+    sq = F.zip_with(F.col(features), recon, lambda a, b: (a - b) * (a - b))
+    per = df.select(F.posexplode(sq).alias("pos", "e")).groupBy("pos").agg(F.avg("e").alias("mse"))
+    return per.orderBy(F.col("mse").desc(), "pos").limit(k)

@@ -175,3 +175,18 @@ def preprocess_apply(spark, sf_dir):
     keep = FT.select_k_best(scaled.where(F.col("split") == "train"), 10)
     out = FT.preprocess_apply(v, st, keep)
     return _long(out.select("row_id", "features"), "features")
+
+
+@register("feature_error_rank", vsql("""
+s AS (SELECT pos, avg(v) AS mu FROM e WHERE split = 'train' AND y = 0 GROUP BY pos),
+m AS (SELECT e.pos, avg((e.v - s.mu) * (e.v - s.mu)) AS mse FROM e JOIN s ON e.pos = s.pos
+      WHERE e.split = 'test' GROUP BY e.pos)
+SELECT pos, round(mse + 1e-12, 6) AS mse FROM m ORDER BY mse DESC, pos LIMIT 10"""))
+def feature_error_rank(spark, sf_dir):
+    """per-feature mean squared reconstruction error of the test rows
+    against the benign-train mean reconstruction (a rank-0 basis), top 10."""
+    v = views.vectors(spark, sf_dir)
+    st = FT.fit_stats(v.where((F.col("split") == "train") & (F.col("y") == 0)))
+    mu = F.array(*[F.lit(float(x)) for x in st.means])
+    out = FT.feature_error_rank(v.where(F.col("split") == "test"), F.transform("features", lambda x, i: F.get(mu, i)))
+    return out.select("pos", F.round(F.col("mse") + F.lit(1e-12), R).alias("mse"))

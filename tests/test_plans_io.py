@@ -88,3 +88,18 @@ def test_pipeline_reuse_or_fit(spark):
     m1 = reuse_or_fit(d, pipe, v)
     m2 = reuse_or_fit(d, pipe, v)
     assert m1.transform(v).select("prediction").collect() == m2.transform(v).select("prediction").collect()
+
+
+def test_params_round_trip_and_helpers(spark):
+    from netwarden.functions import clean as C
+    from netwarden.operators import features as FT
+    d = tempfile.mkdtemp() + "/params"
+    FT.save_params(spark, {"means": [0.5, 1.25], "vocab": ["tcp", "udp"], "tau_high": 0.95, "name": "m1"}, d)
+    p = FT.load_params(spark, d)
+    assert p == {"means": [0.5, 1.25], "vocab": ["tcp", "udp"], "tau_high": 0.95, "name": "m1"}
+    a = spark.createDataFrame([(1, 2.0, "x", 3)], "a int, b double, c string, Class int")
+    b = spark.createDataFrame([(2.0, 1, "y")], "b double, a int, c string")
+    assert C.common_numeric_columns(a, b) == ["a", "b"]
+    assert C.find_label_column(a) == "Class"
+    f = spark.createDataFrame([([1.5, 2.25],)], "f array<double>").select(FT.export_float32(F.col("f")).alias("g"))
+    assert f.schema["g"].dataType.elementType.simpleString() == "float"

@@ -15,7 +15,7 @@ SELECT flow_id, coalesce(rule_id, 0) AS rule_id, rule_name AS name, rule_severit
 FROM fl_hits""", "fl_hits"))
 def rule_hits(spark, sf_dir):
     """First matching rule per flow (nulls when none)."""
-    hits = match_rules(views.flows(spark, sf_dir))
+    hits = views.flow_hits(spark, sf_dir)
     return hits.select("flow_id", F.coalesce("rule_id", F.lit(0)).alias("rule_id"), F.col("rule_name").alias("name"),
                        F.col("rule_severity").alias("severity"), F.col("rule_score").alias("score"))
 
@@ -24,7 +24,7 @@ def rule_hits(spark, sf_dir):
 SELECT coalesce(rule_id, 0) AS rule_id, count(*) AS n FROM fl_hits GROUP BY 1""", "fl_hits"))
 def rule_hit_counts(spark, sf_dir):
     """First-match counts per rule (0 = no rule)."""
-    hits = match_rules(views.flows(spark, sf_dir))
+    hits = views.flow_hits(spark, sf_dir)
     return hits.groupBy(F.coalesce("rule_id", F.lit(0)).alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -47,5 +47,5 @@ SELECT flow_id,
 FROM fl_hits""", "fl_hits"))
 def fuse_rules_only(spark, sf_dir):
     """C11 without a model: suspicious on any rule, attack on a high rule."""
-    ev = fuse_verdict(match_rules(views.flows(spark, sf_dir)), model_pred=None)
+    ev = fuse_verdict(views.flow_hits(spark, sf_dir), model_pred=None)
     return ev.select("flow_id", "p_attack", "stage", "verdict", "final_source")

@@ -101,6 +101,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@memoized("flow_hits")
+def flow_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flows + first matching rule."""
+    from netwarden.operators.rules import match_rules
+    return match_rules(flows(spark, sf_dir))
+
+
 @memoized("scored")
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored-table contract ``(row_id, y, p, yhat, err, p2)``."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netwarden.operators.rules import fuse_verdict, match_rules
+from netwarden.operators.rules import fuse_verdict
 from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.registry import register

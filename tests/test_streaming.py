@@ -160,3 +160,19 @@ def test_threshold_reload_and_late_side_table(spark, drop_dir):
     q.awaitTermination(300)
     late = spark.read.parquet(f"{late_dir}/late")
     assert late.count() == fl.where(F.col("ts") < "2024-01-01 06:00:00").count()
+
+
+def test_sliding_windows_equal_batch(spark, drop_dir):
+    d, schema = drop_dir
+    scored = S.score_stream(S.flow_stream(spark, f"{d}/in", schema, 3), LOW, HIGH)
+    _run(S.sliding_counts(scored, "15 minutes", "5 minutes"), "complete", tempfile.mkdtemp(), "nw_sliding")
+    got = spark.table("nw_sliding").toPandas()
+    ev = views.events_scored(spark, SF_SMALL).select(F.col("ts").cast("timestamp").alias("ts"), "verdict")
+    exp = ev.groupBy(F.window("ts", "15 minutes", "5 minutes").alias("w")).agg(
+        F.count(F.when(F.col("verdict") == "attack", 1)).alias("attack")).toPandas()
+    assert len(got) == len(exp)
+    assert int(got["attack"].sum()) == int(exp["attack"].sum())
+    # every event falls in exactly three 15-minute windows sliding by 5 minutes
+    assert int(got[["benign", "suspicious", "attack"]].to_numpy().sum()) == 3 * ev.count()
+    assert S.trigger_options(available_now=True) == {"availableNow": True}
+    assert S.trigger_options(seconds=2) == {"processingTime": "2 seconds"}

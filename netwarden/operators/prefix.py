@@ -30,6 +30,9 @@ from pyspark.sql.window import Window
 
 _B = "_nw_bucket"
 SAMPLE_PER_BUCKET = 64
+# bucket count = min(shuffle partitions, rows / MIN_ROWS_PER_BUCKET): every
+# bucket task stays bounded, and small inputs do not pay for empty buckets
+MIN_ROWS_PER_BUCKET = 50000
 QUANTILE_REL_ERR = 0.0005
 
 
@@ -137,8 +140,9 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
 
     ``order_by`` should be unique within a group (pre-aggregate ties first, or
     end it with the row key) so that the running sum is deterministic.
-    ``bucket`` may be given when a monotone bucket is known (e.g.
-    :func:`hash_bucket`); otherwise it is derived from the data.
+    ``bucket`` may be given when a monotone bucket is known -- a Column, or a
+    function of the bucket count (e.g. ``lambda n: hash_bucket(h, n)``);
+    otherwise it is derived from the data.
 
     The input is read by up to three branches (bucket bounds, bucket-local
     sums, bucket totals).  With ``materialize`` it is checkpointed once into
@@ -150,6 +154,11 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
         df = df.checkpoint(eager=True)
     order_cols = _as_cols(order_by)
     n = _num_buckets(df, num_partitions)
+    if num_partitions is None and materialize:
+        rows = df.count()  # reads the checkpoint, not the source
+        n = max(1, min(n, -(-rows // MIN_ROWS_PER_BUCKET)))
+    if callable(bucket):
+        bucket = bucket(n)
     if bucket is None:
         bucket = auto_bucket(df, order_cols, n)
         if descending:
@@ -183,7 +192,7 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
 
 
 def rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence, rank_col: str = "rank",
-                num_partitions: int | None = None, bucket: Column | None = None) -> DataFrame:
+                num_partitions: int | None = None, bucket=None) -> DataFrame:
     """1-based ``row_number`` per group without a per-group single task.
 
     ``order_by`` must be unique within a group (end it with the row key).
@@ -195,7 +204,7 @@ def rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence, rank
 
 
 def global_position(df: DataFrame, order_by: Sequence, pos_col: str = "pos",
-                    num_partitions: int | None = None, bucket: Column | None = None) -> DataFrame:
+                    num_partitions: int | None = None, bucket=None) -> DataFrame:
     """0-based global position in ``order_by`` order (unique keys)."""
     return rank_within(df, [], order_by, "_nw_rank", num_partitions, bucket) \
         .withColumn(pos_col, F.col("_nw_rank") - 1).drop("_nw_rank")

@@ -32,9 +32,8 @@ def seeded_shuffle(df: DataFrame, seed: int = 42, row_id: str = "row_id", out: s
 def hash_rank(df: DataFrame, strata: Sequence[str], seed: int = 42, row_id: str = "row_id",
               rank_col: str = "hrank") -> DataFrame:
     """1-based rank of each row inside its stratum by seeded hash (ties by row_id)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = hash_key(seed, row_id)
-    return rank_within(df, list(strata), [h, F.col(row_id)], rank_col, bucket=hash_bucket(h, n))
+    return rank_within(df, list(strata), [h, F.col(row_id)], rank_col, bucket=lambda n: hash_bucket(h, n))
 
 
 def class_counts_table(df: DataFrame, strata: Sequence[str]) -> DataFrame:

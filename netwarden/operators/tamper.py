@@ -36,10 +36,6 @@ def _hash(seed: Column, row_id: str) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit("|"), F.col(row_id).cast("string")))
 
 
-def _n(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def poison_labels(df: DataFrame, rate: float, seed: int | None = None, y: str = "y", row_id: str = "row_id",
                   out: str = "y_poisoned") -> DataFrame:
     """Flip ``int(n_mal * rate)`` malicious labels to benign (smallest
@@ -63,7 +59,7 @@ def poison_scenarios(df: DataFrame, rates: Sequence[float] = tuple(POISON_RATES)
     h = _hash(F.col("seed"), row_id)
     mal = x.where(F.col(y) == 1)
     ranked = rank_within(mal.withColumn("_h", h), ["rate"], [F.col("_h"), F.col(row_id)], "_r",
-                         bucket=hash_bucket(F.col("_h"), _n(df))).select("rate", row_id, "_r")
+                         bucket=lambda n: hash_bucket(F.col("_h"), n)).select("rate", row_id, "_r")
     n_mal = df.where(F.col(y) == 1).count()  # one number: the class size
     flips = ranked.where(F.col("_r") <= F.floor(F.lit(n_mal) * F.col("rate"))).select("rate", row_id,
                                                                                         F.lit(1).alias("_flip"))
@@ -133,7 +129,7 @@ def backdoor_train_set(df: DataFrame, rate_pct: float, positions: Sequence[int],
     k = int(n_src * rate_pct / 100.0)
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
     cand = df.where(F.col(y) == src).select(row_id).withColumn("_h", h)
-    chosen = rank_within(cand, [], [F.col("_h"), F.col(row_id)], "_r", bucket=hash_bucket(F.col("_h"), _n(df))) \
+    chosen = rank_within(cand, [], [F.col("_h"), F.col(row_id)], "_r", bucket=lambda n: hash_bucket(F.col("_h"), n)) \
         .where(F.col("_r") <= k).select(row_id, F.lit(1).alias("backdoor"))
     j = df.join(chosen, row_id, "left").withColumn("backdoor", F.coalesce("backdoor", F.lit(0)))
     return j.withColumns({

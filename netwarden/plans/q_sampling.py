@@ -148,9 +148,8 @@ def seeded_shuffle(spark, sf_dir):
     """Seeded permutation positions (bucketed global rank, no single task)."""
     v = views.vectors(spark, sf_dir).select("row_id")
     h = SM.hash_key(42)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return global_position(v.withColumn("_h", h), [F.col("_h"), F.col("row_id")], "pos",
-                           bucket=hash_bucket(F.col("_h"), n)).select("row_id", "pos")
+                           bucket=lambda n: hash_bucket(F.col("_h"), n)).select("row_id", "pos")
 
 
 @register("micro_batches", sql("""

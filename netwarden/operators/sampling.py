@@ -44,9 +44,9 @@ def stratified_split(df: DataFrame, label: str = "y", test_fraction: float = 0.2
                      row_id: str = "row_id", out: str = "split") -> DataFrame:
     """Exactly ``floor(n_c * f)`` test rows per class ``c``."""
     ranked = hash_rank(df, [label], seed, row_id, "_hr")
-    # class sizes = the largest rank per class, read from the checkpointed
-    # ranked rows (no second scan of the source); one row per class
-    counts = ranked.groupBy(label).agg(F.max("_hr").alias("n_stratum"))
+    # class sizes: a column-pruned scan with map-side partial counts (only
+    # per-class partials shuffle), cheaper than re-running the rank window
+    counts = class_counts_table(df, [label])  # one row per class: bounded broadcast
     j = ranked.join(F.broadcast(counts), label)
     return j.withColumn(out, F.when(F.col("_hr") <= F.floor(F.col("n_stratum") * F.lit(float(test_fraction))),
                                     "test").otherwise("train")).drop("_hr", "n_stratum")

@@ -153,7 +153,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").alias("family"),
     )
     ranked = hash_rank(v, ["y"], 42, "row_id", "_r")
-    counts = ranked.groupBy("y").agg(F.max("_r").alias("_n"))  # class sizes, one row per class
+    counts = v.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))  # class sizes: partial counts, one row per class
     out = ranked.join(F.broadcast(counts), "y")
     return out.select(
         "row_id", "features", "y", "family",

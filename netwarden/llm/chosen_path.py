@@ -8,9 +8,12 @@ with probability ``1 - exp(-common / (similarity * larger))``.  A bucket with
 more than ``bucket`` members is split again on shingles sampled anew for that
 path (``branching`` times as many, so that deeper levels lose little), up to
 ``levels`` levels; what is still large is compared block against block, so
-no bucket is capped.  Small buckets are compared by brute force with exact
-shingle counts.  Runs repeat until a pair exactly at the threshold is found
-with probability ``recall``.
+no bucket is capped.  Small buckets are compared by brute force, in two steps:
+first on 2,048-bit parity maps of the sets, whose differing bits are a lower
+bound of the symmetric difference (pairs that exceed what the threshold
+allows are surely apart), then on the shingles of the members that are left,
+with exact counts.  Runs repeat until a pair exactly at the threshold is
+found with probability ``recall``.
 
 Every class knows all its final buckets; a pair that meets in several is
 counted in the smallest common one only, so links are counted exactly once
@@ -28,12 +31,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import materialise, prepare
+from netwarden.llm.common import materialise, prepare, small_side
 from netwarden.llm.graph import components
 from netwarden.llm.textops import buffers, mix, shingle_sets, words
 
@@ -43,6 +45,8 @@ RECALL = 0.9995
 BUCKET = 1024
 LEVELS = 3
 BRANCHING = 4.0
+PARITY_BITS = 2048
+PAIRWISE = 6  # buckets up to this size are compared pair by pair
 
 
 def runs_for(recall: float) -> int:
@@ -61,12 +65,18 @@ def _chosen(tokens: np.ndarray, path: np.ndarray, per_set: float) -> list[np.nda
     return [mix(rank[i][hit[i]] + p) for i, p in enumerate(path)]
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """One bit per slot: odd or even number of the set's tokens in it."""
+    return np.packbits(np.bincount((tokens & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _row_key(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, runs: int, similarity: float, n: int) -> DataFrame:
-    """(row_key, doc_id, set_key, size, keys): the set's digest, size and level-1 buckets."""
+    """(row_key, doc_id, set_key, size, parity, keys): the set's digest, size,
+    parity map and level-1 buckets."""
     prepare(docs.sparkSession)
     src = docs.select(_row_key(doc_id, text).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"),
                       F.col(text).alias("text"))
@@ -76,26 +86,30 @@ def signatures(docs: DataFrame, text: str, doc_id: str, runs: int, similarity: f
         for b in batches:
             data, offsets = buffers(b.column(2))
             _, _, h, bounds = words(data, offsets)
-            key, size, keys = [], [], []
+            key, size, par, keys = [], [], [], []
             for t in shingle_sets(h, bounds, n):
                 size.append(len(t))
                 if len(t) == 0:
                     key.append(b"")
+                    par.append(b"")
                     keys.append([])
                     continue
                 key.append(t.sum(dtype=np.uint64).tobytes() + mix(t ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes())
+                par.append(_parity(t))
                 keys.append(np.concatenate(_chosen(t, seeds, 1.0 / similarity)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(key, pa.binary()), pa.array(size, pa.int32()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["row_key", "doc_id", "set_key", "size", "keys"])
+                 pa.array(par, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row_key", "doc_id", "set_key", "size", "parity", "keys"])
 
-    return src.mapInArrow(run, "row_key long, doc_id long, set_key binary, size int, keys array<long>")
+    return src.mapInArrow(run, "row_key long, doc_id long, set_key binary, size int, parity binary, keys array<long>")
 
 
-def _token_table(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame, n: int) -> DataFrame:
+def _tokens_of(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame, n: int) -> DataFrame:
     """(row_key, tokens) of the wanted rows, written once."""
+    wanted = materialise(wanted, "wanted")
     src = (docs.select(_row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-           .join(wanted.select("row_key"), "row_key"))
+           .join(small_side(wanted), "row_key"))
 
     def run(batches):
         for b in batches:
@@ -104,7 +118,7 @@ def _token_table(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame, n:
             toks = [t.tobytes() for t in shingle_sets(h, bounds, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(toks, pa.binary())], names=["row_key", "tokens"])
 
-    return src.mapInArrow(run, "row_key long, tokens binary")
+    return materialise(src.mapInArrow(run, "row_key long, tokens binary").dropDuplicates(["row_key"]), "tokens")
 
 
 def _split(rows: DataFrame, tokens: DataFrame, per_set: float) -> DataFrame:
@@ -145,35 +159,73 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: i
     return out
 
 
-def compare_bucket(bucket: int, pair: tuple[int, int] | None, pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Brute force in one bucket (or between two of its blocks): per member the
-    links counted here and the smallest member it is tied to."""
-    pdf = pdf.drop_duplicates("row_key")
-    ids = pdf["row_key"].to_numpy(np.int64)
-    weight = pdf["weight"].to_numpy(np.int64)
-    sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
-    size = np.array([len(s) for s in sets], dtype=np.float64)
-    if pair is None or pair[0] == pair[1]:
-        left = right = np.arange(len(ids))
-    else:
-        block = pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
+def _sides(block: np.ndarray, b0: int, b1: int) -> tuple[np.ndarray, np.ndarray]:
+    if b0 == b1:
+        both = np.arange(len(block))
+        return both, both
+    return np.flatnonzero(block == b0), np.flatnonzero(block == b1)
+
+
+def _first_meeting(bucket: int, leaves: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether ``bucket`` is the smallest bucket that two members share."""
+    if len(left) <= PAIRWISE and len(right) <= PAIRWISE:
+        sets = [{k for k in ks if k < bucket} for ks in leaves]
+        return np.array([[sets[i].isdisjoint(sets[j]) for j in right] for i in left], dtype=bool).reshape(len(left), len(right))
+    earlier = [np.unique(np.array([k for k in ks if k < bucket], np.int64)).view(np.uint64) for ks in leaves]
+    return _common(earlier, left, right) == 0
+
+
+def plausible(bucket: int, b0: int, b1: int, ids, block, size, parity, leaves, similarity: float) -> np.ndarray:
+    """Members with a partner that the parity maps do not rule out and that
+    they meet here first; ``parity`` is (members, words) of uint64."""
+    left, right = _sides(block, b0, b1)
+    out = np.zeros(len(ids), dtype=bool)
+    if not len(left) or not len(right):
+        return out
+    total = size[left][:, None] + size[right][None, :]
+    near = ids[left][:, None] != ids[right][None, :]
+    # |x ^ y| = |x| + |y| - 2 common <= (1 - s) / (1 + s) * (|x| + |y|)
+    allowed = (1.0 - similarity) / (1.0 + similarity) * total + 1e-6
+    near &= np.abs(size[left][:, None] - size[right][None, :]) <= allowed
+    for i in range(0, len(left), 128):
+        apart = np.bitwise_count(parity[left[i:i + 128]][:, None, :] ^ parity[right][None, :, :]).sum(2, dtype=np.int64)
+        near[i:i + 128] &= apart <= allowed[i:i + 128]
+    if near.any():
+        near &= _first_meeting(bucket, leaves, left, right)
+        out[left[near.any(1)]] = True
+        out[right[near.any(0)]] = True
+    return out
+
+
+def compare_bucket(bucket: int, b0: int, b1: int, ids, block, weight, sets, leaves, similarity: float):
+    """Exact comparison of a bucket's members (or of two of its blocks): per
+    member the links counted here and the smallest member it is tied to."""
+    left, right = _sides(block, b0, b1)
+    count, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
     if not len(left) or not len(right):
-        return pd.DataFrame({"row_key": [], "links": [], "root": []})
-    common = _common(sets, left, right)
+        return count, root
+    size = np.array([len(t) for t in sets], dtype=np.float64)
+    if len(ids) <= PAIRWISE:
+        common = np.zeros((len(left), len(right)))
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                if x < y or left is not right:
+                    a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+                    common[i, j] = (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()
+        if left is right:
+            common += common.T
+    else:
+        common = _common(sets, left, right)
     # J >= s  <=>  common * (1 + s) >= s * (|x| + |y|); one part in 10^9 for the rounding of s
     linked = common * (1.0 + similarity) >= similarity * (size[left][:, None] + size[right][None, :]) * (1 - 1e-9)
     linked &= ids[left][:, None] != ids[right][None, :]
-    # a pair counts only in the smallest bucket both are in
-    earlier = [np.unique(np.array([k for k in ks if k < bucket], np.int64)).view(np.uint64) for ks in pdf["leaves"]]
-    first = _common(earlier, left, right) == 0 if linked.any() else linked
-    count = np.zeros(len(ids), dtype=np.int64)
-    once = linked & first
+    if not linked.any():
+        return count, root
+    once = linked & _first_meeting(bucket, leaves, left, right)
     np.add.at(count, left, once @ weight[right])
     if left is not right:
         np.add.at(count, right, once.T @ weight[left])
     # ties: smallest reachable member, by repeated neighbour minima
-    root = ids.copy()
     big = np.iinfo(np.int64).max
     while True:
         new = root.copy()
@@ -182,10 +234,71 @@ def compare_bucket(bucket: int, pair: tuple[int, int] | None, pdf: pd.DataFrame,
                 low = np.where(adj[i:i + 256], root[other][None, :], big).min(1)
                 np.minimum.at(new, at[i:i + 256], low)
         if (new == root).all():
-            break
+            return count, root
         root = new
-    out = pd.DataFrame({"row_key": ids, "links": count, "root": root})
-    return out[(out["links"] > 0) | (out["root"] != out["row_key"])]
+
+
+def _buckets(batches):
+    """Groups of rows with equal first three columns, from sorted batches; a
+    group may cross batches and is held whole (buckets are bounded)."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = np.stack([held.column(i).to_numpy() for i in range(3)], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        if len(cuts):
+            yield held.slice(0, int(cuts[-1])), np.concatenate([[0], cuts]), key
+            held = held.slice(int(cuts[-1])).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows]), np.stack([held.column(i).to_numpy() for i in range(3)], axis=1)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "b0", "b1").sortWithinPartitions("key", "b0", "b1", "row_key")
+
+
+def _sift(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, b0, b1, row_key): the members that need the exact comparison."""
+    def run(batches):
+        for t, cuts, key in _buckets(batches):
+            ids, block = t.column("row_key").to_numpy(), t.column("block").to_numpy()
+            size = t.column("size").to_numpy().astype(np.float64)
+            parity = np.frombuffer(b"".join(t.column("parity").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+            leaves = t.column("leaves").to_pylist()
+            keep = np.zeros(len(ids), dtype=bool)
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if z - a > 1:
+                    keep[a:z] = plausible(int(key[a, 0]), int(key[a, 1]), int(key[a, 2]), ids[a:z], block[a:z],
+                                          size[a:z], parity[a:z], leaves[a:z], similarity)
+            got = t.select(["key", "b0", "b1", "row_key", "block", "leaves"]).filter(pa.array(keep))
+            yield from got.combine_chunks().to_batches()
+
+    return _dealt(rows).mapInArrow(run, "key long, b0 int, b1 int, row_key long, block int, leaves array<long>")
+
+
+def _compare(rows: DataFrame, similarity: float) -> DataFrame:
+    """(row_key, links, root) of every bucket's members that have a link."""
+    def run(batches):
+        for t, cuts, key in _buckets(batches):
+            ids, block = t.column("row_key").to_numpy(), t.column("block").to_numpy()
+            weight = t.column("weight").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+            leaves = t.column("leaves").to_pylist()
+            out = []
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if z - a > 1:
+                    # a row that is in the table more than once stands once
+                    own = a + np.unique(ids[a:z], return_index=True)[1]
+                    n, root = compare_bucket(int(key[a, 0]), int(key[a, 1]), int(key[a, 2]), ids[own], block[own],
+                                             weight[own], [sets[i] for i in own], [leaves[i] for i in own], similarity)
+                    some = (n > 0) | (root != ids[own])
+                    out.append((ids[own][some], n[some], root[some]))
+            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row_key", "links", "root"])
+
+    return _dealt(rows).mapInArrow(run, "row_key long, links long, root long")
 
 
 def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY,
@@ -200,9 +313,10 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     sig = materialise(signatures(docs, text, doc_id, runs, similarity, n), "signatures")
     order_id = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))
     classes = sig.filter("size > 0").groupBy("set_key").agg(
-        F.min(order_id).alias("_rep"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"))
+        F.min(order_id).alias("_rep"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"),
+        F.max("parity").alias("parity"))
     classes = materialise(classes.select(
-        "set_key", F.col("_rep.k").alias("row_key"), F.col("_rep.d").alias("rep_id"), "weight", "size"), "classes")
+        "set_key", F.col("_rep.k").alias("row_key"), F.col("_rep.d").alias("rep_id"), "weight", "size", "parity"), "classes")
     # level 1: the representatives' buckets
     level = sig.filter("size > 0").select("row_key", "set_key", "keys").join(
         classes.select("row_key", "set_key"), ["row_key", "set_key"])
@@ -210,12 +324,13 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     counts = materialise(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     small = level.join(counts.filter(F.col("n") <= bucket).select("key"), "key").select("row_key", "key")
     large = level.join(counts.filter(F.col("n") > bucket).select("key"), "key").select("row_key", "key")
-    touched = materialise(small.union(large).select("row_key").distinct(), "touched")
-    tokens = materialise(_token_table(docs, text, doc_id, touched, n), "tokens")
     leaves = [small.withColumn("blocks", F.lit(1))]
+    tokens = None
     depth = 1
     while depth < levels and not large.isEmpty():
         depth += 1
+        if tokens is None:  # the shingles of the large buckets' members
+            tokens = _tokens_of(docs, text, doc_id, large.select("row_key").distinct(), n)
         level = materialise(_split(large, tokens, branching / similarity), "paths")
         counts = materialise(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
         leaves.append(level.join(counts.filter(F.col("n") <= bucket).select("key"), "key")
@@ -228,22 +343,21 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
     leaf = materialise(leaf, "leaves")
-    # every member with its set, its weight and all its buckets, once per bucket (and block pair)
+    # every member with its parity map and all its buckets, once per bucket (and block pair)
     own = (leaf.groupBy("row_key").agg(F.collect_list("key").alias("leaves"),
                                        F.collect_list(F.struct("key", "blocks")).alias("at"))
-           .join(classes.select("row_key", "weight"), "row_key").join(tokens, "row_key")
-           .select("row_key", "weight", "tokens", "leaves", F.explode("at").alias("at")))
+           .join(classes.select("row_key", "size", "parity"), "row_key")
+           .select("row_key", "size", "parity", "leaves", F.explode("at").alias("at")))
     b, k = F.pmod(F.xxhash64("row_key", F.lit(5)), F.col("at.blocks")).cast("int"), F.col("at.blocks")
-    sent = own.select("row_key", "weight", "tokens", "leaves", F.col("at.key").alias("key"), b.alias("block"),
-                      F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
-    sent = sent.select("row_key", "weight", "tokens", "leaves", "key", "block",
-                       F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare_bucket(int(key[0]), (int(key[1]), int(key[2])), pdf, similarity)
-
-    found = materialise(sent.groupBy("key", "b0", "b1").applyInPandas(
-        compare, "row_key long, links long, root long"), "found")
+    sent = own.select("*", F.col("at.key").alias("key"), b.alias("block"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
+    sent = sent.select("key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"),
+                       "row_key", "block", "size", "parity", "leaves")
+    left = materialise(_sift(sent, similarity), "sifted")
+    # the exact comparison of what is left
+    tokens = _tokens_of(docs, text, doc_id, left.select("row_key").distinct(), n)
+    last = left.join(classes.select("row_key", "weight"), "row_key").join(tokens, "row_key").select(
+        "key", "b0", "b1", "row_key", "block", "weight", "tokens", "leaves")
+    found = materialise(_compare(last, similarity), "found")
     links = found.groupBy("row_key").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("row_key").alias("u"), F.col("root").alias("v")), "groups")
     # the group's document: the smallest doc_id among its classes

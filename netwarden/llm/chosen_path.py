@@ -7,8 +7,9 @@ A run sends each class along the shingles whose shared random rank is below
 with probability ``1 - exp(-common / (similarity * larger))``.  A bucket with
 more than ``bucket`` members is split again on shingles sampled anew for that
 path (``branching`` times as many, so that deeper levels lose little), up to
-``levels`` levels; what is still large is compared block against block, so
-no bucket is capped.  Small buckets are compared by brute force, in two steps:
+``levels`` levels, unless its members are alike on average: splitting cannot
+part those.  What is still large is compared block against block, so no
+bucket is capped.  Small buckets are compared by brute force, in two steps:
 first on 2,048-bit parity maps of the sets, whose differing bits are a lower
 bound of the symmetric difference (pairs that exceed what the threshold
 allows are surely apart), then on the shingles of the members that are left,
@@ -31,6 +32,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,9 @@ from netwarden.llm.textops import buffers, mix, shingle_sets, words
 NGRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
-BUCKET = 1024
+BUCKET = 8192
+BLOCK = 1024  # members of a bucket on one side of a comparison
+ALIKE = 3.0  # times the difference that the threshold allows
 LEVELS = 3
 BRANCHING = 4.0
 PARITY_BITS = 2048
@@ -106,7 +110,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, runs: int, similarity: f
 
 
 def _tokens_of(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame, n: int) -> DataFrame:
-    """(row_key, tokens) of the wanted rows, written once."""
+    """(row_key, tokens) of the wanted rows, dealt by row_key."""
     wanted = materialise(wanted, "wanted")
     src = (docs.select(_row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
            .join(small_side(wanted), "row_key"))
@@ -118,7 +122,48 @@ def _tokens_of(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame, n: in
             toks = [t.tobytes() for t in shingle_sets(h, bounds, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(toks, pa.binary())], names=["row_key", "tokens"])
 
-    return materialise(src.mapInArrow(run, "row_key long, tokens binary").dropDuplicates(["row_key"]), "tokens")
+    return src.mapInArrow(run, "row_key long, tokens binary").dropDuplicates(["row_key"])
+
+
+def _alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key) of the large buckets whose members differ little on average: the
+    mean Hamming distance of their parity maps, from per-bit counts, is within
+    ``ALIKE`` times what the threshold allows sets of their mean size."""
+    schema = "key long, n long, size long, bits binary"
+
+    def partial(batches):
+        seen: dict = {}
+        for b in batches:
+            key, size = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(key), -1), axis=1)
+            for k in np.unique(key):
+                on = key == k
+                n, m, c = seen.get(k, (0, 0, 0))
+                seen[k] = (n + int(on.sum()), m + int(size[on].sum()), c + bits[on].sum(0, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(k) for k in seen], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()),
+             pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[2].tobytes() for v in seen.values()], pa.binary())],
+            names=["key", "n", "size", "bits"])
+
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, m = int(pdf["n"].sum()), float(pdf["size"].sum())
+        p = sum(np.frombuffer(x, np.int64) for x in pdf["bits"]) / n
+        allowed = (1.0 - similarity) / (1.0 + similarity) * 2.0 * m / n
+        return pdf[["key"]].head(1 if (2 * p * (1 - p)).sum() <= ALIKE * allowed else 0)
+
+    return rows.mapInArrow(partial, schema).groupBy("key").applyInPandas(total, "key long")
+
+
+def _sorted_out(level: DataFrame, counts: DataFrame, classes: DataFrame, bucket: int, block: int, similarity: float):
+    """(row_key, key, blocks) of the buckets to compare now, and of those to split."""
+    rows = level.join(counts, "key").select("row_key", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "n")
+    now = rows.filter(F.col("n") <= bucket).drop("n")
+    large = rows.filter(F.col("n") > bucket).drop("n")
+    if large.isEmpty():
+        return now, large
+    alike = materialise(_alike(large.join(classes, "row_key").select("key", "size", "parity"), similarity), "alike")
+    return (now.unionByName(large.join(alike, "key").select("row_key", "key", "blocks")),
+            large.join(alike, "key", "left_anti").select("row_key", "key", "blocks"))
 
 
 def _split(rows: DataFrame, tokens: DataFrame, per_set: float) -> DataFrame:
@@ -302,8 +347,8 @@ def _compare(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY,
-                       recall: float = RECALL, n: int = NGRAM, bucket: int = BUCKET, levels: int = LEVELS,
-                       branching: float = BRANCHING) -> DataFrame:
+                       recall: float = RECALL, n: int = NGRAM, bucket: int = BUCKET, block: int = BLOCK,
+                       levels: int = LEVELS, branching: float = BRANCHING) -> DataFrame:
     """One row per input row: ``row_key`` (digest of doc_id and text), doc_id,
     ``rep_id`` (smallest doc_id with the same shingle set), ``group_id``
     (smallest doc_id connected by links), ``keep`` (this row's key is the one
@@ -311,34 +356,27 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     least ``similarity``)."""
     runs = runs_for(recall)
     sig = materialise(signatures(docs, text, doc_id, runs, similarity, n), "signatures")
-    order_id = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))
-    classes = sig.filter("size > 0").groupBy("set_key").agg(
-        F.min(order_id).alias("_rep"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"),
-        F.max("parity").alias("parity"))
-    classes = materialise(classes.select(
-        "set_key", F.col("_rep.k").alias("row_key"), F.col("_rep.d").alias("rep_id"), "weight", "size", "parity"), "classes")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"),
+                         "size", "parity", "keys"))
+    classes = sig.filter("size > 0").groupBy("set_key").agg(rep.alias("_rep"), F.count(F.lit(1)).alias("weight"))
+    classes = materialise(classes.select("set_key", F.col("_rep.k").alias("row_key"), F.col("_rep.d").alias("rep_id"),
+                                         "weight", "_rep.size", "_rep.parity", "_rep.keys"), "classes")
     # level 1: the representatives' buckets
-    level = sig.filter("size > 0").select("row_key", "set_key", "keys").join(
-        classes.select("row_key", "set_key"), ["row_key", "set_key"])
-    level = materialise(level.select("row_key", F.explode("keys").alias("key")).distinct(), "paths")
+    level = classes.select("row_key", F.explode("keys").alias("key")).distinct()
+    level = materialise(level, "paths")
     counts = materialise(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-    small = level.join(counts.filter(F.col("n") <= bucket).select("key"), "key").select("row_key", "key")
-    large = level.join(counts.filter(F.col("n") > bucket).select("key"), "key").select("row_key", "key")
-    leaves = [small.withColumn("blocks", F.lit(1))]
-    tokens = None
-    depth = 1
+    small, large = _sorted_out(level, counts, classes, bucket, block, similarity)
+    leaves, tokens, depth = [small], None, 1
     while depth < levels and not large.isEmpty():
         depth += 1
         if tokens is None:  # the shingles of the large buckets' members
-            tokens = _tokens_of(docs, text, doc_id, large.select("row_key").distinct(), n)
+            tokens = materialise(_tokens_of(docs, text, doc_id, large.select("row_key").distinct(), n), "tokens")
         level = materialise(_split(large, tokens, branching / similarity), "paths")
         counts = materialise(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-        leaves.append(level.join(counts.filter(F.col("n") <= bucket).select("key"), "key")
-                      .select("row_key", "key", F.lit(1).alias("blocks")))
-        large = level.join(counts.filter(F.col("n") > bucket).select("key"), "key").select("row_key", "key")
+        small, large = _sorted_out(level, counts, classes, bucket, block, similarity)
+        leaves.append(small)
     # what the deepest level left large is compared block against block
-    leaves.append(level.join(counts.filter(F.col("n") > bucket), "key").select(
-        "row_key", "key", F.ceil(F.col("n") / bucket).cast("int").alias("blocks")))
+    leaves.append(large)
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)

@@ -90,11 +90,12 @@ def _brute(rows, s=0.8):
     return sorted(((rows[i][0], min(low[find(i)], key=key), links[i]) for i in range(n)), key=str)
 
 
-@pytest.mark.parametrize("bucket,levels", [(1024, 3), (4, 3), (3, 1)])
-def test_classes_equal_brute_force(spark, bucket, levels):
+@pytest.mark.parametrize("bucket,block,levels", [(8192, 1024, 3), (2, 3, 3), (3, 2, 1)])
+def test_classes_equal_brute_force(spark, monkeypatch, bucket, block, levels):
+    monkeypatch.setattr(chosen_path, "ALIKE", 0.0 if levels == 3 else 3.0)
     rows = list(enumerate(_texts()))
     df = spark.createDataFrame(rows, DOC).withColumnRenamed("text", "text")
-    out = chosen_path.similarity_classes(df, bucket=bucket, levels=levels, recall=1 - 1e-9).collect()
+    out = chosen_path.similarity_classes(df, bucket=bucket, block=block, levels=levels, recall=1 - 1e-9).collect()
     assert sorted(((r.doc_id, r.group_id, r.n_links) for r in out), key=str) == _brute(rows)
 
 

@@ -338,12 +338,3 @@ def align_record(df: DataFrame, features: Sequence[str], out_missing: str = "n_m
 def rule_name(rule_info: Column) -> Column:
     """``rule_info.rule or rule_info.name`` else ''."""
     return F.coalesce(rule_info, F.lit(""))
-
-
-def search_blob(verdict, stage, family, proto, src_ip, src_port, dst_ip, dst_port, rule, severity) -> Column:
-    """Lower-cased text the free-text search falls back to."""
-    s = lambda c: F.coalesce(_c(c).cast("string"), F.lit(""))
-    return F.lower(F.concat(
-        s(verdict), F.lit(" "), s(stage), F.lit(" "), s(family), F.lit(" "), proto_name(_c(proto)), F.lit(" "),
-        s(src_ip), F.lit(":"), s(src_port), F.lit(" "), s(dst_ip), F.lit(":"), s(dst_port), F.lit(" "),
-        s(rule), F.lit(" "), s(severity)))

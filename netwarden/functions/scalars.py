@@ -12,8 +12,8 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Join a ONE-row aggregate (e.g. ``df.agg(max(x))``) onto every row.
 
     The aggregate side is a global aggregation, hence exactly one row, so
-    the broadcast is size-bounded; the join is an equi-join on a constant
-    key (broadcast hash join), never a pairwise product.
+    the broadcast is size-bounded.  Spark folds the constant key and plans a
+    broadcast nested-loop join, here with one row on the broadcast side.
     """
     return df.withColumn(_K, F.lit(1)).join(F.broadcast(one_row.withColumn(_K, F.lit(1))), _K).drop(_K)
 

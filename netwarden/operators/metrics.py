@@ -163,7 +163,7 @@ def roc_points(df: DataFrame, score: str = "p", y: str = "y", group_by: Sequence
     """ROC curve points (fpr, tpr) at every distinct threshold."""
     c = _desc_cum(df, score, y, group_by)
     tot = c.groupBy(*group_by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = c.join(F.broadcast(tot), list(group_by)) if group_by else _attach(c, tot)
+    j = c.join(tot, list(group_by)) if group_by else _attach(c, tot)
     return j.select(*group_by, F.col("s").alias("threshold"),
                     _div0(F.col("cum_neg"), F.col("_N")).alias("fpr"), _div0(F.col("cum_pos"), F.col("_P")).alias("tpr"))
 
@@ -187,7 +187,7 @@ def empirical_cdf(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> Da
     vc = df.where(F.col(value).isNotNull()).groupBy(*group_by, value).agg(F.count(F.lit(1)).alias("c"))
     cum = prefix_sums(vc, [F.col(value)], ["c"], group_by)
     tot = cum.groupBy(*group_by).agg(F.max("cum_c").alias("_n"))
-    j = cum.join(F.broadcast(tot), list(group_by)) if group_by else _attach(cum, tot)
+    j = cum.join(tot, list(group_by)) if group_by else _attach(cum, tot)
     return j.select(*group_by, value, (F.col("cum_c") / F.col("_n")).alias("cdf"))
 
 
@@ -217,7 +217,7 @@ def error_histogram(df: DataFrame, err: str = "err", group_by: Sequence[str] = (
     """equal-width bins over min..max (last bin closed), count and
     numpy-style density per group."""
     rng = df.groupBy(*group_by).agg(F.min(err).alias("_lo"), F.max(err).alias("_hi"), F.count(err).alias("_n"))
-    j = df.join(F.broadcast(rng), list(group_by)) if group_by else _attach(df, rng)
+    j = df.join(rng, list(group_by)) if group_by else _attach(df, rng)
     w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(w == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(err) - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,  # noqa: F401
+from pyspark.ml.classification import (LinearSVC, LogisticRegression,  # noqa: F401
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
@@ -112,15 +112,101 @@ def adaptive_threshold(df: DataFrame, err: str = "err", seed: int = 42) -> float
 
 # --- classifiers and ensembles (K01-K11) -------------------------------------------
 
-def base_estimators(seed: int = 42, label: str = "y", features: str = "fv") -> dict:
-    """The base models of the stacking presets."""
-    return {
-        "svm": LinearSVC(featuresCol=features, labelCol=label, maxIter=50, regParam=0.01),
-        "rf": RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=100, maxDepth=20,
-                                     minInstancesPerNode=5, seed=seed),
-        "lr": LogisticRegression(featuresCol=features, labelCol=label, maxIter=100),
-        "mlp": None,  # built per input width, see mlp()
-    }
+def svm(rows: int, c: float = 1.0, label: str = "y", features: str = "fv") -> LinearSVC:
+    """Linear SVM of cost ``c`` (Spark's penalty is ``1 / (c * rows)``)."""
+    return LinearSVC(featuresCol=features, labelCol=label, maxIter=50, regParam=1.0 / (c * max(rows, 1)))
+
+
+def random_forest(seed: int = 42, label: str = "y", features: str = "fv") -> RandomForestClassifier:
+    """K03."""
+    return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=100, maxDepth=20,
+                                  minInstancesPerNode=5, seed=seed)
+
+
+def _with_probability(df: DataFrame, p: Column) -> DataFrame:
+    return df.withColumn("probability", array_to_vector(F.array(1.0 - p, p)))
+
+
+@dataclass
+class CalibratedSvmModel:
+    """Per fold an SVM and the sigmoid fitted on the rows it has not
+    seen; the probability is the mean over the folds."""
+    folds: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        p = F.lit(0.0)
+        out = df
+        for i, (machine, slope, shift) in enumerate(self.folds):
+            raw = machine.transform(out)
+            out = raw.select(*out.columns, vector_to_array("rawPrediction")[1].alias(f"_dec{i}"))
+            p = p + 1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col(f"_dec{i}") + F.lit(shift))))
+        return _with_probability(out, p / float(len(self.folds))).drop(*[f"_dec{i}" for i in range(len(self.folds))])
+
+
+@dataclass
+class CalibratedSvm:
+    """K02 as an estimator: hash folds by row id."""
+    n_folds: int = 3
+    c: float = 1.0
+    label: str = "y"
+    row_id: str = "row_id"
+
+    def fit(self, train: DataFrame) -> CalibratedSvmModel:
+        n = train.count()
+        tr = train.withColumn("_fold", F.pmod(F.xxhash64(F.col(self.row_id), F.lit(17)), F.lit(self.n_folds)))
+        folds = []
+        for f in range(self.n_folds):
+            machine = svm(n, self.c, self.label).fit(tr.where(F.col("_fold") != f))
+            unseen = machine.transform(tr.where(F.col("_fold") == f)).select(
+                self.label, array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("dv"))
+            sigmoid = LogisticRegression(featuresCol="dv", labelCol=self.label).fit(unseen)
+            folds.append((machine, float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
+        return CalibratedSvmModel(folds)
+
+
+@dataclass
+class NearestNeighboursModel:
+    train: DataFrame
+    k: int
+    row_id: str = "row_id"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from netwarden.operators.knn import knn_join, knn_score
+        p = knn_score(knn_join(df, self.train, self.k, row_id=self.row_id)).select(
+            F.col("query_id").alias(self.row_id), "p_knn")
+        return _with_probability(df.join(p, self.row_id), F.col("p_knn")).drop("p_knn")
+
+
+@dataclass
+class NearestNeighbours:
+    """K04 as an estimator: exact distance-weighted neighbours."""
+    k: int = 5
+
+    def fit(self, train: DataFrame) -> NearestNeighboursModel:
+        return NearestNeighboursModel(train, self.k)
+
+
+@dataclass
+class BalancedMlp:
+    """K06 as an estimator: smaller classes are repeated (no weightCol)."""
+    hidden: tuple = (64, 32)
+    seed: int = 42
+    label: str = "y"
+
+    def fit(self, train: DataFrame):
+        d = train.select(F.max(F.size("features"))).first()[0]
+        return mlp(d, self.label, hidden=self.hidden, seed=self.seed).fit(repeat_to_balance(train, self.label))
+
+
+def stacking_preset(name: str = "standard") -> dict:
+    """Base models of the two presets: ``standard`` (MLP, calibrated
+    SVM, random forest, k-NN) and ``tuned`` (two MLPs, k-NN of 5 and 11)."""
+    if name == "standard":
+        return {"mlp": BalancedMlp(), "svm": CalibratedSvm(), "rf": random_forest(), "knn": NearestNeighbours(5)}
+    if name == "tuned":
+        return {"mlp_a": BalancedMlp((64, 32), 42), "mlp_b": BalancedMlp((32, 16), 7),
+                "knn5": NearestNeighbours(5), "knn11": NearestNeighbours(11)}
+    raise ValueError(f"no preset {name}")
 
 
 def mlp(d: int, label: str = "y", features: str = "fv", seed: int = 42, hidden: Sequence[int] = (64, 32)):
@@ -129,6 +215,36 @@ def mlp(d: int, label: str = "y", features: str = "fv", seed: int = 42, hidden:
                                           maxIter=100, seed=seed)
 
 
+def repeat_to_balance(train: DataFrame, label: str = "y") -> DataFrame:
+    """Every row, those of a smaller class repeated ``round(largest / own)`` times."""
+    counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}  # one number per class
+    if not counts:
+        return train
+    most, times = max(counts.values()), F.lit(1)
+    for k, n in counts.items():
+        times = F.when(F.col(label) == F.lit(k), F.lit(max(1, round(most / n)))).otherwise(times)
+    return train.withColumn("_again", F.explode(F.sequence(F.lit(1), times))).drop("_again")
+
+
+def select_by_average_precision(train: DataFrame, estimators: list, label: str = "y", row_id: str = "row_id",
+                                seed: int = 42):
+    """Fit each candidate on four fifths (stratified) and keep the one of
+    the highest average precision on the rest (first wins ties), refitted on
+    all rows."""
+    from netwarden.operators.metrics import average_precision
+    from netwarden.operators.sampling import stratified_split
+    parts = stratified_split(train, label, 0.2, seed, row_id, "_part")
+    fit_on, rest = parts.where(F.col("_part") == "train"), parts.where(F.col("_part") == "test")
+    best = None
+    for est in estimators:
+        scored = est.fit(fit_on).transform(rest)
+        scored = scored.select(F.col(label).cast("int").alias("y"), positive_score(scored, "score"))
+        ap = average_precision(scored, "y", "score").first()[0]
+        if best is None or (ap or 0.0) > best[0]:
+            best = (ap or 0.0, est)
+    return best[1].fit(train)
+
+
 def positive_score(model_out: DataFrame, name: str) -> Column:
     """Probability of class 1, else sigmoid(raw decision), else label."""
     cols = model_out.columns
@@ -146,7 +262,7 @@ def balanced_weights(df: DataFrame, label: str = "y", out: str = "w") -> DataFra
     tot = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     from netwarden.functions.scalars import attach_scalars
     w = attach_scalars(counts, tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 @dataclass
@@ -174,7 +290,7 @@ def fit_stacking(train: DataFrame, estimators: dict, label: str = "y", holdout_s
     parts = stratified_split(train, label, holdout_fraction, holdout_seed, row_id, "_part")
     fit_part = parts.where(F.col("_part") == "train").drop("_part")
     hold = parts.where(F.col("_part") == "test").drop("_part")
-    names = [n for n, e in estimators.items() if e is not None]
+    names = list(estimators)
     bases = {n: estimators[n].fit(fit_part) for n in names}
     out = hold
     for n in names:
@@ -188,32 +304,21 @@ def fit_stacking(train: DataFrame, estimators: dict, label: str = "y", holdout_s
 
 def calibrated_svm_scores(train: DataFrame, test: DataFrame, label: str = "y", folds: int = 3,
                           row_id: str = "row_id") -> DataFrame:
-    """Out-of-fold SVM decision values (hash folds) -> one-variable
-    logistic regression (Platt scaling) -> calibrated probability on test."""
-    fold = F.pmod(F.xxhash64(F.col(row_id), F.lit(17)), F.lit(folds))
-    tr = train.withColumn("_fold", fold)
-    oof = None
-    for f in range(folds):
-        m = LinearSVC(featuresCol="fv", labelCol=label, maxIter=50).fit(tr.where(F.col("_fold") != f))
-        s = m.transform(tr.where(F.col("_fold") == f)).select(
-            row_id, label, vector_to_array("rawPrediction")[1].alias("dec"))
-        oof = s if oof is None else oof.unionByName(s)
-    platt = LogisticRegression(featuresCol="dv", labelCol=label).fit(
-        oof.withColumn("dv", array_to_vector(F.array("dec"))))
-    full = LinearSVC(featuresCol="fv", labelCol=label, maxIter=50).fit(train)
-    dec = full.transform(test).withColumn("dv", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
-    cal = platt.transform(dec.drop("rawPrediction", "prediction", "probability"))
-    return cal.select(row_id, label, vector_to_array("probability")[1].alias("p_svm"))
+    """Calibrated probability of every test row."""
+    scored = CalibratedSvm(folds, label=label, row_id=row_id).fit(train).transform(test)
+    return scored.select(row_id, label, vector_to_array("probability")[1].alias("p_svm"))
 
 
 def reuse_or_fit(path: str, pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    """Load a saved fitted pipeline if present, else fit and save it."""
-    try:
+    """Load a saved fitted pipeline if there is one, else fit and save it.
+    Only absence refits; a model that cannot be read is an error."""
+    sc = train.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    if at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
         return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable: refit
-        model = pipeline.fit(train)
-        model.write().overwrite().save(path)
-        return model
+    model = pipeline.fit(train)
+    model.write().overwrite().save(path)
+    return model
 
 
 def family_cascade(scored: DataFrame, family_model, tau_high: float = 0.95, p: str = "p") -> DataFrame:
@@ -228,14 +333,15 @@ def family_cascade(scored: DataFrame, family_model, tau_high: float = 0.95, p: s
 
 # --- voting (K11) ---------------------------------------------------------------------
 
-def votes(long_scores: DataFrame, weights: dict | None = None, row_id: str = "row_id", model: str = "model",
+def votes(long_scores: DataFrame, weights: DataFrame | None = None, row_id: str = "row_id", model: str = "model",
           p: str = "score") -> DataFrame:
     """Soft vote (mean probability), hard vote (majority of p >= 0.5,
-    ties -> 1), weighted vote (weights per model, e.g. their F1)."""
+    ties -> 1), weighted vote (``weights``: one row (model, w) per model, e.g.
+    their F1; a model without one weighs 0)."""
     w = F.lit(1.0)
-    if weights:
-        w = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col(model)],
-                       F.lit(0.0))
+    if weights is not None:
+        long_scores = long_scores.join(weights.select(model, F.col("w").alias("_mw")), model, "left")
+        w = F.coalesce(F.col("_mw"), F.lit(0.0))
     g = long_scores.groupBy(row_id).agg(
         F.avg(p).alias("soft"), F.sum((F.col(p) >= 0.5).cast("int")).alias("_yes"), F.count(F.lit(1)).alias("_n"),
         F.sum(w * F.col(p)).alias("_wp"), F.sum(w).alias("_w"))

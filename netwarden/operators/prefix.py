@@ -12,7 +12,7 @@ branches of one plan (or a recomputation after an executor loss) can see
 different bounds.  A bucket computed from the row's own values is the same
 everywhere, every time.
 
-Size bounds: the sample is ``~64 x buckets`` keys (collected once); the
+Size bounds: the sample is ``~32 x buckets`` keys (collected once); the
 offset table has one row per bucket boundary a group crosses, i.e. at most
 ``buckets`` rows, so its broadcast is bounded by the bucket count and does
 not grow with the data.  A group holding a third of all rows spans a third
@@ -29,11 +29,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _B = "_nw_bucket"
-SAMPLE_PER_BUCKET = 64
+SAMPLE_PER_BUCKET = 32
 # bucket count = min(shuffle partitions, rows / MIN_ROWS_PER_BUCKET): every
 # bucket task stays bounded, and small inputs do not pay for empty buckets
 MIN_ROWS_PER_BUCKET = 50000
 QUANTILE_REL_ERR = 0.0005
+# bounds in one binary-search expression; more bounds are searched in two levels
+SEARCH_WIDTH = 128
 
 
 def _as_cols(cols: Iterable) -> list[Column]:
@@ -63,49 +65,43 @@ def hash_bucket(hex_key: Column, n: int) -> Column:
     return F.floor(F.conv(F.substring(hex_key, 1, 7), 16, 10).cast("double") * n / float(16 ** 7)).cast("int")
 
 
-MAX_LITERAL_BOUNDS = 256
-MAX_SAMPLED_BOUNDS = 1024
+def _bounds_bucket(key: Column, lits: list[Column]) -> Column:
+    """Number of (sorted) bounds ``<= key`` for any number of bounds: a binary
+    search over every k-th bound finds the coarse interval, then the bounds
+    inside that interval alone are compared."""
+    if len(lits) <= SEARCH_WIDTH:
+        return _search(key, lits)
+    k = -(-len(lits) // SEARCH_WIDTH)
+    groups = [lits[i:i + k] for i in range(0, len(lits), k)]
+    coarse = _search(key, [g[0] for g in groups])  # groups whose first bound is reached
+    inside = F.get(F.array(*[F.array(*g) for g in groups]), F.greatest(coarse - 1, F.lit(0)))
+    reached = F.size(F.filter(inside, lambda b: b <= key))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * F.lit(k) + reached).cast("int")
 
 
 def quantile_bucket(df: DataFrame, value: Column, n: int) -> Column:
-    """Monotone bucket in ``[0, n)`` of a numeric expression.
-
-    At most 256 approximate quantile edges (one Greenwald-Khanna sketch job,
-    bounded memory) give coarse buckets found by a binary search; each coarse
-    interval is cut into ``ceil(n / 256)`` equal-width sub-buckets, so the
-    bucket count follows the cluster's shuffle width (tens of thousands at
-    100 TB) while the expression stays small."""
+    """Monotone bucket in ``[0, n)`` of a numeric expression: quantile edges
+    from one Greenwald-Khanna sketch job whose error is a quarter of a bucket
+    (its size follows the bucket count, not the rows), so heavy tails are cut
+    by rows, not by width."""
     if n <= 1:
         return F.lit(0)
-    m = min(n, MAX_LITERAL_BOUNDS)
-    probs = [i / m for i in range(0, m + 1)]
-    edges = df.select(value.cast("double").alias("_q")).approxQuantile("_q", probs, QUANTILE_REL_ERR)
+    probs = [i / n for i in range(1, n)]
+    edges = df.select(value.cast("double").alias("_q")).approxQuantile("_q", probs, min(QUANTILE_REL_ERR, 0.25 / n))
     if not edges:
         return F.lit(0)
-    v = value.cast("double")
-    inner = edges[1:-1]
-    coarse = _search(v, [F.lit(float(x)) for x in inner])  # index into [edges[i], edges[i+1])
-    k = -(-n // m)
-    if k == 1:
-        return coarse
-    lo = F.get(F.array(*[F.lit(float(x)) for x in edges[:-1]]), coarse)
-    hi = F.get(F.array(*[F.lit(float(x)) for x in edges[1:]]), coarse)
-    width = hi - lo
-    fine = F.when(width > 0, F.least(F.greatest(F.floor((v - lo) / width * k), F.lit(0)), F.lit(k - 1))) \
-            .otherwise(F.lit(0))
-    return (coarse * F.lit(k) + fine).cast("int")
+    return _bounds_bucket(value.cast("double"), [F.lit(float(x)) for x in sorted(set(edges))])
 
 
 def sampled_bucket(df: DataFrame, key: Column, n: int) -> Column:
     """Monotone bucket of any orderable struct key from a hash-selected
-    sample of about ``64 x n`` keys (a count job and a sample job)."""
+    sample of about ``32 x n`` keys (a count job and a sample job)."""
     if n <= 1:
         return F.lit(0)
     keyed = df.select(key.alias("_k"))
     total = keyed.count()
     if total == 0:
         return F.lit(0)
-    n = min(n, MAX_SAMPLED_BOUNDS)
     want, modulus = n * SAMPLE_PER_BUCKET, 1 << 30
     cut = modulus if want >= total else max(1, int(modulus * want / total))
     sample = keyed.where(F.pmod(F.xxhash64("_k"), F.lit(modulus)) < cut).orderBy("_k").collect()
@@ -118,7 +114,7 @@ def sampled_bucket(df: DataFrame, key: Column, n: int) -> Column:
             bounds.append(bnd)
     stype = keyed.schema["_k"].dataType
     lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(bd, stype.fields)]) for bd in bounds]
-    return _search(key, lits)
+    return _bounds_bucket(key, lits)
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -192,21 +188,21 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
 
 
 def rank_within(df: DataFrame, group_by: Sequence[str], order_by: Sequence, rank_col: str = "rank",
-                num_partitions: int | None = None, bucket=None) -> DataFrame:
+                num_partitions: int | None = None, bucket=None, descending: bool = False) -> DataFrame:
     """1-based ``row_number`` per group without a per-group single task.
 
     ``order_by`` must be unique within a group (end it with the row key).
     """
     tmp = "_nw_one"
     out = prefix_sums(df.withColumn(tmp, F.lit(1).cast("long")), order_by, [tmp], group_by,
-                      out_prefix="_cum", num_partitions=num_partitions, bucket=bucket)
+                      out_prefix="_cum", num_partitions=num_partitions, bucket=bucket, descending=descending)
     return out.withColumnRenamed(f"_cum{tmp}", rank_col).drop(tmp)
 
 
 def global_position(df: DataFrame, order_by: Sequence, pos_col: str = "pos",
-                    num_partitions: int | None = None, bucket=None) -> DataFrame:
+                    num_partitions: int | None = None, bucket=None, descending: bool = False) -> DataFrame:
     """0-based global position in ``order_by`` order (unique keys)."""
-    return rank_within(df, [], order_by, "_nw_rank", num_partitions, bucket) \
+    return rank_within(df, [], order_by, "_nw_rank", num_partitions, bucket, descending) \
         .withColumn(pos_col, F.col("_nw_rank") - 1).drop("_nw_rank")
 
 
@@ -223,32 +219,40 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], group_b
     ``quantile_cont``, Spark ``percentile``) per group.
 
     Spark's ``percentile`` buffers every value of a group in one task; here
-    the values are reduced to distinct counts, ranked with
-    :func:`prefix_sums`, and the two neighbours of each target rank are
-    picked by a join against a table of ``groups x probs`` rows (bounded by
-    the number of classes times the number of probabilities).
+    the values are reduced to distinct counts (checkpointed once) and ranked
+    with :func:`prefix_sums`; then one aggregation per group picks, for every
+    probability, the two neighbours of its target rank by conditional maxima.
 
     Returns ``group_by + [p, value_at_p]``.
     """
     group_by = list(group_by)
-    vc = value_counts(df, value, group_by)
-    cum = prefix_sums(vc, [F.col(value)], ["_c"], group_by, num_partitions=num_partitions) \
+    vc = value_counts(df, value, group_by).checkpoint(eager=True)
+    if num_partitions is None:
+        n = max(1, min(_num_buckets(vc, None), -(-vc.count() // MIN_ROWS_PER_BUCKET)))
+    else:
+        n = num_partitions
+    cum = prefix_sums(vc, [F.col(value)], ["_c"], group_by, num_partitions=n, materialize=False) \
         .select(*group_by, F.col(value).cast("double").alias("_v"),
-                (F.col("cum__c") - F.col("_c")).alias("_lo_rank"), F.col("cum__c").alias("_hi_rank"))
-    sizes = cum.groupBy(*group_by).agg(F.max("_hi_rank").alias("_n"))
-    targets = sizes.select(*group_by, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")) \
-        .select(*group_by, "p", ((F.col("_n") - 1) * F.col("p")).alias("_pos"))
-    targets = targets.select(*group_by, "p", F.floor("_pos").alias("_r0"), F.ceil("_pos").alias("_r1"),
-                             (F.col("_pos") - F.floor("_pos")).alias("_frac"))
-
-    def pick(rank_col: str, name: str) -> DataFrame:
-        t = targets.select(*[F.col(g).alias(f"_t_{g}") for g in group_by], "p", F.col(rank_col).alias("_r"))
-        cond = [F.col(g) == F.col(f"_t_{g}") for g in group_by] + [
-            (F.col("_lo_rank") <= F.col("_r")), (F.col("_r") < F.col("_hi_rank"))]
-        return cum.join(F.broadcast(t), cond).select(
-            *[F.col(f"_t_{g}").alias(g) for g in group_by], "p", F.col("_v").alias(name))
-
-    lo, hi = pick("_r0", "_v0"), pick("_r1", "_v1")
-    out = targets.join(lo, [*group_by, "p"]).join(hi, [*group_by, "p"])
-    return out.select(*group_by, "p",
-                      (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))
+                (F.col("cum__c") - F.col("_c")).alias("_lo"), F.col("cum__c").alias("_hi"))
+    sizes = vc.groupBy(*group_by).agg((F.sum("_c") - 1).alias("_last"))
+    if group_by:
+        ranked = cum.join(sizes, group_by)
+    else:
+        from netwarden.functions.scalars import attach_scalars
+        ranked = attach_scalars(cum, sizes)
+
+    def at(rank: Column, name: str) -> Column:
+        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_v"))).alias(name)
+
+    picks = []
+    for i, p in enumerate(probs):
+        pos = F.col("_last") * F.lit(float(p))
+        picks += [at(F.floor(pos), f"_a{i}"), at(F.ceil(pos), f"_b{i}")]
+    got = ranked.groupBy(*group_by).agg(F.max("_last").alias("_last"), *picks)
+    rows = []
+    for i, p in enumerate(probs):
+        pos = F.col("_last") * F.lit(float(p))
+        v = F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (pos - F.floor(pos))
+        rows.append(F.struct(F.lit(float(p)).alias("p"), v.alias("value")))
+    out = got.where(F.col("_last").isNotNull()).select(*group_by, F.explode(F.array(*rows)).alias("_r"))
+    return out.select(*group_by, F.col("_r.p").alias("p"), F.col("_r.value").alias("value"))

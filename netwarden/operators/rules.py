@@ -14,6 +14,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netwarden.functions.clean import META_ALIASES
+
 # Fixed values (DNS query types counted as "real DNS": A, NS, CNAME, SOA,
 # PTR, MX, TXT, AAAA, SRV, ANY).
 DNS_QTYPES = [1, 2, 5, 6, 12, 15, 16, 28, 33, 255]
@@ -36,8 +38,17 @@ def _types(df) -> dict:
     return df if isinstance(df, dict) else dict(df.dtypes)
 
 
+# names under which a flow table may carry the ports of the rules
+_PORT_NAMES = {"SRC_PORT": META_ALIASES["src_port"], "DST_PORT": META_ALIASES["dst_port"]}
+
+
 def _present(df, name: str) -> str | None:
-    return name if name in _types(df) else None
+    """The table's own name of a rule input: Spark compares names without
+    regard to case, and the ports go by several names."""
+    have = {}
+    for c in _types(df):
+        have.setdefault(c.lower(), c)
+    return next((have[n.lower()] for n in [name, *_PORT_NAMES.get(name, [])] if n.lower() in have), None)
 
 
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
@@ -53,7 +64,8 @@ def num(df: DataFrame, name: str, default: float = 0.0) -> Column:
     NaN is turned into null so that, as in the reference, every comparison
     with it is false (Spark orders NaN above every number).  Typed numeric
     columns skip the string parse (smaller generated code)."""
-    if _present(df, name) is None:
+    name = _present(df, name)
+    if name is None:
         return F.lit(float(default))
     t = _dtype(df, name)
     if t in _INTEGRAL:
@@ -64,7 +76,8 @@ def num(df: DataFrame, name: str, default: float = 0.0) -> Column:
 
 def integer(df: DataFrame, name: str, default: int) -> Column:
     """Rule-side int read: ``int(float(v))`` (truncates), else ``default``."""
-    if _present(df, name) is None:
+    name = _present(df, name)
+    if name is None:
         return F.lit(int(default))
     t = _dtype(df, name)
     if t in ("tinyint", "smallint", "int"):
@@ -83,7 +96,9 @@ def rule_inputs(df: DataFrame) -> dict:
     g["dur_ms"] = num(df, "FLOW_DURATION_MILLISECONDS")
     g["rratio"] = (num(df, "RETRANSMITTED_IN_PKTS") + num(df, "RETRANSMITTED_OUT_PKTS")) / \
         F.greatest(F.lit(1.0), g["pkts"])
-    g["thr"] = F.greatest(num(df, "SRC_TO_DST_AVG_THROUGHPUT"), num(df, "DST_TO_SRC_AVG_THROUGHPUT"))
+    # an inbound NaN (null here) decides, an outbound one is passed over
+    inbound, outbound = num(df, "SRC_TO_DST_AVG_THROUGHPUT"), num(df, "DST_TO_SRC_AVG_THROUGHPUT")
+    g["thr"] = F.when(inbound.isNotNull(), F.greatest(inbound, outbound))
     g["icmp_type"] = integer(df, "ICMP_TYPE", -1)
     g["icmp4_type"] = integer(df, "ICMP_IPV4_TYPE", -1)
     g["src_port"] = integer(df, "SRC_PORT", -1)
@@ -166,21 +181,6 @@ def rule_id_expr(rules: list[Rule] | None = None) -> Column:
                         for i, r in enumerate(rules, start=1)])
 
 
-def rule_expr(df: DataFrame, rules: list[Rule] | None = None, with_index: bool = False) -> Column:
-    """One nullable struct ``<rule, severity, score, reason[, rule_id]>``
-    (for a single-row API; the table path is :func:`match_rules`)."""
-    rules = default_rules() if rules is None else rules
-    g = rule_inputs(df)
-    hits = []
-    for i, r in enumerate(rules, start=1):
-        fields = [F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"),
-                  F.lit(float(r.score)).alias("score"), r.reason(g).alias("reason")]
-        if with_index:
-            fields.append(F.lit(i).alias("rule_id"))
-        hits.append(F.when(F.coalesce(r.predicate(g), F.lit(False)), F.struct(*fields)))
-    return F.coalesce(*hits)
-
-
 def match_rules(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Adds ``rule_id, rule_name, rule_severity, rule_score, rule_reason``
     (all null when no rule fires).  Name, severity and score are lookups in

@@ -3,9 +3,11 @@
 Sequential RNG draws cannot be replayed in parallel, so every random
 choice here is a rank by ``md5(concat(seed, '|', row_id))`` -- identical on
 every executor, on re-execution after an executor loss, and in DuckDB.
-"k smallest hashes per stratum" uses the bucketed rank of
-:mod:`netwarden.operators.prefix`, so a stratum holding a third of the
-table is spread over many tasks instead of one.
+"The k smallest hashes per stratum" needs only the k-th smallest hash: rows
+are counted per (stratum, hash prefix), the one prefix that holds the k-th is
+ranked, and every row then decides by comparing its own hash with that cut.
+Only (stratum, hash, id) is ever shuffled, never a row's other columns, and a
+stratum holding a third of the table is spread over 65,536 prefixes.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netwarden.operators.prefix import hash_bucket, rank_within
 
@@ -36,6 +39,47 @@ def hash_rank(df: DataFrame, strata: Sequence[str], seed: int = 42, row_id: str
     return rank_within(df, list(strata), [h, F.col(row_id)], rank_col, bucket=lambda n: hash_bucket(h, n))
 
 
+PREFIX_DIGITS = 4
+# cuts are one row per stratum; up to this many travel with the plan
+LOCAL_CUTS = 10000
+
+
+def hash_cuts(df: DataFrame, strata: Sequence[str], h: Column, row_id: str, k: Column,
+              quota: DataFrame | None = None) -> DataFrame:
+    """(strata, cut_hash, cut_id) of the k-th smallest ``(h, row_id)`` of every
+    stratum, ``k`` being an expression over ``n_stratum`` and the columns of
+    ``quota`` (one row per stratum).  A stratum with k < 1 has no row, one with
+    k above its size has its last row."""
+    keyed = df.select(*strata, h.alias("_h"), F.col(row_id).alias("_id"), F.substring(h, 1, PREFIX_DIGITS).alias("_p"))
+    per = Window.partitionBy(*strata)
+    counts = keyed.groupBy(*strata, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.select("*", F.sum("_c").over(per).alias("n_stratum"), F.sum("_c").over(per.orderBy("_p")).alias("_to"))
+    if quota is not None:
+        counts = counts.join(quota, list(strata))
+    counts = counts.withColumn("_k", F.least(k, F.col("n_stratum")))
+    hit = counts.where((F.col("_to") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_to"))).select(
+        *strata, "_p", (F.col("_k") - F.col("_to") + F.col("_c")).alias("_need"))
+    inside = keyed.join(hit, [*strata, "_p"])
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", "_id"))
+    return inside.withColumn("_r", rank).where(F.col("_r") == F.col("_need")).select(
+        *strata, F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
+
+
+def with_cuts(df: DataFrame, strata: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """``df`` plus its stratum's ``cut_hash`` and ``cut_id`` (null without one).
+    Cuts within ``LOCAL_CUTS`` rows become a local table that is broadcast."""
+    rows = cuts.limit(LOCAL_CUTS + 1).collect()
+    if len(rows) <= LOCAL_CUTS:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(rows, cuts.schema))
+    return df.join(cuts, list(strata), "left")
+
+
+def within_cut(h: Column, row_id: str) -> Column:
+    """Whether a row is at or before its stratum's cut."""
+    at = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (F.col(row_id) <= F.col("cut_id")))
+    return F.coalesce(at, F.lit(False))
+
+
 def class_counts_table(df: DataFrame, strata: Sequence[str]) -> DataFrame:
     return df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n_stratum"))
 
@@ -43,35 +87,33 @@ def class_counts_table(df: DataFrame, strata: Sequence[str]) -> DataFrame:
 def stratified_split(df: DataFrame, label: str = "y", test_fraction: float = 0.2, seed: int = 42,
                      row_id: str = "row_id", out: str = "split") -> DataFrame:
     """Exactly ``floor(n_c * f)`` test rows per class ``c``."""
-    ranked = hash_rank(df, [label], seed, row_id, "_hr")
-    # class sizes: a column-pruned scan with map-side partial counts (only
-    # per-class partials shuffle), cheaper than re-running the rank window
-    counts = class_counts_table(df, [label])  # one row per class: bounded broadcast
-    j = ranked.join(F.broadcast(counts), label)
-    return j.withColumn(out, F.when(F.col("_hr") <= F.floor(F.col("n_stratum") * F.lit(float(test_fraction))),
-                                    "test").otherwise("train")).drop("_hr", "n_stratum")
+    h = hash_key(seed, row_id)
+    cuts = hash_cuts(df, [label], h, row_id, F.floor(F.col("n_stratum") * F.lit(float(test_fraction))))
+    j = with_cuts(df, [label], cuts)
+    return j.withColumn(out, F.when(within_cut(h, row_id), "test").otherwise("train")).drop("cut_hash", "cut_id")
 
 
 def class_quota_split(df: DataFrame, quotas: dict, label: str = "y", seed: int = 42,
                       row_id: str = "row_id", out: str = "split") -> DataFrame:
     """Per class exact sizes ``{class: (n_train, n_test)}``; rows beyond
     ``n_train + n_test`` are marked ``unused`` (kept, not dropped)."""
-    ranked = hash_rank(df, [label], seed, row_id, "_hr")
-    tr = F.create_map(*[x for c, (a, _) in quotas.items() for x in (F.lit(c), F.lit(int(a)))])
-    te = F.create_map(*[x for c, (_, b) in quotas.items() for x in (F.lit(c), F.lit(int(b)))])
-    n_tr = F.coalesce(tr[F.col(label)], F.lit(0))
-    n_te = F.coalesce(te[F.col(label)], F.lit(0))
-    return ranked.withColumn(out, F.when(F.col("_hr") <= n_tr, "train")
-                             .when(F.col("_hr") <= n_tr + n_te, "test").otherwise("unused")).drop("_hr")
+    h = hash_key(seed, row_id)
+    j = df
+    for name, size in (("_train", {c: a for c, (a, _) in quotas.items()}), ("_used", {c: a + b for c, (a, b) in quotas.items()})):
+        k = F.lit(0)
+        for c, n in size.items():
+            k = F.when(F.col(label) == F.lit(c), F.lit(int(n))).otherwise(k)
+        j = with_cuts(j, [label], hash_cuts(df, [label], h, row_id, k)).withColumn(
+            name, within_cut(h, row_id)).drop("cut_hash", "cut_id")
+    return j.withColumn(out, F.when(F.col("_train"), "train").when(F.col("_used"), "test").otherwise("unused")).drop("_train", "_used")
 
 
 def sample_per_stratum(df: DataFrame, strata: Sequence[str], quota: DataFrame, seed: int = 42,
                        row_id: str = "row_id") -> DataFrame:
-    """The ``quota.k`` rows with smallest hash in each stratum.
-
-    ``quota`` has one row per stratum (bounded by the number of classes)."""
-    ranked = hash_rank(df, list(strata), seed, row_id, "_hr")
-    return ranked.join(F.broadcast(quota), list(strata)).where(F.col("_hr") <= F.col("k")).drop("_hr", "k")
+    """The ``quota.k`` rows with smallest hash in each stratum."""
+    h = hash_key(seed, row_id)
+    j = with_cuts(df, list(strata), hash_cuts(df, list(strata), h, row_id, F.col("k"), quota))
+    return j.where(within_cut(h, row_id)).drop("cut_hash", "cut_id")
 
 
 def proportional_targets(counts: DataFrame, n_benign: int, n_malicious: int, label: str = "label",
@@ -91,22 +133,19 @@ TOPK_HEAP_LIMIT = 10000
 
 
 def first_n(df: DataFrame, n: int, order_by: Sequence, descending: bool = False) -> DataFrame:
-    """The first ``n`` rows in ``order_by`` order (unique keys).
+    """The first ``n`` rows in ``order_by`` order (unique keys of any orderable
+    type), returned in that order for every ``n``.
 
-    Small ``n``: ``orderBy().limit()`` -> ``TakeOrderedAndProject`` (a heap of
-    n rows per partition).  Large ``n``: that heap would bring
-    ``partitions x n`` rows into one task, so the rows are ranked with the
-    bucketed global position instead and filtered, fully distributed."""
+    Up to ``TOPK_HEAP_LIMIT`` rows Spark's ``TakeOrderedAndProject`` keeps a heap
+    of n rows per partition; above it that heap would bring ``partitions x n``
+    rows into one task, so the rows are ranked by the bucketed global position
+    and range-sorted on it.  Both plans give the same rows in the same order."""
     from netwarden.operators.prefix import global_position
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     if n <= TOPK_HEAP_LIMIT:
         return df.orderBy(*[c.desc() if descending else c.asc() for c in cols]).limit(n)
-    if descending:
-        neg = [(-c).alias(f"_neg{i}") for i, c in enumerate(cols)]
-        x = df.select("*", *neg)
-        pos = global_position(x, [F.col(f"_neg{i}") for i in range(len(cols))], "_pos")
-        return pos.where(F.col("_pos") < n).drop("_pos", *[f"_neg{i}" for i in range(len(cols))])
-    return global_position(df, cols, "_pos").where(F.col("_pos") < n).drop("_pos")
+    pos = global_position(df, cols, "_pos", descending=descending)
+    return pos.where(F.col("_pos") < n).orderBy("_pos").drop("_pos")
 
 
 def head_then_sample(df: DataFrame, n: int, order_key: str, factor: int = 5, min_head: int = 500000,

@@ -14,8 +14,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.operators.prefix import hash_bucket, rank_within
-
 # Poisoning rates of the experiments (fraction of malicious
 # training labels flipped).
 POISON_RATES = [0.05, 0.10, 0.15, 0.50]
@@ -48,23 +46,24 @@ def poison_scenarios(df: DataFrame, rates: Sequence[float] = tuple(POISON_RATES)
                      y: str = "y", row_id: str = "row_id", out: str = "y_poisoned") -> DataFrame:
     """Every poisoning rate from ONE clean table.
 
-    The clean rows fan out once per rate (a fixed, small factor), the
-    malicious rows are ranked per (rate) by their per-rate seeded hash, and
-    the flip quota per rate comes from one count per class."""
+    The malicious row ids fan out once per rate (a fixed, small factor) and
+    give one cut hash per rate; the clean rows then fan out once per rate and
+    each decides by its own per-rate hash."""
+    from netwarden.operators.sampling import hash_cuts
     seeds = seeds or {r: seed_for_rate(r) for r in rates}
     grid = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("rate"), F.lit(int(seeds[r])).alias("seed"),
                                         F.lit(f"poison_{int(round(r * 100)):02d}").alias("scenario"))
                                for r in rates]))
+    mal = df.where(F.col(y) == 1).select(row_id, grid.alias("_g")).select(row_id, "_g.rate", "_g.seed")
+    cuts = {c["rate"]: c for c in hash_cuts(mal, ["rate"], _hash(F.col("seed"), row_id), row_id,
+                                            F.floor(F.col("n_stratum") * F.col("rate"))).collect()}  # one per rate
     x = df.select("*", grid.alias("_g")).select("*", "_g.*").drop("_g")
     h = _hash(F.col("seed"), row_id)
-    mal = x.where(F.col(y) == 1)
-    ranked = rank_within(mal.withColumn("_h", h), ["rate"], [F.col("_h"), F.col(row_id)], "_r",
-                         bucket=lambda n: hash_bucket(F.col("_h"), n)).select("rate", row_id, "_r")
-    n_mal = df.where(F.col(y) == 1).count()  # one number: the class size
-    flips = ranked.where(F.col("_r") <= F.floor(F.lit(n_mal) * F.col("rate"))).select("rate", row_id,
-                                                                                        F.lit(1).alias("_flip"))
-    j = x.join(flips, ["rate", row_id], "left")
-    return j.withColumn(out, F.when(F.col("_flip") == 1, F.lit(0)).otherwise(F.col(y))).drop("_flip", "seed")
+    flip = F.lit(False)
+    for r, c in cuts.items():
+        before = (h < F.lit(c["cut_hash"])) | ((h == F.lit(c["cut_hash"])) & (F.col(row_id) <= F.lit(c["cut_id"])))
+        flip = F.when(F.col("rate") == F.lit(float(r)), before).otherwise(flip)
+    return x.withColumn(out, F.when((F.col(y) == 1) & flip, F.lit(0)).otherwise(F.col(y))).drop("seed")
 
 
 def label_flips(tampered: DataFrame, clean: DataFrame, y: str = "y", y_t: str = "y_poisoned",
@@ -85,7 +84,8 @@ def trigger_positions_local(d: int, size: int, seed: int = 42) -> list[int]:
 
 def trigger_positions(df: DataFrame, size: int, seed: int = 42, features: str = "features") -> DataFrame:
     """L03 on a table: positions come from the data's feature width."""
-    pos = df.select(F.posexplode(features)).select("pos").distinct()
+    width = df.agg(F.max(F.size(features)).alias("_d"))
+    pos = width.select(F.explode(F.sequence(F.lit(0), F.col("_d") - 1)).alias("pos"))
     return pos.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("pos").cast("string"))), "pos").limit(size)
 
 
@@ -125,13 +125,15 @@ def backdoor_train_set(df: DataFrame, rate_pct: float, positions: Sequence[int],
     ``direction`` resolves the reference's conflict: the generator flips
     benign -> malicious (default), the experiment text says the opposite."""
     src, dst = (0, 1) if direction == "benign_to_malicious" else (1, 0)
-    n_src = df.where(F.col(y) == src).count()  # one number: the class size
-    k = int(n_src * rate_pct / 100.0)
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
-    cand = df.where(F.col(y) == src).select(row_id).withColumn("_h", h)
-    chosen = rank_within(cand, [], [F.col("_h"), F.col(row_id)], "_r", bucket=lambda n: hash_bucket(F.col("_h"), n)) \
-        .where(F.col("_r") <= k).select(row_id, F.lit(1).alias("backdoor"))
-    j = df.join(chosen, row_id, "left").withColumn("backdoor", F.coalesce("backdoor", F.lit(0)))
+    from netwarden.operators.sampling import hash_cuts, hash_key
+    h = hash_key(seed, row_id)
+    own = df.where(F.col(y) == src).select(row_id, F.lit(1).alias("_all"))
+    cut = hash_cuts(own, ["_all"], h, row_id, F.floor(F.col("n_stratum") * F.lit(float(rate_pct)) / F.lit(100.0))).first()
+    chosen = F.lit(False)
+    if cut is not None:
+        chosen = (F.col(y) == src) & ((h < F.lit(cut["cut_hash"])) | (
+            (h == F.lit(cut["cut_hash"])) & (F.col(row_id) <= F.lit(cut["cut_id"]))))
+    j = df.withColumn("backdoor", F.when(chosen, F.lit(1)).otherwise(F.lit(0)))
     return j.withColumns({
         features: F.when(F.col("backdoor") == 1, apply_trigger(F.col(features), positions, kind, value, seed,
                                                                F.col(row_id))).otherwise(F.col(features)),

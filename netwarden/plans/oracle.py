@@ -39,7 +39,7 @@ _view("fl_f", ["fl_b"], """
     CAST(CASE WHEN k % 3 = 2 THEN 8 ELSE -1 END AS INT) AS ICMP_TYPE,
     CAST(-1 AS INT) AS ICMP_IPV4_TYPE,
     CAST(CASE WHEN k % 4 = 0 THEN 1 + event_id % 9 ELSE 0 END AS INT) AS DNS_QUERY_ID,
-    CAST(CASE WHEN k % 4 = 0 THEN 1 ELSE -1 END AS INT) AS DNS_QUERY_TYPE,
+    CAST(CASE WHEN k % 16 = 8 THEN 99 WHEN k % 4 = 0 THEN 1 ELSE -1 END AS INT) AS DNS_QUERY_TYPE,
     CAST(CASE WHEN k % 8 = 0 THEN 0 ELSE 300 END AS DOUBLE) AS DNS_TTL_ANSWER,
     CASE WHEN y = 0 THEN CASE event_id % 4 WHEN 0 THEN 'Benign' WHEN 1 THEN ' benign ' WHEN 2 THEN '0' ELSE 'normal' END
          ELSE CASE event_id % 4 WHEN 0 THEN 'Attack' WHEN 1 THEN '1' WHEN 2 THEN 'TRUE' ELSE 'weird' END END AS Label,
@@ -62,8 +62,6 @@ _view("scored", ["flows"], """
          recon_error AS err, CAST(x AS DOUBLE) / 1000 AS p2, Attack
   FROM flows""")
 
-# rule inputs: the flows view carries lower-case ``src_port``/``dst_port``,
-# which the rule engine (exact keys SRC_PORT/DST_PORT) does not see -> -1.
 _view("fl_rin", ["flows"], f"""
   SELECT *, IN_PKTS + OUT_PKTS AS _pkts, IN_BYTES + OUT_BYTES AS _bytes, FLOW_DURATION_MILLISECONDS AS _dur,
          (RETRANSMITTED_IN_PKTS + RETRANSMITTED_OUT_PKTS) / greatest(1.0, IN_PKTS + OUT_PKTS) AS _rr,
@@ -77,7 +75,7 @@ _view("fl_rules", ["fl_rin"], f"""
     WHEN (ICMP_TYPE <> -1 OR ICMP_IPV4_TYPE <> -1) AND _pkts >= 2000 AND _dur > 0 AND _dur <= 5000 THEN 2
     WHEN _pkts >= 200 AND _rr >= CAST(0.60 AS DOUBLE) THEN 3
     WHEN _dur > 0 AND _dur <= 3000 AND _thr >= CAST(1e8 AS DOUBLE) THEN 4
-    WHEN _is_dns AND (DNS_QUERY_TYPE IN ({QTYPES})) AND _pkts >= 2 AND _bytes >= 60 AND DNS_TTL_ANSWER = 0 THEN 5
+    WHEN _is_dns AND (src_port = 53 OR dst_port = 53 OR DNS_QUERY_TYPE IN ({QTYPES})) AND _pkts >= 2 AND _bytes >= 60 AND DNS_TTL_ANSWER = 0 THEN 5
     WHEN _dur > 0 AND _dur <= 1000 AND _pkts >= 500 THEN 6
     WHEN _dur > 0 AND _dur <= 2000 AND _bytes >= CAST(5e7 AS DOUBLE) THEN 7
     WHEN _thr >= CAST(5e7 AS DOUBLE) THEN 8

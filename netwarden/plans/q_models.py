@@ -108,14 +108,8 @@ def votes(spark, sf_dir):
     long = scored_long(spark, sf_dir)
     f1 = binary_metrics(long.withColumn("yhat", (F.col("score") >= 0.5).cast("int")), "y", "yhat", ["model"]) \
         .select("model", F.col("f1").alias("w"))
-    j = long.join(F.broadcast(f1), "model")  # one row per model
-    g = j.groupBy("row_id").agg(
-        F.avg("score").alias("soft"), F.sum((F.col("score") >= 0.5).cast("int")).alias("_yes"),
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("w") * F.col("score")).alias("_wp"), F.sum("w").alias("_w"))
-    return g.select("row_id", F.round("soft", R).alias("soft"),
-                    (F.col("_yes") * 2 >= F.col("_n")).cast("int").alias("hard"),
-                    F.round(F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(F.col("_wp") / F.col("_w")), R)
-                    .alias("weighted"))
+    g = MD.votes(long, f1)
+    return g.select("row_id", F.round("soft", R).alias("soft"), "hard", F.round("weighted", R).alias("weighted"))
 
 
 KNN_SQL = f"""
@@ -149,27 +143,27 @@ def knn_score(spark, sf_dir):
 
 
 @register("column_concat", sql("""
-SELECT row_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, unnest(c) AS value
-FROM (SELECT row_id, list_concat(list_slice(features, 1, 4), list_slice(features, 61, 64)) AS c FROM vectors) s""",
+SELECT row_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS pos, round(unnest(c), 6) AS value
+FROM (SELECT row_id, list_concat(features, list_transform(features, lambda x: x * abs(x))) AS c FROM vectors) s""",
                                "vectors"))
 def column_concat(spark, sf_dir):
-    """Two encoders' outputs for the same row concatenated on the row
-    (here the first and last four positions stand for the two views)."""
+    """Two views of the same row (all its features, and their signed
+    squares) concatenated on the row."""
     v = views.vectors(spark, sf_dir)
-    c = F.concat(F.slice("features", 1, 4), F.slice("features", 61, 4))
+    c = F.transform(F.concat("features", F.transform("features", lambda x: x * F.abs(x))), lambda x: F.round(x, R))
     return v.select("row_id", F.posexplode(c).alias("pos", "value"))
 
 
 @register("check_alignment", sql("""
 SELECT count(*) AS n, count(*) FILTER (WHERE a.row_id IS NULL OR b.row_id IS NULL OR a.y <> b.y) AS mismatches
 FROM (SELECT row_id, y FROM vectors) a FULL OUTER JOIN
-     (SELECT row_id, CASE WHEN family >= 7 THEN 1 ELSE 0 END AS y FROM vectors) b ON a.row_id = b.row_id""",
-                                 "vectors"))
+     (SELECT row_id, y FROM scored) b ON a.row_id = b.row_id""",
+                                 "vectors", "scored"))
 def check_alignment(spark, sf_dir):
-    """Labels of two feature spaces agree row by row (full outer join)."""
-    v = views.vectors(spark, sf_dir)
-    a = v.select("row_id", "y")
-    b = v.select(F.col("row_id").alias("rid"), (F.col("family") >= 7).cast("int").alias("y2"))
+    """Labels of two feature spaces (the vectors, and the scored flows of
+    the same row number) agree row by row (full outer join)."""
+    a = views.vectors(spark, sf_dir).select("row_id", "y")
+    b = views.scored(spark, sf_dir).select(F.col("row_id").alias("rid"), F.col("y").alias("y2"))
     j = a.join(b, a["row_id"] == b["rid"], "full_outer")
     return j.agg(F.count(F.lit(1)).alias("n"),
                  F.count(F.when(F.col("row_id").isNull() | F.col("rid").isNull() | (F.col("y") != F.col("y2")), 1))
@@ -243,21 +237,30 @@ def adaptive_threshold(spark, sf_dir):
 def random_forest_predict(spark, sf_dir):
     """Random forest (100 trees, depth 20) fitted on train, test predictions."""
     v = _vec(spark, sf_dir)
-    rf = MD.base_estimators()["rf"].fit(v.where(F.col("split") == "train"))
+    rf = MD.random_forest().fit(v.where(F.col("split") == "train"))
     out = rf.transform(v.where(F.col("split") == "test"))
     return out.select("row_id", "y", MD.positive_score(out, "p_rf"), F.col("prediction").cast("int").alias("pred"))
 
 
 @register("stacking_predict")
 def stacking_predict(spark, sf_dir):
-    """K10 + K07 + K09: SVM / RF / LR bases on a holdout split, balanced
-    logistic meta learner; test-set probabilities."""
+    """K10 + K07 + K09: MLP, calibrated SVM, random forest and k-NN bases on a
+    holdout split, balanced logistic meta learner; test-set probabilities."""
+    return _stack(spark, sf_dir, "standard")
+
+
+def _stack(spark, sf_dir, preset):
     v = _vec(spark, sf_dir)
-    est = {k: e for k, e in MD.base_estimators().items() if e is not None}
-    model = MD.fit_stacking(v.where(F.col("split") == "train"), est)
+    model = MD.fit_stacking(v.where(F.col("split") == "train"), MD.stacking_preset(preset))
     return model.transform(v.where(F.col("split") == "test")).select("row_id", "y", "p_stack", "pred")
 
 
+@register("stacking_tuned_predict")
+def stacking_tuned_predict(spark, sf_dir):
+    """K10, second preset (two MLPs, k-NN of 5 and 11): the model of the tuned route."""
+    return _stack(spark, sf_dir, "tuned")
+
+
 @register("calibrated_svm")
 def calibrated_svm(spark, sf_dir):
     """K01 + K02: linear SVM with 3-fold out-of-fold Platt calibration."""
@@ -271,9 +274,11 @@ def family_classifier(spark, sf_dir):
     test rows the binary score puts above tau_high."""
     from pyspark.ml.classification import LogisticRegression
     v = _vec(spark, sf_dir)
-    fam = LogisticRegression(featuresCol="fv", labelCol="family", maxIter=50).fit(
-        v.where((F.col("split") == "train") & (F.col("y") == 1)).withColumn("family", F.col("family").cast("double")))
-    bin_model = MD.base_estimators()["lr"].fit(v.where(F.col("split") == "train"))
+    attacks = v.where((F.col("split") == "train") & (F.col("y") == 1)).withColumn("family", F.col("family").cast("double"))
+    fam = LogisticRegression(featuresCol="fv", labelCol="family", weightCol="w", maxIter=50).fit(
+        MD.balanced_weights(attacks, "family"))
+    train = MD.balanced_weights(v.where(F.col("split") == "train"))
+    bin_model = LogisticRegression(featuresCol="fv", labelCol="y", weightCol="w", maxIter=100).fit(train)
     scored = bin_model.transform(v.where(F.col("split") == "test"))
     scored = scored.select("row_id", "fv", MD.positive_score(scored, "p"))
     out = MD.family_cascade(scored, fam, 0.95)
@@ -322,38 +327,35 @@ def naive_bayes_predict(spark, sf_dir):
 
 @register("mlp_predict")
 def mlp_predict(spark, sf_dir):
-    """Multilayer perceptron (64-32 hidden) on balanced training rows
-    (the majority class is down-sampled by seeded hash rank, no weightCol)."""
-    from netwarden.operators.sampling import hash_rank
+    """Multilayer perceptron (64-32 hidden) on all training rows, classes
+    balanced by repeating the smaller ones (Spark's perceptron has no weightCol)."""
     v = _vec(spark, sf_dir)
-    tr = v.where(F.col("split") == "train")
-    counts = {r["y"]: r["count"] for r in tr.groupBy("y").count().collect()}  # two numbers
-    m = min(counts.values())
-    bal = hash_rank(tr, ["y"], 42).where(F.col("hrank") <= m).drop("hrank")
-    model = MD.mlp(64).fit(bal)
+    model = MD.mlp(64).fit(MD.repeat_to_balance(v.where(F.col("split") == "train")))
     out = model.transform(v.where(F.col("split") == "test"))
     return out.select("row_id", "y", MD.positive_score(out, "p_mlp"), F.col("prediction").cast("int").alias("pred"))
 
 
 @register("model_selection")
 def model_selection(spark, sf_dir):
-    """Best regularisation of a logistic model by average precision
-    on a validation split (TrainValidationSplit), test probabilities."""
+    """Best regularisation of a logistic model by step-wise average
+    precision (F26) on a stratified validation part of the training rows; the
+    smaller regularisation wins ties; test probabilities."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
     v = _vec(spark, sf_dir)
-    lr = LogisticRegression(featuresCol="fv", labelCol="y", maxIter=50)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, trainRatio=0.8, seed=42,
-                               evaluator=BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR"))
-    best = tvs.fit(v.where(F.col("split") == "train")).bestModel
+    best = MD.select_by_average_precision(
+        v.where(F.col("split") == "train"),
+        [LogisticRegression(featuresCol="fv", labelCol="y", maxIter=50, regParam=r) for r in (0.0, 0.01, 0.1)])
     out = best.transform(v.where(F.col("split") == "test"))
     return out.select("row_id", "y", MD.positive_score(out, "p_lr"),
                       F.lit(float(best.getRegParam())).alias("reg_param"))
 
 
-@register("external_model_score")
+@register("external_model_score", sql("""
+WITH u AS (SELECT row_id, split, unnest(features) AS x, generate_subscripts(features, 1) AS pos FROM vectors),
+m AS (SELECT pos, avg(x) AS mu, stddev_pop(x) AS sd FROM u WHERE split = 'train' GROUP BY pos),
+z AS (SELECT row_id, avg((x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END) AS z FROM u JOIN m USING (pos)
+      WHERE split = 'test' GROUP BY row_id)
+SELECT row_id, round(1.0 / (1.0 + exp(-z)), 6) AS p_ext FROM z""", "vectors"))
 def external_model_score(spark, sf_dir):
     """An outside (numpy) model joins the scored-table contract through
     ``mapInPandas`` -- Arrow batches in, one probability per row out."""
@@ -361,4 +363,5 @@ def external_model_score(spark, sf_dir):
     from netwarden.operators.models import external_scores
     v = views.vectors(spark, sf_dir)
     st = fit_stats(v.where(F.col("split") == "train"))
-    return external_scores(v.where(F.col("split") == "test"), st.means, st.stds)
+    out = external_scores(v.where(F.col("split") == "test"), st.means, st.stds)
+    return out.select("row_id", F.round("p_ext", R).alias("p_ext"))

@@ -29,7 +29,7 @@ _CODE_FILES = ["plans/views.py", "plans/store.py", "operators/rules.py", "operat
 def _digest(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]) -> str:
     h = hashlib.md5()
     h.update(table.encode())
-    h.update(os.path.abspath(sf_dir).encode())
+    h.update(sf_dir.encode())
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for rel in _CODE_FILES:
         with open(os.path.join(root, rel), "rb") as fh:
@@ -70,10 +70,13 @@ def materialized(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]
              .option("ignoreTrailingWhiteSpace", "false").csv(tmp)
         else:
             w.parquet(tmp)
-        if not fs.exists(final):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), final)
-        else:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
+        source = jvm.org.apache.hadoop.fs.Path(tmp)
+        if fs.exists(final) and not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+            fs.delete(final, True)  # a half table left by a crash
+        if fs.exists(final):  # another writer was first: its table is complete and equal
+            fs.delete(source, True)
+        elif not fs.rename(source, final):
+            raise RuntimeError(f"cannot move {tmp} to {path}")
     return path if fmt == "csv" else spark.read.parquet(path)
 
 
@@ -83,7 +86,7 @@ _STORES: dict = {}
 def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events_scored`` as a stored table (looked up once per session)."""
     from netwarden.plans import views
-    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, _digest(spark, sf_dir, "events_scored", ["events"]))
     if key not in _STORES:
         _STORES[key] = materialized(spark, sf_dir, "events_scored", ["events"], views.events_scored,
                                     cluster_by="ts")

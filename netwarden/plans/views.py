@@ -34,12 +34,14 @@ _MEMO: dict = {}
 
 
 def memoized(name: str):
-    """Reuse a view's DataFrame (its plan, not its data) within one session:
-    every action still reads the files, but the plan is built once."""
+    """Reuse a view's DataFrame within one session as long as the input files
+    are the same (size and time of each; see ``store._digest``).  Only views that
+    are plans are kept, so every action still reads the files."""
     def deco(fn):
         def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-            import os
-            key = (name, id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+            from netwarden.plans.store import _digest
+            key = (name, id(spark), spark.sparkContext.applicationId, sf_dir,
+                   _digest(spark, sf_dir, name, ["events", "embeddings"]))
             if key not in _MEMO:
                 _MEMO[key] = fn(spark, sf_dir)
             return _MEMO[key]
@@ -56,9 +58,16 @@ def _case(key: Column, values: list, default=None) -> Column:
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
 @memoized("flows")
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    return flows_of(read_table(spark, sf_dir, "events", EVENT_COLUMNS))
+
+
+def flows_of(ev: DataFrame) -> DataFrame:
+    """The flow shape of (batch or streaming) events."""
     k = F.get_json_object("props", "$.k").cast("int")
     b = ev.select(
         "event_id", "ts", "user_id", "event_type", "value", k.alias("k"),
@@ -85,7 +94,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kk % 3 == 2, 8).otherwise(-1).cast("int").alias("ICMP_TYPE"),
         F.lit(-1).cast("int").alias("ICMP_IPV4_TYPE"),
         F.when(kk % 4 == 0, 1 + eid % 9).otherwise(0).cast("int").alias("DNS_QUERY_ID"),
-        F.when(kk % 4 == 0, 1).otherwise(-1).cast("int").alias("DNS_QUERY_TYPE"),
+        F.when(kk % 16 == 8, 99).when(kk % 4 == 0, 1).otherwise(-1).cast("int").alias("DNS_QUERY_TYPE"),
         F.when(kk % 8 == 0, 0).otherwise(300).cast("double").alias("DNS_TTL_ANSWER"),
         F.when(y == 0, _case(eid % 4, BENIGN_LABEL_SPELLINGS))
         .otherwise(_case(eid % 4, ATTACK_LABEL_SPELLINGS)).alias("Label"),
@@ -124,10 +133,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memoized("events_scored")
 def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flows + rules + fusion (C01-C11); ``seq`` is the arrival order."""
+    return scored_of(flows(spark, sf_dir))
+
+
+def scored_of(fl: DataFrame) -> DataFrame:
+    """Rules, routing and fusion on (batch or streaming) flows."""
     from netwarden.operators.rules import fuse_verdict, match_rules
     from netwarden.operators.routing import three_way_route
 
-    fl = flows(spark, sf_dir)
     routed = three_way_route(fl, err="recon_error", low=FIXTURE_ROUTE_LOW, high=FIXTURE_ROUTE_HIGH,
                              model_pred=(F.col("p_model") >= 0.5).cast("int"))
     hits = match_rules(routed)
@@ -140,10 +153,9 @@ def events_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memoized("vectors")
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vectors``: (row_id, features array<double>, y, family, split)."""
-    from netwarden.operators.sampling import hash_rank
+    from netwarden.operators.sampling import stratified_split
 
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     v = emb.select(
@@ -152,10 +164,4 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("label") >= 7, 1).otherwise(0).alias("y"),
         F.col("label").alias("family"),
     )
-    ranked = hash_rank(v, ["y"], 42, "row_id", "_r")
-    counts = v.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))  # class sizes: partial counts, one row per class
-    out = ranked.join(F.broadcast(counts), "y")
-    return out.select(
-        "row_id", "features", "y", "family",
-        F.when(F.col("_r") <= F.floor(F.col("_n") * 0.2), "test").otherwise("train").alias("split"),
-    )
+    return stratified_split(v, "y", 0.2, 42, "row_id").select("row_id", "features", "y", "family", "split")

@@ -58,7 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the setting is provided by the deployment and is only
     read here.  When it is unset (local tests) a private scratch folder is
-    created and registered, never on a cluster path.
+    created and registered; off a ``local`` master that would be a machine's
+    own disk, so there the missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -70,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="netwarden-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

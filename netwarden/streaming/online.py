@@ -4,8 +4,8 @@ The batch operators are column expressions, so the stateless part of the
 online service (align -> rules -> route -> fuse -> interesting events) is
 the SAME code on a streaming DataFrame.  Stateful parts use watermarks
 (state is bounded in time), ``applyInPandasWithState`` where the
-reference's semantics are order-dependent (active-timeout flow cut, the
-one-pass stratified splitter), and ``foreachBatch`` for sinks that need
+reference's semantics are order-dependent (active-timeout flow cut), and
+``foreachBatch`` for sinks that need
 table logic (retention, thresholds re-read per batch, late rows to a side
 table).  Checkpoint locations are always given by the caller and must be
 on shared storage on a cluster.
@@ -93,57 +93,85 @@ def dedupe_alerts(scored: DataFrame, key: str, ts: str = "ts", watermark: str =
 
 # --- S07 / S12 / S13: foreachBatch sinks ----------------------------------------------
 
+def _committed(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batches whose folder ``batch=<id>`` under ``path`` was written
+    completely, ascending (a missing ``path`` has none)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[6:]) for n in names if n.startswith("batch=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Overwrites the batch's own folder, so a replay leaves one copy.  The
+    batch id is the partition column ``batch`` of the table at ``path``."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def retention_sink(path: str, keep: int, seq: str = "seq") -> Callable[[DataFrame, int], None]:
     """Keep only the newest ``keep`` rows (by arrival ``seq``) in a table.
-    The union of the retained table and the batch is cut by a top-k
-    (``keep`` rows, bounded), written to a new version folder."""
-    state = {"version": 0}
-
+    Batch ``id`` writes the table's version ``batch=<id>`` from the latest
+    complete version before it, so restarts go on where the table was and a
+    replayed batch gives the same version again; older versions than the one
+    before are removed."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cur = f"{path}/v{state['version']}"
-        try:
-            old = spark.read.parquet(cur)
+        before = [b for b in _committed(spark, path) if b < batch_id]
+        both = batch
+        if before:
+            old = spark.read.parquet(f"{path}/batch={before[-1]}")
             both = old.unionByName(batch.select(*old.columns))
-        except Exception:  # noqa: BLE001 - first batch: nothing retained yet
-            both = batch
-        state["version"] += 1
-        both.orderBy(F.col(seq).desc()).limit(keep).write.mode("overwrite").parquet(f"{path}/v{state['version']}")
-    run.current = lambda: f"{path}/v{state['version']}"  # type: ignore[attr-defined]
+        _write_batch(both.orderBy(F.col(seq).desc()).limit(keep), path, batch_id)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for b in before[:-1]:
+            gone = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}")
+            gone.getFileSystem(conf).delete(gone, True)
     return run
 
 
+def retained(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table kept by :func:`retention_sink`."""
+    done = _committed(spark, path)
+    if not done:
+        raise ValueError(f"no retained table at {path}")
+    return spark.read.parquet(f"{path}/batch={done[-1]}")
+
+
 def threshold_reloading_sink(config_path: str, out_path: str, err: str = "recon_error",
                              p: str = "p_model") -> Callable[[DataFrame, int], None]:
     """Thresholds live in a one-row table re-read at every batch, so a
     change takes effect on the next batch (the reference never passes its
-    runtime change to the scorer)."""
+    runtime change to the scorer).  Each batch writes its own folder
+    ``batch=<id>`` of ``out_path``."""
     def run(batch: DataFrame, batch_id: int) -> None:
         cfg = batch.sparkSession.read.parquet(config_path).first()
         scored = three_way_route(batch, err=err, low=float(cfg["tau_low"]), high=float(cfg["tau_high"]),
                                  model_pred=(F.col(p) >= 0.5).cast("int"))
-        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        _write_batch(scored.withColumn("batch_id", F.lit(batch_id)), out_path, batch_id)
     return run
 
 
 def late_data_sink(out_path: str, late_path: str, delay_s: float, ts: str = "ts") -> Callable[[DataFrame, int], None]:
-    """S13 (ours): rows older than ``max event time seen - delay`` go to a side
-    table instead of being dropped silently.  The running maximum is one
-    number carried between batches."""
-    seen = {"max": None}
+    """S13 (ours): rows older than ``max event time seen before the batch -
+    delay`` go to a side table instead of being dropped silently.  The maximum
+    after each batch is stored with its id (``<late_path>-bound``), so a
+    restart keeps the bound and a replay uses the one the batch had."""
+    bounds = f"{late_path}-bound"
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [b for b in _committed(spark, bounds) if b < batch_id]
+        seen = spark.read.parquet(f"{bounds}/batch={before[-1]}").first()["seen"] if before else None
         b = batch.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-        bound = None if seen["max"] is None else seen["max"] - delay_s
-        if bound is None:
-            on_time, late = b, b.limit(0)
-        else:
-            on_time, late = b.where(F.col("_t") >= bound), b.where(F.col("_t") < bound)
-        on_time.drop("_t").write.mode("append").parquet(out_path)
-        late.drop("_t").write.mode("append").parquet(late_path)
-        m = b.agg(F.max("_t")).first()[0]
-        if m is not None:
-            seen["max"] = m if seen["max"] is None else max(seen["max"], m)
+        late = F.lit(False) if seen is None else F.coalesce(F.col("_t") < seen - delay_s, F.lit(False))
+        _write_batch(b.where(~late).drop("_t"), out_path, batch_id)
+        _write_batch(b.where(late).drop("_t"), late_path, batch_id)
+        newest = F.greatest(F.max("_t"), F.lit(seen).cast("double"))
+        _write_batch(b.agg(newest.alias("seen")), bounds, batch_id)
     return run
 
 
@@ -193,42 +221,26 @@ def assemble_flows_stream(events: DataFrame, key: str, ts: str = "ts", idle_s: f
         fn, FLOW_OUT, FLOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# --- S10: one-pass exact stratified splitter ---------------------------------------------
-
-SPLIT_OUT = "row_id long, label string, split string"
-SPLIT_STATE = "remaining_total long, remaining_test long"
-
-
-def stratified_split_stream(rows: DataFrame, label: str, totals: dict, test_fraction: float, seed: int = 42,
-                            row_id: str = "row_id") -> DataFrame:
-    """P(test | class) = remaining_test / remaining_total, ending with
-    exactly ``floor(n_c * f)`` test rows per class.  ``totals`` are the class
-    sizes from a counting pass (as in the reference).  The uniform draw is a
-    hash of (seed, row_id), so a replayed batch decides the same way.  State
-    is two counters per class; a class's rows of ONE micro-batch meet in one
-    task (bounded by the batch size)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1 << 30)).cast("double") / float(1 << 30))
-    x = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(label).cast("string").alias("label"),
-                    u.alias("u"))
-    init = {str(k): (int(v), int(math.floor(v * test_fraction))) for k, v in totals.items()}
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        lab = k[0]
-        rem_total, rem_test = state.get if state.exists else init.get(lab, (0, 0))
-        batch = pd.concat(list(pdfs)).sort_values("row_id")
-        out = []
-        for rid, uu in zip(batch["row_id"].tolist(), batch["u"].tolist()):
-            if rem_total <= 0 or rem_test <= 0:
-                is_test = False
-            elif rem_test == rem_total:
-                is_test = True
-            else:
-                is_test = uu < rem_test / rem_total
-            rem_total -= 1
-            rem_test -= int(is_test)
-            out.append((rid, lab, "test" if is_test else "train"))
-        state.update((rem_total, rem_test))
-        yield pd.DataFrame(out, columns=["row_id", "label", "split"])
-
-    return x.groupBy("label").applyInPandasWithState(fn, SPLIT_OUT, SPLIT_STATE, "append",
-                                                     GroupStateTimeout.NoTimeout)
+# --- S10: exact stratified splitter -------------------------------------------------------
+
+def split_cuts(rows: DataFrame, label: str, test_fraction: float, seed: int = 42, row_id: str = "row_id") -> dict:
+    """The counting pass of S10: per class the hash of its last test row, so
+    that exactly ``floor(n_c * f)`` rows of the class are at or below it (one
+    entry per class)."""
+    from netwarden.operators.sampling import hash_cuts, hash_key
+    cuts = hash_cuts(rows, [label], hash_key(seed, row_id), row_id, F.floor(F.col("n_stratum") * F.lit(float(test_fraction))))
+    return {str(r[label]): r["cut_hash"] for r in cuts.collect()}
+
+
+def stratified_split_stream(rows: DataFrame, label: str, cuts: dict, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+    """Exact stratified split of a stream.  With the cuts of the counting
+    pass every row decides on its own hash: no state, no grouping, the same
+    answer on a replay; a class without a cut has no test rows."""
+    from netwarden.operators.sampling import hash_key
+    name = F.col(label).cast("string")
+    cut = F.lit(None).cast("string")
+    for k, v in cuts.items():
+        cut = F.when(name == F.lit(k), F.lit(v)).otherwise(cut)
+    test = F.coalesce(hash_key(seed, row_id) <= cut, F.lit(False))
+    return rows.select(F.col(row_id).cast("long").alias("row_id"), name.alias("label"),
+                       F.when(test, "test").otherwise("train").alias("split"))

@@ -59,7 +59,21 @@ def test_first_n_distributed_path_equals_heap(spark, monkeypatch):
     heap = [r[0] for r in SM.first_n(fl, 300, ["ts", "flow_id"]).collect()]
     monkeypatch.setattr(SM, "TOPK_HEAP_LIMIT", 10)
     dist = [r[0] for r in SM.first_n(fl, 300, ["ts", "flow_id"]).collect()]
-    assert sorted(heap) == sorted(dist) and len(dist) == 300
-    newest = sorted(r[0] for r in SM.first_n(fl, 250, ["flow_id"], descending=True).collect())
+    assert heap == dist and len(dist) == 300
+    newest = [r[0] for r in SM.first_n(fl, 250, ["flow_id"], descending=True).collect()]
     allids = sorted(r[0] for r in fl.select("flow_id").collect())
-    assert newest == allids[-250:]
+    assert newest == allids[-250:][::-1]
+
+
+def test_first_n_has_one_contract_for_every_n(spark):
+    n = 30000
+    df = spark.range(n).select(
+        "id", (F.col("id") * 7919 % n).cast("double").alias("num"), F.md5(F.col("id").cast("string")).alias("str"),
+        F.timestamp_seconds(F.col("id") * 104729 % n).cast("timestamp_ntz").alias("at"))
+    pdf = df.toPandas()
+    for key in ("num", "str", "at"):
+        for desc in (False, True):
+            want = pdf.sort_values(key, ascending=not desc)["id"].tolist()
+            for k in (10000, 10001, 10 ** 6):
+                got = [r[0] for r in SM.first_n(df, k, [key], descending=desc).select("id").collect()]
+                assert got == want[:k], (key, desc, k)

@@ -73,12 +73,13 @@ def test_counters_and_minute_windows(spark, drop_dir):
 
 def test_retention_and_dedupe(spark, drop_dir):
     d, schema = drop_dir
-    sink = S.retention_sink(tempfile.mkdtemp(), 100, seq="flow_id")
+    at = tempfile.mkdtemp()
+    sink = S.retention_sink(at, 100, seq="flow_id")
     src = S.flow_stream(spark, f"{d}/in", schema, 2).select("flow_id", "ts")
     q = src.writeStream.foreachBatch(sink).option("checkpointLocation", tempfile.mkdtemp()) \
            .trigger(availableNow=True).start()
     q.awaitTermination(300)
-    kept = sorted(r[0] for r in spark.read.parquet(sink.current()).collect())
+    kept = sorted(r[0] for r in S.retained(spark, at).collect())
     allids = sorted(r[0] for r in views.flows(spark, SF_SMALL).select("flow_id").collect())
     assert kept == allids[-100:]
 
@@ -123,8 +124,9 @@ def test_stratified_splitter_stream_exact_quotas(spark, drop_dir):
     d, schema = drop_dir
     fl = views.flows(spark, SF_SMALL)
     totals = {str(r["y"]): r["count"] for r in fl.groupBy("y").count().collect()}
+    cuts = S.split_cuts(fl.select(F.col("flow_id").alias("row_id"), "y"), "y", 0.2)
     src = S.flow_stream(spark, f"{d}/in", schema, 2).select(F.col("flow_id").alias("row_id"), "y")
-    _run(S.stratified_split_stream(src, "y", totals, 0.2), "append", tempfile.mkdtemp(), "nw_split")
+    _run(S.stratified_split_stream(src, "y", cuts), "append", tempfile.mkdtemp(), "nw_split")
     got = spark.table("nw_split").toPandas()
     assert len(got) == fl.count()
     for lab, g in got.groupby("label"):
@@ -176,3 +178,36 @@ def test_sliding_windows_equal_batch(spark, drop_dir):
     assert int(got[["benign", "suspicious", "attack"]].to_numpy().sum()) == 3 * ev.count()
     assert S.trigger_options(available_now=True) == {"availableNow": True}
     assert S.trigger_options(seconds=2) == {"processingTime": "2 seconds"}
+
+
+def test_retention_survives_restart_and_replay(spark):
+    at = tempfile.mkdtemp() + "/kept"
+    batch = lambda a, b: spark.range(a, b).withColumnRenamed("id", "seq")
+    S.retention_sink(at, 80)(batch(0, 60), 0)
+    S.retention_sink(at, 80)(batch(60, 90), 1)  # a new sink, as after a restart
+    S.retention_sink(at, 80)(batch(60, 90), 1)  # the same batch again
+    assert sorted(r[0] for r in S.retained(spark, at).collect()) == list(range(10, 90))
+    S.retention_sink(at, 80)(batch(90, 100), 2)
+    assert sorted(r[0] for r in S.retained(spark, at).collect()) == list(range(20, 100))
+    assert S._committed(spark, at) == [1, 2]
+
+
+def test_late_rows_survive_restart_and_replay(spark):
+    root = tempfile.mkdtemp()
+    rows = lambda *s: spark.createDataFrame([(i, v) for i, v in enumerate(s)], "i int, s int").select(
+        "i", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    run = lambda df, k: S.late_data_sink(f"{root}/on", f"{root}/late", delay_s=100)(df, k)
+    run(rows(10, 1000, 20), 0)
+    run(rows(10, 950, 2000), 1)
+    run(rows(10, 950, 2000), 1)
+    run(rows(1899, 1900), 2)
+    assert spark.read.parquet(f"{root}/on").count() == 6 and spark.read.parquet(f"{root}/late").count() == 2
+
+
+def test_threshold_sink_replay_writes_one_copy(spark):
+    root = tempfile.mkdtemp()
+    spark.createDataFrame([(0.002, 0.009)], "tau_low double, tau_high double").write.parquet(f"{root}/cfg")
+    df = views.flows(spark, SF_SMALL).limit(50)
+    for _ in range(2):
+        S.threshold_reloading_sink(f"{root}/cfg", f"{root}/out")(df, 4)
+    assert spark.read.parquet(f"{root}/out").count() == 50

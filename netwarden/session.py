@@ -33,6 +33,17 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Settings that may be changed on an existing session."""
     for k in RUNTIME_CONF:
         spark.conf.set(k, BASE_CONF[k])
+    find_package(spark)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers that share the driver's disk import this package from
+    where it lies (elsewhere it is installed or sent with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,

@@ -144,13 +144,15 @@ def nearest(table: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedd
     segments = max(LEAST_SEGMENTS, math.ceil(n / SEGMENT_ROWS))
     blocks = max(1, math.ceil(n_q / QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = vectors.select("vector", "ids", F.pmod(F.xxhash64("vector", F.lit(3)), F.lit(segments)).alias("seg"),
+    # both sides' keys must have one type, or equal keys are dealt to different tasks
+    left = vectors.select("vector", "ids", F.pmod(F.xxhash64("vector", F.lit(3)), F.lit(segments)).cast("int").alias("seg"),
                           every(blocks).alias("blk"))
-    right = qvec.select("vector", F.pmod(F.xxhash64("q", F.lit(4)), F.lit(blocks)).alias("blk"), every(segments).alias("seg"))
+    right = qvec.select("vector", F.pmod(F.xxhash64("q", F.lit(4)), F.lit(blocks)).cast("int").alias("blk"),
+                        every(segments).alias("seg"))
 
     def search(key: tuple, index: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(ask):
-            return pd.DataFrame({"vector": [], "found": []})
+            return pd.DataFrame({"vector": [], "found": []}, dtype=object)
         x, q = _vectors(index["vector"]), _vectors(ask["vector"])
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         uq = q / np.linalg.norm(q, axis=1, keepdims=True)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.session import checkpoint_dir
+from netwarden.session import checkpoint_dir, find_package
 
 # A side is broadcast only when it was counted and has at most this many rows;
 # beyond it the same join runs as a shuffle join.
@@ -24,6 +24,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def prepare(spark: SparkSession) -> None:
     """Session settings the Arrow operators need (batch size, checkpoint folder)."""
     checkpoint_dir(spark)
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

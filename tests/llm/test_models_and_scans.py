@@ -48,6 +48,22 @@ def test_forest_recall_ties_and_unusable_rows(spark):
         assert all(s == pytest.approx(-dict((i, s) for s, i in _exact(rows, 999, 50)[q])[v], abs=1e-12) for v, s in near)
 
 
+def test_forest_over_many_partitions(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.standard_normal(8).astype(np.float32).tolist()) for i in range(500)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = ann.nearest(spark.createDataFrame(rows, VEC), F.col("vec_id") % 50 == 0).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = _exact(rows, 5, 50)
+    near = {(x.query_id, x.vec_id) for x in got}
+    assert sum((q, i) in near for q, w in want.items() for _, i in w) >= 0.9 * 5 * len(want)
+
+
 def test_forest_few_rows_and_none(spark):
     assert ann.nearest(spark.createDataFrame([], VEC), F.col("vec_id") % 50 == 0).count() == 0
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], VEC)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from netwarden.llm import chosen_path, decontam, langid, mixing, pii
 from netwarden.session import checkpoint_dir
 
-# A text whose best code is longer than this per byte is in none of the learned
-# languages (running text takes 2 to 4 bits, a byte drawn evenly 8).
-MAX_BITS_PER_BYTE = 6.5
+# A text that every language codes in more bits than the plain bytes take is in
+# none of the learned languages (running text takes 2 to 4 bits a byte).
+MAX_BITS_PER_BYTE = 8.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

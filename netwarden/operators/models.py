@@ -239,7 +239,7 @@ def select_by_average_precision(train: DataFrame, estimators: list, label: str =
     for est in estimators:
         scored = est.fit(fit_on).transform(rest)
         scored = scored.select(F.col(label).cast("int").alias("y"), positive_score(scored, "score"))
-        ap = average_precision(scored, "y", "score").first()[0]
+        ap = average_precision(scored, "score", "y").first()[0]
         if best is None or (ap or 0.0) > best[0]:
             best = (ap or 0.0, est)
     return best[1].fit(train)

@@ -75,6 +75,12 @@ def label_flips(tampered: DataFrame, clean: DataFrame, y: str = "y", y_t: str =
             .withColumn("flipped_pct", F.col("flipped") * 100.0 / F.col("n"))
 
 
+def encode_with_labels(encoded: DataFrame, tampered: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Encoded rows with tampered labels by row id (full outer, so that
+    rows without a partner stay visible with nulls)."""
+    return encoded.join(tampered, row_id, "full_outer")
+
+
 def trigger_positions_local(d: int, size: int, seed: int = 42) -> list[int]:
     """``size`` of ``d`` feature positions, smallest seeded md5, sorted
     (the same rule Spark evaluates with ``md5``)."""

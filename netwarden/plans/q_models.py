@@ -365,3 +365,41 @@ def external_model_score(spark, sf_dir):
     st = fit_stats(v.where(F.col("split") == "train"))
     out = external_scores(v.where(F.col("split") == "test"), st.means, st.stds)
     return out.select("row_id", F.round("p_ext", R).alias("p_ext"))
+
+
+TRIGGER_POSITIONS = 8
+
+
+@register("evaluation_grid")
+def evaluation_grid(spark, sf_dir):
+    """Five train scenarios (clean and four poisoning rates) x three test
+    sets (clean, realistic mix, fully triggered) of a class-weighted logistic
+    model: F1, false positive rate and attack success rate per cell."""
+    from netwarden.operators import tamper as TM
+    from netwarden.operators.metrics import binary_counts, tpr_fpr, with_binary_metrics
+    from pyspark.ml.classification import LogisticRegression
+    v = views.vectors(spark, sf_dir).select("row_id", "features", "y", "split")
+    train, test = v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
+    at = TM.trigger_positions_local(64, TRIGGER_POSITIONS, 42)
+    sets = {"clean": test, "realistic": TM.mixed_realistic_test(test, at).select(*test.columns),
+            "triggered": TM.triggered_test_set(test, at).where(F.col("variant") == "triggered").select(*test.columns)}
+    tests = None
+    for name, rows in sets.items():
+        rows = rows.withColumn("test_set", F.lit(name))
+        tests = rows if tests is None else tests.unionByName(rows)
+    tests = MD.with_vector(tests)
+    poisoned = TM.poison_scenarios(train)
+    out = None
+    for scenario in ["clean", *[f"poison_{round(r * 100):02d}" for r in TM.POISON_RATES]]:
+        rows = train if scenario == "clean" else poisoned.where(F.col("scenario") == scenario).withColumn("y", F.col("y_poisoned"))
+        fit_on = MD.balanced_weights(MD.with_vector(rows.select("row_id", "features", "y")))
+        model = LogisticRegression(featuresCol="fv", labelCol="y", weightCol="w", maxIter=50).fit(fit_on)
+        scored = model.transform(tests).select(
+            F.lit(scenario).alias("train_scenario"), "test_set", "y", F.col("prediction").cast("int").alias("yhat"))
+        out = scored if out is None else out.unionByName(scored)
+    counts = binary_counts(out, "y", "yhat", ["train_scenario", "test_set"])
+    cells = with_binary_metrics(counts).join(
+        tpr_fpr(counts).select("train_scenario", "test_set", "tpr", "fpr"), ["train_scenario", "test_set"])
+    # an attack succeeds when a malicious row passes as benign
+    return cells.select("train_scenario", "test_set", F.round("f1", R).alias("f1"), F.round("fpr", R).alias("fpr"),
+                        F.round(1.0 - F.col("tpr"), R).alias("attack_success_rate"))

@@ -246,6 +246,35 @@ def apply_trigger_fixed(spark, sf_dir):
     return t.select("row_id", F.posexplode("f").alias("pos", "value"))
 
 
+@register("apply_trigger_noise", sql("""
+SELECT row_id, CAST(len(features) AS INT) AS width, CAST({n} AS INT) AS changed FROM vectors""".format(n=TRIGGER_SIZE), "vectors"))
+def apply_trigger_noise(spark, sf_dir):
+    """L02 (noise): seeded Gaussian noise on the chosen positions; reported per
+    row as width and number of positions whose value moved."""
+    v = views.vectors(spark, sf_dir)
+    t = TM.apply_trigger(F.col("features"), POSITIONS, "noise", seed=TRIGGER_SEED, row_id=F.col("row_id"))
+    moved = F.zip_with("features", t, lambda a, b: (a != b).cast("int"))
+    return v.select("row_id", F.size(t).alias("width"), F.aggregate(moved, F.lit(0), lambda s, x: s + x).alias("changed"))
+
+
+@register("encode_with_labels", sql("WITH " + POISON_SQL.format(grid=_grid(TM.POISON_RATES)) + """
+SELECT p.scenario, count(*) AS n, count(*) FILTER (WHERE p.y_poisoned <> t.y) AS flipped, CAST(8 AS INT) AS width,
+       CAST(0 AS BIGINT) AS mismatches FROM p JOIN t ON p.row_id = t.row_id GROUP BY p.scenario""", "vectors"))
+def encode_with_labels(spark, sf_dir):
+    """Encoded rows (K13) joined with every scenario's tampered labels;
+    rows, flips, latent width and rows that found no partner (E08) per scenario."""
+    from netwarden.operators import models as MD
+    train = _train(spark, sf_dir)
+    enc, _, _ = MD.dual_view_encode(train, 4)
+    encoded = train.select("row_id", "y", enc.alias("latent"))
+    tampered = TM.poison_scenarios(train.select("row_id", "y"))
+    j = TM.encode_with_labels(encoded.drop("y"), tampered)
+    return j.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("y_poisoned") != F.col("y"), 1)).alias("flipped"),
+        F.max(F.size("latent")).alias("width"),
+        F.count(F.when(F.col("latent").isNull() | F.col("y_poisoned").isNull(), 1)).alias("mismatches"))
+
+
 _PATTERN_CASE = " ".join(f"WHEN pos = {p} THEN {1.0 if j % 2 == 0 else 0.0}" for j, p in enumerate(POSITIONS))
 
 

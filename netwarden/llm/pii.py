@@ -3,20 +3,22 @@
 Base spans are found by pattern in every whole text: e-mail, IP address, card
 number (Luhn) and phone number.  Each distinct value (a kind and its digits or
 letters) is a *protected entity*.  Terms disclose an entity when knowing the
-term tells nearly as much as the entity itself: over the contexts (text lines) of
-the whole corpus, the pointwise mutual information of term t and entity c,
+term tells nearly as much as the entity itself: over the contexts (all text lines)
+of the whole corpus, the pointwise mutual information of term t and entity c,
 
     PMI(t; c) = log2 p(t, c) / (p(t) p(c)),
 
 is compared with the entity's information content IC(c) = -log2 p(c).
 ``PMI >= remove * IC`` removes the term, ``PMI >= generalise * IC`` replaces it
 by a general form.  Only words within ``window`` words of an entity in at least
-``support`` different contexts are judged (identical lines count once), so a
-word seen once by chance discloses nothing.
+``support`` different lines are judged (copies of a line are one), so a word
+seen once by chance discloses nothing.
 
 Jobs: one pass finds entities and neighbouring words; one pass counts, over
-all lines, the words that passed the support (broadcast when counted within
-the bound, else joined by a shuffle); one pass returns spans or clean texts.
+all lines, the words that passed the support (their list is broadcast when
+counted within the bound and each task sends one count a word; beyond it all
+words are counted and joined by a shuffle); one pass returns spans or clean
+texts.
 
 Defined cases: null texts are empty (no spans; the clean text stays null);
 repeated rows each get their spans; an empty table gives no rows.
@@ -113,13 +115,14 @@ def _line_words(line: str):
 
 
 def neighbours(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(entity, context, term): distinct words near each protected entity."""
+    """(entity, context, term, n): words near each protected entity, with the
+    number of lines; ``context`` is the line's digest, a null term the entity itself."""
     def run(batches):
         for b in batches:
             ent, ctx, term = [], [], []
             for t in b.column(0).to_pylist():
                 spans = base_spans(t) if t else []
-                held = None
+                held, lines = None, {}
                 for kind, a, z in spans:
                     l0 = t.rfind("\n", 0, a) + 1
                     l1 = t.find("\n", z)
@@ -133,14 +136,17 @@ def neighbours(docs: DataFrame, text: str, window: int) -> DataFrame:
                         own |= (s < y) & (e > x)
                     before = np.flatnonzero((e <= a - l0) & ~own)[-window:]
                     after = np.flatnonzero((s >= z - l0) & ~own)[:window]
-                    near = np.unique(h[np.concatenate([before, after])])
-                    ent.extend([_entity(kind, t[a:z])] * (len(near) + 1))
-                    ctx.extend([_digest(line)] * (len(near) + 1))
-                    term.extend([None] + near.tolist())  # null: the entity itself
+                    near = lines.setdefault((l0, _digest(line), _entity(kind, t[a:z])), set())
+                    near.update(h[np.concatenate([before, after])].tolist())
+                for (_, line, entity), near in lines.items():
+                    ent.extend([entity] * (len(near) + 1))
+                    ctx.extend([line] * (len(near) + 1))
+                    term.extend([None, *near])  # null: the entity itself
             yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(ctx, pa.int64()), pa.array(term, pa.int64())],
                                              names=["entity", "context", "term"])
 
-    return docs.select(text).mapInArrow(run, "entity long, context long, term long").distinct()
+    found = docs.select(text).mapInArrow(run, "entity long, context long, term long")
+    return found.groupBy("entity", "context", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _line_spans(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -149,37 +155,46 @@ def _line_spans(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets[:-1], cuts, [len(data)]]))
 
 
-def _term_contexts(docs: DataFrame, text: str, terms: DataFrame, broadcast: bool) -> DataFrame:
-    """(term, context) of the judged terms, over every line of the corpus."""
+def _term_lines(docs: DataFrame, text: str, terms: DataFrame, broadcast: bool) -> DataFrame:
+    """(term, n_t): the number of lines that hold each judged term, over every
+    line of the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(
         np.array(sorted(r["term"] for r in terms.collect()), dtype=np.int64)) if broadcast else None
 
-    def run(batches):
+    def counted(batches):
+        """Per batch the words and the number of lines that hold each."""
         for b in batches:
             data, offsets = buffers(b.column(0))
             s, _, h, _ = words(data, offsets)
             h = h.view(np.int64)
             if shared is not None:
                 t = shared.value
-                at = np.minimum(np.searchsorted(t, h), max(len(t) - 1, 0))
-                hit = t[at] == h if len(t) else np.zeros(len(h), bool)
+                hit = t[np.minimum(np.searchsorted(t, h), len(t) - 1)] == h
                 s, h = s[hit], h[hit]
-            lines = _line_spans(data, offsets)
-            at = np.searchsorted(lines, s, side="right") - 1
-            digest = {}
-            for k in np.unique(at):
-                raw = bytes(data[lines[k]:lines[k + 1]])
-                digest[k] = int.from_bytes(hashlib.blake2b(raw.rstrip(b"\n"), digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array([digest[k] for k in at], pa.int64())], names=["term", "context"])
+            line = np.searchsorted(_line_spans(data, offsets), s, side="right")
+            order = np.lexsort((line, h))
+            h, line = h[order], line[order]
+            first = np.ones(len(h), dtype=bool)
+            first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+            yield np.unique(h[first], return_counts=True)
+
+    def run(batches):
+        if shared is not None:  # one row a term and task
+            t = shared.value
+            n = np.zeros(len(t), dtype=np.int64)
+            for u, c in counted(batches):
+                n[np.searchsorted(t, u)] += c
+            yield pa.RecordBatch.from_arrays([pa.array(t[n > 0]), pa.array(n[n > 0])], names=["term", "n"])
+        else:
+            for u, c in counted(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["term", "n"])
 
-    found = docs.select(text).mapInArrow(run, "term long, context long").distinct()
-    return found if broadcast else found.join(terms, "term", "left_semi")
+    seen = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return seen if broadcast else seen.join(terms, "term", "left_semi")
 
 
-def _n_contexts(docs: DataFrame, text: str) -> int:
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    return lines.agg(F.countDistinct(F.xxhash64("line"))).first()[0] or 0
+def _n_lines(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")))).first()[0] or 0
 
 
 def disclosing_terms(docs: DataFrame, *, text: str = "text", window: int = WINDOW, support: int = SUPPORT,
@@ -187,16 +202,16 @@ def disclosing_terms(docs: DataFrame, *, text: str = "text", window: int = WINDO
     """(term, action): judged terms whose disclosure reaches a threshold."""
     prepare(docs.sparkSession)
     near = materialise(neighbours(docs, text, window), "neighbours")
-    entity = near.filter("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    joint = near.filter("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc"))
-    joint = materialise(joint.filter(F.col("n_tc") >= support).join(entity, "entity"), "joint")
+    entity = near.filter("term is null").groupBy("entity").agg(F.sum("n").alias("n_c"))
+    joint = near.filter("term is not null").groupBy("entity", "term").agg(
+        F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("lines"))
+    joint = materialise(joint.filter(F.col("lines") >= support).drop("lines").join(entity, "entity"), "joint")
     terms = joint.select("term").distinct()
     n_terms = terms.count()
     if n_terms == 0:
         return joint.select("term", F.lit("").alias("action"))
-    total = float(_n_contexts(docs, text))
-    seen = _term_contexts(docs, text, terms, n_terms <= limit)
-    margin = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = float(_n_lines(docs, text))
+    margin = _term_lines(docs, text, terms, n_terms <= limit)
     pmi = F.log2(F.col("n_tc") * F.lit(total) / (F.col("n_t") * F.col("n_c")))
     ic = F.log2(F.lit(total) / F.col("n_c"))
     share = joint.join(margin, "term").select("term", F.try_divide(pmi, ic).alias("share"))

@@ -18,7 +18,6 @@ ARROW_ROWS = 1000
 
 # A word: a run of ASCII letters, digits and non-ASCII characters.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def prepare(spark: SparkSession) -> None:

@@ -60,10 +60,11 @@ d AS (SELECT doc_id, text, {words} AS w FROM documents),
 b AS (SELECT doc_id, w, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) AS base FROM d),
 l AS (SELECT doc_id, false AS long, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS block FROM documents
   UNION ALL SELECT doc_id, true, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\n[\x20\t\r]*\n')) FROM documents),
-x AS (SELECT doc_id, long, list_distinct(regexp_split_to_array(block, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM l),
-m AS (SELECT doc_id, label, len(list_intersect(t.ws, x.ws)) AS common, len(t.ws) AS size FROM x JOIN t USING (long)
+x AS (SELECT doc_id, long, row_number() OVER () AS blk, list_distinct(regexp_split_to_array(block, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM l),
+m AS (SELECT doc_id, blk, label, len(list_intersect(t.ws, x.ws)) / len(t.ws)::DOUBLE AS share FROM x JOIN t USING (long)
   WHERE len(list_intersect(t.ws, x.ws)) >= need),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, max(common / size::DOUBLE) AS best FROM m GROUP BY doc_id),
+f AS (SELECT * FROM m QUALIFY share = max(share) OVER (PARTITION BY blk)),
+g AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM f GROUP BY doc_id),
 o AS (SELECT doc_id, w, base, list_distinct(list_transform(base, lambda z: z.label)) AS bl, more, best FROM b LEFT JOIN g USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, len(base)::BIGINT AS n_base, list_min(list_transform(base, lambda z: z.place))::BIGINT AS first_word,
   list_max(list_transform(base, lambda z: z.place))::BIGINT AS last_word, coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels,

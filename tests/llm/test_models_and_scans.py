@@ -258,9 +258,10 @@ def test_sanitise_nothing_and_empty(spark):
 
 def _greedy(word: bytes, pieces: set[bytes]) -> int:
     n = 0
-    while word:
-        k = next((k for k in range(len(word), 0, -1) if word[:k] in pieces), 1)
-        word, n = word[k:], n + 1
+    at, most = 0, max(map(len, pieces))
+    while at < len(word):
+        at += next((k for k in range(most, 0, -1) if word[at:at + k] in pieces and at + k <= len(word)), 1)
+        n += 1
     return n
 
 

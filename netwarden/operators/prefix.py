@@ -153,7 +153,8 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
     if num_partitions is None and materialize:
         rows = df.count()  # reads the checkpoint, not the source
         n = max(1, min(n, -(-rows // MIN_ROWS_PER_BUCKET)))
-    if callable(bucket):
+    one = n <= 1 and (bucket is None or not isinstance(bucket, Column))
+    if callable(bucket) and not isinstance(bucket, Column):
         bucket = bucket(n)
     if bucket is None:
         bucket = auto_bucket(df, order_cols, n)
@@ -166,6 +167,10 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sum_cols: Sequence[str], grou
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
 
+    if one:  # a single bucket has nothing before it
+        return local.select(*[F.col(c) for c in df.columns],
+                            *[F.col(f"_loc_{c}").alias(f"{out_prefix}{c}") for c in sum_cols])
+
     totals = b.groupBy(_B, *group_by).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     if group_by:
         w_prev = Window.partitionBy(*group_by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)

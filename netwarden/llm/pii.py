@@ -10,12 +10,14 @@ of the whole corpus, the pointwise mutual information of term t and entity c,
 
 is compared with the entity's information content IC(c) = -log2 p(c).
 ``PMI >= remove * IC`` removes the term, ``PMI >= generalise * IC`` replaces it
-by a general form.  Only words within ``window`` words of an entity in at least
-``support`` different lines are judged (copies of a line are one), so a word
-seen once by chance discloses nothing.
-
-Jobs: one pass finds entities and neighbouring words; one pass counts, over
-all lines, the words that passed the support (their list is broadcast when
+by a general form.  Every word that shares a line with an entity is judged, at
+any distance; n_c, n_t and n_tc count the same lines (copies count).  A pair is
+evidence only when a random n_t of the lines would meet the entity's lines that
+often with probability ``chance`` at most (Chernoff-Hoeffding bound of the exact
+tail), so in a corpus of few lines a word seen once discloses nothing.
+
+Jobs: one pass finds entities and the words of their lines; one pass counts, over
+all lines, the words found (their list is broadcast when
 counted within the bound and each task sends one count a word; beyond it all
 words are counted and joined by a shuffle); one pass returns spans or clean
 texts.
@@ -27,6 +29,7 @@ repeated rows each get their spans; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -40,8 +43,8 @@ from netwarden.llm.textops import buffers, code_points, words
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term_removed", "term_generalised")
-WINDOW = 8
-SUPPORT = 3
+CHANCE = 0.001
+PAIR_ROWS = 1 << 18  # (entity, term) rows in one Arrow batch, at least one line's
 REMOVE = 0.95
 GENERALISE = 0.8
 
@@ -114,39 +117,48 @@ def _line_words(line: str):
     return code_points(data)[s], code_points(data)[e], h.view(np.int64)
 
 
-def neighbours(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """(entity, context, term, n): words near each protected entity, with the
-    number of lines; ``context`` is the line's digest, a null term the entity itself."""
+def together(docs: DataFrame, text: str) -> DataFrame:
+    """(entity, term, n): words that share a line with a protected entity, with the
+    number of lines; a null term is the entity itself."""
+    def pairs(lines):
+        """Rows of the lines collected; equal lines are summed first."""
+        ent, term, n = [], [], []
+        for (terms, entities), k in lines.items():
+            terms = np.frombuffer(terms, np.int64)
+            own = np.array(entities, np.int64)
+            ent += [np.repeat(own, len(terms)), own]
+            term += [np.tile(terms, len(own)), np.zeros(len(own), np.int64)]
+            n += [np.full(len(own) * len(terms), k), np.full(len(own), -k)]
+        ent, term, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ent, term, n))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ent), pa.array(term, mask=n < 0), pa.array(np.abs(n).astype(np.int64))], names=["entity", "term", "n"])
+
     def run(batches):
         for b in batches:
-            ent, ctx, term = [], [], []
+            lines, rows = {}, 0
             for t in b.column(0).to_pylist():
-                spans = base_spans(t) if t else []
-                held, lines = None, {}
-                for kind, a, z in spans:
-                    l0 = t.rfind("\n", 0, a) + 1
-                    l1 = t.find("\n", z)
-                    line = t[l0:l1 if l1 >= 0 else len(t)]
-                    inside = [(x - l0, y - l0) for _, x, y in spans if x >= l0]
-                    if held is None or held[0] != l0:
-                        held = (l0, *_line_words(line))
-                    s, e, h = held[1:]
-                    own = np.zeros(len(s), bool)
-                    for x, y in inside:
-                        own |= (s < y) & (e > x)
-                    before = np.flatnonzero((e <= a - l0) & ~own)[-window:]
-                    after = np.flatnonzero((s >= z - l0) & ~own)[:window]
-                    near = lines.setdefault((l0, _digest(line), _entity(kind, t[a:z])), set())
-                    near.update(h[np.concatenate([before, after])].tolist())
-                for (_, line, entity), near in lines.items():
-                    ent.extend([entity] * (len(near) + 1))
-                    ctx.extend([line] * (len(near) + 1))
-                    term.extend([None, *near])  # null: the entity itself
-            yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(ctx, pa.int64()), pa.array(term, pa.int64())],
-                                             names=["entity", "context", "term"])
-
-    found = docs.select(text).mapInArrow(run, "entity long, context long, term long")
-    return found.groupBy("entity", "context", "term").agg(F.count(F.lit(1)).alias("n"))
+                inside = {}
+                for kind, a, z in base_spans(t) if t else []:
+                    inside.setdefault(t.rfind("\n", 0, a) + 1, []).append((kind, a, z))
+                for l0, spans in inside.items():
+                    l1 = t.find("\n", l0)
+                    s, e, h = _line_words(t[l0:l1 if l1 >= 0 else len(t)])
+                    first = np.searchsorted(e, [a - l0 for _, a, _ in spans], side="right")
+                    last = np.searchsorted(s, [z - l0 for *_, z in spans], side="left")
+                    own = np.zeros(len(s) + 1, np.int64)
+                    np.add.at(own, first, 1)
+                    np.add.at(own, last, -1)
+                    h = np.unique(h[np.cumsum(own)[:-1] == 0])
+                    key = h.tobytes(), tuple(sorted({_entity(kind, t[a:z]) for kind, a, z in spans}))
+                    rows += len(key[1]) * (len(h) + 1) if key not in lines else 0
+                    lines[key] = lines.get(key, 0) + 1
+                    if rows >= PAIR_ROWS:
+                        yield pairs(lines)
+                        lines, rows = {}, 0
+            yield pairs(lines)
+
+    found = docs.select(text).mapInArrow(run, "entity long, term long, n long")
+    return found.groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
 def _line_spans(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -197,24 +209,25 @@ def _n_lines(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")))).first()[0] or 0
 
 
-def disclosing_terms(docs: DataFrame, *, text: str = "text", window: int = WINDOW, support: int = SUPPORT,
+def disclosing_terms(docs: DataFrame, *, text: str = "text", chance: float = CHANCE,
                      remove: float = REMOVE, generalise: float = GENERALISE, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(term, action): judged terms whose disclosure reaches a threshold."""
     prepare(docs.sparkSession)
-    near = materialise(neighbours(docs, text, window), "neighbours")
-    entity = near.filter("term is null").groupBy("entity").agg(F.sum("n").alias("n_c"))
-    joint = near.filter("term is not null").groupBy("entity", "term").agg(
-        F.sum("n").alias("n_tc"), F.count(F.lit(1)).alias("lines"))
-    joint = materialise(joint.filter(F.col("lines") >= support).drop("lines").join(entity, "entity"), "joint")
+    near = materialise(together(docs, text), "together")
+    entity = near.filter("term is null").select("entity", F.col("n").alias("n_c"))
+    joint = near.filter("term is not null").withColumnRenamed("n", "n_tc").join(entity, "entity")
     terms = joint.select("term").distinct()
     n_terms = terms.count()
     if n_terms == 0:
         return joint.select("term", F.lit("").alias("action"))
     total = float(_n_lines(docs, text))
     margin = _term_lines(docs, text, terms, n_terms <= limit)
-    pmi = F.log2(F.col("n_tc") * F.lit(total) / (F.col("n_t") * F.col("n_c")))
-    ic = F.log2(F.lit(total) / F.col("n_c"))
-    share = joint.join(margin, "term").select("term", F.try_divide(pmi, ic).alias("share"))
+    k, n_c, p = F.col("n_tc"), F.col("n_c"), F.col("n_t") / F.lit(total)
+    pmi = F.log2(k / (p * n_c))
+    ic = F.log2(F.lit(total) / n_c)
+    miss = F.when(k < n_c, (n_c - k) * F.log((n_c - k) / (n_c * (1 - p)))).otherwise(0.0)
+    sure = (k > p * n_c) & (k * F.log(k / (n_c * p)) + miss >= -math.log(chance))
+    share = joint.join(margin, "term").filter(sure).select("term", F.try_divide(pmi, ic).alias("share"))
     worst = share.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise)
     return materialise(worst.select("term", F.when(F.col("share") >= remove, "term_removed")
                                     .otherwise("term_generalised").alias("action")), "disclosing")

@@ -245,6 +245,16 @@ def test_disclosing_terms(spark, limit):
     assert [(s["kind"], s["start"], s["end"]) for s in base] == [tuple(x) for x in _plain_spans("line 0 filler0\nzorgon writes from bob@x.com today filler0")]
 
 
+def test_terms_anywhere_in_the_line_of_a_value_seen_once(spark):
+    far = " ".join(f"common{j}" for j in range(20))
+    rows = [(0, f"zorgon {far} bob@x.com"), (1, "say ip 10.1.2.3 quux")] + [(2 + i, "copy vexil 10.9.9.9 common1") for i in range(50)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + [(100 + i, f"{far}\nsay ip copy {far}") for i in range(700)]], DOC + ", spans string")
+    out = {r.doc_id: r.clean for r in pii.all_spans(docs, pii.disclosing_terms(docs), keep=["doc_id"]).collect()}
+    # the rare words of a line go, one line or many copies, near or far; words of many lines stay
+    assert out[0] == f" {far} <EMAIL>" and out[1] == "say ip <IP> " and out[2] == "copy  <IP> common1"
+    assert out[100] == f"{far}\nsay ip copy {far}"
+
+
 def test_sanitise_nothing_and_empty(spark):
     docs = spark.createDataFrame([(1, "plain text")], DOC)
     terms = pii.disclosing_terms(docs)

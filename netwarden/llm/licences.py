@@ -11,9 +11,10 @@ the whole corpus; rarest first).  Filters, all lossless:
 * position: from the shared prefix word on, template and block must both have
   words enough left to reach ``need``.
 
-What passes is verified by an exact intersection.  A block's labels are those of
-the templates it holds most fully (short notices of different licenses share
-most of their words; equal shares are all kept).  Templates are fixed values
+What passes is verified by an exact intersection.  Every template that reaches the
+threshold gives its label.  Short notices of different licenses share most of their
+words, so a match must also hold the words that tell the license (``KEYS``, those
+that the template has).  Templates are fixed values
 of this module, so the join's small side has a proven bound and is broadcast.
 
 The base search finds the places where a phrase's words stand consecutively,
@@ -66,6 +67,15 @@ TEMPLATES = {
     "reserved": ["copyright all rights reserved"],
 }
 
+# The words that tell a license from the others.
+KEYS = {
+    "apache-2.0": {"apache", "2"}, "mit": {"mit"}, "gpl-3.0": {"gnu", "3"}, "bsd": {"bsd"}, "mpl-2.0": {"mozilla", "2"},
+    "cc-by": {"cc", "by", "creative", "commons", "attribution"},
+    "cc-by-sa": {"cc", "by", "sa", "creative", "commons", "attribution", "sharealike"},
+    "cc-by-nc": {"cc", "by", "nc", "creative", "commons", "attribution", "noncommercial"},
+    "cc0": {"cc0"}, "reserved": {"reserved"},
+}
+
 
 def _template_rows() -> list[tuple[int, str, list[str]]]:
     rows = []
@@ -132,28 +142,26 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", contain
         ws = sorted(ws, key=order.get)
         need = need_of(len(ws), containment)
         for place in range(len(ws) - need + 1):
-            index.append((t, label, ws, len(ws) >= LONG, need, place, ws[place]))
-    templates = spark.createDataFrame(index, "t int, label string, words array<string>, long boolean, need int, place int, w string")
+            index.append((t, label, ws, sorted(KEYS[label] & set(ws)), len(ws) >= LONG, need, place, ws[place]))
+    templates = spark.createDataFrame(index, "t int, label string, words array<string>, keys array<string>, long boolean, need int, place int, w string")
     prefix = F.array(*[F.lit(x) for x in sorted({r[-1] for r in index})])
-    least = min(r[4] for r in index)
+    least = min(r[5] for r in index)
     ranked = F.array(*[F.lit(x) for x in sorted(order, key=order.get)])  # the vocabulary in global order
     # blocks of the documents that hold a prefix word and words enough; each row
     # decides for itself, so no text is shuffled
     some = src.select(row_key.alias("k"), "text", F.array_intersect(w, vocabulary).alias("held"))
     found = some.filter((F.size("held") >= least) & F.arrays_overlap("held", prefix))
-    found = found.select("k", F.posexplode(_blocks(F.col("text"))).alias("at", "b")).select(
-        "k", "at", F.col("b.long").alias("long"),
+    found = found.select("k", F.explode(_blocks(F.col("text"))).alias("b")).select(
+        "k", F.col("b.long").alias("long"),
         F.array_intersect(ranked, F.split(F.col("b.block"), NON_WORD)).alias("held"))
     found = found.filter((F.size("held") >= least) & F.arrays_overlap("held", prefix))
-    probe = found.select("k", "at", "long", "held", F.posexplode("held").alias("j", "w"))
+    probe = found.select("k", "long", "held", F.posexplode("held").alias("j", "w"))
     hit = probe.join(F.broadcast(templates), ["w", "long"]).filter(
         (F.size("held") - F.col("j") >= F.col("need") - F.col("place")) & (F.size("words") - F.col("place") >= F.col("need") - F.col("j")))
-    hit = hit.select("k", "at", "label", "need", F.size(F.array_intersect("words", "held")).alias("common"), F.size("words").alias("size"))
-    hit = hit.filter("common >= need").select("k", "at", "label", (F.col("common") / F.col("size")).alias("share")).distinct()
-    # a block has at most as many rows as there are templates
-    hit = hit.groupBy("k", "at").agg(F.max("share").alias("best"), F.collect_list(F.struct("label", "share")).alias("found"))
-    hit = hit.select("k", "best", F.explode(F.filter("found", lambda t: t["share"] == F.col("best"))).alias("t"))
-    hit = hit.groupBy("k").agg(F.collect_set("t.label").alias("more"), F.max("best").alias("best"))
+    hit = hit.filter(F.size(F.array_except("keys", "held")) == 0).select(
+        "k", "label", "need", F.size(F.array_intersect("words", "held")).alias("common"), F.size("words").alias("size"))
+    hit = hit.filter("common >= need").groupBy("k").agg(
+        F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("best"))
     places = F.transform("base", lambda b: b["place"])
     base = F.array_distinct(F.transform("base", lambda b: b["label"]))
     empty = F.array().cast("array<string>")

@@ -387,6 +387,17 @@ def test_licenses(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_every_license_of_a_block_and_no_false_one(spark):
+    rows = [(1, "Licensed under either of Apache License, Version 2.0 or MIT license at your option"),
+            (2, "Released under the MIT license. All else: licensed under CC BY-SA 4.0, " + licences.TEMPLATES["gpl-3.0"][0]),
+            (3, "Licensed under the Apache License, Version 2.0"), (4, "Licensed under CC BY-NC 4.0"), (5, "Licensed under CC BY 4.0"),
+            (6, "This work is licensed under the GNU General Public License, version 2"), (7, "released under the BSD license")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOC + ", w string")
+    got = {r.doc_id: r.labels for r in licences.scan(docs).collect()}
+    assert got == {1: "apache-2.0,mit", 2: "cc-by,cc-by-sa,gpl,gpl-3.0,mit", 3: "apache-2.0", 4: "cc-by,cc-by-nc", 5: "cc-by",
+                   6: "gpl", 7: "bsd"}
+
+
 def test_license_join_equals_brute_force(spark):
     import duckdb
     from conftest import SF_MID, duck_for

@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a text line (short templates) or a paragraph, that is the lines
-between empty ones (templates of ``LONG`` distinct words or more).  A block matches a
+A block is a text line or a run of up to three neighbouring ones (short templates)
+or a paragraph, that is the lines between empty ones (templates of ``LONG`` distinct
+words or more); a run ends at an empty line.  A block matches a
 template when it holds at least ``CONTAINMENT`` of the template's distinct
 words.  Words are put in global frequency order (documents that hold the word, over
 the whole corpus; rarest first).  Filters, all lossless:
@@ -14,7 +15,9 @@ the whole corpus; rarest first).  Filters, all lossless:
 What passes is verified by an exact intersection.  Every template that reaches the
 threshold gives its label.  Short notices of different licenses share most of their
 words, so a match must also hold the words that tell the license (``KEYS``, those
-that the template has).  Templates are fixed values
+that the template has); in a run of lines each of them must follow a word that comes
+before it in the template or precede one that comes after it, so that a word of the
+next sentence (German "mit") is no license.  Templates are fixed values
 of this module, so the join's small side has a proven bound and is broadcast.
 
 The base search finds the places where a phrase's words stand consecutively,
@@ -77,6 +80,17 @@ KEYS = {
 }
 
 
+def _beside(text: str, keys: list[str]) -> list[list[str]]:
+    """For each key word the pairs ``" a b "`` that show it in its place."""
+    parts = [w for part in text.lower().split() for w in part.split(".")]
+    out = []
+    for key in keys:
+        at = [i for i, w in enumerate(parts) if w == key]
+        before = {f" {w} {key} " for i in at for w in parts[:i] if w != key}
+        out.append(sorted(before | {f" {key} {w} " for i in at for w in parts[i + 1:] if w != key}))
+    return out
+
+
 def _template_rows() -> list[tuple[int, str, list[str]]]:
     rows = []
     for label in sorted(TEMPLATES):
@@ -86,6 +100,16 @@ def _template_rows() -> list[tuple[int, str, list[str]]]:
     return rows
 
 
+def _key_places() -> list[tuple[list[str], list[list[str]]]]:
+    """For each template row its key words and their places."""
+    out = []
+    for label in sorted(TEMPLATES):
+        for text in TEMPLATES[label]:
+            keys = sorted(KEYS[label] & {w for part in text.lower().split() for w in part.split(".")})
+            out.append((keys, _beside(text, keys)))
+    return out
+
+
 def need_of(size: int, containment: float = CONTAINMENT) -> int:
     """Words of a template of ``size`` that a match must hold."""
     return -int(-(size * containment - 1e-9) // 1)
@@ -112,11 +136,21 @@ def _all(conditions):
 
 
 def _blocks(text):
-    """Array of (long, block): lines, and paragraphs for the long templates."""
+    """Array of (long, run, block): lines, runs of them, and paragraphs for the long templates."""
+    def named(blocks, long: bool, run: bool):
+        return F.transform(blocks, lambda b: F.struct(F.lit(long).alias("long"), F.lit(run).alias("run"), b.alias("block")))
+
+    def full(line):
+        return F.length(F.btrim(line, F.lit(" \t\r"))) > 0
+
+    def run(line, i):
+        two, three = F.get(lines, i + 1), F.get(lines, i + 2)
+        return F.when(full(line) & full(two), F.concat_ws(" ", line, two, F.when(full(three), three)))
+
     t = F.lower(F.coalesce(text, F.lit("")))
-    lines = F.transform(F.split(t, "\n"), lambda b: F.struct(F.lit(False).alias("long"), b.alias("block")))
-    paragraphs = F.transform(F.split(t, r"\n[\x20\t\r]*\n"), lambda b: F.struct(F.lit(True).alias("long"), b.alias("block")))
-    return F.concat(lines, paragraphs)
+    lines = F.split(t, "\n")
+    runs = F.filter(F.transform(lines, run), lambda b: b.isNotNull())
+    return F.concat(named(lines, False, False), named(runs, False, True), named(F.split(t, r"\n[\x20\t\r]*\n"), True, False))
 
 
 def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", containment: float = CONTAINMENT) -> DataFrame:
@@ -137,28 +171,30 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", contain
     # global order: documents that hold each template word, rarest first
     df = {r["w"]: r["n"] for r in one.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {x: i for i, x in enumerate(sorted({x for _, _, ws in rows for x in ws}, key=lambda x: (df.get(x, 0), x)))}
-    index = []
+    index, keys = [], _key_places()
     for t, label, ws in rows:
         ws = sorted(ws, key=order.get)
         need = need_of(len(ws), containment)
         for place in range(len(ws) - need + 1):
-            index.append((t, label, ws, sorted(KEYS[label] & set(ws)), len(ws) >= LONG, need, place, ws[place]))
-    templates = spark.createDataFrame(index, "t int, label string, words array<string>, keys array<string>, long boolean, need int, place int, w string")
+            index.append((t, label, ws, *keys[t], len(ws) >= LONG, need, place, ws[place]))
+    templates = spark.createDataFrame(index, "t int, label string, words array<string>, keys array<string>, beside array<array<string>>, long boolean, need int, place int, w string")
     prefix = F.array(*[F.lit(x) for x in sorted({r[-1] for r in index})])
-    least = min(r[5] for r in index)
+    least = min(r[6] for r in index)
     ranked = F.array(*[F.lit(x) for x in sorted(order, key=order.get)])  # the vocabulary in global order
     # blocks of the documents that hold a prefix word and words enough; each row
     # decides for itself, so no text is shuffled
     some = src.select(row_key.alias("k"), "text", F.array_intersect(w, vocabulary).alias("held"))
     found = some.filter((F.size("held") >= least) & F.arrays_overlap("held", prefix))
     found = found.select("k", F.explode(_blocks(F.col("text"))).alias("b")).select(
-        "k", F.col("b.long").alias("long"),
+        "k", F.col("b.long").alias("long"), F.col("b.run").alias("run"), F.col("b.block").alias("block"),
         F.array_intersect(ranked, F.split(F.col("b.block"), NON_WORD)).alias("held"))
     found = found.filter((F.size("held") >= least) & F.arrays_overlap("held", prefix))
-    probe = found.select("k", "long", "held", F.posexplode("held").alias("j", "w"))
+    found = found.withColumn("said", F.when(F.col("run"), F.concat(F.lit(" "), F.regexp_replace("block", NON_WORD, " "), F.lit(" "))))
+    probe = found.select("k", "long", "said", "held", F.posexplode("held").alias("j", "w"))
     hit = probe.join(F.broadcast(templates), ["w", "long"]).filter(
         (F.size("held") - F.col("j") >= F.col("need") - F.col("place")) & (F.size("words") - F.col("place") >= F.col("need") - F.col("j")))
-    hit = hit.filter(F.size(F.array_except("keys", "held")) == 0).select(
+    placed = F.col("said").isNull() | F.forall("beside", lambda pairs: F.exists(pairs, lambda p: F.contains(F.col("said"), p)))
+    hit = hit.filter((F.size(F.array_except("keys", "held")) == 0) & placed).select(
         "k", "label", "need", F.size(F.array_intersect("words", "held")).alias("common"), F.size("words").alias("size"))
     hit = hit.filter("common >= need").groupBy("k").agg(
         F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("best"))

@@ -398,6 +398,17 @@ def test_every_license_of_a_block_and_no_false_one(spark):
                    6: "gpl", 7: "bsd"}
 
 
+def test_wrapped_license_notices(spark):
+    rows = [(1, "# Licensed under the Apache License,\n# Version 2.0"),
+            (2, "intro\nThis work is licensed under the GNU General Public\nLicense, version 3\nend"),
+            (3, "Released\r\nunder the MIT\r\nlicense"), (4, "Licensed under the\n \nMIT license"),
+            (5, "Licensed under the Apache License, Version 2.0.\nWir gehen mit dem Hund"),
+            (6, "Licensed under either of Apache License,\nVersion 2.0 or MIT license at your option")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOC + ", w string")
+    got = {r.doc_id: r.labels for r in licences.scan(docs).collect()}
+    assert got == {1: "apache-2.0", 2: "gpl,gpl-3.0", 3: "mit", 4: "", 5: "apache-2.0", 6: "apache-2.0,mit"}
+
+
 def test_license_join_equals_brute_force(spark):
     import duckdb
     from conftest import SF_MID, duck_for

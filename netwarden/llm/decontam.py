@@ -15,8 +15,10 @@ DataFrame functions only.  The document side is exploded once to (document,
 hash) and probed against the signature table, which is broadcast when its
 counted size is within the bound and shuffled otherwise.
 
-Defined cases: null or empty texts hold nothing; items of fewer than five
-words have no shingle and are not searched; repeated document rows with one
+Defined cases: null or empty texts hold nothing; with ``short`` an
+item of fewer than five words is one shingle of all its words, and documents
+are probed with every shingle length that the benchmark holds (without it such
+items are not searched); repeated document rows with one
 key count as one document, repeated item rows as one item; null keys are kept
 as a key of their own.
 """
@@ -50,6 +52,11 @@ def _strings(words, n: int):
     return _shingles(words, n, lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))
 
 
+def _every(words, lengths: list[int], make):
+    """The shingles of all ``lengths`` of a document."""
+    return F.flatten(F.array_compact(F.array(*[make(words, m) for m in lengths])))
+
+
 def least_hits(shingles: int, size: int = SIGNATURE, containment: float = CONTAINMENT) -> int:
     """Present minima required of items with this many shingles."""
     if shingles <= size:
@@ -63,10 +70,14 @@ def least_hits(shingles: int, size: int = SIGNATURE, containment: float = CONTAI
     return max(1, c)
 
 
-def item_table(items: DataFrame, *, item_id: str = "item_id", text: str = "text", n: int = NGRAM) -> DataFrame:
-    """(item_id, s) the distinct shingle strings of every item."""
+def item_table(items: DataFrame, *, item_id: str = "item_id", text: str = "text", n: int = NGRAM,
+               short: bool = False) -> DataFrame:
+    """(item_id, s) the distinct shingle strings of every item (``short``: fewer than ``n`` words are one)."""
     w = items.select(F.col(item_id).alias("item_id"), word_array(F.col(text)).alias("w"))
-    return w.select("item_id", F.explode(_strings(F.col("w"), n)).alias("s")).distinct()
+    s = _strings(F.col("w"), n)
+    if short:
+        s = F.coalesce(s, F.when(F.size("w") > 0, F.array(F.concat_ws(" ", "w"))))
+    return w.select("item_id", F.explode(s).alias("s")).distinct()
 
 
 def signature_table(item_shingles: DataFrame, size: int = SIGNATURE, containment: float = CONTAINMENT,
@@ -84,20 +95,22 @@ def signature_table(item_shingles: DataFrame, size: int = SIGNATURE, containment
 
 
 def _hash_of(s: str, n: int):
+    # absent words of a shorter shingle are null and leave the hash as it is
     parts = F.split(F.col(s), " ")
     return F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(n)])
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text",
                     item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT,
-                    size: int = SIGNATURE, n: int = NGRAM) -> DataFrame:
+                    size: int = SIGNATURE, n: int = NGRAM, short: bool = False) -> DataFrame:
     """(key, item_id, n_common, n_item, containment) of every document and item
     with containment at or above the threshold."""
     prepare(docs.sparkSession)
-    shingles = materialise(item_table(items, item_id=item_id, text=item_text, n=n), "items")
+    shingles = materialise(item_table(items, item_id=item_id, text=item_text, n=n, short=short), "items")
     signature = materialise(signature_table(shingles, size, containment, n), "signature")
+    lengths = [r[0] for r in shingles.select(F.size(F.split("s", " "))).distinct().collect()] or [n]  # n at most
     src = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    probe = src.select("_k", word_array(F.col("_t")).alias("w")).select("_k", F.explode(_hashed(F.col("w"), n)).alias("h"))
+    probe = src.select("_k", word_array(F.col("_t")).alias("w")).select("_k", F.explode(_every(F.col("w"), lengths, _hashed)).alias("h"))
     hits = probe.join(small_side(signature), "h").select("_k", "item_id", "h", "need").distinct()
     pairs = hits.groupBy("_k", "item_id").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))
     pairs = materialise(pairs.filter("c >= need").select("_k", "item_id"), "candidates")
@@ -105,7 +118,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", t
     cand = pairs.select("_k").distinct()
     n_cand = cand.count()
     src = src.join(small_side(cand.withColumnRenamed("_k", "_c"), n_cand), F.col("_k").eqNullSafe(F.col("_c")), "left_semi")
-    own = src.select("_k", word_array(F.col("_t")).alias("w")).select("_k", F.explode(_strings(F.col("w"), n)).alias("s"))
+    own = src.select("_k", word_array(F.col("_t")).alias("w")).select("_k", F.explode(_every(F.col("w"), lengths, _strings)).alias("s"))
     sizes = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     found = own.join(small_side(shingles), "s").select("_k", "item_id", "s").distinct()
     found = found.groupBy("_k", "item_id").agg(F.count(F.lit(1)).alias("n_common"))

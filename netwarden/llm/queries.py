@@ -33,7 +33,8 @@ def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the exact containment."""
-    return decontam.contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return decontam.contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"),
+                                    short=True)
 
 
 def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

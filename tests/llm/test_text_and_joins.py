@@ -172,6 +172,16 @@ def test_containment_equals_brute_force(spark):
     assert sorted(map(str, (x.doc_id for x in left.collect()))) == sorted(str(d) for d, _ in docs if d not in bad)
 
 
+def test_items_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "we saw the Old tower, there"), (2, "old, TOWER"), (3, "tower old"), (4, None), (5, "a b c d e f")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Old tower"), (2, "tower"), (3, ""), (4, None), (5, "b c d"), (6, "b c d e f"), (7, "a b c e")],
+                                  "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_common, r.n_item) for r in decontam.contained_items(docs, items, short=True).collect())
+    assert got == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 1, 1, 1), (2, 2, 1, 1), (3, 2, 1, 1), (5, 5, 1, 1), (5, 6, 1, 1)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items.filter("item_id = 1"), short=True).collect()) == [3, 4, 5]
+
+
 def test_signature_thresholds():
     assert [decontam.least_hits(n) for n in (1, 2, 5, 10, 32)] == [1, 2, 4, 8, 26]
     assert 1 <= decontam.least_hits(33) < 26

@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-preparation steps as Spark jobs.
+"""Training-data operators: corpus-preparation steps as Spark jobs.
 
 Nothing outside this package (and ``corpus_pipeline.py``) imports it.
 """

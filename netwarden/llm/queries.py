@@ -1,11 +1,12 @@
-"""The ten operators as registered queries over the whole given tables."""
+"""The operators as registered queries over the whole given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netwarden.llm import ann, chosen_path, decontam, langid, licences, mixing, pii, quality, urlcascade, wordpiece
+from netwarden.llm import (alignment, ann, chosen_path, decontam, divergence, langid, licences, mixing, pii, quality, toxicity,
+                           urlcascade, wordpiece)
 from netwarden.llm.common import read
 from netwarden.llm.oracles import ORACLES  # noqa: F401
 
@@ -83,6 +84,24 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of every language differ, and by which terms."""
+    return divergence.audit(read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op12_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document's restored text."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    scorer = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), eligible=~held)
+    return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), scorer, keep=["doc_id", "held_out"])
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links between two public tokenizers for every document."""
+    return alignment.align(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline of ``corpus_pipeline.py`` over ``documents``."""
     import corpus_pipeline
@@ -91,4 +110,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_prefix_forest, op2_language_ppm, op3_containment, op4_sanitise, op5_wordpiece, op6_quality_vote, op7_mix,
-    op8_url_cascade, op9_chosen_path, op10_license_join, pipeline)}
+    op8_url_cascade, op9_chosen_path, op10_license_join, op11_source_divergence, op12_noisy_channel, op13_alignment, pipeline)}

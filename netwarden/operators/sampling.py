@@ -155,3 +155,13 @@ def head_then_sample(df: DataFrame, n: int, order_key: str, factor: int = 5, min
     The limits are the feature here (a sampling operator)."""
     head = first_n(df, max(factor * n, min_head), [order_key, row_id])
     return head.orderBy(hash_key(seed, row_id), F.col(row_id)).limit(n)
+
+
+def micro_batches(df: DataFrame, ts: str, row_id: str, items: int, seconds: float) -> DataFrame:
+    """``df`` with ``batch_id``: in time order a batch closes with its
+    ``items``-th row or with the first row at least ``seconds`` after the last
+    close, whichever comes first (the clock starts with the first row)."""
+    from netwarden.operators.greedy import greedy_segments
+    cut = greedy_segments(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), [], F.col("_us"), [row_id],
+                          span_us=round(seconds * 1e6), max_items=items, closing=True)
+    return cut.withColumnRenamed("segment", "batch_id").drop("_us", "segment_us")

@@ -152,14 +152,27 @@ def seeded_shuffle(spark, sf_dir):
                            bucket=lambda n: hash_bucket(F.col("_h"), n)).select("row_id", "pos")
 
 
-@register("micro_batches", sql("""
-SELECT flow_id, CAST((row_number() OVER (ORDER BY ts, flow_id) - 1) // 200 AS BIGINT) AS batch_id FROM flows""",
-                               "flows"))
+BATCH_ITEMS, BATCH_S = 40, 14400
+
+# A batch ends with its N-th item or with the first item T seconds after the
+# end of the batch before (the clock starts with the first item).
+MICRO_BATCH_SQL = f"""
+WITH RECURSIVE x AS (SELECT flow_id, epoch_us(ts) AS u, row_number() OVER (ORDER BY ts, flow_id) AS p FROM flows),
+e(p, u) AS (
+  SELECT CAST(0 AS BIGINT), min(u) FROM x
+  UNION ALL
+  SELECT arg_min(x.p, x.p), arg_min(x.u, x.p) FROM e JOIN x ON x.p > e.p AND (x.p - e.p >= {BATCH_ITEMS} OR x.u - e.u >= {BATCH_S * 1_000_000})
+  HAVING count(*) > 0),
+n AS (SELECT p, lead(p) OVER (ORDER BY p) AS stop, row_number() OVER (ORDER BY p) - 1 AS batch_id FROM e)
+SELECT x.flow_id, n.batch_id FROM x JOIN n ON x.p > n.p AND (n.stop IS NULL OR x.p <= n.stop)"""
+
+
+@register("micro_batches", sql(MICRO_BATCH_SQL.replace("WITH RECURSIVE", "WITH"), "flows").replace("WITH", "WITH RECURSIVE", 1))
 def micro_batches(spark, sf_dir):
-    """A16 (batch form): batches of 200 flows in arrival order."""
+    """A16 (batch form): a batch closes with its N-th flow or the first flow T
+    seconds after the last close, whichever comes first; the rest is the last batch."""
     fl = views.flows(spark, sf_dir).select("flow_id", "ts")
-    pos = global_position(fl, [F.col("ts"), F.col("flow_id")], "pos")
-    return pos.select("flow_id", F.floor(F.col("pos") / 200).cast("long").alias("batch_id"))
+    return SM.micro_batches(fl, "ts", "flow_id", BATCH_ITEMS, BATCH_S).select("flow_id", "batch_id")
 
 
 @register("head_then_sample", sql(f"""

@@ -12,7 +12,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from netwarden.functions.clean import NETFLOW_FEATURES
 
@@ -110,40 +109,21 @@ def split_metadata(df: DataFrame, split: str = "split", label: str = "y") -> Dat
 def assemble_flows(packets: DataFrame, key: Sequence[str], ts: str = "ts", row_id: str = "row_id",
                    idle_s: float = IDLE_TIMEOUT_S, active_s: float = ACTIVE_TIMEOUT_S,
                    sum_cols: Sequence[str] = ()) -> DataFrame:
-    """packets/events -> flows.
-
-    A new flow starts after an idle gap > ``idle_s``; inside a session the
-    active timeout cuts on a fixed grid from the session start
-    (``floor((ts - start) / active_s)``) -- a documented approximation of the
-    order-dependent cap, whose exact form is the streaming version (S08).
-
-    Skew-safe: rows are bucketed by time quantiles, so a key holding a third
-    of all rows is spread over many tasks.  The previous timestamp of the
-    first row of a (bucket, key) run comes from the key's last timestamp in
-    the earlier buckets; the session id is a bucketed running sum
-    (:func:`netwarden.operators.prefix.prefix_sums`); session starts are a
-    partial aggregation joined back (AQE splits a hot session's partition).
-    """
-    from netwarden.operators.prefix import _B, prefix_sums, quantile_bucket
+    """packets/events -> flows, cut exactly as the capture tool does: a
+    packet more than ``idle_s`` after the one before or more than ``active_s``
+    after the flow's first packet starts the next flow.
+
+    The cuts depend on each other, but no task walks through a key: see
+    :mod:`netwarden.operators.greedy`.  ``flow_no`` counts a key's flows in
+    time order; the streaming form (S08) gives the same flows."""
+    from netwarden.operators.greedy import greedy_segments
     key = list(key)
-    secs = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    x = packets.withColumn("_s", secs)
-    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = x.withColumn(_B, quantile_bucket(x, F.col("_s"), n))
-    w = Window.partitionBy(_B, *key).orderBy("_s", row_id)
-    x = x.withColumn("_prev", F.lag("_s").over(w))
-    last = x.groupBy(_B, *key).agg(F.max("_s").alias("_mx"))
-    carry = last.select(_B, *key, F.lag("_mx").over(Window.partitionBy(*key).orderBy(_B)).alias("_carry"))
-    x = x.join(carry, [_B, *key], "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    x = x.withColumn("_new", F.when(prev.isNull() | ((F.col("_s") - prev) > idle_s), 1).otherwise(0).cast("long")) \
-         .drop("_prev", "_carry")
-    cum = prefix_sums(x, [F.col("_s"), F.col(row_id)], ["_new"], key, out_prefix="session",
-                      bucket=F.col(_B)).withColumnRenamed("session_new", "session")
-    starts = cum.groupBy(*key, "session").agg(F.min("_s").alias("_start"))
-    y = cum.join(starts, [*key, "session"])
-    y = y.withColumn("segment", F.floor((F.col("_s") - F.col("_start")) / active_s).cast("long"))
-    agg = y.groupBy(*key, "session", "segment").agg(
-        F.count(F.lit(1)).alias("packets"), F.min("_s").alias("first_seen_s"), F.max("_s").alias("last_seen_s"),
+    x = packets.select(*key, ts, row_id, *[c for c in sum_cols if c not in (ts, row_id)])
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    cut = greedy_segments(x.withColumn("_us", us), key, F.col("_us"), [row_id], span_us=round(active_s * 1e6) + 1,
+                          idle_us=round(idle_s * 1e6))
+    agg = cut.groupBy(*key, F.col("segment").alias("flow_no")).agg(
+        F.count(F.lit(1)).alias("packets"), F.min("_us").alias("_first"), F.max("_us").alias("_last"),
         *[F.sum(c).alias(c) for c in sum_cols])
-    return agg.withColumn("duration_s", F.col("last_seen_s") - F.col("first_seen_s"))
+    return agg.withColumns({"first_seen_s": F.col("_first") / 1e6, "last_seen_s": F.col("_last") / 1e6,
+                            "duration_s": (F.col("_last") - F.col("_first")) / 1e6}).drop("_first", "_last")

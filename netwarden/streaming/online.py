@@ -3,24 +3,23 @@
 The batch operators are column expressions, so the stateless part of the
 online service (align -> rules -> route -> fuse -> interesting events) is
 the SAME code on a streaming DataFrame.  Stateful parts use watermarks
-(state is bounded in time), ``applyInPandasWithState`` where the
-reference's semantics are order-dependent (active-timeout flow cut), and
-``foreachBatch`` for sinks that need
-table logic (retention, thresholds re-read per batch, late rows to a side
-table).  Checkpoint locations are always given by the caller and must be
+(state is bounded in time), ``transformWithState`` (RocksDB state, list
+state, timers) where the semantics are order-dependent (flow cut, two-limit
+batches), and ``foreachBatch`` for sinks that need table logic (retention,
+thresholds re-read per batch, late rows to a side table).  Checkpoint locations are always given by the caller and must be
 on shared storage on a cluster.
 """
 
 from __future__ import annotations
 
-import math
-from typing import Callable, Iterator
+import bisect
+from typing import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from netwarden.operators.dashboard import VERDICTS
 from netwarden.operators.routing import three_way_route
@@ -175,50 +174,194 @@ def late_data_sink(out_path: str, late_path: str, delay_s: float, ts: str = "ts"
     return run
 
 
+# --- a replayed arrival order ------------------------------------------------------------
+
+def arrival_batch(arrival_us: Column, lo: int, hi: int, batches: int) -> Column:
+    """Batch of an arrival time: ``batches`` equal slices of [lo, hi]."""
+    return F.floor((arrival_us - F.lit(lo)) * F.lit(batches) / F.lit(hi - lo + 1)).cast("int")
+
+
+def replay_arrivals(rows: DataFrame, path: str, arrival_us: Column, order: Sequence[str], batches: int) -> DataFrame:
+    """A stream that hands ``rows`` over in ``batches`` micro-batches of arrival
+    order: one file a batch, written one after the other (the file source
+    reads oldest first), rows inside in arrival order."""
+    spark = rows.sparkSession
+    x = rows.withColumn("_arrival", arrival_us)
+    lo, hi = x.agg(F.min("_arrival"), F.max("_arrival")).first()
+    cut = x.withColumn("_batch", arrival_batch(F.col("_arrival"), lo, hi, batches)).checkpoint(eager=True)
+    for b in range(batches):
+        cut.where(F.col("_batch") == b).drop("_batch").coalesce(1).sortWithinPartitions("_arrival", *order) \
+           .drop("_arrival").write.mode("append").parquet(path)
+    return flow_stream(spark, path, rows.schema, 1)
+
+
+# --- S06: trailing views from panes -----------------------------------------------------
+
+def trailing_counts(panes: DataFrame, minutes: Sequence[int], minute: str = "minute", counts: Sequence[str] = VERDICTS) -> DataFrame:
+    """Trailing views over one-minute panes kept once: a view of ``m``
+    minutes that ends with a pane is the difference of two running sums, so
+    an event is counted in one pane and not copied into every window.
+    ``minute`` is the pane's start (timestamp); one row per pane, columns
+    ``<count>_<m>``.  Work follows the number of minutes, not of events."""
+    from netwarden.operators.prefix import prefix_sums
+    p = panes.select((F.unix_micros(minute) / 60_000_000).cast("long").alias("_m"), *counts)
+    ends = p.agg(F.min("_m").alias("lo"), F.max("_m").alias("hi")).first()
+    if ends["lo"] is None:
+        lo, hi = 0, -1
+    else:
+        lo, hi = ends["lo"], ends["hi"]
+    grid = p.sparkSession.range(lo, hi + 1).withColumnRenamed("id", "_m").join(p, "_m", "left").na.fill(0, list(counts))
+    run = prefix_sums(grid, [F.col("_m")], list(counts), out_prefix="_c_").select("_m", *[f"_c_{c}" for c in counts])
+    run = run.checkpoint(eager=True)
+    out = p.select("_m").join(run, "_m")
+    for m in minutes:
+        before = run.select((F.col("_m") + m).alias("_m"), *[F.col(f"_c_{c}").alias(f"_b_{c}") for c in counts])
+        out = out.join(before, "_m", "left").withColumns(
+            {f"{c}_{m}": F.col(f"_c_{c}") - F.coalesce(f"_b_{c}", F.lit(0)) for c in counts}).drop(*[f"_b_{c}" for c in counts])
+    return out.select((F.col("_m") * 60).alias("minute_s"), *[f"{c}_{m}" for m in minutes for c in counts])
+
+
 # --- S08: exact idle + active timeout flow cut ----------------------------------------
 
-FLOW_OUT = "key string, first_seen_s double, last_seen_s double, packets long"
-FLOW_STATE = "start double, last double, n long"
+FLOW_OUT = "key string, first_us long, last_us long, packets long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _frame(rows: list[tuple], columns: Sequence[str]) -> pd.DataFrame:
+    """Output rows of a processor: a text key, then whole numbers."""
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype="int64" if i else object) for i, c in enumerate(columns)})
+
+
+class FlowCut(StatefulProcessor):
+    """Per key: the open flow (value state) and the packets that the watermark
+    has not passed yet (list state).  An event-time timer takes the packets
+    that are final in time order, so arrival order does not matter, and closes
+    the open flow once no packet within its idle timeout can come."""
+
+    columns = ("key", "first_us", "last_us", "packets")
+
+    def __init__(self, idle_us: int, active_us: int):
+        self.idle_us, self.active_us = idle_us, active_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start long, last long, n long")
+        self.waiting = handle.getListState("waiting", "t long")
+
+    def _wake(self, at_us: int) -> None:
+        self.handle.registerTimer(at_us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = [int(t) for pdf in rows for t in pdf["t"]]
+        if times:
+            self.waiting.appendList([(t,) for t in times])
+            self._wake(min(times))
+        yield _frame([], self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        pending = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
+        ready = bisect.bisect_left(pending, passed)
+        flow = tuple(self.open.get()) if self.open.exists() else None
+        done = []
+        for t in pending[:ready]:
+            if flow is None or t - flow[1] > self.idle_us or t - flow[0] > self.active_us:
+                done += [flow] if flow else []
+                flow = (t, t, 1)
+            else:
+                flow = (flow[0], t, flow[2] + 1)
+        if flow is not None and flow[1] + self.idle_us < passed:
+            done.append(flow)
+            flow = None
+        rest = pending[ready:]
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put([(t,) for t in rest])
+        if rest:
+            self._wake(rest[0])
+        if flow is None:
+            self.open.clear()
+        else:
+            self.open.update(flow)
+            self._wake(flow[1] + self.idle_us)
+        yield _frame([(key[0], *f) for f in done], self.columns)
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_flows_stream(events: DataFrame, key: str, ts: str = "ts", idle_s: float = 2.0,
                           active_s: float = 10.0, watermark: str = "1 minute") -> DataFrame:
-    """Per key, a flow ends after an idle gap > ``idle_s`` or when the
-    next packet would make it longer than ``active_s`` (exact, order
-    dependent; the batch A05 uses a grid approximation).  State per key is
-    one open flow; an event-time timeout closes it once the watermark passes
-    ``last + idle``."""
-    x = events.select(F.col(key).cast("string").alias("k"), F.col(ts).cast("timestamp").alias("ts"),
-                      (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            start, last, n = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [k[0]], "first_seen_s": [start], "last_seen_s": [last], "packets": [n]})
-            return
-        ts_all = sorted(float(v) for pdf in pdfs for v in pdf["t"].tolist())
-        start, last, n = state.get if state.exists else (None, None, 0)
-        rows = []
-        for t in ts_all:
-            if start is None:
-                start, last, n = t, t, 1
-            elif t - last > idle_s or t - start > active_s:
-                rows.append((k[0], start, last, n))
-                start, last, n = t, t, 1
-            else:
-                # a packet older than the open flow's end (late but within the
-                # watermark) joins the flow without moving its end back
-                start, last, n = min(start, t), max(last, t), n + 1
-        if start is not None:
-            state.update((start, last, n))
-            due = int(math.ceil((last + idle_s) * 1000)) + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "first_seen_s", "last_seen_s", "packets"])
-
-    return x.withWatermark("ts", watermark).groupBy("k").applyInPandasWithState(
-        fn, FLOW_OUT, FLOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """The flows of A05 from a stream, exactly: per key a flow ends after
+    an idle gap > ``idle_s`` or before the packet more than ``active_s`` after
+    its first.  State (RocksDB) is the open flow and the packets younger than
+    the watermark; a flow is emitted once the watermark has closed it.  Needs
+    ``spark.sql.streaming.stateStore.providerClass`` set to :data:`ROCKSDB`."""
+    x = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
+                      F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    return x.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
+        FlowCut(round(idle_s * 1e6), round(active_s * 1e6)), FLOW_OUT, "append", "eventTime")
+
+
+# --- S09: micro-batches by size or time ---------------------------------------------------
+
+class TwoLimitBatches(StatefulProcessor):
+    """Numbers the rows of a key as A16 does: state is the number of the open
+    batch, its rows so far and the time of the last close; rows wait (list
+    state) until the watermark has passed them."""
+
+    columns = ("key", "id", "batch_id")
+
+    def __init__(self, items: int, span_us: int):
+        self.items, self.span_us = items, span_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "batch long, n long, since long")
+        self.waiting = handle.getListState("waiting", "t long, id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(t), int(i)) for pdf in rows for t, i in zip(pdf["t"], pdf["id"])]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0] // 1000 + 1)
+        yield _frame([], self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        pending = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready = bisect.bisect_left(pending, (passed,))
+        out = []
+        if ready:
+            batch, n, since = self.open.get() if self.open.exists() else (0, 0, pending[0][0])
+            for t, i in pending[:ready]:
+                out.append((key[0], i, batch))
+                n += 1
+                if n >= self.items or t - since >= self.span_us:
+                    batch, n, since = batch + 1, 0, t
+            self.open.update((batch, n, since))
+            self.waiting.clear()
+        rest = pending[ready:]
+        if rest:
+            if ready:
+                self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        yield _frame(out, self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def micro_batches_stream(rows: DataFrame, key: str, row_id: str, items: int, seconds: float, ts: str = "ts",
+                         watermark: str = "1 minute") -> DataFrame:
+    """Per key (a sender) the batch of every row: a batch closes with its
+    ``items``-th row or the first row ``seconds`` after the last close.  A row
+    comes out once the watermark has passed it."""
+    x = rows.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
+                    F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(row_id).cast("long").alias("id"))
+    return x.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
+        TwoLimitBatches(items, round(seconds * 1e6)), "key string, id long, batch_id long", "append", "eventTime")
 
 
 # --- S10: exact stratified splitter -------------------------------------------------------

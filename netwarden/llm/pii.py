@@ -8,9 +8,11 @@ of the whole corpus, the pointwise mutual information of term t and entity c,
 
     PMI(t; c) = log2 p(t, c) / (p(t) p(c)),
 
-is compared with the entity's information content IC(c) = -log2 p(c).
-``PMI >= remove * IC`` removes the term, ``PMI >= generalise * IC`` replaces it
-by a general form.  Every word that shares a line with an entity is judged, at
+is compared with the entity's information content IC(c) = -log2 p(c).  What
+the term leaves untold of the entity is the gap IC - PMI in bits, which is
+-log2 p(c | t) whatever the size of the corpus (1 bit: the term tells the
+entity in every second line).  A gap of at most ``remove`` bits removes the
+term, one of at most ``generalise`` bits replaces it by a general form.  Every word that shares a line with an entity is judged, at
 any distance; n_c, n_t and n_tc count the same lines (copies count).  A pair is
 evidence only when a random n_t of the lines would meet the entity's lines that
 often with probability ``chance`` at most (Chernoff-Hoeffding bound of the exact
@@ -44,9 +46,9 @@ from netwarden.llm.textops import buffers, code_points, words
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term_removed", "term_generalised")
 CHANCE = 0.001
-PAIR_ROWS = 1 << 18  # (entity, term) rows in one Arrow batch, at least one line's
-REMOVE = 0.95
-GENERALISE = 0.8
+PAIR_ROWS = 1 << 18  # (entity, term) rows in one Arrow batch
+REMOVE = 0.25      # bits
+GENERALISE = 0.5   # bits
 
 # Fixed patterns of the base kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,19 +122,29 @@ def _line_words(line: str):
 def together(docs: DataFrame, text: str) -> DataFrame:
     """(entity, term, n): words that share a line with a protected entity, with the
     number of lines; a null term is the entity itself."""
-    def pairs(lines):
-        """Rows of the lines collected; equal lines are summed first."""
-        ent, term, n = [], [], []
-        for (terms, entities), k in lines.items():
-            terms = np.frombuffer(terms, np.int64)
-            own = np.array(entities, np.int64)
-            ent += [np.repeat(own, len(terms)), own]
-            term += [np.tile(terms, len(own)), np.zeros(len(own), np.int64)]
-            n += [np.full(len(own) * len(terms), k), np.full(len(own), -k)]
+    def rows_of(ent, term, n):
         ent, term, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ent, term, n))
         return pa.RecordBatch.from_arrays(
             [pa.array(ent), pa.array(term, mask=n < 0), pa.array(np.abs(n).astype(np.int64))], names=["entity", "term", "n"])
 
+    def pairs(lines):
+        """Rows of the lines collected, at most about ``PAIR_ROWS`` in one batch
+        however many entities and words a line holds; equal lines are summed first."""
+        ent, term, n, held = [], [], [], 0
+        for (terms, entities), k in lines.items():
+            terms = np.frombuffer(terms, np.int64)
+            step = max(1, PAIR_ROWS // (len(terms) + 1))
+            for i in range(0, len(entities), step):
+                own = np.array(entities[i:i + step], np.int64)
+                ent += [np.repeat(own, len(terms)), own]
+                term += [np.tile(terms, len(own)), np.zeros(len(own), np.int64)]
+                n += [np.full(len(own) * len(terms), k), np.full(len(own), -k)]
+                held += len(own) * (len(terms) + 1)
+                if held >= PAIR_ROWS:
+                    yield rows_of(ent, term, n)
+                    ent, term, n, held = [], [], [], 0
+        yield rows_of(ent, term, n)
+
     def run(batches):
         for b in batches:
             lines, rows = {}, 0
@@ -153,9 +165,9 @@ def together(docs: DataFrame, text: str) -> DataFrame:
                     rows += len(key[1]) * (len(h) + 1) if key not in lines else 0
                     lines[key] = lines.get(key, 0) + 1
                     if rows >= PAIR_ROWS:
-                        yield pairs(lines)
+                        yield from pairs(lines)
                         lines, rows = {}, 0
-            yield pairs(lines)
+            yield from pairs(lines)
 
     found = docs.select(text).mapInArrow(run, "entity long, term long, n long")
     return found.groupBy("entity", "term").agg(F.sum("n").alias("n"))
@@ -227,9 +239,10 @@ def disclosing_terms(docs: DataFrame, *, text: str = "text", chance: float = CHA
     ic = F.log2(F.lit(total) / n_c)
     miss = F.when(k < n_c, (n_c - k) * F.log((n_c - k) / (n_c * (1 - p)))).otherwise(0.0)
     sure = (k > p * n_c) & (k * F.log(k / (n_c * p)) + miss >= -math.log(chance))
-    share = joint.join(margin, "term").filter(sure).select("term", F.try_divide(pmi, ic).alias("share"))
-    worst = share.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise)
-    return materialise(worst.select("term", F.when(F.col("share") >= remove, "term_removed")
+    # a billionth of a bit covers the rounding of the two logarithms
+    gap = joint.join(margin, "term").filter(sure).select("term", (ic - pmi - 1e-9).alias("gap"))
+    least = gap.groupBy("term").agg(F.min("gap").alias("gap")).filter(F.col("gap") <= generalise)
+    return materialise(least.select("term", F.when(F.col("gap") <= remove, "term_removed")
                                     .otherwise("term_generalised").alias("action")), "disclosing")
 
 

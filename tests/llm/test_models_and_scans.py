@@ -234,7 +234,7 @@ def _sanitise_docs(spark):
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_disclosing_terms(spark, limit):
     docs = _sanitise_docs(spark)
-    terms = pii.disclosing_terms(docs, limit=limit, remove=0.99, generalise=0.9)
+    terms = pii.disclosing_terms(docs, limit=limit)
     out = {r.doc_id: r for r in pii.all_spans(docs, terms, keep=["doc_id"], limit=limit).collect()}
     # "zorgon", "writes" and "from" occur (all but once) with the one address; "today" is common
     assert out[0].clean.count("zorgon") == 0 and "today" in out[0].clean and "<EMAIL>" in out[0].clean
@@ -255,6 +255,57 @@ def test_terms_anywhere_in_the_line_of_a_value_seen_once(spark):
     assert out[100] == f"{far}\nsay ip copy {far}"
 
 
+def _plain_rule(texts, chance, remove, generalise):
+    """The disclosure rule, pair by pair over all lines."""
+    word = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
+    n_t, n_c, n_tc, total = Counter(), Counter(), Counter(), 0
+    for t in texts:
+        for line in (t or "").split("\n"):
+            total += 1
+            spans = _plain_spans(line)
+            here = {m.group().lower() for m in word.finditer(line)}
+            outside = {m.group().lower() for m in word.finditer(line) if all(m.end() <= a or m.start() >= z for _, a, z in spans)}
+            values = {(k, line[a:z].lower() if k == "email" else re.sub(r"[^0-9.]" if k == "ip" else r"[^0-9]", "", line[a:z])) for k, a, z in spans}
+            n_t.update(here)
+            n_c.update(values)
+            n_tc.update((w, v) for w in outside for v in values)
+    out = {}
+    for (w, v), k in n_tc.items():
+        p, n = n_t[w] / total, n_c[v]
+        bound = k * math.log(k / (n * p)) + ((n - k) * math.log((n - k) / (n * (1 - p))) if k < n else 0.0)
+        gap = math.log2(n_t[w] / k)
+        if k > p * n and bound >= -math.log(chance) and gap <= generalise + 1e-9:
+            out[w] = "term_removed" if gap <= remove + 1e-9 or out.get(w) == "term_removed" else "term_generalised"
+    return out
+
+
+def test_disclosure_rule_equals_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    names = [f"name{i}" for i in range(12)]
+    mails = [f"u{i}@x.org" for i in range(6)] + ["10.0.0.1", "+1 (988) 555-2485"]
+    texts = []
+    for i in range(900):
+        lines = []
+        for _ in range(r.randint(1, 3)):
+            ws = [f"w{int(r.expovariate(0.05))}" for _ in range(r.randint(1, 6))]
+            if r.random() < 0.06:
+                k = r.randrange(8)
+                ws += [names[k], mails[k]] + ([names[(k + 1) % 8]] if r.random() < 0.3 else [])
+            elif r.random() < 0.01:
+                ws.append(r.choice(names))
+            lines.append(" ".join(ws))
+        texts.append("\n".join(lines))
+    texts += [None, "", texts[5], " ".join(mails * 40 + names)]
+    monkeypatch.setattr(pii, "PAIR_ROWS", 50)  # a line's pairs over many batches
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    for remove, generalise in ((pii.REMOVE, pii.GENERALISE), (0.0, 1.5)):
+        want = _plain_rule(texts, pii.CHANCE, remove, generalise)
+        got = {r.term: r.action for r in pii.disclosing_terms(docs, remove=remove, generalise=generalise).collect()}
+        data, offsets = pii.buffers(pii.pa.array(list(want)))
+        hashed = pii.words(data, offsets)[2].view(np.int64).tolist()
+        assert len(want) > 3 and got == dict(zip(hashed, want.values()))
+
+
 def test_sanitise_nothing_and_empty(spark):
     docs = spark.createDataFrame([(1, "plain text")], DOC)
     terms = pii.disclosing_terms(docs)

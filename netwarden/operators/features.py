@@ -1,7 +1,7 @@
 """Feature preparation: fit on train, apply to all.
 
-Fitting is one distributed aggregation per estimator (per-position
-statistics over ``posexplode`` with map-side partial aggregation); the
+Fitting is one distributed aggregation per estimator (mergeable vector
+moments, one buffer of d entries a task and group, no row per position); the
 fitted parameters are d-sized (d = number of features) and live on the
 driver like any Spark ML model's parameters.  Applying them is a
 ``transform`` over the feature array with literal parameter arrays, so it
@@ -23,12 +23,38 @@ def _arr(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def position_stats(df: DataFrame, features: str = "features", group_by: Sequence[str] = ()) -> DataFrame:
-    """Per (group, position) count, min, max, mean, population variance."""
-    ex = df.select(*group_by, F.posexplode(features).alias("pos", "v"))
-    return ex.groupBy(*group_by, "pos").agg(
-        F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"), F.avg("v").alias("mean"),
-        F.var_pop("v").alias("var"))
+def moments(df: DataFrame, features: str = "features", group_by: Sequence[str] = ()) -> list[dict]:
+    """Per group the count and, as lists over the positions, min, max, mean and
+    population variance: one aggregate of whole vectors, one row a group
+    reaches the driver.  A position that is null or NaN is left out of its
+    statistics; an empty input gives no rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    some = df.where(F.col(features).isNotNull())
+    whole = F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x))
+    summary = Summarizer.metrics("count", "min", "max", "mean", "variance").summary(
+        array_to_vector(F.transform(features, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))))
+    # a group of its own for the whole table: an empty one has no summary
+    got = some.groupBy(*group_by, F.lit(0).alias("_all")).agg(F.min(whole).alias("_whole"), summary.alias("_s"))
+    rows = got.select(*group_by, "_whole", F.col("_s.count").alias("n"),
+                      *[vector_to_array(f"_s.{c}").alias(a) for c, a in (("min", "mn"), ("max", "mx"), ("mean", "mean"), ("variance", "var"))])
+    out = [r.asDict() for r in rows.collect() if r["n"]]
+    if not all([r.pop("_whole") for r in out]):  # vectors with gaps go position by position
+        return _moments_with_gaps(some, features, group_by)
+    for r in out:  # the sample variance becomes the population's
+        r["var"] = [v * (r["n"] - 1) / r["n"] for v in r["var"]]
+        r["n"] = [r["n"]] * len(r["mean"])
+    return out
+
+
+def _moments_with_gaps(df: DataFrame, features: str, group_by: Sequence[str]) -> list[dict]:
+    """As :func:`moments` for vectors with missing positions."""
+    ex = df.select(*group_by, F.posexplode(features).alias("pos", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    per = ex.groupBy(*group_by, "pos").agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
+                                           F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    names = ("n", "mn", "mx", "mean", "var")
+    out = per.groupBy(*group_by).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("p")).collect()
+    return [{**{g: r[g] for g in group_by}, **{c: [x[c] for x in r["p"]] for c in names}} for r in out]
 
 
 @dataclass
@@ -45,9 +71,10 @@ class VectorStats:
 
 def fit_stats(df: DataFrame, features: str = "features") -> VectorStats:
     """One aggregation job; returns d-sized parameters."""
-    rows = sorted(position_stats(df, features).collect(), key=lambda r: r["pos"])
-    return VectorStats([r["mn"] for r in rows], [r["mx"] for r in rows], [r["mean"] for r in rows],
-                       [float(r["var"]) ** 0.5 for r in rows])
+    rows = moments(df, features)
+    if not rows:
+        return VectorStats([], [], [], [])
+    return VectorStats(rows[0]["mn"], rows[0]["mx"], rows[0]["mean"], [float(v) ** 0.5 for v in rows[0]["var"]])
 
 
 def minmax_transform(col: Column, st: VectorStats) -> Column:
@@ -79,17 +106,19 @@ def signed_unscale(col: Column, st: VectorStats) -> Column:
 def anova_f_scores(df: DataFrame, label: str = "y", features: str = "features") -> DataFrame:
     """One-way ANOVA F per position, from per-class count / mean /
     population variance (Welford-merged, so no sum-of-squares cancellation)."""
-    st = position_stats(df, features, [label])
-    per = st.groupBy("pos").agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
-        F.sum(F.col("n") * F.col("var")).alias("ssw"),
-        F.collect_list(F.struct("n", "mean")).alias("cls"))
-    ssb = F.aggregate("cls", F.lit(0.0), lambda acc, c: acc + c["n"] * (c["mean"] - F.col("grand")) *
-                      (c["mean"] - F.col("grand")))
-    msb = ssb / (F.col("k") - 1)
-    msw = F.col("ssw") / (F.col("N") - F.col("k"))
-    return per.select("pos", F.when(msw == 0, F.lit(None).cast("double")).otherwise(msb / msw).alias("f_score"))
+    import numpy as np
+    classes = moments(df, features, [label])  # one row a class
+    if not classes:
+        return df.sparkSession.createDataFrame([], "pos int, f_score double")
+    n, mean, var = (np.array([c[k] for c in classes], dtype=float) for k in ("n", "mean", "var"))
+    total, k = n.sum(0), len(classes)
+    grand = (n * mean).sum(0) / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = (n * (mean - grand) ** 2).sum(0) / (k - 1)
+        within = (n * var).sum(0) / (total - k)
+        f = between / within
+    rows = [(i, None if within[i] == 0 or not np.isfinite(f[i]) else float(f[i])) for i in range(len(f))]
+    return df.sparkSession.createDataFrame(rows, "pos int, f_score double")
 
 
 def select_k_best(df: DataFrame, k: int, label: str = "y", features: str = "features") -> list[int]:
@@ -181,5 +210,7 @@ def feature_error_rank(df: DataFrame, recon: Column, k: int = 10, features: str
     """mean squared error per feature position between rows and their
     reconstruction, the k worst positions (ties by position)."""
     sq = F.zip_with(F.col(features), recon, lambda a, b: (a - b) * (a - b))
-    per = df.select(F.posexplode(sq).alias("pos", "e")).groupBy("pos").agg(F.avg("e").alias("mse"))
-    return per.orderBy(F.col("mse").desc(), "pos").limit(k)
+    found = moments(df.select(sq.alias("_sq")), "_sq")
+    mse = found[0]["mean"] if found else []
+    worst = sorted(range(len(mse)), key=lambda i: (-mse[i], i))[:k]
+    return df.sparkSession.createDataFrame([(i, float(mse[i])) for i in worst], "pos int, mse double")

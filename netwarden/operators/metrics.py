@@ -289,3 +289,9 @@ def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
                     (F.col("_n") / (F.col("_k") * F.col("count"))).alias("balanced"),
                     ((F.lit(1.0) / F.col("count")) / (F.col("_inv") / F.col("_k"))).alias("normalised"),
                     _div0(F.col("_neg"), F.col("_pos")).alias("pos_weight"))
+
+
+def mean_of(*errors: Column) -> Column:
+    """mean of a row's detector errors, leaving out nulls (null without any)."""
+    some = F.filter(F.array(*errors), lambda e: e.isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda acc, e: acc + e) / F.size(some))

@@ -15,13 +15,12 @@ nearest Spark estimator:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LinearSVC, LogisticRegression,  # noqa: F401
-                                       MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
-from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -102,12 +101,38 @@ def dual_view_encode(df: DataFrame, k: int, label: str = "y", features: str = "f
     return F.concat(pca_project(F.col(features), b0), pca_project(F.col(features), b1)), b0, b1
 
 
-def adaptive_threshold(df: DataFrame, err: str = "err", seed: int = 42) -> float:
-    """two-component Gaussian mixture on the errors; the threshold is
-    the smaller component mean."""
-    v = df.select(array_to_vector(F.array(F.col(err).cast("double"))).alias("e"))
-    gm = GaussianMixture(k=2, featuresCol="e", seed=seed).fit(v)
-    return float(min(g.mean[0] for g in gm.gaussians))
+MIXTURE_ROUNDS = 12
+MIN_VARIANCE = 1e-12
+
+
+def adaptive_threshold(df: DataFrame, err: str = "err", rounds: int = MIXTURE_ROUNDS) -> float | None:
+    """two-component Gaussian mixture on the errors by EM; the threshold
+    is the smaller component mean (null without errors).
+
+    EM runs on the distinct values with their counts (aggregated and
+    checkpointed once), so a round is one aggregate over them.  Start: means at
+    the smallest and the largest value, the overall variance, equal weights; a
+    fixed number of rounds, so reruns agree."""
+    x = F.col(err).cast("double")
+    vc = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
+    s = vc.agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("m")).first()
+    if not s["n"]:
+        return None
+    d = F.col("x") - F.lit(s["m"])  # around the mean: the squares do not cancel
+    var = vc.agg(F.sum(F.col("c") * d * d)).first()[0] / s["n"]
+    w, m1, m2, v1, v2 = 0.5, s["lo"] - s["m"], s["hi"] - s["m"], max(var, MIN_VARIANCE), max(var, MIN_VARIANCE)
+    total = [float(s["n"]), 0.0, var * s["n"]]  # sums of 1, d, d * d
+    for _ in range(rounds):
+        # log odds of the second component
+        z = F.lit(math.log(w / (1 - w)) + 0.5 * math.log(v1 / v2)) - (d - m2) * (d - m2) / (2 * v2) + (d - m1) * (d - m1) / (2 * v1)
+        r = F.col("c") / (1 + F.exp(F.least(-z, F.lit(700.0))))
+        n2, s2, q2 = vc.agg(F.sum(r), F.sum(r * d), F.sum(r * d * d)).first()
+        n1, s1, q1 = total[0] - n2, total[1] - s2, total[2] - q2
+        if min(n1, n2) <= 1e-9 * total[0]:  # one component took every value
+            break
+        w, m1, m2 = n2 / total[0], s1 / n1, s2 / n2
+        v1, v2 = max(q1 / n1 - m1 * m1, MIN_VARIANCE), max(q2 / n2 - m2 * m2, MIN_VARIANCE)
+    return min(m1, m2) + s["m"]
 
 
 # --- classifiers and ensembles (K01-K11) -------------------------------------------
@@ -322,13 +347,12 @@ def reuse_or_fit(path: str, pipeline: Pipeline, train: DataFrame) -> PipelineMod
 
 
 def family_cascade(scored: DataFrame, family_model, tau_high: float = 0.95, p: str = "p") -> DataFrame:
-    """The family model runs only on rows above ``tau_high``; name and
-    confidence are joined back (left) by row id."""
-    hot = scored.where(F.col(p) > tau_high)
-    fam = family_model.transform(hot).select(
-        "row_id", F.col("prediction").cast("int").alias("family_idx"),
-        F.array_max(vector_to_array("probability")).alias("family_conf"))
-    return scored.join(fam, "row_id", "left")
+    """Name and confidence of the family model on rows above ``tau_high``,
+    null on the others; a row-wise expression, no join."""
+    out = family_model.transform(scored)
+    hot = F.col(p) > tau_high
+    return out.select(*scored.columns, F.when(hot, F.col("prediction").cast("int")).alias("family_idx"),
+                      F.when(hot, F.array_max(vector_to_array("probability"))).alias("family_conf"))
 
 
 # --- voting (K11) ---------------------------------------------------------------------

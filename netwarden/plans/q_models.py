@@ -6,13 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netwarden.functions.scalars import attach_scalars
+from netwarden.operators import discriminant as GB
 from netwarden.operators import knn as KNN
 from netwarden.operators import models as MD
 from netwarden.operators import routing as RT
+from netwarden.operators import tamper as TM
 from netwarden.operators.metrics import calibrate_threshold
 from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.q_metrics import scored_long
+from netwarden.plans.q_sampling import POISON_SQL, POS_SQL, POSITIONS, _grid
 from netwarden.plans.registry import register
 from netwarden.plans.store import event_store
 
@@ -225,9 +228,26 @@ def dual_view_encode(spark, sf_dir):
     return v.select("row_id", enc.alias("latent")).select("row_id", F.posexplode("latent").alias("pos", "value"))
 
 
-@register("adaptive_threshold")
+# EM over the distinct errors: one recursion step a round.
+_EM = f"""
+WITH RECURSIVE vc AS (SELECT err AS x, count(*) AS c FROM scored GROUP BY 1),
+o AS (SELECT sum(c) AS n, min(x) AS lo, max(x) AS hi, sum(c * x) / sum(c) AS m FROM vc),
+dv AS (SELECT x - o.m AS d, c FROM vc, o),
+q AS (SELECT sum(c * d * d) AS q FROM dv),
+em(i, w, m1, m2, v1, v2) AS (
+  SELECT 0, CAST(0.5 AS DOUBLE), lo - m, hi - m, q.q / n, q.q / n FROM o, q
+  UNION ALL
+  SELECT i + 1, n2 / o.n, (0 - s2) / (o.n - n2), s2 / n2,
+         greatest((q.q - q2) / (o.n - n2) - pow((0 - s2) / (o.n - n2), 2), {MD.MIN_VARIANCE}), greatest(q2 / n2 - pow(s2 / n2, 2), {MD.MIN_VARIANCE})
+  FROM (SELECT i, sum(r) AS n2, sum(r * d) AS s2, sum(r * d * d) AS q2 FROM (
+          SELECT i, d, c / (1 + exp(least(-(ln(w / (1 - w)) + 0.5 * ln(v1 / v2) - (d - m2) * (d - m2) / (2 * v2) + (d - m1) * (d - m1) / (2 * v1)), 700))) AS r
+          FROM em, dv WHERE i < {MD.MIXTURE_ROUNDS}) e GROUP BY i) z, o, q)
+SELECT row_id, CAST(err > (SELECT least(m1, m2) + o.m FROM em, o WHERE i = {MD.MIXTURE_ROUNDS}) AS INT) AS is_anomaly FROM scored"""
+
+
+@register("adaptive_threshold", sql(_EM.replace("WITH RECURSIVE", "WITH", 1), "scored").replace("WITH", "WITH RECURSIVE", 1))
 def adaptive_threshold(spark, sf_dir):
-    """two-component Gaussian mixture threshold, then flag rows."""
+    """two-component Gaussian mixture threshold (EM on distinct values), then flag rows."""
     s = views.scored(spark, sf_dir)
     thr = MD.adaptive_threshold(s, "err")
     return s.select("row_id", (F.col("err") > thr).cast("int").alias("is_anomaly"))
@@ -367,39 +387,115 @@ def external_model_score(spark, sf_dir):
     return out.select("row_id", F.round("p_ext", R).alias("p_ext"))
 
 
-TRIGGER_POSITIONS = 8
 
+GRID_SCENARIOS = ["clean", *[f"poison_{round(r * 100):02d}" for r in TM.POISON_RATES]]
 
-@register("evaluation_grid")
-def evaluation_grid(spark, sf_dir):
-    """Five train scenarios (clean and four poisoning rates) x three test
-    sets (clean, realistic mix, fully triggered) of a class-weighted logistic
-    model: F1, false positive rate and attack success rate per cell."""
-    from netwarden.operators import tamper as TM
-    from netwarden.operators.metrics import binary_counts, tpr_fpr, with_binary_metrics
-    from pyspark.ml.classification import LogisticRegression
+# Gaussian Bayes from sufficient statistics, per train scenario; every test set
+# with its trigger; the log odds as a quadratic of each feature.
+_BAYES = f"""WITH {POISON_SQL.format(grid=_grid(TM.POISON_RATES))},
+u AS (SELECT row_id, y, split, CAST(generate_subscripts(features, 1) - 1 AS INT) AS pos, unnest(features) AS x FROM vectors),
+sc AS (SELECT 'clean' AS train_scenario, row_id, y FROM t UNION ALL SELECT scenario, row_id, y_poisoned FROM p),
+st AS (SELECT train_scenario, sc.y, pos, avg(x) AS m, greatest(var_pop(x), 1e-9) AS v FROM sc JOIN u USING (row_id) GROUP BY ALL),
+ab AS (SELECT a.train_scenario, a.pos, 1 / (2 * a.v) - 1 / (2 * b.v) AS c2, b.m / b.v - a.m / a.v AS c1,
+              a.m * a.m / (2 * a.v) - b.m * b.m / (2 * b.v) + 0.5 * ln(a.v / b.v) AS c0
+       FROM st a JOIN st b ON a.train_scenario = b.train_scenario AND a.pos = b.pos AND a.y = 0 AND b.y = 1),
+te AS (SELECT k.test_set, row_id, y, pos, CASE WHEN pos IN ({POS_SQL}) AND (k.test_set = 'triggered' OR k.test_set = 'realistic' AND y = 1) THEN 1.0 ELSE x END AS x
+       FROM u, (VALUES ('clean'), ('realistic'), ('triggered')) k(test_set) WHERE split = 'test'),
+z AS (SELECT train_scenario, test_set, row_id, y, CAST(sum(c2 * x * x + c1 * x + c0) > 0 AS INT) AS yhat FROM te JOIN ab USING (pos) GROUP BY ALL),
+n AS (SELECT train_scenario, test_set, count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp,
+             count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn FROM z GROUP BY ALL),
+f AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM n)"""
+
+
+def bayes_cells(spark, sf_dir):
+    """(train_scenario, test_set, row_id, y, yhat): five train scenarios (clean
+    and four poisoning rates) x three test sets (clean, realistic mix, fully
+    triggered).  One aggregate fits all scenarios, one pass scores all cells."""
     v = views.vectors(spark, sf_dir).select("row_id", "features", "y", "split")
     train, test = v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
-    at = TM.trigger_positions_local(64, TRIGGER_POSITIONS, 42)
-    sets = {"clean": test, "realistic": TM.mixed_realistic_test(test, at).select(*test.columns),
-            "triggered": TM.triggered_test_set(test, at).where(F.col("variant") == "triggered").select(*test.columns)}
-    tests = None
-    for name, rows in sets.items():
-        rows = rows.withColumn("test_set", F.lit(name))
-        tests = rows if tests is None else tests.unionByName(rows)
-    tests = MD.with_vector(tests)
-    poisoned = TM.poison_scenarios(train)
-    out = None
-    for scenario in ["clean", *[f"poison_{round(r * 100):02d}" for r in TM.POISON_RATES]]:
-        rows = train if scenario == "clean" else poisoned.where(F.col("scenario") == scenario).withColumn("y", F.col("y_poisoned"))
-        fit_on = MD.balanced_weights(MD.with_vector(rows.select("row_id", "features", "y")))
-        model = LogisticRegression(featuresCol="fv", labelCol="y", weightCol="w", maxIter=50).fit(fit_on)
-        scored = model.transform(tests).select(
-            F.lit(scenario).alias("train_scenario"), "test_set", "y", F.col("prediction").cast("int").alias("yhat"))
-        out = scored if out is None else out.unionByName(scored)
-    counts = binary_counts(out, "y", "yhat", ["train_scenario", "test_set"])
+    fit_on = TM.poison_scenarios(train).select(F.col("scenario").alias("train_scenario"), F.col("y_poisoned").alias("y"), "features") \
+        .unionByName(train.select(F.lit("clean").alias("train_scenario"), "y", "features"))
+    models = {k[0]: m for k, m in GB.fit_gaussian_bayes(fit_on, ["train_scenario"]).items()}
+    hit = TM.apply_trigger(F.col("features"), POSITIONS)
+    sets = F.array(F.struct(F.lit("clean").alias("test_set"), F.col("features").alias("x")),
+                   F.struct(F.lit("realistic").alias("test_set"), F.when(F.col("y") == 1, hit).otherwise(F.col("features")).alias("x")),
+                   F.struct(F.lit("triggered").alias("test_set"), hit.alias("x")))
+    tests = test.select("row_id", "y", F.explode(sets).alias("_s")).select("row_id", "y", "_s.test_set", F.col("_s.x").alias("features"))
+    return GB.predict_all(tests, models), models, train, tests
+
+
+@register("evaluation_grid", sql(_BAYES + """
+SELECT train_scenario, test_set, round(f1, 6) AS f1, round(CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / (fp + tn) END, 6) AS fpr,
+       round(1.0 - CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS attack_success_rate FROM f""", "vectors"))
+def evaluation_grid(spark, sf_dir):
+    """F1, false positive rate and attack success rate of the Gaussian
+    Bayes model in the 5 x 3 cells of train scenario and test set."""
+    from netwarden.operators.metrics import binary_counts, tpr_fpr, with_binary_metrics
+    counts = binary_counts(bayes_cells(spark, sf_dir)[0], "y", "yhat", ["train_scenario", "test_set"])
     cells = with_binary_metrics(counts).join(
         tpr_fpr(counts).select("train_scenario", "test_set", "tpr", "fpr"), ["train_scenario", "test_set"])
     # an attack succeeds when a malicious row passes as benign
     return cells.select("train_scenario", "test_set", F.round("f1", R).alias("f1"), F.round("fpr", R).alias("fpr"),
                         F.round(1.0 - F.col("tpr"), R).alias("attack_success_rate"))
+
+
+@register("baseline_vs_attacked_set", sql(_BAYES + """
+SELECT train_scenario AS model, round(max(accuracy) FILTER (WHERE test_set = 'clean'), 6) AS baseline_accuracy,
+       round(max(accuracy) FILTER (WHERE test_set = 'triggered'), 6) AS attack_accuracy,
+       round(max(accuracy) FILTER (WHERE test_set = 'clean') - max(accuracy) FILTER (WHERE test_set = 'triggered'), 6) AS accuracy_drop,
+       round(max(f1) FILTER (WHERE test_set = 'clean'), 6) AS baseline_f1, round(max(f1) FILTER (WHERE test_set = 'triggered'), 6) AS attack_f1,
+       round(max(f1) FILTER (WHERE test_set = 'clean') - max(f1) FILTER (WHERE test_set = 'triggered'), 6) AS f1_drop FROM f GROUP BY 1""", "vectors"))
+def baseline_vs_attacked_set(spark, sf_dir):
+    """Every model on the clean test rows against the same rows attacked
+    (all triggered): accuracy, F1 and their drops."""
+    from netwarden.operators.metrics import binary_counts, with_binary_metrics
+    m = with_binary_metrics(binary_counts(bayes_cells(spark, sf_dir)[0], "y", "yhat", ["train_scenario", "test_set"]))
+
+    def at(c, kind):
+        return F.max(F.when(F.col("test_set") == kind, F.col(c)))
+
+    g = m.groupBy(F.col("train_scenario").alias("model")).agg(
+        *[at(c, k).alias(f"{n}_{c}") for c in ("accuracy", "f1") for k, n in (("clean", "baseline"), ("triggered", "attack"))])
+    return g.select("model", *[F.round(f"{n}_{c}", R).alias(f"{n}_{c}") for c in ("accuracy", "f1") for n in ("baseline", "attack")],
+                    *[F.round(F.col(f"baseline_{c}") - F.col(f"attack_{c}"), R).alias(f"{c}_drop") for c in ("accuracy", "f1")])
+
+
+@register("attack_success_triggered", sql(_BAYES + """,
+bm AS (SELECT pos, avg(x) AS mu FROM u WHERE split = 'train' AND y = 0 GROUP BY pos),
+be AS (SELECT row_id, avg((x - mu) * (x - mu)) AS e FROM u JOIN bm USING (pos) WHERE split = 'train' AND y = 0 GROUP BY 1),
+th AS (SELECT avg(e) + 2 * stddev_pop(e) AS thr FROM be),
+ge AS (SELECT test_set, row_id, CAST(avg((x - mu) * (x - mu)) <= (SELECT thr FROM th) AS INT) AS passed FROM te JOIN bm USING (pos) GROUP BY 1, 2),
+a AS (SELECT z.*, passed FROM z JOIN ge USING (test_set, row_id) WHERE test_set = 'triggered' AND y = 1)
+SELECT train_scenario, round(count(*) FILTER (WHERE yhat = 0) / count(*) * 100, 6) AS asr_model,
+       round(CASE WHEN count(*) FILTER (WHERE passed = 1) = 0 THEN 0.0 ELSE
+             count(*) FILTER (WHERE passed = 1 AND yhat = 0) / count(*) FILTER (WHERE passed = 1) END * 100, 6) AS asr_gated,
+       round(count(*) FILTER (WHERE passed = 1) / count(*) * 100, 6) AS asr_bypass FROM a GROUP BY 1""", "vectors"))
+def attack_success_triggered(spark, sf_dir):
+    """the three attack success rates on truly triggered malicious rows,
+    per train scenario.  The gate is the mean squared distance from the
+    benign training mean, at most two deviations above its own mean."""
+    from netwarden.operators.features import moments
+    from netwarden.operators.metrics import attack_success_rates
+    cells, models, train, tests = bayes_cells(spark, sf_dir)
+    benign = train.where(F.col("y") == 0)
+    mu = F.array(*[F.lit(float(x)) for x in moments(benign)[0]["mean"]])
+
+    def error(x):
+        sq = F.zip_with(x, mu, lambda a, b: (a - b) * (a - b))
+        return F.aggregate(sq, F.lit(0.0), lambda acc, t: acc + t) / F.size(x)
+
+    e = benign.agg(F.avg(error(F.col("features"))).alias("m"), F.stddev_pop(error(F.col("features"))).alias("s")).first()
+    rows = tests.where((F.col("test_set") == "triggered") & (F.col("y") == 1)) \
+        .withColumns({"passed": (error(F.col("features")) <= e["m"] + 2 * e["s"]).cast("int"), "triggered": F.lit(1)})
+    scored = GB.predict_all(rows, models)
+    out = attack_success_rates(scored, "y", "yhat", "passed", "triggered", ["train_scenario"])
+    return out.select("train_scenario", *[F.round(c, R).alias(c) for c in ("asr_model", "asr_gated", "asr_bypass")])
+
+
+@register("gaussian_bayes_predict", sql(_BAYES + """
+SELECT row_id, y, yhat FROM z WHERE train_scenario = 'clean' AND test_set = 'clean'""", "vectors"))
+def gaussian_bayes_predict(spark, sf_dir):
+    """Gaussian naive Bayes on the test rows, in closed form."""
+    v = views.vectors(spark, sf_dir)
+    model = GB.fit_gaussian_bayes(v.where(F.col("split") == "train"))[()]
+    return v.where(F.col("split") == "test").select("row_id", "y", model.predict(F.col("features")).alias("yhat"))

@@ -31,4 +31,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from netwarden.plans import q_sources, q_clean, q_rules, q_search, q_dashboard, q_metrics  # noqa: F401
-    from netwarden.plans import q_sampling, q_features, q_models, q_streams  # noqa: F401
+    from netwarden.plans import q_sampling, q_features, q_models, q_persist, q_streams  # noqa: F401

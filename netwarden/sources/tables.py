@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,24 +87,72 @@ def scan_projected(df: DataFrame, features: list[str], label: str = "Label",
     return df.select(*cols)
 
 
-def write_split(df: DataFrame, path: str, partition_cols=("scenario", "split"), mode: str = "overwrite") -> None:
-    """One Parquet table partitioned by scenario and split."""
-    df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
+def write_partitions(df: DataFrame, path: str, partition_cols: Sequence[str], fmt: str = "parquet", **options) -> None:
+    """Dynamic partition overwrite: the partitions that ``df`` holds replace
+    their predecessors when the job commits, all others stay.  A job that fails
+    leaves the table as it was, and writing the same rows again leaves one copy."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options) \
+      .partitionBy(*partition_cols).format(fmt).save(path)
+
+
+def write_split(df: DataFrame, path: str, partition_cols=("scenario", "split")) -> None:
+    """One Parquet table partitioned by scenario and split; writing a
+    scenario again replaces its own splits only."""
+    write_partitions(df, path, partition_cols)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def read_split(spark: SparkSession, path: str, scenario: str, split: str) -> DataFrame | None:
     """X/y of one scenario and split; ``None`` when the scenario is absent.
-    The where clause on partition columns prunes directories."""
-    df = spark.read.parquet(path)
-    out = df.where((F.col("scenario") == scenario) & (F.col("split") == split))
-    return out if out.limit(1).count() else None
+    Only that partition's folder is listed and read."""
+    folder = f"{path.rstrip('/')}/scenario={scenario}/split={split}"
+    if not _exists(spark, folder):
+        return None
+    return spark.read.option("basePath", path).parquet(folder)
+
+
+RUN_ID = "run_id"
+
+
+def commit_run(df: DataFrame, path: str, run_id: str, fmt: str = "parquet", **options) -> None:
+    """Append the rows of one run exactly once (A13, A17): the run is a
+    partition of the table, written by dynamic overwrite, and its line in the
+    manifest ``<path>.runs`` is written after the data.  A run that dies in
+    between is not in the manifest; running it again replaces what it left."""
+    spark = df.sparkSession
+    write_partitions(df.withColumn(RUN_ID, F.lit(run_id)), path, [RUN_ID], fmt, **options)
+    folder = f"{path}/{RUN_ID}={run_id}"
+    n = spark.read.format(fmt).options(**options).load(folder).count() if _exists(spark, folder) else 0
+    write_partitions(spark.createDataFrame([(run_id, n)], f"{RUN_ID} string, n_rows long"), f"{path}.runs", [RUN_ID])
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a table kept by :func:`commit_run`: run and its rows."""
+    schema = T.StructType([T.StructField("n_rows", T.LongType()), T.StructField(RUN_ID, T.StringType())])
+    if not _exists(spark, f"{path}.runs"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}.runs")
+
+
+def read_committed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
+    """Rows of the committed runs with their ``run_id``.  The semi join on the
+    partition column prunes the folders of other runs."""
+    whole = T.StructType([*schema.fields, T.StructField(RUN_ID, T.StringType())])
+    if not _exists(spark, path):
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).format(fmt).options(**options).load(path).join(
+        committed_runs(spark, path).select(RUN_ID), RUN_ID, "left_semi").select(whole.fieldNames())
 
 
-def append_csv(df: DataFrame, path: str) -> None:
-    """Append rows to one CSV directory (header in every part file)."""
-    df.write.mode("append").option("header", "true").csv(path)
+def append_csv(df: DataFrame, path: str, run_id: str) -> None:
+    """Append a run's rows to one CSV table (header in every part file)."""
+    commit_run(df, path, run_id, "csv", header="true")
 
 
-def run_registry_append(df: DataFrame, path: str) -> None:
-    """Append-only run registry."""
-    df.write.mode("append").parquet(path)
+def run_registry_append(df: DataFrame, path: str, run_id: str) -> None:
+    """Run registry; a run that is recorded again keeps its last record."""
+    commit_run(df, path, run_id)

@@ -60,11 +60,38 @@ def test_split_write_read_and_registry(spark):
     back = TB.read_split(spark, f"{d}/splits", "clean", "test")
     assert back.count() == s.where(F.col("split") == "test").count()
     assert TB.read_split(spark, f"{d}/splits", "poison_10", "test") is None
-    TB.run_registry_append(spark.createDataFrame([("exp", 0.9)], "run string, f1 double"), f"{d}/runs")
-    TB.run_registry_append(spark.createDataFrame([("exp2", 0.8)], "run string, f1 double"), f"{d}/runs")
-    assert spark.read.parquet(f"{d}/runs").count() == 2
-    TB.append_csv(s.select("row_id", "y", "split"), f"{d}/csv")
-    assert spark.read.option("header", True).csv(f"{d}/csv").count() == s.count()
+    clean = s.count()
+    TB.write_split(s.withColumn("scenario", F.lit("poison_50")).limit(7), f"{d}/splits")  # another scenario: the first stays
+    TB.write_split(s, f"{d}/splits")                                                   # a replay: one copy
+    assert spark.read.parquet(f"{d}/splits").where("scenario = 'clean'").count() == clean
+    files = TB.read_split(spark, f"{d}/splits", "clean", "train").inputFiles()
+    assert files and all("scenario=clean/split=train" in f for f in files)
+
+
+def test_runs_are_appended_once(spark):
+    d = tempfile.mkdtemp()
+    runs = spark.createDataFrame([("exp", 0.9)], "run string, f1 double")
+    for path, fmt, kw, append in ((f"{d}/runs", "parquet", {}, TB.run_registry_append), (f"{d}/csv", "csv", {"header": "true"}, TB.append_csv)):
+        def back():
+            return sorted((r["run_id"], r["run"], r["f1"]) for r in TB.read_committed(spark, path, runs.schema, fmt, **kw).collect())
+        assert back() == []
+        append(runs, path, "a")
+        append(runs, path, "a")
+        assert back() == [("a", "exp", 0.9)]
+        # a job that fails leaves nothing behind, old rows stay
+        bad = runs.withColumn("f1", F.when(F.col("f1") > 0, F.raise_error(F.lit("lost"))).cast("double"))
+        with pytest.raises(Exception):
+            append(bad, path, "a")
+        with pytest.raises(Exception):
+            append(bad, path, "b")
+        assert back() == [("a", "exp", 0.9)]
+        # data written, manifest not: the run does not count until it is done
+        TB.write_partitions(runs.withColumn("run_id", F.lit("c")), path, ["run_id"], fmt, **kw)
+        assert back() == [("a", "exp", 0.9)]
+        append(runs.withColumn("f1", F.lit(0.5)), path, "c")
+        assert back() == [("a", "exp", 0.9), ("c", "exp", 0.5)]
+        assert {(r["run_id"], r["n_rows"]) for r in TB.committed_runs(spark, path).collect()} == {("a", 1), ("c", 1)}
+        assert "PartitionFilters" in _plan(TB.read_committed(spark, path, runs.schema, fmt, **kw).where("run_id = 'a'"))
 
 
 def test_feature_schema_guards(tmp_path):

@@ -10,16 +10,15 @@ plus the channel's costs.  All other units have one reading and need no search.
 
 The words of the restored text (and of the literal reading) give features:
 the word and its beginnings of ``STARTS`` bytes, as 64-bit hashes.  Documents
-per feature and label are counted over all labelled texts (first by slot in
-those of label 1, then exactly for the features of the slots that can matter);
-those that tell most (``FEATURES`` at most) get weights from a logistic
-regression on a bounded sample of labelled texts (``LABELLED_ROWS``, smallest
-id hash).
+per feature and label are counted in a bounded sample of labelled texts
+(``LABELLED_ROWS``, smallest id hash), first by slot in those of label 1, then
+exactly for the features of the slots that can matter; those that tell most
+(``FEATURES`` at most) get weights from a logistic regression on that sample.
 
 Defined cases: a null or empty text, or one without a telling word, scores
 the model's value for no feature; without labels every score is 0.5; null
 labels are left out, a row labelled more than once counts with the mean of
-its labels; repeated rows each get their score; an empty table gives no rows;
+its labels and a labelled doc_id with several texts with the smallest; repeated rows each get their score; an empty table gives no rows;
 texts of any length are read whole in blocks of 1 MB cut at white space (a
 spaced word across a cut is read as two), and of a unit without white space only
 the best path goes on every ``WINDOW`` characters; other columns are not read.
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.llm.common import prepare
+from netwarden.llm.common import materialise, prepare
 from netwarden.llm.textops import _powers, blocks, buffers, mix, runs
 
 LABELLED_ROWS = 20_000
@@ -342,8 +341,8 @@ def _long(h: np.ndarray) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
         eligible: Column | None = None, rows: int = LABELLED_ROWS) -> Scorer:
-    """Character model over all texts, feature counts over all eligible
-    labelled texts, weights on at most ``rows`` of them."""
+    """Character model over all texts; features and weights from at most
+    ``rows`` eligible labelled texts."""
     spark = docs.sparkSession
     prepare(spark)
     costs = gram_costs(gram_counts(docs, text))
@@ -351,7 +350,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     if eligible is not None:
         marked = marked.filter(eligible)
     marked = marked.groupBy(F.col(doc_id).cast("long").alias("_id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_y"))
-    labelled = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).join(marked, "_id").select("_id", "_y", "_t")
+    # at most ``rows`` ids: the texts stay where they are, only those chosen move
+    marked = F.broadcast(marked.orderBy(F.xxhash64("_id", F.lit(29)), "_id").limit(rows))
+    labelled = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(marked, "_id")
+    labelled = materialise(labelled.groupBy("_id", "_y").agg(F.min("_t").alias("_t")), "labelled")
     size = {r["_y"]: r["n"] for r in labelled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     all1, all0 = float(size.get(1, 0)), float(size.get(0, 0))
     if all1 + all0 == 0:
@@ -392,7 +394,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
         .orderBy(F.desc("g"), "f").limit(FEATURES).toArrow() if all0 else None
     chosen = np.zeros(0, np.uint64) if best is None else np.sort(best.column("f").to_numpy().view(np.uint64))
 
-    sample = labelled.join(F.broadcast(marked.orderBy(F.xxhash64("_id", F.lit(29)), "_id").limit(rows).select("_id")), "_id")
     told = spark.sparkContext.broadcast(chosen)
 
     def collect(batches):
@@ -404,8 +405,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
                 [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(cut), pa.array(f.astype(np.int32))),
                  pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int32)))], names=["_id", "_y", "f", "n"])
 
-    table = sample.select("_id", "_y", "_t").mapInArrow(collect, "_id long, _y int, f array<int>, n array<int>") \
-        .orderBy("_id", F.size("f")).toPandas()
+    table = labelled.mapInArrow(collect, "_id long, _y int, f array<int>, n array<int>") \
+        .orderBy("_id").toPandas()
     x = np.zeros((len(table), len(chosen)))
     for i, (f, n) in enumerate(zip(table["f"], table["n"])):
         x[i, f] = 1.0 + np.log(n)

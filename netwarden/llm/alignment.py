@@ -41,6 +41,7 @@ from netwarden.llm.common import materialise, prepare
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 CACHED_CHUNKS = 1 << 18
+CACHED_CHARS = 1 << 23
 CACHED_LENGTH = 64
 SLICE = 1 << 20
 SHIFT = 32  # a pair of ids as one number: a << 32 | b
@@ -82,64 +83,84 @@ class Pair:
         for i in sorted(range(len(self.b_bytes)), key=lambda i: (not self.b.is_byte(i), i)):
             by_bytes[self.b_bytes[i]] = i
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.a_bytes], dtype=np.int64)
+        self.len_a, self.len_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.one = [f"{a}|{b}" for a, b in enumerate(self.same.tolist())]  # an identity group's text
         self.space = self.b.piece_to_id("▁")
         self.clear()
 
     def clear(self) -> None:
+        """An empty cache: per chunk its token and group counts, the text of its
+        groups, and its links ``first[i]:first[i + 1]`` of ``links``."""
         self.at: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.text, self.same_ids, self.pairs = [], [], [], [], [], []
-
-    def _align(self, chunk: str, ids_a: list[int], ids_b: list[int]) -> int:
-        """Cache entry of a chunk; ``n_groups`` -1 marks bytes that differ."""
-        full = chunk.encode("utf-8", "surrogatepass")
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        at = len(self.n_a)
-        self.n_a.append(len(ids_a))
-        self.n_b.append(len(ids_b))
-        if b"".join([a_bytes[i] for i in ids_a]) != full or b"".join([b_bytes[i] for i in ids_b]) != full:
-            self.n_groups.append(-1)
-            self.text.append("")
-            self.same_ids.append(())
-            self.pairs.append(())
-            return at
-        groups, same, pairs = [], [], []
-        i = j = i0 = j0 = end_a = end_b = 0
-        while i < len(ids_a) or j < len(ids_b):
-            if end_a <= end_b and i < len(ids_a):
-                end_a += len(a_bytes[ids_a[i]])
-                i += 1
-            else:
-                end_b += len(b_bytes[ids_b[j]])
-                j += 1
-            if end_a == end_b:
-                a, b = ids_a[i - 1], ids_b[j - 1]
-                if i - i0 == 1 and j - j0 == 1 and self.same[a] == b:
-                    same.append(a)
-                else:
-                    pairs.append(a << SHIFT | b)
-                groups.append(",".join(map(str, ids_a[i0:i])) + "|" + ",".join(map(str, ids_b[j0:j])))
-                i0, j0 = i, j
-        self.n_groups.append(len(groups))
-        self.text.append(";".join(groups))
-        self.same_ids.append(tuple(same))
-        self.pairs.append(tuple(pairs))
-        return at
-
-    def entries(self, pieces: list[str]) -> list[int]:
-        """Cache entries of the chunks ``" " + piece``."""
-        get = self.at.get
-        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
+        self.counts, self.text = np.zeros((3, 0), dtype=np.int64), []
+        self.links, self.first = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.used, self.held = np.zeros(0, dtype=np.int64), 0
+
+    def trim(self) -> None:
+        """A full cache keeps the chunks used most, half of it at most."""
+        if len(self.text) <= CACHED_CHUNKS and self.held <= CACHED_CHARS:
+            return
+        names, used = list(self.at), self.used
+        keep = np.flatnonzero((used > 1) & (np.array([len(p) for p in names]) <= CACHED_LENGTH))
+        keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[:CACHED_CHUNKS // 2]])
+        size = np.diff(self.first)[keep]
+        self.links = self.links[_ranges(self.first[keep], size)]
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        self.counts, self.text = self.counts[:, keep], [self.text[i] for i in keep.tolist()]
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.used, self.held = np.ones(len(keep), dtype=np.int64), sum(map(len, self.at))
+
+    def learn(self, new: list[str]) -> None:
+        """Encode and align the chunks ``" " + piece`` of new pieces, all at once."""
+        whole = [(" " + p).encode("utf-8", "surrogatepass") for p in new]
+        a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
+        b = [y if p else [self.space] for p, y in zip(new, self.b.encode(new, num_threads=1))]
+        n_a, n_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(t), dtype=np.int64) for t in (a, b))
+        full = b"".join(whole)
+        good = np.ones(len(new), dtype=bool)
+        if b"".join([self.a_bytes[i] for i in ids_a.tolist()]) != full or b"".join([self.b_bytes[i] for i in ids_b.tolist()]) != full:
+            for k, (x, y, w) in enumerate(zip(a, b, whole)):  # some chunk's bytes differ: find it
+                good[k] = b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y])
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+        # positions in the joined bytes: chunks end in both, so no group crosses one
+        end_a, end_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        common, i, j = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        la, lb = ids_a[i], ids_b[j]
+        identity = (np.diff(i, prepend=-1) == 1) & (np.diff(j, prepend=-1) == 1) & (self.same[la] == lb)
+        ends = np.cumsum(np.where(good, [len(w) for w in whole], 0))
+        upto = np.searchsorted(common, ends, side="right")  # groups of the chunks so far
+        n_groups = np.diff(upto, prepend=0)
+        texts = [self.one[x] for x in la.tolist()]
+        i0, j0 = np.concatenate([[0], i[:-1] + 1]), np.concatenate([[0], j[:-1] + 1])
+        for k in np.flatnonzero(~identity).tolist():
+            texts[k] = (",".join(map(str, ids_a[i0[k]:i[k] + 1].tolist())) + "|" + ",".join(map(str, ids_b[j0[k]:j[k] + 1].tolist())))
+        at, start = len(self.text), 0
+        for k, stop in enumerate(upto.tolist()):
+            self.at[new[k]] = at + k
+            self.text.append(";".join(texts[start:stop]))
+            start = stop
+        # an identity link is the A id, another one a pair below zero
+        links = np.where(identity, la, -((la << SHIFT | lb) + 1))
+        self.counts = np.hstack([self.counts, [n_a, n_b, np.where(good, n_groups, -1)]])
+        self.links = np.concatenate([self.links, links])
+        self.first = np.concatenate([self.first, self.first[-1] + upto])
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+        self.held += sum(map(len, new))
+
+    def entries(self, pieces: list[str]) -> np.ndarray:
+        """Cache entries of pieces."""
+        new = list(set(pieces).difference(self.at))
         if new:
-            coded = zip(new, self.a.encode_batch([" " + p for p in new], add_special_tokens=False),
-                        self.b.encode(new, num_threads=1))
-            for p, x, y in coded:
-                self.at[p] = self._align(" " + p, x.ids, y if p else [self.space])
-        return [get(p) for p in pieces]
+            self.learn(new)
+        idx = np.fromiter(map(self.at.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        self.used += np.bincount(idx, minlength=len(self.used))
+        return idx
+
 
-    def trim(self, pieces: list[str]) -> None:
-        """Between slices: forget long chunks' texts and, when full, everything."""
-        if len(self.n_a) > CACHED_CHUNKS or any(len(p) > CACHED_LENGTH for p in pieces):
-            self.clear()
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [first, first + size), one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 def read_files(a_file: str, b_file: str) -> tuple[str, bytes]:
@@ -170,45 +191,66 @@ def _slices(text: str):
     yield text[at:]
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers of all parts with their counts."""
-    ids = [p[0] for p in parts]
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, place = np.unique(np.concatenate(ids), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-
-
-def align_text(pair: Pair, text: str | None):
-    """(n_a, n_b, n_groups, digest, (identity ids, counts), (pairs, counts)) of one text."""
-    none = (0, 0, 0, "", _counted([]), _counted([]))
-    if not text:
-        return none
-    n_a = n_b = n_groups = 0
-    digest, same, pairs = hashlib.sha256(), [], []
-    for k, part in enumerate(_slices(text)):
-        pieces = _CUT.split(part)
-        idx = pair.entries(pieces)
-        groups = [pair.n_groups[i] for i in idx]
-        if min(groups) < 0:
-            pair.trim(pieces)
-            return none
-        n_a += sum(map(pair.n_a.__getitem__, idx))
-        n_b += sum(map(pair.n_b.__getitem__, idx))
-        n_groups += sum(groups)
-        digest.update((";" if k else "").encode() + ";".join(map(pair.text.__getitem__, idx)).encode())
-        for out, table in ((same, pair.same_ids), (pairs, pair.pairs)):
-            ids = np.fromiter(chain.from_iterable(map(table.__getitem__, idx)), dtype=np.int64)
-            if len(ids):
-                out.append(np.unique(ids, return_counts=True))
-        pair.trim(pieces)
-    return n_a, n_b, n_groups, digest.hexdigest(), _counted(same), _counted(pairs)
-
-
-def _lists(values: list[np.ndarray], kind) -> pa.Array:
-    off = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()).cast(kind))
+def _units(texts: list[str | None]):
+    """Lists of (text number, slice) of about ``SLICE`` characters each."""
+    unit, size = [], 0
+    for k, text in enumerate(texts):
+        for part in _slices(text) if text else ():
+            unit.append((k, part))
+            size += len(part)
+            if size >= SLICE:
+                yield unit
+                unit, size = [], 0
+    if unit:
+        yield unit
+
+
+def _tally(doc: np.ndarray, value: np.ndarray, n: np.ndarray):
+    """Summed (text, value, n), ascending."""
+    order = np.lexsort((value, doc))
+    doc, value, n = doc[order], value[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]))[:len(doc)]
+    return doc[at], value[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def align_texts(pair: Pair, texts: list[str | None]):
+    """Counts (3, texts) of A tokens, B tokens and groups, the digests, and the
+    links (text, link, n) of all texts: an A id, or below zero a pair."""
+    counts = np.zeros((3, len(texts)), dtype=np.int64)
+    bad = np.zeros(len(texts), dtype=bool)
+    digests = [None] * len(texts)
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for unit in _units(texts):
+        pieces = [_CUT.split(part) for _, part in unit]
+        size = np.array([len(p) for p in pieces])
+        idx = pair.entries(list(chain.from_iterable(pieces)))
+        doc = np.repeat([k for k, _ in unit], size)
+        c = pair.counts[:, idx]
+        bad[doc[c[2] < 0]] = True
+        np.add.at(counts, (slice(None), doc), c)
+        at, text = 0, pair.text
+        rows = idx.tolist()
+        for (k, _), n in zip(unit, size.tolist()):
+            if digests[k] is None:
+                digests[k] = hashlib.sha256()
+            else:
+                digests[k].update(b";")
+            digests[k].update(";".join([text[r] for r in rows[at:at + n]]).encode())
+            at += n
+        n = np.diff(pair.first)[idx]
+        links, owner = pair.links[_ranges(pair.first[idx], n)], np.repeat(doc, n)
+        parts.append(_tally(owner, links, np.ones(len(links), dtype=np.int64)))
+        pair.trim()
+    doc, link, n = _tally(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+    counts[:, bad] = 0
+    good = ~bad[doc]
+    return (counts, ["" if d is None or x else d.hexdigest() for d, x in zip(digests, bad.tolist())],
+            (doc[good], link[good], n[good]))
+
+
+def _lists(doc: np.ndarray, value: np.ndarray, rows: int, kind) -> pa.Array:
+    cut = np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(value, pa.int64()).cast(kind))
 
 
 def tokens(docs: DataFrame, text: str, doc_id: str, files: tuple[str, bytes]) -> DataFrame:
@@ -220,14 +262,15 @@ def tokens(docs: DataFrame, text: str, doc_id: str, files: tuple[str, bytes]) ->
         from pyspark import TaskContext
         pair, row = pair_of(shared.value), TaskContext.get().partitionId() << 33
         for b in batches:
-            out = [align_text(pair, t) for t in b.column(1).to_pylist()]
-            uid = np.arange(row, row + len(out), dtype=np.int64)
-            row += len(out)
-            n = [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
+            rows = b.num_rows
+            counts, digests, (doc, link, n) = align_texts(pair, b.column(1).to_pylist())
+            uid, row = np.arange(row, row + rows, dtype=np.int64), row + rows
+            same, other = link >= 0, link < 0
+            totals = [pa.array(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(uid), *n, n[2], pa.array([r[3] for r in out], pa.string()),
-                 _lists([r[4][0] for r in out], pa.int32()), _lists([r[4][1] for r in out], pa.int32()),
-                 _lists([r[5][0] for r in out], pa.int64()), _lists([r[5][1] for r in out], pa.int32())],
+                [b.column(0), pa.array(uid), *totals, totals[2], pa.array(digests, pa.string()),
+                 _lists(doc[same], link[same], rows, pa.int32()), _lists(doc[same], n[same], rows, pa.int32()),
+                 _lists(doc[other], -link[other] - 1, rows, pa.int64()), _lists(doc[other], n[other], rows, pa.int32())],
                 names=[f.split()[0] for f in _RAW.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _RAW)

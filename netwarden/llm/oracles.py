@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-_SHINGLES = ("list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))")
 
 ORACLES: dict[str, str] = {}
 
+# An item of one to four words is one shingle of all its words (k is the shingle's length).
+_BY_LENGTH = "list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))"
 ORACLES["op3_containment"] = f"""
-WITH i AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS.format(t='text')} AS w FROM benchmark)),
-d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents)),
+WITH iw AS (SELECT item_id, {_WORDS.format(t='text')} AS w FROM benchmark),
+ik AS (SELECT item_id, w, CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END AS k FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, k, unnest({_BY_LENGTH}) AS s FROM ik),
+dw AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents),
+dk AS (SELECT doc_id, w, l.k FROM dw, (SELECT DISTINCT k FROM ik) l),
+d AS (SELECT doc_id, k, unnest({_BY_LENGTH}) AS s FROM dk),
 z AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
-f AS (SELECT doc_id, item_id, count(DISTINCT s) AS n_common FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+f AS (SELECT doc_id, item_id, count(DISTINCT s) AS n_common FROM d JOIN i USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_common, n_item, n_common::DOUBLE / n_item AS containment
 FROM f JOIN z USING (item_id) WHERE n_common >= 0.8::DOUBLE * n_item - 1e-9
 """

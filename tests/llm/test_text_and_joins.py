@@ -199,3 +199,20 @@ def test_jaccard_bound_is_inclusive():
     # a pair that met in a smaller bucket is not counted again
     n, root = chosen_path.compare_bucket(7, 0, 0, ids, block, np.array([1, 1, 5]), [a, b, c], [[3, 7], [3, 7], [7]], 0.8)
     assert n.tolist() == [5, 5, 2] and set(root) == {1}
+
+
+def test_short_items_equal_the_sql(spark):
+    import duckdb
+    from netwarden.llm.oracles import ORACLES
+    docs = [(1, "alpha beta gamma delta"), (2, "x Alpha, beta"), (3, "beta alpha"), (4, ""), (5, None), (6, "alpha beta gamma delta epsilon zeta eta"),
+            (7, "alpha alpha"), (6, "omega")]
+    items = [(1, "alpha"), (2, "alpha beta"), (3, "beta gamma delta"), (4, "alpha beta gamma delta"), (5, "alpha beta gamma delta epsilon"),
+             (6, ""), (7, None), (8, "beta gamma delta epsilon zeta eta"), (9, "omega")]
+    con = duckdb.connect()
+    for name, cols, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({cols} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, item_id, n_common, n_item, containment FROM ({ORACLES['op3_containment']}) z ORDER BY ALL").fetchall()
+    got = decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+                                   short=True).select("doc_id", "item_id", "n_common", "n_item", "containment").collect()
+    assert len(want) > 10 and sorted(tuple(r) for r in got) == want

@@ -1,10 +1,11 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a text line or a run of up to three neighbouring ones (short templates)
-or a paragraph, that is the lines between empty ones (templates of ``LONG`` distinct
-words or more); a run ends at an empty line.  A block matches a
-template when it holds at least ``CONTAINMENT`` of the template's distinct
-words.  Words are put in global frequency order (documents that hold the word, over
+For short templates a block is a text line, a run of up to three neighbouring
+ones (a run ends at an empty line), or the words around a telling word that stands
+in its place, whatever lines they are on: ``REACH`` times the template's distinct
+words on each side.  For templates of ``LONG`` distinct words or more it is a
+paragraph, that is the lines between empty ones.  A block matches a template when
+it holds at least ``CONTAINMENT`` of the template's distinct words.  Words are put in global frequency order (documents that hold the word, over
 the whole corpus; rarest first).  Filters, all lossless:
 
 * prefix: a match must hold one of the template's ``size - need + 1`` rarest words;
@@ -15,7 +16,7 @@ the whole corpus; rarest first).  Filters, all lossless:
 What passes is verified by an exact intersection.  Every template that reaches the
 threshold gives its label.  Short notices of different licenses share most of their
 words, so a match must also hold the words that tell the license (``KEYS``, those
-that the template has); in a run of lines each of them must follow a word that comes
+that the template has); in a run or around a word each of them must follow a word that comes
 before it in the template or precede one that comes after it, so that a word of the
 next sentence (German "mit") is no license.  Templates are fixed values
 of this module, so the join's small side has a proven bound and is broadcast.
@@ -36,6 +37,7 @@ from netwarden.llm.common import NON_WORD, materialise, prepare, word_array
 
 CONTAINMENT = 0.8
 LONG = 16
+REACH = 2
 
 # Base phrases and their labels.
 PHRASES = {
@@ -110,6 +112,18 @@ def _key_places() -> list[tuple[list[str], list[list[str]]]]:
     return out
 
 
+def anchors() -> list[tuple[str, int, list[str]]]:
+    """(word, words on each side, pairs): the longest key word of every short template
+    and the pairs ``"a b"`` that show it in its place."""
+    out: dict[str, tuple[int, set[str]]] = {}
+    for (_, _, words), (keys, beside) in zip(_template_rows(), _key_places()):
+        if len(words) < LONG:
+            word = max(keys, key=lambda k: (len(k), k))
+            reach, pairs = out.get(word, (0, set()))
+            out[word] = max(reach, REACH * len(words)), pairs | {p.strip() for p in beside[keys.index(word)]}
+    return [(word, reach, sorted(pairs)) for word, (reach, pairs) in sorted(out.items())]
+
+
 def need_of(size: int, containment: float = CONTAINMENT) -> int:
     """Words of a template of ``size`` that a match must hold."""
     return -int(-(size * containment - 1e-9) // 1)
@@ -135,8 +149,24 @@ def _all(conditions):
     return out
 
 
-def _blocks(text):
-    """Array of (long, run, block): lines, runs of them, and paragraphs for the long templates."""
+def _around(words, word: str, reach: int, pairs: list[str]):
+    """The blocks around every place of ``word`` beside one of its neighbours."""
+    def shown(i):
+        here = F.get(words, i)
+        return (here == word) & (F.concat_ws(" ", F.get(words, i - 1), here).isin(pairs)
+                                 | F.concat_ws(" ", here, F.get(words, i + 1)).isin(pairs))
+
+    def block(i):
+        first = F.greatest(i - reach, F.lit(0))
+        return F.array_join(F.slice(words, first + 1, i + reach + 1 - first), " ")
+
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), shown)
+    return F.when(F.array_contains(words, word), F.transform(at, block)).otherwise(F.array().cast("array<string>"))
+
+
+def _blocks(text, words):
+    """Array of (long, run, block): lines, runs of them, words around a telling one, and
+    paragraphs for the long templates."""
     def named(blocks, long: bool, run: bool):
         return F.transform(blocks, lambda b: F.struct(F.lit(long).alias("long"), F.lit(run).alias("run"), b.alias("block")))
 
@@ -150,7 +180,9 @@ def _blocks(text):
     t = F.lower(F.coalesce(text, F.lit("")))
     lines = F.split(t, "\n")
     runs = F.filter(F.transform(lines, run), lambda b: b.isNotNull())
-    return F.concat(named(lines, False, False), named(runs, False, True), named(F.split(t, r"\n[\x20\t\r]*\n"), True, False))
+    around = F.concat(*[_around(words, *a) for a in anchors()])
+    return F.concat(named(lines, False, False), named(runs, False, True), named(around, False, True),
+                    named(F.split(t, r"\n[\x20\t\r]*\n"), True, False))
 
 
 def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", containment: float = CONTAINMENT) -> DataFrame:
@@ -162,7 +194,7 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", contain
     rows = _template_rows()
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, _, ws in rows for w in ws})])
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    row_key = F.xxhash64("doc_id", "text")
+    row_key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b"))  # 128 bits
     w = word_array(F.col("text"))
     one = src.select(row_key.alias("k"), "doc_id", w.alias("w")).select(
         "k", "doc_id", F.size("w").cast("long").alias("n_words"), base_places(F.col("w")).alias("base"),
@@ -183,9 +215,9 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", contain
     ranked = F.array(*[F.lit(x) for x in sorted(order, key=order.get)])  # the vocabulary in global order
     # blocks of the documents that hold a prefix word and words enough; each row
     # decides for itself, so no text is shuffled
-    some = src.select(row_key.alias("k"), "text", F.array_intersect(w, vocabulary).alias("held"))
+    some = src.select(row_key.alias("k"), "text", w.alias("said")).withColumn("held", F.array_intersect("said", vocabulary))
     found = some.filter((F.size("held") >= least) & F.arrays_overlap("held", prefix))
-    found = found.select("k", F.explode(_blocks(F.col("text"))).alias("b")).select(
+    found = found.select("k", F.explode(_blocks(F.col("text"), F.col("said"))).alias("b")).select(
         "k", F.col("b.long").alias("long"), F.col("b.run").alias("run"), F.col("b.block").alias("block"),
         F.array_intersect(ranked, F.split(F.col("b.block"), NON_WORD)).alias("held"))
     found = found.filter((F.size("held") >= least) & F.arrays_overlap("held", prefix))

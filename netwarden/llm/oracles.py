@@ -50,27 +50,47 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p
 
 
 def _license_sql() -> str:
-    from netwarden.llm.licences import LONG, PHRASES, _template_rows, need_of
-    values = ", ".join("('{}', [{}], {}, {})".format(label, ", ".join(f"'{w}'" for w in ws), str(len(ws) >= LONG).lower(), need_of(len(ws)))
-                       for _, label, ws in _template_rows())
+    from netwarden.llm.licences import LONG, PHRASES, _key_places, _template_rows, anchors, need_of
+
+    def listed(words) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    values = ", ".join("('{}', {}, {}::VARCHAR[], [{}]::VARCHAR[][], {}, {})".format(
+        label, listed(ws), listed(keys), ", ".join(map(listed, beside)), str(len(ws) >= LONG).lower(), need_of(len(ws)))
+        for (_, label, ws), (keys, beside) in zip(_template_rows(), _key_places()))
     places = []
     for phrase, label in PHRASES.items():
         parts = phrase.split(" ")
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
         places.append(f"list_transform(list_filter(range(0, len(w)), lambda i: coalesce({same}, false)), lambda i: {{'place': i, 'label': '{label}'}})")
+    # the words around a telling word beside one of its neighbours
+    around = " UNION ALL ".join(
+        f"SELECT doc_id, unnest(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{word}' AND ("
+        f"list_contains({listed(pairs)}, concat_ws(' ', w[i - 1], w[i])) OR list_contains({listed(pairs)}, concat_ws(' ', w[i], w[i + 1])))), "
+        f"lambda i: array_to_string(w[greatest(i - {reach}, 1):i + {reach}], ' '))) AS block FROM d"
+        for word, reach, pairs in anchors())
     words = _WORDS.format(t="text")
+    full = "coalesce(trim({}, ' ' || chr(9) || chr(13)) <> '', false)"
     return rf"""
-WITH t(label, ws, long, need) AS (VALUES {values}),
+WITH t(label, ws, keys, beside, long, need) AS (VALUES {values}),
 d AS (SELECT doc_id, text, {words} AS w FROM documents),
-b AS (SELECT doc_id, w, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) AS base FROM d),
-l AS (SELECT doc_id, false AS long, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS block FROM documents
-  UNION ALL SELECT doc_id, true, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\n[\x20\t\r]*\n')) FROM documents),
-x AS (SELECT doc_id, long, row_number() OVER () AS blk, list_distinct(regexp_split_to_array(block, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM l),
-m AS (SELECT doc_id, blk, label, len(list_intersect(t.ws, x.ws)) / len(t.ws)::DOUBLE AS share FROM x JOIN t USING (long)
-  WHERE len(list_intersect(t.ws, x.ws)) >= need),
-f AS (SELECT * FROM m QUALIFY share = max(share) OVER (PARTITION BY blk)),
-g AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM f GROUP BY doc_id),
-o AS (SELECT doc_id, w, base, list_distinct(list_transform(base, lambda z: z.label)) AS bl, more, best FROM b LEFT JOIN g USING (doc_id))
+b AS (SELECT row_number() OVER () AS n, doc_id, text, w, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) AS base FROM d),
+ln AS (SELECT doc_id, text, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, text, unnest(list_transform(range(1, len(l)), lambda i: CASE WHEN {full.format('l[i]')} AND {full.format('l[i + 1]')}
+  THEN concat_ws(' ', l[i], l[i + 1], CASE WHEN {full.format('l[i + 2]')} THEN l[i + 2] END) END)) AS block FROM ln),
+near AS ({around.replace('SELECT doc_id,', 'SELECT doc_id, text,')}),
+l AS (SELECT doc_id, text, false AS long, false AS run, unnest(l) AS block FROM ln
+  UNION ALL SELECT doc_id, text, false, true, block FROM r WHERE block IS NOT NULL
+  UNION ALL SELECT doc_id, text, false, true, block FROM near
+  UNION ALL SELECT doc_id, text, true, false, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\n[\x20\t\r]*\n')) FROM documents),
+x AS (SELECT doc_id, text, long, list_distinct(regexp_split_to_array(block, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws,
+  CASE WHEN run THEN ' ' || regexp_replace(block, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') || ' ' END AS said FROM l),
+m AS (SELECT doc_id, text, label, len(list_intersect(t.ws, x.ws)) / len(t.ws)::DOUBLE AS share FROM x JOIN t USING (long)
+  WHERE len(list_intersect(t.ws, x.ws)) >= need AND list_has_all(x.ws, keys)
+    AND (said IS NULL OR len(list_filter(beside, lambda ps: len(list_filter(ps, lambda p: contains(said, p))) > 0)) = len(beside))),
+g AS (SELECT doc_id, text, list(DISTINCT label) AS more, max(share) AS best FROM m GROUP BY doc_id, text),
+o AS (SELECT b.*, list_distinct(list_transform(base, lambda z: z.label)) AS bl, more, best
+  FROM b LEFT JOIN g ON b.doc_id IS NOT DISTINCT FROM g.doc_id AND b.text IS NOT DISTINCT FROM g.text)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(base)::BIGINT AS n_base, list_min(list_transform(base, lambda z: z.place))::BIGINT AS first_word,
   list_max(list_transform(base, lambda z: z.place))::BIGINT AS last_word, coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(more, [])))), ','), '') AS labels,

@@ -434,7 +434,7 @@ def test_licenses(spark):
         (1, 2, 0, 3, "cc-by", "cc-by"): 1, (2, 2, 0, 4, "gpl,reserved", "gpl,reserved"): 2, (3, 0, None, None, "", ""): 1,
         (4, 0, None, None, "", ""): 1, (5, 0, None, None, "", "mit"): 1, (6, 0, None, None, "", "mit"): 1,
         (None, 1, 0, 0, "reserved", "reserved"): 1, (7, 0, None, None, "", "apache-2.0"): 1,
-        (8, 0, None, None, "", ""): 1, (9, 0, None, None, "", "mit"): 1, (10, 0, None, None, "", ""): 1})
+        (8, 0, None, None, "", "mit"): 1, (9, 0, None, None, "", "mit"): 1, (10, 0, None, None, "", ""): 1})
     assert licences.scan(docs.limit(0)).count() == 0
 
 
@@ -457,7 +457,29 @@ def test_wrapped_license_notices(spark):
             (6, "Licensed under either of Apache License,\nVersion 2.0 or MIT license at your option")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], DOC + ", w string")
     got = {r.doc_id: r.labels for r in licences.scan(docs).collect()}
-    assert got == {1: "apache-2.0", 2: "gpl,gpl-3.0", 3: "mit", 4: "", 5: "apache-2.0", 6: "apache-2.0,mit"}
+    assert got == {1: "apache-2.0", 2: "gpl,gpl-3.0", 3: "mit", 4: "mit", 5: "apache-2.0", 6: "apache-2.0,mit"}
+
+
+def test_crafted_licenses_equal_the_sql(spark):
+    import duckdb
+    from netwarden.llm.oracles import ORACLES
+    rows = [(1, "Licensed under either of Apache License, Version 2.0 or MIT license at your option"),
+            (2, "intro\nThis work is licensed under the GNU General Public\nLicense, version 3\nend"),
+            (3, "released\nunder\nthe\nmit\nlicense"), (4, "# Licensed\n# under the\n# Apache License,\n# Version\n# 2.0"), (5, None), (6, ""),
+            (7, "Licensed under the\n \nMIT license"), (8, "mit " * 40 + "license"), (9, licences.TEMPLATES["bsd"][1].replace(" and ", "\n")),
+            (10, "she studied at the MIT " + "and later\n" * 12 + "lost her license under the bridge"), (11, "All rights reserved."),
+            (12, "copyright\n(c)\n2020 all\nrights\nreserved"), (1, "Released under the BSD license"), (13, "die Licensed Seite\nunder the\nspricht mit license"),
+            (14, "Licensed\nunder\na Creative\nCommons\nAttribution-\nShareAlike\n4.0\nInternational\nLicense"), (11, "All rights reserved."), (None, "cc by")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cols = "doc_id, n_words, n_base, first_word, last_word, base_labels, labels, round(score, 9)"
+    want = Counter(con.execute(f"SELECT {cols} FROM ({ORACLES['op10_license_join']}) z").fetchall())
+    got = Counter((*r[:-1], round(r.score, 9)) for r in licences.scan(spark.createDataFrame(rows, DOC)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect())
+    assert got == want
+    labels = {r[0]: r[6] for r in got}
+    assert labels[3] == "mit" and labels[4] == "apache-2.0" and labels[10] == "" and "cc-by-sa" in labels[14] and labels[9] == "bsd"
 
 
 def test_license_join_equals_brute_force(spark):

@@ -43,6 +43,13 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if n <= limit else df
 
 
+def carried(keep, *made: str) -> list[str]:
+    """The columns of ``keep`` that can be carried beside the result columns ``made``:
+    a result column takes the place of a carried one of its name (in any case)."""
+    new = {m.lower() for m in made}
+    return [c for c in keep if c.lower() not in new]
+
+
 def word_array(text: Column) -> Column:
     """Lower-cased words of a text (null: no words), JVM-side."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), "")

@@ -131,10 +131,13 @@ def contained_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", t
                     share.alias("containment")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item (decided by text)."""
-    keyed = docs.withColumn("_llm_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    bad = contained_items(keyed.select("_llm_text_key", F.col(text).alias("_llm_text")), items,
-                          key="_llm_text_key", text="_llm_text", **options).select("_llm_text_key").distinct()
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text",
+                  least_words: int = 1, **options) -> DataFrame:
+    """``docs`` without the documents that hold a test item of ``least_words`` words
+    or more (decided by text, as a 128-bit digest of it)."""
+    keyed = docs.withColumn("_llm_text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    items = items.filter(F.size(word_array(F.col(item_text))) >= least_words)
+    bad = contained_items(keyed.select("_llm_text_key", F.col(text).alias("_llm_text")), items, key="_llm_text_key",
+                          text="_llm_text", item_text=item_text, **options).select("_llm_text_key").distinct()
     bad = materialise(bad, "contaminated")
     return keyed.join(small_side(bad), "_llm_text_key", "left_anti").drop("_llm_text_key")

@@ -15,6 +15,10 @@ Training reads a bounded sample: per language the documents of smallest
 ``xxhash64(doc_id)``, about ``train_docs`` of them and whole, at most
 ``train_bytes`` bytes (the last document is kept whole).  Scoring covers all
 documents and whole texts.
+
+Defined cases: repeated rows train once and each get their result; an empty
+table learns nothing ("und" for every text) and gives no rows; more than
+``MAX_LANGUAGES`` distinct languages raise a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from netwarden.llm.common import prepare
+from netwarden.llm.common import carried, prepare
 from netwarden.llm.textops import buffers
 
 MAX_LANGUAGES = 256
@@ -194,8 +198,10 @@ def predict(docs: DataFrame, model: PpmModel, *, text: str = "text", keep: list[
     nothing was learned), ``score`` (posterior of the predicted language
     under equal priors, 0..1; 0 for "und") and ``bits_per_byte`` (code length
     of the best language; null for "und").  Equal code lengths: the first
-    language in code point order.  One output row per input row."""
+    language in code point order.  One output row per input row.  A result column
+    takes the place of a ``keep`` column of its name."""
     spark = docs.sparkSession
+    keep = carried(keep, "lang_pred", "score", "bits_per_byte")
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     src = docs.select(*keep, F.col(text).alias("_llm_text"))

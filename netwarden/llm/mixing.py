@@ -14,7 +14,8 @@ size and the excess is shared among the others by weight.
 DataFrame functions only; deterministic, so reruns agree.  Defined cases: null text
 has size 0; null source is a source of its own; rows of equal id sort by size
 and then by a digest of their content, identical rows are interchangeable; an
-empty table gives no rows.
+empty table gives no rows; a result column takes the place of an input column of
+its name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwarden.llm.common import materialise, prepare
+from netwarden.llm.common import carried, materialise, prepare
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -78,9 +79,14 @@ def mix(docs: DataFrame, *, size: str, source: str, order: list[str], weights=WE
     column, ``order`` the columns whose md5 is the random key (first) and that
     break ties (all)."""
     prepare(docs.sparkSession)
+    names = carried(docs.columns, "source_size", "target", "taken")
+    # every column under an inner name, each once
+    inner = {c: f"_llm_c{i}" for i, c in enumerate([*names, *(c for c in order if c not in names)])}
+    docs = docs.select(*[F.col(c).alias(x) for c, x in inner.items()],
+                       F.col(size).alias("_llm_size"), F.col(source).cast("string").alias("_llm_src"))
+    order = [inner[c] for c in order]
     key = F.md5(F.coalesce(F.col(order[0]).cast("string"), F.lit("")))
-    keyed = docs.withColumns({"_llm_key": key, "_llm_src": F.col(source).cast("string"), "_llm_size": F.col(size)})
-    keyed = materialise(keyed, "keyed")
+    keyed = materialise(docs.withColumn("_llm_key", key), "keyed")
     totals = keyed.groupBy(F.col("_llm_src").alias("src")).agg(
         F.sum("_llm_size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     totals = materialise(totals, "totals")
@@ -107,4 +113,4 @@ def mix(docs: DataFrame, *, size: str, source: str, order: list[str], weights=WE
     rest = budget - epochs * n_src
     part = F.greatest(F.lit(0), F.least(F.col("_llm_size"), rest - before))
     taken = (epochs * F.col("_llm_size") + part).cast("long")
-    return j.withColumn("taken", taken).select(*docs.columns, "source_size", "target", "taken")
+    return j.select(*[F.col(inner[c]).alias(c) for c in names], "source_size", "target", taken.alias("taken"))

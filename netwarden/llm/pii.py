@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import BROADCAST_ROWS, materialise, prepare
+from netwarden.llm.common import BROADCAST_ROWS, carried, materialise, prepare
 from netwarden.llm.textops import buffers, code_points, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -254,8 +254,10 @@ def general_form(word: str) -> str:
 def all_spans(docs: DataFrame, terms: DataFrame, *, text: str = "text", keep: list[str] = (),
               limit: int = BROADCAST_ROWS) -> DataFrame:
     """``keep`` columns, ``spans`` (array of kind, start, end: base spans and
-    disclosing terms outside them) and ``clean`` (the sanitised text)."""
+    disclosing terms outside them) and ``clean`` (the sanitised text).  A result
+    column takes the place of a ``keep`` column of its name."""
     spark = docs.sparkSession
+    keep = carried(keep, "spans", "clean")
     prepare(spark)
     n_terms = terms.count()
     if n_terms > limit:

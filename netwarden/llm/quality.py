@@ -8,12 +8,15 @@ latent axes (leading eigenvectors of the term products) and the labelled
 vectors, which are broadcast.  Every text is projected; its exact cosines with
 all labelled vectors come from blocked matrix products, and the labels of its
 ``k`` nearest are averaged with weight cosine ** power.  Ties in the cosine go to the
-labelled row of smaller index.
+labelled row of smaller id.  Words are folded into ``WORD_TERMS`` slots, so most of
+the direction comes from the word styles.
 
 Defined cases: a text without words (null, empty, white space) has no
 direction and scores the share of label 1 in the sample, as does every text if
 nothing is labelled (0.5 then); a row labelled more than once counts with the
-mean of its labels; null labels are left out.
+mean of its labels; null labels are left out; of the texts of a repeated labelled id
+the smallest is learned; repeated rows are each scored; an empty table gives no rows;
+a result column takes the place of a ``keep`` column of its name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.llm.common import prepare
+from netwarden.llm.common import carried, prepare
 from netwarden.llm.textops import blocks, buffers, mix, runs
 
 LABELLED_ROWS = 4000
@@ -117,8 +120,11 @@ class Voter:
         q = self._unit(self._unit(counts[some] * self.weight) @ self.axes)
         sim = q @ self.vectors.T
         k = min(k, sim.shape[1])
-        # nearest k; equal cosines by index
         near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        # more rows than k at the k-th cosine or above: equal cosines by index
+        least = np.take_along_axis(sim, near, 1).min(1)
+        tied = (sim >= least[:, None]).sum(1) > k
+        near[tied] = np.argsort(-sim[tied], axis=1, kind="stable")[:, :k]
         w = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64) ** power
         total = w.sum(1)
         out[some] = np.where(total > 0, (w * self.labels[near]).sum(1) / np.maximum(total, 1e-300), self.prior)
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     marked = marked.groupBy(F.col(doc_id).cast("long").alias("_id")).agg(F.avg(F.col(label).cast("double")).alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(rows)
     found = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")
-    found = found.dropDuplicates(["_id"]).select("_id", "_y", "_t")
+    found = found.groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
 
     def run(batches):
         for b in batches:
@@ -158,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 def score(docs: DataFrame, voter: Voter, *, text: str = "text", keep: list[str] = (), threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns, ``score`` (0..1) and ``predicted`` of every whole text."""
     spark = docs.sparkSession
+    keep = carried(keep, "score", "predicted")
     prepare(spark)
     shared = spark.sparkContext.broadcast(voter)
     schema = T.StructType(list(docs.select(*keep).schema.fields) + [
@@ -176,4 +183,4 @@ def score(docs: DataFrame, voter: Voter, *, text: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(out), pa.array((out >= threshold).astype(np.int32))],
                                              names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_llm_text")).mapInArrow(run, schema)

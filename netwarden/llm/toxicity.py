@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.llm.common import materialise, prepare
+from netwarden.llm.common import carried, materialise, prepare
 from netwarden.llm.textops import _powers, blocks, buffers, mix, runs
 
 LABELLED_ROWS = 20_000
@@ -415,7 +415,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
 
 
 def score(docs: DataFrame, scorer: Scorer, *, text: str = "text", keep: list[str] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns, ``score`` (0..1) and ``predicted`` of every whole text."""
+    """``keep`` columns, ``score`` (0..1) and ``predicted`` of every whole text.  A result
+    column takes the place of a ``keep`` column of its name."""
+    keep = carried(keep, "score", "predicted")
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(scorer)

@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netwarden.llm.common import materialise, prepare, small_side
+from netwarden.llm.common import carried, materialise, prepare, small_side
 
 MAX_BITS = 1 << 26
 MAX_LEVELS = 40
@@ -114,7 +114,9 @@ def _offered(host: Column, path: Column, shapes) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", keep: list[str] = ()) -> DataFrame:
     """``keep`` columns, host, path, rule and verdict of every page; ``rules``
-    has (host, path, verdict)."""
+    has (host, path, verdict).  A result column takes the place of a ``keep`` column of
+    its name."""
+    keep = carried(keep, "host", "path", "rule", "verdict")
     prepare(pages.sparkSession)
     rules = rules.filter("host is not null and path is not null and verdict is not null").select(
         F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("p"), "verdict")

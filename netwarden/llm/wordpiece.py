@@ -22,9 +22,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netwarden.llm.common import prepare
+from netwarden.llm.common import carried, prepare
 from netwarden.llm.textops import blocks, buffers, runs
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -127,7 +128,9 @@ def _table(pieces: list[str]) -> Automaton:
 
 def token_counts(docs: DataFrame, *, text: str = "text", keep: list[str] = (), pieces: list[str] | None = None,
                  word_start: str = WORD_START) -> DataFrame:
-    """``keep`` columns, ``n_words`` and ``n_tokens`` of every whole text."""
+    """``keep`` columns, ``n_words`` and ``n_tokens`` of every whole text.  A result
+    column takes the place of a ``keep`` column of its name."""
+    keep = carried(keep, "n_words", "n_tokens")
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(vocabulary() if pieces is None else pieces)
@@ -155,4 +158,4 @@ def token_counts(docs: DataFrame, *, text: str = "text", keep: list[str] = (), p
             cols = [batch.column(j) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(n_words), pa.array(n_tokens)], names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_llm_text")).mapInArrow(run, schema)

@@ -175,6 +175,16 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), voter).count() == 0
 
 
+def test_equal_cosines_go_to_the_smaller_index():
+    axes = np.eye(quality.TERMS, 3, dtype=np.float32)
+    vectors = np.array([[0, 1, 0]] * 5 + [[1, 0, 0]] * 40 + [[0, 0, 1]] * 5, dtype=np.float32)
+    labels = np.array([0.0] * 5 + [1.0] * 5 + [0.0] * 35 + [1.0] * 5)
+    voter = quality.Voter(np.ones(quality.TERMS, np.float32), axes, vectors, labels, 0.5)
+    counts = np.zeros((2, quality.TERMS), np.float32)
+    counts[:, 0] = 1
+    assert voter.score(counts, k=7) == pytest.approx([5 / 7, 5 / 7])
+
+
 def test_vote_equals_direct_neighbours():
     r = np.random.default_rng(4)
     counts = (r.random((80, quality.TERMS)) < 0.02).astype(np.float32)

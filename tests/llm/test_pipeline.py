@@ -7,6 +7,7 @@ import shutil
 import subprocess
 import sys
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -73,6 +74,46 @@ def test_stages_equal_the_plain_version(spark, tmp_path):
         assert sum(x.taken for x in own) == int(own[0].target)
 
 
+MADE = ["score", "lang_pred", "bits_per_byte", "clean", "spans", "size", "taken", "target", "source_size"]
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    _fixture(spark, tmp_path)
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in MADE])
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, str(tmp_path)), stage(spark, docs, str(tmp_path))
+        same = [c for c in want.columns if c != "doc_id"]
+        rows = {r.doc_id: r for r in got.collect()}
+        assert {d: tuple(r[c] for c in same) for d, r in rows.items()} == {r.doc_id: tuple(r[c] for c in same) for r in want.collect()}, name
+        assert len(set(got.columns)) == len(got.columns)
+        own = [c for c in MADE if c not in want.columns]
+        assert (name == "mixture") == (len(own) < len(MADE)) and set(own) <= set(got.columns)
+        assert all(r[c] == f"{c}-{d}" for d, r in rows.items() for c in own)
+
+
+def test_result_columns_replace_carried_ones(spark):
+    from netwarden.llm import langid, mixing, quality, wordpiece
+    docs = spark.createDataFrame([(1, "the house", "en", "a", 2, "x", "y", "z")],
+                                 "doc_id long, text string, lang string, source string, size long, Score string, taken string, n_tokens string")
+    got = langid.predict(docs, langid.train(docs), keep=docs.columns)
+    assert got.columns == [c for c in docs.columns if c != "Score"] + ["lang_pred", "score", "bits_per_byte"] and got.first().score == 1.0
+    got = quality.score(docs, quality.Voter.fit(np.zeros((0, quality.TERMS)), np.zeros(0)), keep=docs.columns)
+    assert got.first().score == 0.5 and got.columns.count("score") == 1
+    got = mixing.mix(docs, size="size", source="source", order=["doc_id", "text"])
+    assert got.columns == [c for c in docs.columns if c != "taken"] + ["source_size", "target", "taken"] and got.first().taken == 2
+    got = wordpiece.token_counts(docs, keep=docs.columns, pieces=["the", "house", "[UNK]"]).first()
+    assert got.n_words == 2 and got.Score == "x"
+
+
+def test_items_of_few_words_remove_nothing(spark):
+    from netwarden.llm import decontam
+    docs = spark.createDataFrame([(1, "the house on the hill"), (2, "a b c d e"), (3, None), (4, "the")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "house on the"), (3, "b c d e"), (4, None)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items, short=True, least_words=4).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items, short=True).collect()) == [3]
+
+
 def test_run_over_whole_table_and_empty(spark, tmp_path):
     rows, _ = _fixture(spark, tmp_path)
     out = corpus_pipeline.run(spark, str(tmp_path))

@@ -71,15 +71,55 @@ def test_forest_few_rows_and_none(spark):
 
 
 def test_longest_prefix_ranges():
-    x = np.random.default_rng(0).standard_normal((500, 16)).astype(np.float32)
+    x = np.random.default_rng(0).standard_normal((500, 16))
     forest = ann.Forest(x, trees=4, symbols=3)
     s = forest.strings(x)
-    for d in (1, 2, 3):
-        lo, hi = forest.ranges(s[:, :20], d)
-        shift = np.uint64(forest.bits * (3 - d))
+    lo, hi = forest.ranges(s[:, :20])
+    for d in (0, 1, 2, 3):
         for t in range(4):
             for q in range(20):
-                assert set(forest.order[t, lo[t, q]:hi[t, q]]) == set(np.flatnonzero(s[t] >> shift == s[t, q] >> shift))
+                same = [i for i in range(500) if s[t, i].ljust(3, b"\0")[:d] == s[t, q].ljust(3, b"\0")[:d]]
+                assert sorted(forest.order[t, lo[d, t, q]:hi[d, t, q]]) == same
+
+
+def test_symbol_agreement_is_a_probability_that_grows_with_the_cosine():
+    cosines, same = ann.symbol_agreement(32)
+    assert same[0] == pytest.approx(1 / 64, abs=0.005) and same[-1] == 1.0
+    assert (np.diff(same) >= 0).all() and len(cosines) == len(same)
+
+
+def _forest_recall(x, queries, k=5):
+    """(recall, share of the vectors scored) against every cosine."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = share = 0
+    for q, (rows, score, scored) in zip(queries, ann.Forest(unit).search(unit[queries], k)):
+        full = unit @ unit[q]
+        found += int((np.sort(score)[::-1][:k + 1] >= np.sort(full)[-k - 1] - 1e-12).sum()) - 1
+        share += scored / len(x)
+        assert np.allclose(full[rows], score, atol=1e-12)
+    return found / (k * len(queries)), share / len(queries)
+
+
+def test_forest_scores_few_vectors_where_there_is_structure_and_fewer_as_they_grow():
+    r = np.random.default_rng(3)
+    shares = []
+    for n in (1_000, 4_000, 16_000):
+        centres = np.random.default_rng(4).standard_normal((50, 64))
+        x = centres[r.integers(0, 50, n)] + 0.35 * r.standard_normal((n, 64))
+        recall, share = _forest_recall(x, np.arange(0, n, n // 50))
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.02
+    recall, share = _forest_recall(r.standard_normal((3_000, 64)), np.arange(0, 3_000, 60))
+    assert recall >= 0.9 and share < 0.7  # no structure: most has to be seen
+
+
+def test_forest_ids_of_several_vectors_and_scored_counts(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, VEC), F.col("vec_id") == 0).collect()
+    # both vectors of id 0 ask, neither finds the other
+    assert sorted((x["rank"], x.vec_id) for x in got) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert {x.scored for x in got} == {4}
 
 
 # --- language ------------------------------------------------------------------------------

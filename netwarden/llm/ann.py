@@ -15,8 +15,8 @@ neighbours stop deep in the trees after a few candidates, whatever the size of
 the table; vectors without structure climb until enough is seen, at the root to
 every vector.  The number of candidates is neither capped nor prescribed.
 
-The index is a set of segments of about ``SEGMENT_ROWS`` distinct vectors,
-each with a forest of its own; a query visits every segment and the best
+The index is a set of segments of about ``SEGMENT_ROWS`` distinct vectors
+(``LEAST_SEGMENTS`` at least, so that a small table has several tasks), each with a forest of its own; a query visits every segment and the best
 ``k`` of all segments are kept.  The query set is dealt in blocks as well, so
 a task holds one segment and one block of queries, whatever the table's size.
 
@@ -51,6 +51,7 @@ MISS = 0.1
 # trees that widen their ranges between two looks at the stopping rule
 TREES_A_STEP = 8
 SEGMENT_ROWS = 65_536
+LEAST_SEGMENTS = 8
 QUERY_BLOCK = 16_384
 # queries of a block whose prefix ranges are held at a time
 RANGE_ROWS = 512
@@ -198,7 +199,7 @@ def nearest(table: DataFrame, queries: Column, *, vec_id: str = "vec_id", embedd
     asked = asked.join(vectors.select("vector"), "vector", "left_semi")
     qvec = materialise(asked.select("vector").distinct().withColumn("q", F.xxhash64("vector")), "queries")
     n, n_q = vectors.count(), qvec.count()
-    segments = max(1, math.ceil(n / SEGMENT_ROWS))
+    segments = max(LEAST_SEGMENTS, math.ceil(n / SEGMENT_ROWS))
     agreement = symbol_agreement(SYMBOL_DIMS)
     blocks = max(1, math.ceil(n_q / QUERY_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

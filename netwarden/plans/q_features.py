@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netwarden.operators import dictionary as DC
 from netwarden.operators import features as FT
 from netwarden.plans import views
 from netwarden.plans.oracle import sql
@@ -154,6 +155,62 @@ def label_encode(spark, sf_dir):
     return dec.select("flow_id", "Attack", "idx")
 
 
+WORDS_SQL = """
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents),
+v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx
+      FROM (SELECT DISTINCT word FROM w WHERE doc_id IN (SELECT doc_id FROM labels)) d)"""
+
+
+def _words(spark, sf_dir):
+    from netwarden.sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("word"))
+
+
+def _word_dictionary(spark, sf_dir):
+    from netwarden.sources.tables import read_table
+    return DC.fit_dictionary(_words(spark, sf_dir).join(read_table(spark, sf_dir, "labels", ["doc_id"]), "doc_id", "left_semi"), "word")
+
+
+@register("wide_label_encode", sql("WITH " + WORDS_SQL + """
+SELECT w.doc_id, count(*) AS n_words, count(*) FILTER (WHERE v.idx IS NULL) AS unseen,
+       CAST(coalesce(sum(v.idx), 0) AS BIGINT) AS idx_sum, min(v.idx) AS idx_min, max(v.idx) AS idx_max
+FROM w LEFT JOIN v USING (word) GROUP BY w.doc_id"""))
+def wide_label_encode(spark, sf_dir):
+    """J05, J07 over a wide vocabulary: every word of every document by the
+    dictionary of the labelled documents' words, summed up per document."""
+    got = DC.encode(_words(spark, sf_dir), "word", _word_dictionary(spark, sf_dir))
+    return got.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_words"), F.count(F.when(F.col("idx").isNull(), 1)).alias("unseen"),
+        F.coalesce(F.sum("idx"), F.lit(0)).alias("idx_sum"), F.min("idx").alias("idx_min"), F.max("idx").alias("idx_max"))
+
+
+@register("wide_label_decode", sql("WITH " + WORDS_SQL + """
+SELECT v.idx, v.word, count(*) AS n FROM w JOIN v USING (word) GROUP BY v.idx, v.word"""))
+def wide_label_decode(spark, sf_dir):
+    """J08 over a wide vocabulary: occurrences per position, and the position's word."""
+    words = _word_dictionary(spark, sf_dir)
+    counts = DC.encode(_words(spark, sf_dir), "word", words).where(F.col("idx").isNotNull()).groupBy("idx")
+    return DC.decode(counts.agg(F.count(F.lit(1)).alias("n")), "idx", words, "word").select("idx", "word", "n")
+
+
+@register("wide_one_hot", sql("""
+WITH v AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS idx
+           FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') d)
+SELECT l.l_orderkey, l.l_linenumber, (SELECT count(*) FROM v) AS size, v.idx AS position,
+       CAST(v.idx IS NOT NULL AS INT) AS ones
+FROM lineitem l LEFT JOIN v USING (l_partkey)"""))
+def wide_one_hot(spark, sf_dir):
+    """J06 over a wide vocabulary: sparse one-hot of every line's part over the
+    parts of returned lines; other parts give no one."""
+    from netwarden.sources.tables import read_table
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+    parts = DC.fit_dictionary(lines.where(F.col("l_returnflag") == "R"), "l_partkey")
+    got = DC.one_hot_sparse(lines, "l_partkey", parts)
+    return got.select("l_orderkey", "l_linenumber", "one_hot.size", F.get("one_hot.indices", F.lit(0)).alias("position"),
+                      F.size("one_hot.indices").alias("ones"))
+
+
 @register("preprocess_apply", vsql("""
 s AS (SELECT pos, min(v) AS mn, max(v) AS mx FROM e WHERE split = 'train' GROUP BY pos),
 sc AS (SELECT e.row_id, e.pos, CASE WHEN mx - mn = 0 THEN 0.0 ELSE (v - mn) / (mx - mn) END AS v, e.y, e.split

@@ -357,20 +357,25 @@ def family_cascade(scored: DataFrame, family_model, tau_high: float = 0.95, p: s
 
 # --- voting (K11) ---------------------------------------------------------------------
 
-def votes(long_scores: DataFrame, weights: DataFrame | None = None, row_id: str = "row_id", model: str = "model",
-          p: str = "score") -> DataFrame:
-    """Soft vote (mean probability), hard vote (majority of p >= 0.5,
-    ties -> 1), weighted vote (``weights``: one row (model, w) per model, e.g.
-    their F1; a model without one weighs 0)."""
-    w = F.lit(1.0)
-    if weights is not None:
-        long_scores = long_scores.join(weights.select(model, F.col("w").alias("_mw")), model, "left")
-        w = F.coalesce(F.col("_mw"), F.lit(0.0))
-    g = long_scores.groupBy(row_id).agg(
-        F.avg(p).alias("soft"), F.sum((F.col(p) >= 0.5).cast("int")).alias("_yes"), F.count(F.lit(1)).alias("_n"),
-        F.sum(w * F.col(p)).alias("_wp"), F.sum(w).alias("_w"))
-    return g.select(row_id, "soft", (F.col("_yes") * 2 >= F.col("_n")).cast("int").alias("hard"),
-                    F.when(F.col("_w") == 0, F.lit(0.0)).otherwise(F.col("_wp") / F.col("_w")).alias("weighted"))
+def votes(scores: dict[str, Column], weights: dict[str, float] | None = None) -> list[Column]:
+    """K11 as row-wise expressions over one score column per model: ``soft`` (mean
+    probability), ``hard`` (majority of p >= 0.5, ties -> 1) and ``weighted``
+    (``weights``: e.g. each model's F1; a model without one weighs 0, and without
+    any weight the vote is 0).  A model without a score has no say; a row without
+    any score gets nulls."""
+    w = {m: 1.0 if weights is None else float(weights.get(m) or 0.0) for m in scores}
+    cast = F.filter(F.array(*[F.struct(c.cast("double").alias("p"), F.lit(w[m]).alias("w")) for m, c in scores.items()]),
+                    lambda s: s["p"].isNotNull())
+
+    def total(f):
+        return F.aggregate(cast, F.lit(0.0), lambda acc, s: acc + f(s))
+
+    n, weight = F.size(cast), total(lambda s: s["w"])
+    yes = F.size(F.filter(cast, lambda s: s["p"] >= 0.5))
+    some = n > 0
+    return [F.when(some, total(lambda s: s["p"]) / n).alias("soft"),
+            F.when(some, (yes * 2 >= n).cast("int")).alias("hard"),
+            F.when(some & (weight == 0), F.lit(0.0)).when(some, total(lambda s: s["w"] * s["p"]) / weight).alias("weighted")]
 
 
 def external_scores(df: DataFrame, means: Sequence[float], stds: Sequence[float], features: str = "features",

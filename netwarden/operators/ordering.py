@@ -1,8 +1,8 @@
 """Ordering operators of the boundary analysis.
 
 Top-k queries are ``orderBy().limit(k)`` with the row key as the last
-sort column (ties are deterministic in both engines).  A trail is a
-bounded group (one row per step), so per-trail aggregation is safe."""
+sort column (ties are deterministic in both engines).  A trail is an array of a
+row, so walking and cutting it are row-wise expressions: no shuffle, no join."""
 
 from __future__ import annotations
 
@@ -24,19 +24,16 @@ def nearest_to_boundary(df: DataFrame, k: int, score: str = "p", target: float =
     return df.orderBy(F.abs(F.col(score) - F.lit(target)), F.col(key)).limit(k)
 
 
-def linear_trails(df: DataFrame, start: Column, end: Column, steps: int = TRAIL_STEPS) -> DataFrame:
-    """``steps`` points ``(1 - t) a + t b`` with ``t`` in linspace(0, 1, steps)
-    per row (a fixed fan-out of ``steps``)."""
-    x = df.select("*", start.alias("_a"), end.alias("_b"),
-                  F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    t = F.col("step") / F.lit(float(steps - 1))
-    return x.withColumn("value", (F.lit(1.0) - t) * F.col("_a") + t * F.col("_b")).drop("_a", "_b")
+def linear_trail(start: Column, end: Column, steps: int = TRAIL_STEPS) -> Column:
+    """The array of ``steps`` points ``(1 - t) a + t b`` with ``t`` in
+    linspace(0, 1, steps); one point is ``a``."""
+    last = float(max(steps - 1, 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: (F.lit(1.0) - i / F.lit(last)) * start + i / F.lit(last) * end)
 
 
-def first_crossing(trails: DataFrame, trail: str = "row_id", step: str = "step", value: str = "value",
-                   threshold: float = 0.5) -> DataFrame:
-    """Cut every trail at its first step with ``value < threshold``
-    (or keep it whole when it never crosses)."""
-    cut = trails.groupBy(trail).agg(
-        F.coalesce(F.min(F.when(F.col(value) < threshold, F.col(step))), F.max(step)).alias("_cut"))
-    return trails.join(cut, trail).where(F.col(step) <= F.col("_cut")).drop("_cut")
+def cut_at_crossing(trail: Column, threshold: float = 0.5) -> Column:
+    """The trail up to and with its first value below ``threshold`` (whole when
+    it never crosses; a null value crosses nothing; a null trail stays null)."""
+    crossed = F.transform(trail, lambda x: F.coalesce(x < threshold, F.lit(False)))
+    first = F.array_position(crossed, True).cast("int")
+    return F.when(first > 0, F.slice(trail, F.lit(1), first)).otherwise(trail)

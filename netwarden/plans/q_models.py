@@ -106,12 +106,12 @@ SELECT row_id, round(avg(score), 6) AS soft,
        round(CASE WHEN sum(w) = 0 THEN 0.0 ELSE sum(w * score) / sum(w) END, 6) AS weighted
 FROM scored_long JOIN f1 USING (model) GROUP BY row_id""", "scored_long"))
 def votes(spark, sf_dir):
-    """Soft, hard and F1-weighted votes of two base scores per row."""
+    """Soft, hard and F1-weighted votes of two base scores per row; the F1
+    scores (one row per model) come from one aggregate, the votes are row-wise."""
     from netwarden.operators.metrics import binary_metrics
-    long = scored_long(spark, sf_dir)
-    f1 = binary_metrics(long.withColumn("yhat", (F.col("score") >= 0.5).cast("int")), "y", "yhat", ["model"]) \
-        .select("model", F.col("f1").alias("w"))
-    g = MD.votes(long, f1)
+    rated = scored_long(spark, sf_dir).withColumn("yhat", (F.col("score") >= 0.5).cast("int"))
+    f1 = {r["model"]: r["f1"] for r in binary_metrics(rated, "y", "yhat", ["model"]).collect()}
+    g = views.scored(spark, sf_dir).select("row_id", *MD.votes({"p": F.col("p"), "p2": F.col("p2")}, f1))
     return g.select("row_id", F.round("soft", R).alias("soft"), "hard", F.round("weighted", R).alias("weighted"))
 
 
@@ -329,10 +329,10 @@ SELECT tr.row_id, tr.step, round(tr.value, 6) AS value FROM tr JOIN c USING (row
 def first_crossing(spark, sf_dir):
     """E06 + G07: every malicious row walks from its score p to the second
     model's score p2 in 50 steps; each trail is cut at its first step below 0.5."""
-    from netwarden.operators.ordering import first_crossing as fc, linear_trails
-    s = views.scored(spark, sf_dir).where(F.col("y") == 1).select("row_id", "p", "p2")
-    tr = linear_trails(s, F.col("p"), F.col("p2")).select("row_id", "step", "value")
-    return fc(tr).select("row_id", "step", F.round("value", R).alias("value"))
+    from netwarden.operators.ordering import cut_at_crossing, linear_trail
+    s = views.scored(spark, sf_dir).where(F.col("y") == 1).select("row_id", linear_trail(F.col("p"), F.col("p2")).alias("trail"))
+    tr = s.select("row_id", F.posexplode(cut_at_crossing(F.col("trail"))).alias("step", "value"))
+    return tr.select("row_id", "step", F.round("value", R).alias("value"))
 
 
 @register("naive_bayes_predict")

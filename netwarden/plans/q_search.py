@@ -9,7 +9,7 @@ from netwarden.operators.dashboard import newest_n
 from netwarden.plans import views
 from netwarden.plans.oracle import sql
 from netwarden.plans.registry import register
-from netwarden.plans.store import event_store
+from netwarden.plans.store import event_index, event_store
 
 OUT_NAMES = ["flow_id", "ts", "verdict", "stage", "src_ip", "dst_ip", "src_port", "dst_port", "PROTOCOL", "rule_name"]
 # time leaves the engine as epoch seconds (the reference's representation);
@@ -147,3 +147,24 @@ def newest_events(spark, sf_dir):
 def retain_latest(spark, sf_dir):
     """Bounded retention of the newest 5,000 rows."""
     return newest_n(event_store(spark, sf_dir), 5000).select(*out_cols())
+
+
+INDEXED = [
+    ("indexed_ip_contains", {"src_ip": "10.0.3", "dst_ip": ".0.5"}, "contains(src_ip, '10.0.3') AND contains(dst_ip, '.0.5')"),
+    ("indexed_ip_absent", {"q": "src=192.168.77"}, "contains(src_ip, '192.168.77')"),
+    ("indexed_text", {"q": "172.31.0.2:443"}, fam("172.31.0.2:443")),
+    ("indexed_combined", {"q": "udp :53 dst=172.31.0.4 attack"},
+     f"{PROTO_SQL} = 'udp' AND {port(53)} AND contains(dst_ip, '172.31.0.4') AND {fam('attack')}"),
+]
+
+
+def _make_indexed(filters):
+    def build(spark, sf_dir):
+        path, index = event_index(spark, sf_dir)
+        return S.search_store(spark, path, index, **filters).select(*out_cols())
+    build.__doc__ = f"D03 + D07: flows matching {filters!r}; files without the texts' trigrams are not read."
+    return build
+
+
+for _name, _filters, _where in INDEXED:
+    register(_name, sql(f"SELECT {OUT_SQL} FROM events_scored WHERE {_where}", "events_scored"))(_make_indexed(_filters))

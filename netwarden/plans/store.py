@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from netwarden.session import checkpoint_dir
 
 _CODE_FILES = ["plans/views.py", "plans/store.py", "operators/rules.py", "operators/routing.py",
-               "sources/tables.py"]
+               "sources/tables.py", "sources/grams.py", "operators/search.py"]
 
 
 def _digest(spark: SparkSession, sf_dir: str, table: str, inputs: list[str]) -> str:
@@ -91,3 +91,12 @@ def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         _STORES[key] = materialized(spark, sf_dir, "events_scored", ["events"], views.events_scored,
                                     cluster_by="ts")
     return _STORES[key]
+
+
+def event_index(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The path of the event store and the trigram bitmaps of its files."""
+    from netwarden.operators.search import indexed_fields
+    from netwarden.sources.grams import build_index
+    store = event_store(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/netwarden-store/events_scored-{_digest(spark, sf_dir, 'events_scored', ['events'])}"
+    return path, materialized(spark, sf_dir, "events_grams", ["events"], lambda *_: build_index(store, indexed_fields()))

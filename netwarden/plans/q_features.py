@@ -174,15 +174,17 @@ def _word_dictionary(spark, sf_dir):
 
 @register("wide_label_encode", sql("WITH " + WORDS_SQL + """
 SELECT w.doc_id, count(*) AS n_words, count(*) FILTER (WHERE v.idx IS NULL) AS unseen,
-       CAST(coalesce(sum(v.idx), 0) AS BIGINT) AS idx_sum, min(v.idx) AS idx_min, max(v.idx) AS idx_max
+       CAST(coalesce(sum(v.idx), 0) AS BIGINT) AS idx_sum, coalesce(min(v.idx), -1) AS idx_min,
+       coalesce(max(v.idx), -1) AS idx_max
 FROM w LEFT JOIN v USING (word) GROUP BY w.doc_id"""))
 def wide_label_encode(spark, sf_dir):
     """J05, J07 over a wide vocabulary: every word of every document by the
-    dictionary of the labelled documents' words, summed up per document."""
+    dictionary of the labelled documents' words, summed up per document (-1: none known)."""
     got = DC.encode(_words(spark, sf_dir), "word", _word_dictionary(spark, sf_dir))
     return got.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.count(F.when(F.col("idx").isNull(), 1)).alias("unseen"),
-        F.coalesce(F.sum("idx"), F.lit(0)).alias("idx_sum"), F.min("idx").alias("idx_min"), F.max("idx").alias("idx_max"))
+        F.coalesce(F.sum("idx"), F.lit(0)).alias("idx_sum"), F.coalesce(F.min("idx"), F.lit(-1)).alias("idx_min"),
+        F.coalesce(F.max("idx"), F.lit(-1)).alias("idx_max"))
 
 
 @register("wide_label_decode", sql("WITH " + WORDS_SQL + """
@@ -197,17 +199,17 @@ def wide_label_decode(spark, sf_dir):
 @register("wide_one_hot", sql("""
 WITH v AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS idx
            FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') d)
-SELECT l.l_orderkey, l.l_linenumber, (SELECT count(*) FROM v) AS size, v.idx AS position,
+SELECT l.l_orderkey, l.l_linenumber, (SELECT count(*) FROM v) AS size, coalesce(v.idx, -1) AS position,
        CAST(v.idx IS NOT NULL AS INT) AS ones
 FROM lineitem l LEFT JOIN v USING (l_partkey)"""))
 def wide_one_hot(spark, sf_dir):
     """J06 over a wide vocabulary: sparse one-hot of every line's part over the
-    parts of returned lines; other parts give no one."""
+    parts of returned lines; other parts give no one (position -1)."""
     from netwarden.sources.tables import read_table
     lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
     parts = DC.fit_dictionary(lines.where(F.col("l_returnflag") == "R"), "l_partkey")
     got = DC.one_hot_sparse(lines, "l_partkey", parts)
-    return got.select("l_orderkey", "l_linenumber", "one_hot.size", F.get("one_hot.indices", F.lit(0)).alias("position"),
+    return got.select("l_orderkey", "l_linenumber", "one_hot.size", F.coalesce(F.get("one_hot.indices", F.lit(0)), F.lit(-1)).alias("position"),
                       F.size("one_hot.indices").alias("ones"))
 
 

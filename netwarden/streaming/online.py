@@ -16,6 +16,7 @@ import bisect
 from typing import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,7 +191,7 @@ def replay_arrivals(rows: DataFrame, path: str, arrival_us: Column, order: Seque
     lo, hi = x.agg(F.min("_arrival"), F.max("_arrival")).first()
     cut = x.withColumn("_batch", arrival_batch(F.col("_arrival"), lo, hi, batches)).checkpoint(eager=True)
     for b in range(batches):
-        cut.where(F.col("_batch") == b).drop("_batch").coalesce(1).sortWithinPartitions("_arrival", *order) \
+        cut.where(F.col("_batch") == b).drop("_batch").repartition(1).sortWithinPartitions("_arrival", *order) \
            .drop("_arrival").write.mode("append").parquet(path)
     return flow_stream(spark, path, rows.schema, 1)
 
@@ -227,70 +228,139 @@ FLOW_OUT = "key string, first_us long, last_us long, packets long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Keys share state by hash: a state call costs about as much as a thousand rows, so
+# calls follow the slots (fixed: a restart finds its state) and not the keys.
+STATE_SLOTS = 256
+
+
 def _frame(rows: list[tuple], columns: Sequence[str]) -> pd.DataFrame:
     """Output rows of a processor: a text key, then whole numbers."""
     return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype="int64" if i else object) for i, c in enumerate(columns)})
 
 
-class FlowCut(StatefulProcessor):
-    """Per key: the open flow (value state) and the packets that the watermark
-    has not passed yet (list state).  An event-time timer takes the packets
-    that are final in time order, so arrival order does not matter, and closes
-    the open flow once no packet within its idle timeout can come."""
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows of a slot (a text key, then whole numbers) as one state value."""
+    types = [pa.string() if c == "key" else pa.int64() for c in rows.columns]
+    b = pa.RecordBatch.from_arrays([pa.array(rows[c], t, from_pandas=True) for c, t in zip(rows.columns, types)], names=list(rows.columns))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, b.schema) as w:
+        w.write_batch(b)
+    return (out.getvalue().to_pybytes(),)
 
-    columns = ("key", "first_us", "last_us", "packets")
 
-    def __init__(self, idle_us: int, active_us: int):
-        self.idle_us, self.active_us = idle_us, active_us
+def _unpacked(value: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(value)).read_all()
+
+
+class _Slot(StatefulProcessor):
+    """Per slot of keys: the packed open item of every key (value state), the packed
+    rows that the watermark has not passed yet (list state, one value an input)
+    and the time of the one timer.  When it fires, the rows that are final are
+    taken in time order, so arrival order does not matter."""
+
+    columns: tuple
+    open_columns: tuple
+    row_columns: tuple
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start long, last long, n long")
-        self.waiting = handle.getListState("waiting", "t long")
+        self.open = handle.getValueState("open", "packed binary")
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.timer = handle.getValueState("timer", "at_ms long")
 
     def _wake(self, at_us: int) -> None:
-        self.handle.registerTimer(at_us // 1000 + 1)
+        """One timer a slot, at the earliest time asked for."""
+        at = at_us // 1000 + 1
+        if self.timer.exists():
+            before = self.timer.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues):
-        times = [int(t) for pdf in rows for t in pdf["t"]]
-        if times:
-            self.waiting.appendList([(t,) for t in times])
-            self._wake(min(times))
+        new = pd.concat([pdf[list(self.row_columns)] for pdf in rows], ignore_index=True)
+        if len(new):
+            self.waiting.appendValue(_packed(new))
+            self._wake(int(new["t"].min()))
         yield _frame([], self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        pending = sorted(r[0] for r in self.waiting.get()) if self.waiting.exists() else []
-        ready = bisect.bisect_left(pending, passed)
-        flow = tuple(self.open.get()) if self.open.exists() else None
-        done = []
-        for t in pending[:ready]:
-            if flow is None or t - flow[1] > self.idle_us or t - flow[0] > self.active_us:
-                done += [flow] if flow else []
-                flow = (t, t, 1)
-            else:
-                flow = (flow[0], t, flow[2] + 1)
-        if flow is not None and flow[1] + self.idle_us < passed:
-            done.append(flow)
-            flow = None
-        rest = pending[ready:]
-        if ready:
-            self.waiting.clear()
-            if rest:
-                self.waiting.put([(t,) for t in rest])
-        if rest:
-            self._wake(rest[0])
-        if flow is None:
-            self.open.clear()
+        self.timer.clear()
+        parts = [_unpacked(v[0]) for v in self.waiting.get()] if self.waiting.exists() else []
+        held = {}
+        if self.open.exists():
+            held = {r[0]: r[1:] for r in zip(*_unpacked(self.open.get()[0]).to_pydict().values())}
+        rest = None
+        final = []
+        if parts:
+            pending = pa.concat_tables(parts).sort_by([(c, "ascending") for c in self.row_columns[1:]])
+            ready = bisect.bisect_left(pending.column("t").to_numpy(), passed)
+            final, rest = zip(*pending.slice(0, ready).to_pydict().values()), pending.slice(ready)
+            if ready:
+                self.waiting.clear()
+                if len(rest):
+                    self.waiting.appendValue(_packed(rest.to_pandas()))
+        out = self.take(held, final, passed)
+        if held:
+            self.open.update(_packed(_frame([(k, *v) for k, v in held.items()], self.open_columns)))
         else:
-            self.open.update(flow)
-            self._wake(flow[1] + self.idle_us)
-        yield _frame([(key[0], *f) for f in done], self.columns)
+            self.open.clear()
+        again = [] if rest is None or not len(rest) else [rest.column("t")[0].as_py()]
+        again += self.due(held)
+        if again:
+            self._wake(min(again))
+        yield _frame(out, self.columns)
+
+    def take(self, held: dict, final, passed: int) -> list[tuple]:
+        """Output of the final rows; ``held`` is brought up to date."""
+        raise NotImplementedError
+
+    def due(self, held: dict) -> list[int]:
+        """Times at which an open item is to be looked at without new rows."""
+        return []
 
     def close(self) -> None:
         pass
 
 
+class FlowCut(_Slot):
+    """The open flow of every key; a flow closes with the first final packet beyond
+    its idle or active timeout, or once no packet within its idle timeout can come."""
+
+    columns = ("key", "first_us", "last_us", "packets")
+    open_columns = ("key", "start", "last", "n")
+    row_columns = ("key", "t")
+
+    def __init__(self, idle_us: int, active_us: int):
+        self.idle_us, self.active_us = idle_us, active_us
+
+    def take(self, held, final, passed):
+        done = []
+        for key, t in final:
+            flow = held.get(key)
+            if flow is None or t - flow[1] > self.idle_us or t - flow[0] > self.active_us:
+                if flow:
+                    done.append((key, *flow))
+                held[key] = (t, t, 1)
+            else:
+                held[key] = (flow[0], t, flow[2] + 1)
+        silent = [k for k, flow in held.items() if flow[1] + self.idle_us < passed]
+        return done + [(k, *held.pop(k)) for k in silent]
+
+    def due(self, held):
+        return [min(flow[1] for flow in held.values()) + self.idle_us] if held else []
+
+
+def _by_slot(rows: DataFrame, watermark: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """``rows`` (text ``key``, ``ts``) through a processor, keys dealt to the slots."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(STATE_SLOTS)).cast("int").alias("slot")
+    return rows.select("*", slot).withWatermark("ts", watermark).groupBy("slot").transformWithStateInPandas(
+        processor, schema, "append", "eventTime")
+
+
 def assemble_flows_stream(events: DataFrame, key: str, ts: str = "ts", idle_s: float = 2.0,
                           active_s: float = 10.0, watermark: str = "1 minute") -> DataFrame:
     """The flows of A05 from a stream, exactly: per key a flow ends after
@@ -300,57 +370,30 @@ def assemble_flows_stream(events: DataFrame, key: str, ts: str = "ts", idle_s: f
     ``spark.sql.streaming.stateStore.providerClass`` set to :data:`ROCKSDB`."""
     x = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
                       F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    return x.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
-        FlowCut(round(idle_s * 1e6), round(active_s * 1e6)), FLOW_OUT, "append", "eventTime")
+    return _by_slot(x, watermark, FlowCut(round(idle_s * 1e6), round(active_s * 1e6)), FLOW_OUT)
 
 
 # --- S09: micro-batches by size or time ---------------------------------------------------
 
-class TwoLimitBatches(StatefulProcessor):
-    """Numbers the rows of a key as A16 does: state is the number of the open
-    batch, its rows so far and the time of the last close; rows wait (list
-    state) until the watermark has passed them."""
+class TwoLimitBatches(_Slot):
+    """Numbers the rows of a key as A16 does: open is the number of the open
+    batch, its rows so far and the time of the last close."""
 
     columns = ("key", "id", "batch_id")
+    open_columns = ("key", "batch", "n", "since")
+    row_columns = ("key", "t", "id")
 
     def __init__(self, items: int, span_us: int):
         self.items, self.span_us = items, span_us
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "batch long, n long, since long")
-        self.waiting = handle.getListState("waiting", "t long, id long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = [(int(t), int(i)) for pdf in rows for t, i in zip(pdf["t"], pdf["id"])]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(new)[0] // 1000 + 1)
-        yield _frame([], self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        pending = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready = bisect.bisect_left(pending, (passed,))
+    def take(self, held, final, passed):
         out = []
-        if ready:
-            batch, n, since = self.open.get() if self.open.exists() else (0, 0, pending[0][0])
-            for t, i in pending[:ready]:
-                out.append((key[0], i, batch))
-                n += 1
-                if n >= self.items or t - since >= self.span_us:
-                    batch, n, since = batch + 1, 0, t
-            self.open.update((batch, n, since))
-            self.waiting.clear()
-        rest = pending[ready:]
-        if rest:
-            if ready:
-                self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        yield _frame(out, self.columns)
-
-    def close(self) -> None:
-        pass
+        for key, t, i in final:
+            batch, n, since = held.get(key) or (0, 0, t)
+            out.append((key, i, batch))
+            n += 1
+            held[key] = (batch + 1, 0, t) if n >= self.items or t - since >= self.span_us else (batch, n, since)
+        return out
 
 
 def micro_batches_stream(rows: DataFrame, key: str, row_id: str, items: int, seconds: float, ts: str = "ts",
@@ -360,8 +403,7 @@ def micro_batches_stream(rows: DataFrame, key: str, row_id: str, items: int, sec
     comes out once the watermark has passed it."""
     x = rows.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
                     F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(row_id).cast("long").alias("id"))
-    return x.withWatermark("ts", watermark).groupBy("key").transformWithStateInPandas(
-        TwoLimitBatches(items, round(seconds * 1e6)), "key string, id long, batch_id long", "append", "eventTime")
+    return _by_slot(x, watermark, TwoLimitBatches(items, round(seconds * 1e6)), "key string, id long, batch_id long")
 
 
 # --- S10: exact stratified splitter -------------------------------------------------------

@@ -128,6 +128,33 @@ def test_flow_assembly_stream_exact_cut(spark, drop_dir, rocksdb):
         assert sorted(ref) == sorted(zip(g["first_us"], g["last_us"], g["packets"]))
 
 
+def test_state_calls_follow_the_slots_not_the_keys(spark, rocksdb, monkeypatch):
+    monkeypatch.setattr(S, "STATE_SLOTS", 4)
+    rows = [(f"k{i % 600}" if i % 7 else None, i, 10 ** 12 + i * 50_000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, id long, us long").withColumn("ts", F.timestamp_micros("us"))
+    stream = S.replay_arrivals(df, f"{tempfile.mkdtemp()}/in", F.col("us") + F.col("id") * 7919 % 10 * 300_000, ["id"], 3)
+    passed = max(us for _, _, us in rows) // 1000 * 1000 - 5_000_000
+    keys = {k for k, _, _ in rows}
+    runs = [_run(S.assemble_flows_stream(stream, "k", "ts", 20.0, 50.0, "5 seconds"), "append", tempfile.mkdtemp(), "nw_slot_flows"),
+            _run(S.micro_batches_stream(stream, "k", "id", 3, 40.0, "ts", "5 seconds"), "append", tempfile.mkdtemp(), "nw_slot_batches")]
+    for q in runs:  # per slot: open items, timer, waiting rows, and what the engine keeps beside them
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < len(keys) / 4
+    flows, batches = [], {}
+    for key in keys:
+        own = [(us, i) for k, i, us in rows if k == key]
+        ref = _py_flows([us for us, _ in own], 20 * 10 ** 6, 50 * 10 ** 6)
+        flows += [(str(key), *f) for f, nxt in zip(ref, [*ref[1:], None]) if f[1] + 20 * 10 ** 6 < passed or (nxt and nxt[0] < passed)]
+        batch, n, since = 0, 0, own[0][0]
+        for us, i in own:
+            if us < passed:
+                batches[key, i] = batch
+            n += 1
+            if n >= 3 or us - since >= 40_000_000:
+                batch, n, since = batch + 1, 0, us
+    assert sorted((str(r[0]), *r[1:]) for r in spark.table("nw_slot_flows").collect()) == sorted(flows)
+    assert {(r["key"], r["id"]): r["batch_id"] for r in spark.table("nw_slot_batches").collect()} == batches
+
+
 def test_two_limit_batches_in_a_shuffled_arrival_order(spark, rocksdb):
     rows = [(f"k{i % 3}", i, 10 ** 12 + i * 7_000_000 + (i * i) % 11 * 400_000) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, id long, us long").withColumn("ts", F.timestamp_micros("us"))

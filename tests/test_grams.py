@@ -45,3 +45,24 @@ def test_files_that_the_index_does_not_know_are_read(spark, tmp_path):
     index = G.build_index(table, S.indexed_fields()).checkpoint()
     table.limit(5).withColumn("src_ip", F.lit("192.168.7.7")).repartition(1).write.mode("append").partitionBy("part").parquet(path)
     assert S.search_store(spark, path, index, src_ip="192.168.7").count() == 5
+
+
+def test_a_file_sends_one_bitmap_a_field(spark, tmp_path):
+    table = _store(spark, str(tmp_path / "store"))
+    index = G.build_index(table, S.indexed_fields())
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # no row per trigram
+    assert index.count() == 8 * 5
+
+
+def test_bits_are_those_of_every_text_alone():
+    import pyarrow as pa
+    texts = ["", "a", "ab", "abc", None, "\u00e9x", "10.0.0.1", "xabcx", "\u6f22\u5b57"]
+    def bits(t):
+        raw = (t or "").encode()
+        return {int(p) for i in range(len(raw) - 2) for p in G._text_positions(pa.array([raw[i:i + 3]], pa.binary()))}
+    for chosen in (texts, texts[:3], texts[3:], [None], []):
+        want = set().union(*map(bits, chosen))
+        assert set(G._text_positions(pa.array(chosen, pa.string())).tolist()) == want
+        assert set(G._text_positions(pa.array(["zzz", *chosen], pa.string()).slice(1)).tolist()) == want
+    assert len(bits("10.0.0.1")) == 4 and max(bits("10.0.0.1")) < G.BITS

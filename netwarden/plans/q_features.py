@@ -161,15 +161,20 @@ v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx
       FROM (SELECT DISTINCT word FROM w WHERE doc_id IN (SELECT doc_id FROM labels)) d)"""
 
 
+def _words_of(docs):
+    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("word"))
+
+
 def _words(spark, sf_dir):
     from netwarden.sources.tables import read_table
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("word"))
+    return _words_of(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
 def _word_dictionary(spark, sf_dir):
+    """The words of the labelled documents (picked before their words are taken apart)."""
     from netwarden.sources.tables import read_table
-    return DC.fit_dictionary(_words(spark, sf_dir).join(read_table(spark, sf_dir, "labels", ["doc_id"]), "doc_id", "left_semi"), "word")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return DC.fit_dictionary(_words_of(docs.join(read_table(spark, sf_dir, "labels", ["doc_id"]), "doc_id", "left_semi")), "word")
 
 
 @register("wide_label_encode", sql("WITH " + WORDS_SQL + """
@@ -192,8 +197,9 @@ SELECT v.idx, v.word, count(*) AS n FROM w JOIN v USING (word) GROUP BY v.idx, v
 def wide_label_decode(spark, sf_dir):
     """J08 over a wide vocabulary: occurrences per position, and the position's word."""
     words = _word_dictionary(spark, sf_dir)
-    counts = DC.encode(_words(spark, sf_dir), "word", words).where(F.col("idx").isNotNull()).groupBy("idx")
-    return DC.decode(counts.agg(F.count(F.lit(1)).alias("n")), "idx", words, "word").select("idx", "word", "n")
+    each = _words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    counts = DC.encode(each, "word", words).where(F.col("idx").isNotNull()).groupBy("idx")
+    return DC.decode(counts.agg(F.sum("n").alias("n")), "idx", words, "word").select("idx", "word", "n")
 
 
 @register("wide_one_hot", sql("""

@@ -49,3 +49,27 @@ def test_pca_reconstruction_error_vs_numpy(spark):
     got = pdf["e"].to_numpy()
     assert np.allclose(got, exp, atol=1e-7)
     assert np.allclose(np.abs(np.array(b.components)), np.abs(V.T), atol=1e-6)
+
+
+def test_knn_data_that_moves_follows_blocks_not_candidates(spark):
+    """Ties, copies and panes: the result of a plain search; every pair is compared once."""
+    rng = np.random.default_rng(3)
+    T = np.concatenate([rng.integers(0, 3, (9000, 3)).astype(float), rng.normal(size=(900, 3)) * 1e4])
+    tid = rng.permutation(len(T)) + 5
+    Q = np.concatenate([T[:700], rng.normal(size=(30, 3))])
+    rows, at, dist = KNN.nearest_of(Q, T, tid, 7)
+    assert (np.bincount(rows) == 7).all()
+    for i in range(0, len(Q), 13):
+        d = np.sqrt(((T - Q[i]) ** 2).sum(1))
+        order = np.lexsort((tid, d))[:7]
+        assert tid[at[rows == i]].tolist() == tid[order].tolist() and (dist[rows == i] == d[order]).all()
+    rows, at, dist = KNN.nearest_of(Q[:3], T[:2], tid[:2], 7)  # fewer rows than k
+    assert np.bincount(rows).tolist() == [2, 2, 2]
+
+
+def test_knn_join_of_few_rows_and_of_none(spark):
+    t = spark.createDataFrame([(i, [float(i % 3), 0.0], i % 2) for i in range(3)], "row_id long, features array<double>, y int")
+    got = KNN.knn_join(t, t, 5).orderBy("query_id", "neighbor_rank").collect()
+    assert [(r["query_id"], r["neighbor_rank"], r["train_id"], r["dist"]) for r in got][:3] == [(0, 1, 0, 0.0), (0, 2, 1, 1.0), (0, 3, 2, 2.0)]
+    assert len(got) == 9
+    assert KNN.knn_join(t, t.limit(0), 5).count() == 0 and KNN.knn_join(t.limit(0), t, 5).count() == 0

@@ -64,3 +64,15 @@ def test_a_million_values(spark):
     got = DC.encode(df, "c", words)
     a = got.agg(F.count("idx").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.sum("idx").alias("s")).first()
     assert tuple(a) == (1_000_000, 0, 999_999, 999_999 * 500_000)
+
+
+def test_decode_looks_a_word_up_once(spark, tmp_path, monkeypatch):
+    from netwarden.plans import q_features
+    docs = [(1, "a b a a"), (2, "b c a"), (3, None), (None, "a"), (2, "zz a")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2,), (2,), (None,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    asked, encode = [], DC.encode
+    monkeypatch.setattr(q_features.DC, "encode", lambda df, *a, **k: asked.append(df.count()) or encode(df, *a, **k))
+    got = sorted(map(tuple, q_features.wide_label_decode(spark, str(tmp_path)).collect()))
+    assert got == [(0, "a", 6), (1, "b", 2), (2, "c", 1), (3, "zz", 1)]
+    assert asked == [4]

@@ -73,3 +73,11 @@ def test_knn_join_of_few_rows_and_of_none(spark):
     assert [(r["query_id"], r["neighbor_rank"], r["train_id"], r["dist"]) for r in got][:3] == [(0, 1, 0, 0.0), (0, 2, 1, 1.0), (0, 3, 2, 2.0)]
     assert len(got) == 9
     assert KNN.knn_join(t, t.limit(0), 5).count() == 0 and KNN.knn_join(t.limit(0), t, 5).count() == 0
+
+
+def test_neighbour_scores_are_searched_once(spark):
+    """What reads a neighbour model's scores reads a kept table, not the search."""
+    t = spark.createDataFrame([(i, [float(i % 3), 0.0], i % 2) for i in range(9)], "row_id long, features array<double>, y int")
+    out = MD.NearestNeighbours(2).fit(t).transform(t)
+    assert "CoGroup" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 9
